@@ -31,7 +31,7 @@ _FOLD = ("fold bigint, name string, unit string, test_unit string, test_subject
          "excluded_units array<string>, seed bigint, train array<string>, val array<string>, test array<string>")
 PLAN_SCHEMA = (f"format string, record_id_column string, params struct<lopo_unit:string,min_val_per_class:bigint,"
                f"seed:bigint>, n_records bigint, n_folds bigint, records_sha256 string, signals_sha256 string, "
-               f"plan_sha256 string, folds array<struct<{_FOLD.replace(' ', ':').replace(',:', ',')}>>")
+               f"plan_sha256 string, folds array<struct<{_FOLD}>>")
 
 
 def write_plan_table(folds: DataFrame, members: DataFrame, path: str) -> None:

@@ -27,7 +27,7 @@ def read_recordings(spark: SparkSession, root: str, sets: dict[str, tuple[str, .
     if wrong:
         raise LayoutError(f"expected exactly one folder per set, found {wrong}")
     order = positions(files.select("set_pos", "rel"), "set_pos", "rel", name="ordinal").select("rel", "ordinal")
-    text = F.regexp_replace(F.decode("content", "UTF-8"), "^﻿", "")
+    text = F.regexp_replace(F.decode("content", "UTF-8"), "^\ufeff", "")
     tokens = F.filter(F.split(text, r"\s+"), lambda x: x != "")
     # The signal is the text's double values in float32, as the payload hash is defined on float32.
     return files.select(

@@ -9,11 +9,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from foldloom.functions.text import as_column
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def payload_sha256(signal: pd.Series) -> pd.Series:
     """SHA-256 of the little-endian float32 bytes of a flat signal; Spark has no float-to-bytes function."""
     return signal.map(lambda x: None if x is None else hashlib.sha256(np.asarray(x, dtype="<f4").tobytes()).hexdigest())
@@ -60,5 +61,7 @@ def stride_probe(signal: str | Column, step: int = 8) -> Column:
 
 def to_channel_major(rows: str | Column, channels: int) -> Column:
     """``[time][channel]`` to ``[channel][time]``."""
-    column = as_column(rows)
-    return F.array(*[F.transform(column, lambda r, c=c: r[c]) for c in range(channels)])
+    def channel(c: int) -> Column:
+        return F.transform(as_column(rows), lambda row: row[c])
+
+    return F.array(*[channel(c) for c in range(channels)])

@@ -40,20 +40,23 @@ def ordered_digest(df: DataFrame, ordinal: str, value: Column, by: Sequence[str]
     return tree_digest(df, record_line(ordinal, value), by)
 
 
+def keyed_digests(df: DataFrame, lines: dict[str, Column]) -> DataFrame:
+    """Several digests of one table in one pass: ``key, n_lines, digest``."""
+    pairs = F.array(*[F.struct(F.lit(k).alias("key"), v.alias("line")) for k, v in lines.items()])
+    long = df.select(F.explode(pairs).alias("p")).select("p.key", "p.line")
+    return tree_digest(long, F.col("line"), ["key"])
+
+
 def recording_digests(recordings: DataFrame) -> DataFrame:
-    """Load order of signals, their set, file bytes and names: ``key, digest``.
+    """Load order of signals, their set, file bytes and names: ``key, n_lines, digest``.
 
     ``recordings(ordinal, set_id, record_id, payload_hash, file_hash)``.
     """
-    lines = {
+    return keyed_digests(recordings, {
         "data_order": record_line("ordinal", "set_id", "payload_hash"),
         "signal_set": record_line("set_id", "payload_hash"),
         "file_order": record_line("ordinal", "set_id", "file_hash"),
-        "record_order": record_line("ordinal", "record_id"),
-    }
-    pairs = F.array(*[F.struct(F.lit(k).alias("key"), v.alias("line")) for k, v in lines.items()])
-    long = recordings.select(F.explode(pairs).alias("p")).select("p.key", "p.line")
-    return tree_digest(long, F.col("line"), ["key"])
+        "record_order": record_line("ordinal", "record_id")})
 
 
 def split_digests(splits: DataFrame) -> dict[str, DataFrame]:
@@ -64,16 +67,17 @@ def split_digests(splits: DataFrame) -> dict[str, DataFrame]:
     return {"fit": fits, "task": tasks, "plan": tree_digest(tasks, record_line("task_id", "digest"))}
 
 
-def plan_part_sums(members: DataFrame, line: Column) -> DataFrame:
+def plan_part_sums(members: DataFrame, line: Column, positive: Column | None = None) -> DataFrame:
     """Member sums per (fold, part) of a plan in row form."""
-    return member_sums(members, line, ["fold", "part"])
+    return member_sums(members, line, ["fold", "part"], positive)
 
 
 def case_sums(records: DataFrame, line: Column) -> DataFrame:
-    """Member sums per (group, case), with the positives; the base of all fold digests."""
-    sums = member_sums(records, line, ["group_id", "case_id"])
-    positives = records.groupBy("group_id", "case_id").agg(F.count_if(F.col("label") == 1).alias("n_pos"))
-    return stage(sums.join(positives, ["group_id", "case_id"]))
+    """Member sums per (group, case): the base of all fold digests."""
+    return stage(member_sums(records, line, ["group_id", "case_id"], F.col("label") == 1))
+
+
+PARTS = ("train", "val", "test")
 
 
 def rule_part_sums(folds: DataFrame, sums: DataFrame) -> DataFrame:
@@ -81,46 +85,46 @@ def rule_part_sums(folds: DataFrame, sums: DataFrame) -> DataFrame:
 
     Sums subtract, so training is all records minus the validation and test groups.
     """
-    def side(table: DataFrame, key: str, renamed: str, prefix: str) -> DataFrame:
-        return table.select(F.col(key).alias(renamed), F.col("n_members").alias(f"{prefix}_n"),
-                            F.col("lanes").alias(f"{prefix}_lanes"))
+    def packed(table: DataFrame, name: str, *keys: str) -> DataFrame:
+        return table.select(*keys, F.struct("n_members", "n_pos", "lanes").alias(name))
 
     groups = add_members(sums, ["group_id"])
     # A case has one owner, so case ids and group ids can be looked up in one table of units.
-    units = (add_members(sums, ["case_id"]).select(F.lit("case").alias("unit_kind"), F.col("case_id").alias("test_unit"),
-                                                   "n_members", "lanes")
-             .unionByName(groups.select(F.lit("group").alias("unit_kind"), F.col("group_id").alias("test_unit"),
-                                        "n_members", "lanes")))
-    units = units.withColumnsRenamed({"n_members": "test_n", "lanes": "test_lanes"})
+    units = (add_members(sums, ["case_id"]).withColumnRenamed("case_id", "test_unit").withColumn("unit_kind", F.lit("case"))
+             .unionByName(groups.withColumnRenamed("group_id", "test_unit").withColumn("unit_kind", F.lit("group"))))
+    whole = packed(add_members(sums), "all").scalar()
     wide = (folds.select("fold", "unit_kind", "test_unit", "test_group", "val_group")
-            .join(units, ["unit_kind", "test_unit"])
-            .join(side(groups, "group_id", "test_group", "own"), "test_group")
-            .join(side(groups, "group_id", "val_group", "val"), "val_group"))
-    total = add_members(sums)
-    train_n = total.select("n_members").scalar() - F.col("own_n") - F.col("val_n")
-    train_lanes = minus_lanes(minus_lanes(total.select("lanes").scalar(), F.col("own_lanes")), F.col("val_lanes"))
-    parts = F.array(
-        F.struct(F.lit("train").alias("part"), train_n.alias("n_members"), train_lanes.alias("lanes")),
-        F.struct(F.lit("val").alias("part"), F.col("val_n").alias("n_members"), F.col("val_lanes").alias("lanes")),
-        F.struct(F.lit("test").alias("part"), F.col("test_n").alias("n_members"), F.col("test_lanes").alias("lanes")))
-    return wide.select("fold", F.explode(parts).alias("p")).select("fold", "p.part", "p.n_members", "p.lanes")
+            .join(packed(units, "test", "unit_kind", "test_unit"), ["unit_kind", "test_unit"])
+            .join(packed(groups.withColumnRenamed("group_id", "test_group"), "own", "test_group"), "test_group")
+            .join(packed(groups.withColumnRenamed("group_id", "val_group"), "val", "val_group"), "val_group")
+            .withColumn("all", whole))
+
+    def rest(field: str) -> Column:
+        return F.col(f"all.{field}") - F.col(f"own.{field}") - F.col(f"val.{field}")
+
+    train = F.struct(rest("n_members").alias("n_members"), rest("n_pos").alias("n_pos"),
+                     minus_lanes(F.col("all.lanes"), F.col("own.lanes"), F.col("val.lanes")).alias("lanes"))
+    parts = F.array(*[F.struct(F.lit(name).alias("part"), side.alias("s"))
+                      for name, side in zip(PARTS, (train, F.col("val"), F.col("test")))])
+    return wide.select("fold", F.explode(parts).alias("p")).select("fold", "p.part", "p.s.n_members", "p.s.n_pos", "p.s.lanes")
 
 
 def part_digests(part_sums: DataFrame) -> DataFrame:
-    return part_sums.select("fold", "part", "n_members", sums_digest(F.col("n_members"), F.col("lanes")).alias("digest"))
+    return part_sums.select("fold", "part", "n_members", "n_pos",
+                            sums_digest(F.col("n_members"), F.col("lanes")).alias("digest"))
 
 
 def fold_digests(folds: DataFrame, digests: DataFrame) -> DataFrame:
-    """One digest per fold over its head, part sizes and part digests."""
+    """One digest per fold over its head, part sizes, positives and part digests."""
     wide = digests.groupBy("fold").agg(*[
-        F.max(F.when(F.col("part") == p, record_line("n_members", "digest"))).alias(p) for p in ("train", "val", "test")])
-    head = record_line("fold", "test_unit", "val_group", "seed", "train", "val", "test")
+        F.max(F.when(F.col("part") == p, record_line("n_members", "n_pos", "digest"))).alias(p) for p in PARTS])
+    head = record_line("fold", "test_unit", "val_group", "seed", *PARTS)
     return folds.select("fold", "test_unit", "val_group", "seed").join(wide, "fold").select(
         "fold", F.sha2(head, 256).alias("digest"))
 
 
-def fold_table_digest(per_fold: DataFrame) -> DataFrame:
-    return tree_digest(per_fold, record_line("fold", "digest"))
+def fold_table_digest(per_fold: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    return tree_digest(per_fold, record_line("fold", "digest"), by)
 
 
 def fingerprint(records: DataFrame, folds: DataFrame, payload_hash: str | None = None,
@@ -130,30 +134,30 @@ def fingerprint(records: DataFrame, folds: DataFrame, payload_hash: str | None =
     Levels: ``meta`` decides whether two tables can be compared; ``record`` is keyed by record ids; ``payload``
     exists when payload hashes are given, and then decides alone; ``note`` never decides.
     """
-    def one(df: DataFrame, level: str, key: str) -> DataFrame:
-        return df.select(F.lit(level).alias("level"), F.lit("dataset").alias("scope"), F.lit(key).alias("key"),
-                         F.col("digest").alias("value"))
-
-    def folds_of(per_fold: DataFrame, level: str) -> DataFrame:
-        return per_fold.select(F.lit(level).alias("level"), F.lit("fold").alias("scope"),
-                               F.col("fold").cast("string").alias("key"), F.col("digest").alias("value"))
-
-    meta = records.sparkSession.createDataFrame(
-        [("meta", "meta", "kind", "grouped-plan"), ("meta", "meta", "schema", SCHEMA_VERSION)],
-        "level string, scope string, key string, value string")
-    by_id = stage(fold_digests(folds, part_digests(rule_part_sums(folds, case_sums(records, record_line("record_id"))))))
-    parts = [meta, one(records_digest(records), "record", "records"),
-             one(fold_table_digest(by_id), "record", "fold_table"), folds_of(by_id, "record")]
+    spark = records.sparkSession
+    lines = {"record/records": record_id_line()}
+    fold_lines = {"record": record_line("record_id")}
     if payload_hash:
-        by_payload = stage(fold_digests(folds, part_digests(rule_part_sums(folds, case_sums(
-            records, normalize_hash(payload_hash))))))
-        parts += [one(signal_label_digest(records, payload_hash), "payload", "signals"),
-                  one(owner_digest(records, payload_hash), "payload", "owners"),
-                  one(fold_table_digest(by_payload), "payload", "fold_table"), folds_of(by_payload, "payload")]
+        signal = F.concat_ws(":", normalize_hash(payload_hash), F.col("label").cast("string"))
+        lines["payload/signals"] = signal
+        lines["payload/owners"] = F.concat_ws(":", normalize_hash(payload_hash), "group_id", "case_id")
+        fold_lines["payload"] = normalize_hash(payload_hash)
         if ordinal:
-            parts.append(one(ordered_digest(records, ordinal, F.concat_ws(":", payload_hash, F.col("label").cast("string"))),
-                             "note", "row_order"))
-    table = parts[0]
-    for part in parts[1:]:
-        table = table.unionByName(part)
-    return table
+            lines["note/row_order"] = record_line(ordinal, signal)
+    per_fold = None
+    for level, line in fold_lines.items():
+        rows = fold_digests(folds, part_digests(rule_part_sums(folds, case_sums(records, line))))
+        rows = rows.withColumn("level", F.lit(level))
+        per_fold = rows if per_fold is None else per_fold.unionByName(rows)
+    per_fold = stage(per_fold)
+    label = F.split("key", "/")
+    meta = spark.createDataFrame(
+        [("meta", "meta", "kind", "grouped-plan"), ("meta", "meta", "schema", SCHEMA_VERSION)],
+        "level string, scope string, key string, value string")
+    data = keyed_digests(records, lines).select(
+        label[0].alias("level"), F.lit("dataset").alias("scope"), label[1].alias("key"), F.col("digest").alias("value"))
+    tables = fold_table_digest(per_fold, ["level"]).select(
+        "level", F.lit("dataset").alias("scope"), F.lit("fold_table").alias("key"), F.col("digest").alias("value"))
+    single = per_fold.select("level", F.lit("fold").alias("scope"), F.col("fold").cast("string").alias("key"),
+                             F.col("digest").alias("value"))
+    return stage(meta.unionByName(data).unionByName(tables).unionByName(single))

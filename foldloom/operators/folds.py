@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from foldloom.functions.text import natural_key
 from foldloom.operators.profile import LIST_LIMIT, case_lists, group_counts
 from foldloom.plans.ordering import RANGE, positions
+from foldloom.plans.stage import stage
 
 UNIT_KINDS = ("group", "case")
 
@@ -90,7 +91,8 @@ def logo_folds(cases: DataFrame, unit: str = "group", min_per_class: int = 5, se
         units = (ranked.join(owner.drop("position"), "test_group")
                  .withColumn("n_excluded_units", F.col("n_cases") - 1))
     total = cases.agg(F.sum("n_neg").alias("neg"), F.sum("n_pos").alias("pos"))
-    return units.select(
+    # One row per fold, read by everything that follows.
+    return stage(units.select(
         F.col("position").alias("fold"), F.concat(F.lit("fold_"), "test_unit").alias("name"),
         F.lit(unit).alias("unit_kind"), "test_unit", "test_group", F.col("next.group_id").alias("val_group"),
         "n_excluded_units", (F.lit(int(seed)).cast("bigint") + F.col("position")).alias("seed"),
@@ -98,7 +100,7 @@ def logo_folds(cases: DataFrame, unit: str = "group", min_per_class: int = 5, se
         (F.col("_group_neg") - F.col("n_test_neg")).alias("n_excluded_neg"),
         (F.col("_group_pos") - F.col("n_test_pos")).alias("n_excluded_pos"),
         (total.select("neg").scalar() - F.col("_group_neg") - F.col("next.n_neg")).alias("n_train_neg"),
-        (total.select("pos").scalar() - F.col("_group_pos") - F.col("next.n_pos")).alias("n_train_pos"))
+        (total.select("pos").scalar() - F.col("_group_pos") - F.col("next.n_pos")).alias("n_train_pos")))
 
 
 def excluded_units(folds: DataFrame, cases: DataFrame, limit: int = LIST_LIMIT) -> DataFrame:
@@ -171,7 +173,8 @@ def fold_roles(records: DataFrame, folds: DataFrame, max_folds: int = 256) -> Da
     exploded = records.withColumn("_f", F.explode(literal))
     role = role_of(F.col("case_id"), F.col("group_id"), F.col("_f.test_unit"), F.col("_f.test_group"),
                    F.col("_f.val_group"), F.col("_f.unit_kind"))
-    return exploded.select("*", F.col("_f.fold").alias("fold"), F.col("_f.seed").alias("seed"),
+    return exploded.select("*", F.col("_f.fold").cast("bigint").alias("fold"),
+                           F.col("_f.seed").cast("bigint").alias("seed"),
                            role.alias("role")).drop("_f")
 
 

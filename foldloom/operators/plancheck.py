@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldloom.operators.profile import case_counts
+from foldloom.plans.stage import stage
 
 PARTS = ("train", "val", "test")
 
@@ -81,14 +82,15 @@ def fold_audit(members: DataFrame, folds: DataFrame, records: DataFrame) -> Data
     inside = {p: F.col(p) > 0 for p in PARTS}
     known = F.col("known")
     n_parts = sum((inside[p].cast("int") for p in PARTS[1:]), inside["train"].cast("int"))
-    per_case = per_record.groupBy("fold", "group_id", "case_id").agg(
+    # At most folds x cases rows, read twice below.
+    per_case = stage(per_record.groupBy("fold", "group_id", "case_id").agg(
         F.count_if(~known).alias("unknown"), F.count_if(known).alias("placed"),
         F.count_if((F.col("train") > 1) | (F.col("val") > 1) | (F.col("test") > 1)).alias("repeated"),
         F.count_if(n_parts > 1).alias("overlap"),
         *[F.sum(p).alias(f"rows_{p}") for p in PARTS],
         *[F.count_if(known & inside[p]).alias(p) for p in PARTS],
         *[F.count_if(known & inside[p] & (F.col("label") == c)).alias(f"{p}_{c}") for p in ("train", "val")
-          for c in (0, 1)])
+          for c in (0, 1)]))
     heads = folds.select("fold", "unit_kind", "test_unit", "test_group", "val_group")
     judged = per_case.join(heads, "fold")
     unit = F.when(F.col("unit_kind") == "case", F.col("case_id")).otherwise(F.col("group_id"))

@@ -52,25 +52,32 @@ def exact_digest(df: DataFrame, line: Column, name: str = "digest", max_rows: in
     return df.select(line.alias("_line")).agg(_hash_sorted("_line").alias(name))
 
 
-def member_sums(df: DataFrame, line: Column, by: Sequence[str] = ()) -> DataFrame:
-    """Per key: number of members (``n_members``) and their lane sums (``lanes``).
+def member_sums(df: DataFrame, line: Column, by: Sequence[str] = (), positive: Column | None = None) -> DataFrame:
+    """Per key: members (``n_members``), positives among them (``n_pos``) and lane sums (``lanes``).
 
     A lane adds 16-bit numbers, so 64-bit sums hold for 10**14 members.
     """
-    hashed = df.select(*by, F.sha2(line, 256).alias("_h"))
+    marked = F.lit(False) if positive is None else positive
+    hashed = df.select(*by, F.sha2(line, 256).alias("_h"), marked.alias("_p"))
     pieces = [F.conv(F.substring("_h", 4 * i + 1, 4), 16, 10).cast("bigint") for i in range(LANES)]
-    return hashed.groupBy(*by).agg(F.count(F.lit(1)).alias("n_members"),
+    return hashed.groupBy(*by).agg(F.count(F.lit(1)).alias("n_members"), F.count_if("_p").alias("n_pos"),
                                    F.array(*[F.coalesce(F.sum(p), F.lit(0)) for p in pieces]).alias("lanes"))
 
 
 def add_members(sums: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Sums of sums, for a coarser key."""
     lanes = F.array(*[F.sum(F.col("lanes")[i]) for i in range(LANES)])
-    return sums.groupBy(*by).agg(F.sum("n_members").alias("n_members"), lanes.alias("lanes"))
+    return sums.groupBy(*by).agg(F.sum("n_members").alias("n_members"), F.sum("n_pos").alias("n_pos"), lanes.alias("lanes"))
+
 
+def minus_lanes(whole: Column, *parts: Column) -> Column:
+    def lane(i: int) -> Column:
+        value = whole[i]
+        for part in parts:
+            value = value - part[i]
+        return value
 
-def minus_lanes(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: x - y)
+    return F.array(*[lane(i) for i in range(LANES)])
 
 
 def sums_digest(count: Column, lanes: Column) -> Column:

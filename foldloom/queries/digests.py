@@ -30,6 +30,16 @@ def tree(name: str, source: str, line: str, by: str = "") -> str:
 
 
 def dataset_digests(spark, d):
+    data = texts(spark, d)
+    return fp.keyed_digests(data, {
+        "records": fp.record_id_line(), "payloads": record_line("record_id", "payload_hash"),
+        "labels": F.concat_ws(":", "payload_hash", F.col("label").cast("string")),
+        "owners": F.concat_ws(":", "payload_hash", "group_id", "case_id"),
+        "row_order": record_line("record_id", "payload_hash")})
+
+
+def single_digests(spark, d):
+    """The same digests, one operator each."""
     data = texts(spark, d)
     parts = {"records": fp.records_digest(data), "payloads": fp.payload_digest(data), "labels": fp.signal_label_digest(data),
              "owners": fp.owner_digest(data), "row_order": fp.ordered_digest(data, "record_id", F.col("payload_hash"))}
@@ -40,7 +50,6 @@ def dataset_digests(spark, d):
     return out
 
 
-TAB = "chr(9)"
 RECORD_LINE = "record_id || chr(9) || group_id || chr(9) || case_id || chr(9) || label"
 DATASET_SQL = sql(TEXTS, tree("a", "texts", RECORD_LINE), tree("b", "texts", "record_id || chr(9) || payload_hash"),
                   tree("c", "texts", "payload_hash || ':' || label"),
@@ -95,12 +104,9 @@ SPLIT_SQL = sql(VECTORS, qs.TASKS, qs.RANKED, "rows AS (SELECT * FROM planned JO
                 tree("a", "t", "task_id || chr(9) || digest"), body="""
 SELECT task_id, n_lines, digest FROM t UNION ALL SELECT '<all>', n_lines, digest FROM a""")
 
-LANES = ", ".join(f"sum(CAST('0x' || substr(h, {4 * i + 1}, 4) AS BIGINT))::BIGINT" for i in range(16))
-
-
 def _lane_digest(keys: str, source: str, line: str) -> str:
     text = " || ',' || ".join(f"sum(CAST('0x' || substr(h, {4 * i + 1}, 4) AS BIGINT))::BIGINT" for i in range(16))
-    return f"SELECT {keys}, count(*) AS n_members, sha256(count(*) || ',' || {text}) AS digest FROM (SELECT *, sha256({line}) AS h FROM {source}) GROUP BY {keys}"
+    return f"SELECT {keys}, count(*) AS n_members, count(*) FILTER (label = 1) AS n_pos, sha256(count(*) || ',' || {text}) AS digest FROM (SELECT *, sha256({line}) AS h FROM {source}) GROUP BY {keys}"
 
 
 def fold_part_digests(spark, d):
@@ -112,7 +118,7 @@ def fold_part_digests(spark, d):
 
 
 FOLD_PARTS_SQL = sql(RECORDS, qf.GROUPS, qf.ROLES.format(unit="r.case_id", heads="heads_case"), f"""parted AS (
-  SELECT fold, CASE role WHEN 'validation' THEN 'val' ELSE role END AS part, record_id FROM roles WHERE role <> 'excluded')""",
+  SELECT fold, CASE role WHEN 'validation' THEN 'val' ELSE role END AS part, record_id, label FROM roles WHERE role <> 'excluded')""",
                      body=_lane_digest("fold, part", "parted", "CAST(record_id AS VARCHAR)"))
 
 
@@ -121,27 +127,28 @@ def plan_row_digests(spark, d):
     data = texts(spark, d)
     folds = fo.logo_folds(case_counts(data), "group", 1)
     rows = fo.fold_roles(data, folds).where("role <> 'excluded'").select(
-        "fold", F.col("role").alias("part"), "payload_hash")
-    return fp.part_digests(fp.plan_part_sums(rows, F.col("payload_hash")))
+        "fold", F.col("role").alias("part"), "payload_hash", "label")
+    return fp.part_digests(fp.plan_part_sums(rows, F.col("payload_hash"), F.col("label") == 1))
 
 
 PLAN_ROWS_SQL = sql(TEXTS, qf.TEXT_HEADS, """parted AS (
-  SELECT t.fold, CASE t.part WHEN 'val' THEN 'validation' ELSE t.part END AS part, x.payload_hash FROM tplan t JOIN texts x USING (record_id))""",
+  SELECT t.fold, CASE t.part WHEN 'val' THEN 'validation' ELSE t.part END AS part, x.payload_hash, x.label FROM tplan t JOIN texts x USING (record_id))""",
                     body=_lane_digest("fold, part", "parted", "payload_hash"))
 
 
-def _fingerprints(spark, d):
-    """Two sides: the labelled documents, and the same with one source's labels turned."""
+def _sides(spark, d):
+    """The labelled documents with their folds, and the same with other case names (payload level cannot see record
+    order or fold names, but it sees owners)."""
     data = texts(spark, d)
-    other = data.withColumn("label", F.when(F.col("group_id") == "src3", 1 - F.col("label")).otherwise(F.col("label")))
-    folds = fo.logo_folds(case_counts(data), "group", 1)
-    return (fp.fingerprint(data, folds, "payload_hash", "record_id"), fp.fingerprint(other, folds, "payload_hash", "record_id"),
-            fp.fingerprint(data, folds))
+    other = data.withColumn("case_id", F.concat(F.lit("c"), "case_id"))
+    return data, other, fo.logo_folds(case_counts(data), "group", 1)
 
 
 def fingerprint_status(spark, d):
-    ours, turned, by_id = _fingerprints(spark, d)
-    pairs = {"same": (ours, ours), "turned labels": (ours, turned), "ids only": (ours, by_id)}
+    data, other, folds = _sides(spark, d)
+    ours = fp.fingerprint(data, folds, "payload_hash", "record_id")
+    moved = fp.fingerprint(other, folds, "payload_hash", "record_id")
+    pairs = {"same": (ours, ours), "other cases": (ours, moved), "ids only": (ours, fp.fingerprint(data, folds))}
     out = None
     for name, (a, b) in pairs.items():
         row = co.compare_fingerprints(a, b).withColumn("pair", F.lit(name))
@@ -150,8 +157,9 @@ def fingerprint_status(spark, d):
 
 
 def fingerprint_lines(spark, d):
-    ours, turned, _ = _fingerprints(spark, d)
-    return co.comparison_lines(ours, turned)
+    data, other, folds = _sides(spark, d)
+    return co.comparison_lines(fp.fingerprint(data, folds, "payload_hash", "record_id"),
+                               fp.fingerprint(other, folds, "payload_hash", "record_id"))
 
 
 def recordings_explained(spark, d):
@@ -215,6 +223,7 @@ WHERE s_nationkey IS DISTINCT FROM nat"""
 
 QUERIES = {
     "dataset_digests": (dataset_digests, DATASET_SQL),
+    "single_digests": (single_digests, DATASET_SQL),
     "line_digest": (line_digest, sql(tree("a", "lineitem", "l_orderkey || chr(9) || l_linenumber || chr(9) || l_partkey", "l_returnflag"),
                                      body="SELECT l_returnflag, n_lines, digest FROM a")),
     "case_digests": (case_digests, sql(RECORDS, tree("a", "records", RECORD_LINE, "group_id"), body="SELECT group_id, n_lines, digest FROM a")),
@@ -224,13 +233,13 @@ QUERIES = {
     "plan_row_digests": (plan_row_digests, PLAN_ROWS_SQL),
     "fingerprint_status": (fingerprint_status, sql(TEXTS, body="""
 SELECT 'same' AS pair, 'MATCH' AS status, 'payload' AS level, 0::BIGINT AS n_dataset_differs, 0::BIGINT AS n_folds_differ
-UNION ALL SELECT 'turned labels', CASE WHEN count(*) > 0 THEN 'MISMATCH' ELSE 'MATCH' END, 'payload', CAST(count(*) > 0 AS BIGINT), 0 FROM texts WHERE group_id = 'src3'
+UNION ALL SELECT 'other cases', CASE WHEN count(*) > 0 THEN 'MISMATCH' ELSE 'MATCH' END, 'payload', CAST(count(*) > 0 AS BIGINT), 0 FROM texts
 UNION ALL SELECT 'ids only', 'MATCH', 'record', 0, 0""")),
-    "fingerprint_lines": (fingerprint_lines, sql(TEXTS, "turned AS (SELECT count(*) > 0 AS t FROM texts WHERE group_id = 'src3')", body="""
-SELECT level, scope, key, CASE WHEN changes AND (SELECT t FROM turned) THEN 'MISMATCH' ELSE 'MATCH' END AS result
+    "fingerprint_lines": (fingerprint_lines, """
+SELECT level, scope, key, CASE WHEN changes AND (SELECT count(*) FROM labels) > 0 THEN 'MISMATCH' ELSE 'MATCH' END AS result
 FROM (VALUES ('meta', 'meta', 'kind', false), ('meta', 'meta', 'schema', false), ('record', 'dataset', 'records', true),
-  ('record', 'dataset', 'fold_table', false), ('payload', 'dataset', 'signals', true), ('payload', 'dataset', 'owners', false),
-  ('payload', 'dataset', 'fold_table', false), ('note', 'dataset', 'row_order', true)) x(level, scope, key, changes)""")),
+  ('record', 'dataset', 'fold_table', false), ('payload', 'dataset', 'signals', false), ('payload', 'dataset', 'owners', true),
+  ('payload', 'dataset', 'fold_table', false), ('note', 'dataset', 'row_order', false)) x(level, scope, key, changes)"""),
     "recordings_explained": (recordings_explained, """
 SELECT variant, CASE WHEN variant IN ('order', 'content') THEN 'MISMATCH' ELSE 'MATCH' END AS status,
   CASE variant WHEN 'same' THEN 'identical' WHEN 'bytes' THEN 'same signals, other file bytes' WHEN 'names' THEN 'same signals, other names'

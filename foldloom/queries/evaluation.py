@@ -39,23 +39,23 @@ c AS (
          count(*) FILTER (target = 0 AND prob >= 0.5)::DOUBLE AS fp, count(*) FILTER (target = 1 AND prob < 0.5)::DOUBLE AS fn
   FROM p GROUP BY unit),
 m0 AS (
-  SELECT c.*, tp + fn AS pos, tn + fp AS neg, tp + tn + fp + fn AS n, (tp + fn > 0 AND tn + fp > 0) AS both, wins, gain
+  SELECT c.*, tp + fn AS pos, tn + fp AS neg, tp + tn + fp + fn AS n, (tp + fn > 0 AND tn + fp > 0) AS twosided, wins, gain
   FROM c JOIN pairs USING (unit) JOIN ap USING (unit)),
 m AS (
-  SELECT unit, n::BIGINT AS n, pos::BIGINT AS n_pos, neg::BIGINT AS n_neg, NOT both AS single_class,
+  SELECT unit, n::BIGINT AS n, pos::BIGINT AS n_pos, neg::BIGINT AS n_neg, NOT twosided AS single_class,
     tp::BIGINT AS tp, tn::BIGINT AS tn, fp::BIGINT AS fp, fn::BIGINT AS fn,
     (tp + tn) / n AS accuracy,
-    CASE WHEN both THEN (tp / pos + tn / neg) / 2 END AS balanced_accuracy,
+    CASE WHEN twosided THEN (tp / pos + tn / neg) / 2 END AS balanced_accuracy,
     tp / nullif(pos, 0) AS sensitivity, tn / nullif(neg, 0) AS specificity,
     tp / nullif(tp + fp, 0) AS precision, tn / nullif(tn + fn, 0) AS npv,
     CASE WHEN pos > 0 THEN 2 * tp / (2 * tp + fp + fn) END AS f1_pos,
     CASE WHEN neg > 0 THEN 2 * tn / (2 * tn + fp + fn) END AS f1_neg,
-    CASE WHEN both THEN (2 * tp / (2 * tp + fp + fn) + 2 * tn / (2 * tn + fp + fn)) / 2 END AS macro_f1,
-    CASE WHEN both THEN ((tp + tn) / n - (pos * (tp + fp) + neg * (tn + fn)) / (n * n))
+    CASE WHEN twosided THEN (2 * tp / (2 * tp + fp + fn) + 2 * tn / (2 * tn + fp + fn)) / 2 END AS macro_f1,
+    CASE WHEN twosided THEN ((tp + tn) / n - (pos * (tp + fp) + neg * (tn + fn)) / (n * n))
       / nullif(1 - (pos * (tp + fp) + neg * (tn + fn)) / (n * n), 0) END AS kappa,
-    CASE WHEN both THEN coalesce((tp * tn - fp * fn) / nullif(sqrt((tp + fp) * pos * neg * (tn + fn)), 0), 0) END AS mcc,
-    CASE WHEN both THEN wins / (pos * neg) END AS roc_auc,
-    CASE WHEN both THEN gain / pos END AS average_precision
+    CASE WHEN twosided THEN coalesce((tp * tn - fp * fn) / nullif(sqrt((tp + fp) * pos * neg * (tn + fn)), 0), 0) END AS mcc,
+    CASE WHEN twosided THEN wins / (pos * neg) END AS roc_auc,
+    CASE WHEN twosided THEN gain / pos END AS average_precision
   FROM m0)"""
 
 COUNTS = "n, n_pos, n_neg, single_class, tp, tn, fp, fn"

@@ -59,8 +59,8 @@ def content_digests(spark, d):
 CONTENT_DIGESTS_SQL = r"""
 SELECT doc_id, sha256(text) AS sha256,
   sha256(coalesce(array_to_string(list_transform(list_filter(
-    string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10)), x -> NOT regexp_matches(x, '^\s*(#|$)')),
-    x -> regexp_replace(x, '\s+$', '')), chr(10)), '')) AS normalized_sha256
+    string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10)), lambda x: NOT regexp_matches(x, '^\s*(#|$)')),
+    lambda x: regexp_replace(x, '\s+$', '')), chr(10)), '')) AS normalized_sha256
 FROM documents"""
 
 
@@ -73,8 +73,8 @@ def normalized_duplicates(spark, d):
 
 NORMALIZED_DUPLICATES_SQL = r"""
 WITH n AS (SELECT doc_id AS record_id, sha256(coalesce(array_to_string(list_transform(list_filter(
-    string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10)), x -> NOT regexp_matches(x, '^\s*(#|$)')),
-    x -> regexp_replace(x, '\s+$', '')), chr(10)), '')) AS payload_hash FROM documents)
+    string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10)), lambda x: NOT regexp_matches(x, '^\s*(#|$)')),
+    lambda x: regexp_replace(x, '\s+$', '')), chr(10)), '')) AS payload_hash FROM documents)
 SELECT record_id, payload_hash, c.n_copies FROM n JOIN (
   SELECT payload_hash, count(*) AS n_copies FROM n GROUP BY 1 HAVING count(*) > 1) c USING (payload_hash)"""
 
@@ -93,11 +93,11 @@ def signal_flags(spark, d):
 
 
 SIGNAL_FLAGS_SQL = sql(VECTORS, body="""
-SELECT record_id, list_bool_and(list_transform(signal, x -> isfinite(x))) AS finite, len(signal) = 64 AS length_ok,
+SELECT record_id, list_bool_and(list_transform(signal, lambda x: isfinite(x))) AS finite, len(signal) = 64 AS length_ok,
   true AS shape_ok, false AS other_shape_ok,
-  round(CAST(list_max(list_transform(signal, x -> CAST(x * CAST(1e6 AS FLOAT) AS FLOAT))) AS DOUBLE), 6) AS scaled_max,
+  round(CAST(list_max(list_transform(signal, lambda x: CAST(x * CAST(1e6 AS FLOAT) AS FLOAT))) AS DOUBLE), 6) AS scaled_max,
   CAST(8 AS BIGINT) AS n_probe,
-  round(list_sum(list_transform(range(0, 64, 8), i -> CAST(signal[i + 1] AS DOUBLE))), 6) AS probe_sum,
+  round(list_sum(list_transform(range(0, 64, 8), lambda i: CAST(signal[i + 1] AS DOUBLE))), 6) AS probe_sum,
   round(CAST(signal[3 * 8 + 2 + 1] AS DOUBLE), 6) AS channel_2_time_3
 FROM vectors""")
 

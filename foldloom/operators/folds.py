@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from foldloom.functions.text import natural_key
 from foldloom.operators.profile import LIST_LIMIT, case_lists, group_counts
-from foldloom.plans.ordering import RANGE, positions
+from foldloom.plans.ordering import RANGE, numbered, positions, rows_before
 from foldloom.plans.stage import stage
 
 UNIT_KINDS = ("group", "case")
@@ -43,26 +43,32 @@ def map_group(df: DataFrame, aliases: DataFrame, case: str = "case_id", group: s
     return joined.withColumn(group, F.coalesce("_owner", case)).drop("_alias", "_owner")
 
 
-def _ordered_groups(cases: DataFrame, min_per_class: int) -> DataFrame:
-    """Groups in natural order, each with the next eligible group in cyclic order (``next``)."""
-    keyed = group_counts(cases, min_per_class).withColumn("_key", natural_key("group_id"))
-    groups = positions(keyed, "_key", "group_id")
+def _ordered_groups(cases: DataFrame, min_per_class: int) -> tuple[DataFrame, DataFrame]:
+    """Groups in natural order, each with the next eligible group in cyclic order (``next``); and the totals.
+
+    Inside a range a window finds the next eligible group. For the groups after a range's last eligible one, the
+    summary with one row per range names the first eligible group of the ranges that follow.
+    """
+    local = numbered(group_counts(cases, min_per_class).withColumn("_key", natural_key("group_id")), "_key", "group_id")
     candidate = F.when(F.col("eligible"), F.struct("group_id", "n_neg", "n_pos"))
-    # Descending order turns "next" into "last seen", which a growing frame answers in one pass.
-    after = (Window.partitionBy(RANGE).orderBy(F.desc("position"))
-             .rowsBetween(Window.unboundedPreceding, -1))
-    inside = groups.withColumn("_inside", F.last(candidate, ignorenulls=True).over(after))
-    firsts = groups.groupBy(RANGE).agg(
-        F.min_by(F.when(F.col("eligible"), F.struct("group_id", "n_neg", "n_pos")),
-                 F.when(F.col("eligible"), F.col("position"))).alias("_first"))
-    # One row per range: bounded by the number of partitions.
+    # Bounded by the number of partitions, so its windows and its broadcast stay small at any scale.
+    per_range = local.groupBy(RANGE).agg(
+        F.max("_row").alias("_n"), F.min_by(candidate, F.when(F.col("eligible"), F.col("_row"))).alias("_first"),
+        F.count_if("eligible").alias("n_eligible"), F.sum("n_neg").alias("all_neg"), F.sum("n_pos").alias("all_pos"))
     later = Window.orderBy(F.desc(RANGE)).rowsBetween(Window.unboundedPreceding, -1)
-    everything = (Window.orderBy(RANGE)
-                  .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    firsts = firsts.select(RANGE, F.coalesce(F.last("_first", ignorenulls=True).over(later),
-                                             F.first("_first", ignorenulls=True).over(everything)).alias("_later"))
-    return (inside.join(F.broadcast(firsts), RANGE)
-            .withColumn("next", F.coalesce("_inside", "_later")).drop("_inside", "_later", "_key"))
+    whole = Window.orderBy(RANGE).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    summary = stage(per_range.select(
+        RANGE, rows_before().alias("_off"),
+        F.coalesce(F.last("_first", ignorenulls=True).over(later), F.first("_first", ignorenulls=True).over(whole)).alias("_later"),
+        *[F.sum(c).over(whole).alias(a) for c, a in (
+            ("_n", "n_groups"), ("n_eligible", "n_eligible"), ("all_neg", "all_neg"), ("all_pos", "all_pos"))]))
+    # Descending order turns "next" into "last seen", which a growing frame answers in one pass.
+    after = Window.partitionBy(RANGE).orderBy(F.desc("_row")).rowsBetween(Window.unboundedPreceding, -1)
+    inside = local.withColumn("_inside", F.last(candidate, ignorenulls=True).over(after))
+    groups = (inside.join(F.broadcast(summary), RANGE)
+              .withColumns({"position": F.col("_row") + F.col("_off"), "next": F.coalesce("_inside", "_later")})
+              .drop("_inside", "_later", "_key", "_row", "_off", RANGE))
+    return groups, summary
 
 
 def logo_folds(cases: DataFrame, unit: str = "group", min_per_class: int = 5, seed: int = 42) -> DataFrame:
@@ -74,11 +80,12 @@ def logo_folds(cases: DataFrame, unit: str = "group", min_per_class: int = 5, se
     """
     if unit not in UNIT_KINDS:
         raise FoldPlanError(f"unit must be one of {UNIT_KINDS}, got {unit!r}")
-    groups = _ordered_groups(cases, min_per_class)
-    if group_counts(cases, min_per_class).where("eligible").limit(2).count() < 2:
+    groups, totals = _ordered_groups(cases, min_per_class)
+    found = totals.select("n_eligible").first()
+    if found is None or found[0] < 2:
         raise FoldPlanError(f"fewer than 2 groups have at least {max(1, int(min_per_class))} records of each class")
     owner = groups.select(F.col("group_id").alias("test_group"), F.col("n_neg").alias("_group_neg"),
-                          F.col("n_pos").alias("_group_pos"), "n_cases", "next", "position")
+                          F.col("n_pos").alias("_group_pos"), "n_cases", "n_groups", "all_neg", "all_pos", "next", "position")
     if unit == "group":
         units = owner.select("*", F.col("test_group").alias("test_unit"),
                              F.col("_group_neg").alias("n_test_neg"), F.col("_group_pos").alias("n_test_pos"),
@@ -90,7 +97,6 @@ def logo_folds(cases: DataFrame, unit: str = "group", min_per_class: int = 5, se
             F.col("n_neg").alias("n_test_neg"), F.col("n_pos").alias("n_test_pos"), "position")
         units = (ranked.join(owner.drop("position"), "test_group")
                  .withColumn("n_excluded_units", F.col("n_cases") - 1))
-    total = cases.agg(F.sum("n_neg").alias("neg"), F.sum("n_pos").alias("pos"))
     # One row per fold, read by everything that follows.
     return stage(units.select(
         F.col("position").alias("fold"), F.concat(F.lit("fold_"), "test_unit").alias("name"),
@@ -99,8 +105,9 @@ def logo_folds(cases: DataFrame, unit: str = "group", min_per_class: int = 5, se
         "n_test_neg", "n_test_pos", F.col("next.n_neg").alias("n_val_neg"), F.col("next.n_pos").alias("n_val_pos"),
         (F.col("_group_neg") - F.col("n_test_neg")).alias("n_excluded_neg"),
         (F.col("_group_pos") - F.col("n_test_pos")).alias("n_excluded_pos"),
-        (total.select("neg").scalar() - F.col("_group_neg") - F.col("next.n_neg")).alias("n_train_neg"),
-        (total.select("pos").scalar() - F.col("_group_pos") - F.col("next.n_pos")).alias("n_train_pos")))
+        (F.col("all_neg") - F.col("_group_neg") - F.col("next.n_neg")).alias("n_train_neg"),
+        (F.col("all_pos") - F.col("_group_pos") - F.col("next.n_pos")).alias("n_train_pos"),
+        (F.col("n_groups") - 2).alias("n_train_groups")))
 
 
 def excluded_units(folds: DataFrame, cases: DataFrame, limit: int = LIST_LIMIT) -> DataFrame:
@@ -118,14 +125,12 @@ def fold_manifest(folds: DataFrame, cases: DataFrame, limit: int = LIST_LIMIT) -
     validation = case_lists(cases, limit).select(F.col("group_id").alias("val_group"),
                                                  F.array_join("cases", ";").alias("validation_cases"))
     others = excluded_units(folds, cases, limit).select("fold", F.array_join("excluded_units", ";").alias("excluded_units"))
-    n_groups = cases.agg(F.count_distinct("group_id").alias("n")).scalar()
     wide = (folds.join(validation, "val_group", "left").join(others, "fold", "left")
             .withColumns({
                 "n_train": F.col("n_train_neg") + F.col("n_train_pos"),
                 "n_val": F.col("n_val_neg") + F.col("n_val_pos"),
                 "n_test": F.col("n_test_neg") + F.col("n_test_pos"),
                 "n_excluded": F.col("n_excluded_neg") + F.col("n_excluded_pos"),
-                "n_train_groups": n_groups - 2,
                 "test_single_class": F.least("n_test_neg", "n_test_pos") == 0,
                 "excluded_units": F.when(F.col("n_excluded_units") == 0, "").otherwise(F.col("excluded_units")),
                 "validation_unit": F.col("val_group"), "fit_seed": F.col("seed")}))

@@ -67,21 +67,31 @@ def running_totals(df: DataFrame, order: Sequence[str], sums: Sequence[str],
     return out.drop(RANGE, *[f"_cum_{c}" for c in sums], *[f"_off_{c}" for c in sums])
 
 
-def positions(df: DataFrame, *order: str, name: str = "position", ranges: int | None = None) -> DataFrame:
-    """1-based position of every row in the global order; keeps the range column for follow-up windows.
+def numbered(df: DataFrame, *order: str, ranges: int | None = None) -> DataFrame:
+    """Staged rows with their range and their 1-based row number within it (``_row``).
 
     Rows are sorted inside their range, where ``monotonically_increasing_id`` numbers them: range in the high
-    bits, row in the low 33 bits. Only the sizes of the ranges are left to add up.
+    bits, row in the low 33 bits. No window is needed.
     """
     wanted = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    numbered = stage(df.repartitionByRange(wanted, *order).sortWithinPartitions(*order)
-                     .withColumn("_id", F.monotonically_increasing_id()))
-    local = numbered.withColumns({RANGE: F.shiftright("_id", 33).cast("int"),
-                                  "_row": F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1}).drop("_id")
-    sizes = local.groupBy(RANGE).agg(F.max("_row").alias("_n"))
-    offsets = sizes.select(RANGE, F.coalesce(F.sum("_n").over(_earlier(())), F.lit(0)).alias("_off"))
-    return (local.join(F.broadcast(offsets), RANGE)
-            .withColumn(name, F.col("_row") + F.col("_off")).drop("_row", "_off"))
+    rows = stage(df.repartitionByRange(wanted, *order).sortWithinPartitions(*order)
+                 .withColumn("_id", F.monotonically_increasing_id()))
+    return rows.withColumns({RANGE: F.shiftright("_id", 33).cast("int"),
+                             "_row": F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1}).drop("_id")
+
+
+def rows_before(n: str = "_n"):
+    """Rows of all earlier ranges, over a table with one row per range."""
+    return F.coalesce(F.sum(n).over(_earlier(())), F.lit(0))
+
+
+def positions(df: DataFrame, *order: str, name: str = "position", ranges: int | None = None) -> DataFrame:
+    """1-based position of every row in the global order: row number plus the sizes of earlier ranges."""
+    local = numbered(df, *order, ranges=ranges)
+    sizes = local.groupBy(RANGE).agg(F.max("_row").alias("_n")).select(RANGE, rows_before().alias("_off"))
+    # One row per range: bounded by the number of partitions.
+    return (local.join(F.broadcast(sizes), RANGE)
+            .withColumn(name, F.col("_row") + F.col("_off")).drop("_row", "_off", RANGE))
 
 
 def exact_percentiles(df: DataFrame, value: str, probabilities: dict[str, float],

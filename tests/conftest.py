@@ -12,6 +12,8 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 def spark():
     from foldloom.session import local_session
 
-    session = local_session(cores=8, shuffle_partitions=4, app="foldloom-tests")
+    # Tiny inputs: interpreting a plan is faster than compiling it. The SQL comparison runs compiled.
+    session = local_session(cores=4, shuffle_partitions=3, app="foldloom-tests", **{
+        "spark.sql.codegen.wholeStage": "false", "spark.sql.codegen.factoryMode": "NO_CODEGEN"})
     yield session
     session.stop()

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +9,8 @@ from pyspark.sql import functions as F
 LABEL_NAMES = {0: "nonseizure", 1: "seizure"}
 
 _BLANK = r"[\x1c-\x1f\p{IsWhite_Space}]"
+_BLANKS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200b)))
+           + "\u2028\u2029\u202f\u205f\u3000")
 
 
 def as_column(value: str | Column) -> Column:
@@ -76,9 +76,10 @@ def content_sha256(value: str | Column) -> Column:
 
 def normalized_content(value: str | Column) -> Column:
     """Text without the differences that do not count: line ends, trailing blanks, blank and ``#`` lines."""
-    lines = F.split(F.regexp_replace(as_column(value), "\r\n?", "\n"), "\n", -1)
-    kept = F.filter(lines, lambda x: ~x.rlike(f"^{_BLANK}*(#|$)"))
-    return F.array_join(F.transform(kept, lambda x: F.regexp_replace(x, f"{_BLANK}+$", "")), "\n")
+    text = F.replace(F.replace(as_column(value), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    lines = F.transform(F.split(text, "\n", -1), lambda x: F.rtrim(x, F.lit(_BLANKS)))
+    kept = F.filter(lines, lambda x: (x != "") & ~F.ltrim(x, F.lit(_BLANKS)).startswith("#"))
+    return F.array_join(kept, "\n")
 
 
 def normalized_content_sha256(value: str | Column) -> Column:
@@ -102,16 +103,3 @@ def task_sets(groups: str | Column) -> Column:
 
 def joined_list(items: str | Column, separator: str = ";") -> Column:
     return F.array_join(as_column(items), separator)
-
-
-def natural_list(items: Column) -> Column:
-    """Collects ids of one key in natural order. Callers bound the size of the key first."""
-    pairs = F.array_sort(F.collect_list(F.struct(natural_key(items).alias("k"), items.alias("v"))))
-    return F.transform(pairs, lambda p: p["v"])
-
-
-def any_of(conditions: Sequence[Column]) -> Column:
-    result = F.lit(False)
-    for condition in conditions:
-        result = result | condition
-    return result

@@ -43,8 +43,8 @@ def map_group(df: DataFrame, aliases: DataFrame, case: str = "case_id", group: s
     return joined.withColumn(group, F.coalesce("_owner", case)).drop("_alias", "_owner")
 
 
-def _ordered_groups(cases: DataFrame, min_per_class: int) -> tuple[DataFrame, DataFrame]:
-    """Groups in natural order, each with the next eligible group in cyclic order (``next``); and the totals.
+def _ordered_groups(cases: DataFrame, min_per_class: int) -> DataFrame:
+    """Groups in natural order, each with the next eligible group in cyclic order (``next``) and the totals.
 
     Inside a range a window finds the next eligible group. For the groups after a range's last eligible one, the
     summary with one row per range names the first eligible group of the ranges that follow.
@@ -54,21 +54,20 @@ def _ordered_groups(cases: DataFrame, min_per_class: int) -> tuple[DataFrame, Da
     # Bounded by the number of partitions, so its windows and its broadcast stay small at any scale.
     per_range = local.groupBy(RANGE).agg(
         F.max("_row").alias("_n"), F.min_by(candidate, F.when(F.col("eligible"), F.col("_row"))).alias("_first"),
-        F.count_if("eligible").alias("n_eligible"), F.sum("n_neg").alias("all_neg"), F.sum("n_pos").alias("all_pos"))
+        F.sum("n_neg").alias("all_neg"), F.sum("n_pos").alias("all_pos"))
     later = Window.orderBy(F.desc(RANGE)).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.orderBy(RANGE).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    summary = stage(per_range.select(
+    summary = per_range.select(
         RANGE, rows_before().alias("_off"),
         F.coalesce(F.last("_first", ignorenulls=True).over(later), F.first("_first", ignorenulls=True).over(whole)).alias("_later"),
         *[F.sum(c).over(whole).alias(a) for c, a in (
-            ("_n", "n_groups"), ("n_eligible", "n_eligible"), ("all_neg", "all_neg"), ("all_pos", "all_pos"))]))
+            ("_n", "n_groups"), ("all_neg", "all_neg"), ("all_pos", "all_pos"))])
     # Descending order turns "next" into "last seen", which a growing frame answers in one pass.
     after = Window.partitionBy(RANGE).orderBy(F.desc("_row")).rowsBetween(Window.unboundedPreceding, -1)
     inside = local.withColumn("_inside", F.last(candidate, ignorenulls=True).over(after))
-    groups = (inside.join(F.broadcast(summary), RANGE)
-              .withColumns({"position": F.col("_row") + F.col("_off"), "next": F.coalesce("_inside", "_later")})
-              .drop("_inside", "_later", "_key", "_row", "_off", RANGE))
-    return groups, summary
+    return (inside.join(F.broadcast(summary), RANGE)
+            .withColumns({"position": F.col("_row") + F.col("_off"), "next": F.coalesce("_inside", "_later")})
+            .drop("_inside", "_later", "_key", "_row", "_off", RANGE))
 
 
 def logo_folds(cases: DataFrame, unit: str = "group", min_per_class: int = 5, seed: int = 42) -> DataFrame:
@@ -80,10 +79,7 @@ def logo_folds(cases: DataFrame, unit: str = "group", min_per_class: int = 5, se
     """
     if unit not in UNIT_KINDS:
         raise FoldPlanError(f"unit must be one of {UNIT_KINDS}, got {unit!r}")
-    groups, totals = _ordered_groups(cases, min_per_class)
-    found = totals.select("n_eligible").first()
-    if found is None or found[0] < 2:
-        raise FoldPlanError(f"fewer than 2 groups have at least {max(1, int(min_per_class))} records of each class")
+    groups = _ordered_groups(cases, min_per_class)
     owner = groups.select(F.col("group_id").alias("test_group"), F.col("n_neg").alias("_group_neg"),
                           F.col("n_pos").alias("_group_pos"), "n_cases", "n_groups", "all_neg", "all_pos", "next", "position")
     if unit == "group":
@@ -98,7 +94,7 @@ def logo_folds(cases: DataFrame, unit: str = "group", min_per_class: int = 5, se
         units = (ranked.join(owner.drop("position"), "test_group")
                  .withColumn("n_excluded_units", F.col("n_cases") - 1))
     # One row per fold, read by everything that follows.
-    return stage(units.select(
+    folds = stage(units.select(
         F.col("position").alias("fold"), F.concat(F.lit("fold_"), "test_unit").alias("name"),
         F.lit(unit).alias("unit_kind"), "test_unit", "test_group", F.col("next.group_id").alias("val_group"),
         "n_excluded_units", (F.lit(int(seed)).cast("bigint") + F.col("position")).alias("seed"),
@@ -108,6 +104,11 @@ def logo_folds(cases: DataFrame, unit: str = "group", min_per_class: int = 5, se
         (F.col("all_neg") - F.col("_group_neg") - F.col("next.n_neg")).alias("n_train_neg"),
         (F.col("all_pos") - F.col("_group_pos") - F.col("next.n_pos")).alias("n_train_pos"),
         (F.col("n_groups") - 2).alias("n_train_groups")))
+    # Without an eligible group there is no next one; a single one would have to follow itself.
+    alone = F.col("val_group").isNull() | (F.col("val_group") == F.col("test_group"))
+    if folds.where(alone).limit(1).count():
+        raise FoldPlanError(f"fewer than 2 groups have at least {max(1, int(min_per_class))} records of each class")
+    return folds
 
 
 def excluded_units(folds: DataFrame, cases: DataFrame, limit: int = LIST_LIMIT) -> DataFrame:
@@ -117,6 +118,7 @@ def excluded_units(folds: DataFrame, cases: DataFrame, limit: int = LIST_LIMIT)
     """
     siblings = case_lists(cases, limit).withColumnRenamed("group_id", "test_group")
     return (folds.where("n_excluded_units > 0").join(siblings, "test_group")
+            .where(F.col("cases").isNotNull())
             .select("fold", F.array_remove("cases", F.col("test_unit")).alias("excluded_units")))
 
 

@@ -176,15 +176,13 @@ def plan_coverage(members: DataFrame, records: DataFrame) -> DataFrame:
 
 def completeness_violations(members: DataFrame, folds: DataFrame, records: DataFrame) -> DataFrame:
     """Rules of a complete plan: numbering, seeds, every unit and every record tested exactly once."""
+    shift = F.col("seed") - F.col("fold")
     whole = folds.agg(F.count(F.lit(1)).alias("k"), F.count_distinct("fold").alias("d"), F.min("fold").alias("lo"),
-                      F.max("fold").alias("hi"), F.min(F.col("seed") - F.col("fold")).alias("s0"),
-                      F.max(F.col("seed") - F.col("fold")).alias("s1"))
-    numbering = whole.where("lo <> 1 OR hi <> k OR d <> k").select(F.lit("fold_numbers").alias("rule"), F.col("k").alias("n"))
-    seeds = whole.where("s0 <> s1").select(F.lit("seeds").alias("rule"), F.col("k").alias("n"))
-    kinds = folds.agg(F.min("unit_kind").alias("a"), F.max("unit_kind").alias("b")).where("a <> b")
-    mixed = kinds.select(F.lit("mixed_units").alias("rule"), F.lit(1).cast("bigint").alias("n"))
-    empty = folds.agg(F.count(F.lit(1)).alias("k")).where("k = 0").select(F.lit("empty_plan").alias("rule"),
-                                                                         F.col("k").alias("n"))
+                      F.max("fold").alias("hi"), F.min(shift).alias("s0"), F.max(shift).alias("s1"),
+                      F.min("unit_kind").alias("u0"), F.max("unit_kind").alias("u1"))
+    broken = {"fold_numbers": "lo <> 1 OR hi <> k OR d <> k", "seeds": "s0 <> s1", "mixed_units": "u0 <> u1", "empty_plan": "k = 0"}
+    found = F.array_compact(F.array(*[F.when(F.expr(bad), F.lit(rule)) for rule, bad in broken.items()]))
+    head_rules = whole.select(F.explode(found).alias("rule"), F.col("k").alias("n"))
     kind = folds.agg(F.min("unit_kind")).scalar()
     units = records.select(F.when(kind == "case", F.col("case_id")).otherwise(F.col("group_id")).alias("test_unit")).distinct()
     planned = folds.groupBy("test_unit").agg(F.count(F.lit(1)).alias("times"))
@@ -194,9 +192,7 @@ def completeness_violations(members: DataFrame, folds: DataFrame, records: DataF
     record_rule = seen.where("coverage <> 'full'").select(
         F.lit("record_tested_once").alias("rule"),
         (F.col("n_records") - F.col("n_tested") + F.col("n_tested_again")).alias("n"))
-    result = numbering
-    for part in (seeds, mixed, empty, unit_rule, record_rule):
-        result = result.unionByName(part)
+    result = head_rules.unionByName(unit_rule).unionByName(record_rule)
     return result.select("rule", F.lit(None).cast("bigint").alias("fold"), F.col("n").cast("bigint").alias("n"))
 
 

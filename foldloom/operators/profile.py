@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foldloom.functions.text import natural_list
+from foldloom.functions.text import natural_key
 from foldloom.plans.ordering import exact_percentiles
 from foldloom.plans.stage import stage
 
 # Longest list put into one cell. Longer lists stay in their long form (``group_cases``), which is always whole.
-LIST_LIMIT = 1_000
+# Spark cuts a rank filter before the shuffle up to a rank of 1,000, so one more than the limit still qualifies.
+LIST_LIMIT = 999
 
 
 def _negatives() -> Column:
@@ -46,10 +47,16 @@ def group_cases(cases: DataFrame) -> DataFrame:
 
 
 def case_lists(cases: DataFrame, limit: int = LIST_LIMIT) -> DataFrame:
-    """(group_id, cases) in natural order, for the groups whose list fits into a cell."""
-    small = cases.groupBy("group_id").count().where(F.col("count") <= limit).select("group_id")
-    return (cases.join(small, "group_id", "left_semi").groupBy("group_id")
-            .agg(natural_list(F.col("case_id")).alias("cases")))
+    """(group_id, cases) in natural order; NULL for a group whose list does not fit into a cell.
+
+    Every partition keeps the first ``limit + 1`` cases of a group before the shuffle, so a group with any number of
+    cases reaches its task as a short list that tells whether it is whole.
+    """
+    keyed = cases.select("group_id", "case_id", natural_key("case_id").alias("_key"))
+    rank = F.row_number().over(Window.partitionBy("group_id").orderBy("_key", "case_id"))
+    first = keyed.withColumn("_r", rank).where(F.col("_r") <= limit + 1)
+    listed = first.groupBy("group_id").agg(F.array_sort(F.collect_list(F.struct("_r", "case_id"))).alias("_l"))
+    return listed.select("group_id", F.when(F.size("_l") <= limit, F.transform("_l", lambda x: x["case_id"])).alias("cases"))
 
 
 def group_table(cases: DataFrame, min_per_class: int = 5, limit: int = LIST_LIMIT) -> DataFrame:

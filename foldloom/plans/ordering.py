@@ -57,7 +57,8 @@ def running_totals(df: DataFrame, order: Sequence[str], sums: Sequence[str],
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     local = ranged.withColumns({f"_cum_{c}": F.sum(c).over(inside) for c in sums})
     per_range = ranged.groupBy(RANGE, *by).agg(*[F.sum(c).alias(f"_sum_{c}") for c in sums])
-    whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    whole = Window.partitionBy(*by) if by else (
+        Window.orderBy(RANGE).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     offsets = per_range.select(
         RANGE, *by,
         *[F.coalesce(F.sum(f"_sum_{c}").over(_earlier(by)), F.lit(0)).alias(f"_off_{c}") for c in sums],

@@ -11,6 +11,7 @@ from foldloom.functions import signal as sig
 from foldloom.operators import profile
 from foldloom.operators.folds import map_group
 from foldloom.plans.ordering import positions
+from foldloom.plans.stage import stage
 from foldloom.queries.views import (MIN_PER_CLASS, RECORDS, TEXTS, VECTORS, prefixed, records, rounded, sql, table, texts,
                                     vectors)
 
@@ -66,8 +67,9 @@ FROM documents"""
 
 def normalized_duplicates(spark, d):
     """Documents that are equal once formatting does not count, by the normalised digest."""
-    rows = table(spark, d, "documents").select(F.col("doc_id").alias("record_id"),
-                                               tx.normalized_content_sha256("text").alias("payload_hash"))
+    # Two narrow columns are kept, so that the texts are read and normalised once.
+    rows = stage(table(spark, d, "documents").select(F.col("doc_id").alias("record_id"),
+                                                     tx.normalized_content_sha256("text").alias("payload_hash")))
     return profile.duplicate_payloads(rows, "payload_hash")
 
 

@@ -60,8 +60,8 @@ def stride_probe(signal: str | Column, step: int = 8) -> Column:
 
 
 def to_channel_major(rows: str | Column, channels: int) -> Column:
-    """``[time][channel]`` to ``[channel][time]``."""
+    """``[time][channel]`` to ``[channel][time]``; a value that a short row lacks becomes NULL."""
     def channel(c: int) -> Column:
-        return F.transform(as_column(rows), lambda row: row[c])
+        return F.transform(as_column(rows), lambda row: F.get(row, F.lit(c)))
 
     return F.array(*[channel(c) for c in range(channels)])

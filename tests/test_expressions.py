@@ -70,6 +70,7 @@ def test_signal_expressions(spark):
 def test_shape_and_transpose(spark):
     df = spark.createDataFrame([([[1.0, 2.0, 3.0], [4.0, 5.0, 6.0]],), ([[1.0], [2.0, 3.0]],)], "s array<array<float>>")
     assert [r[0] for r in df.select(sig.has_shape("s", 2, 3)).collect()] == [True, False]
+    assert df.select(sig.to_channel_major("s", 2)).collect()[1][0] == [[1.0, 2.0], [None, 3.0]]
     first = df.limit(1).select(sig.to_channel_major("s", 3).alias("t"), sig.scale_channels("s", 2).alias("k")).first()
     assert first["t"] == [[1.0, 4.0], [2.0, 5.0], [3.0, 6.0]] and first["k"][1] == [8.0, 10.0, 12.0]
 

@@ -17,13 +17,17 @@ from foldloom.plans.stage import stage
 RANGE = "_range"
 
 
+def _by_range(df: DataFrame, order: Sequence[str], ranges: int | None) -> DataFrame:
+    """Without a number of ranges, adaptive execution merges neighbouring small ones, so their count follows the size."""
+    return df.repartitionByRange(ranges, *order) if ranges else df.repartitionByRange(*order)
+
+
 def in_ranges(df: DataFrame, *order: str, ranges: int | None = None) -> DataFrame:
     """``df`` with its range number, staged so that the number is fixed for every later use.
 
     Callers pass rows that are unique in ``order``; a key with many copies would not split.
     """
-    wanted = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return stage(df.repartitionByRange(wanted, *order).withColumn(RANGE, F.spark_partition_id()))
+    return stage(_by_range(df, order, ranges).withColumn(RANGE, F.spark_partition_id()))
 
 
 def _earlier(by: Sequence[str]):
@@ -74,8 +78,7 @@ def numbered(df: DataFrame, *order: str, ranges: int | None = None) -> DataFrame
     Rows are sorted inside their range, where ``monotonically_increasing_id`` numbers them: range in the high
     bits, row in the low 33 bits. No window is needed.
     """
-    wanted = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = stage(df.repartitionByRange(wanted, *order).sortWithinPartitions(*order)
+    rows = stage(_by_range(df, order, ranges).sortWithinPartitions(*order)
                  .withColumn("_id", F.monotonically_increasing_id()))
     return rows.withColumns({RANGE: F.shiftright("_id", 33).cast("int"),
                              "_row": F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1}).drop("_id")

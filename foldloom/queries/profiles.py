@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import functions as F
 
 from foldloom.functions import scores, text as tx
@@ -39,7 +37,7 @@ def record_paths(spark, d):
     rows = table(spark, d, "events").select("event_id", path.alias("path"), index.alias("index"),
                                             prefixed("u", F.col("user_id")).alias("case_id"))
     return rows.select("event_id", tx.path_class("path").alias("path_class"), tx.path_case("path").alias("path_case"),
-                       (tx.path_case("path") == F.col("case_id")).alias("case_agrees"),
+                       F.coalesce(tx.path_case("path") == F.col("case_id"), F.lit(False)).alias("case_agrees"),
                        F.coalesce(tx.coerce_index("index"), F.lit(-1)).alias("segment_index"))
 
 
@@ -47,7 +45,7 @@ RECORD_PATHS_SQL = """
 SELECT event_id,
   CASE WHEN event_type = 'view' THEN NULL WHEN event_type = 'error' THEN 'seizure' ELSE 'nonseizure' END AS path_class,
   CASE WHEN event_type <> 'view' THEN (CASE WHEN user_id % 7 = 0 THEN 'x' ELSE 'u' END) || user_id END AS path_case,
-  CASE WHEN event_type <> 'view' THEN user_id % 7 <> 0 END AS case_agrees,
+  event_type <> 'view' AND user_id % 7 <> 0 AS case_agrees,
   CASE WHEN event_id % 3 = 0 THEN -1 ELSE event_id END AS segment_index
 FROM events"""
 

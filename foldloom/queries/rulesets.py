@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from foldloom.functions import text as tx
 from foldloom.operators import profile, rules
-from foldloom.queries.views import VECTORS, prefixed, rounded, sql, table, vectors
+from foldloom.queries.views import VECTORS, prefixed, sql, table, vectors
 
 
 def _faulty(spark, d):

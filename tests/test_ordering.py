@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from foldloom.plans.ordering import exact_percentiles, hash_positions, positions, running_totals
+from foldloom.plans.ordering import RANGE, exact_percentiles, hash_positions, in_ranges, positions, running_totals
 
 
 def test_running_totals_with_a_hot_key(spark):
@@ -52,3 +52,18 @@ def test_hash_positions_number_every_stratum(spark):
     other = {r["id"]: r["position"] for r in hash_positions(df, "id", ["s"], F.lit(43)).collect()}
     assert a == b and {k: v[0] for k, v in a.items()} != other
     assert sorted(a[i][0] for i in range(400)) == list(range(1, 401)) and a[450][1] == 100
+
+
+def test_a_hot_key_is_cut_by_range_and_hash(spark):
+    """No range and no slot holds more than a small part of a key with almost all rows."""
+    df = spark.range(3000).select(F.when(F.col("id") % 30 == 0, "cold").otherwise("hot").alias("k"), F.col("id").alias("v"))
+    sizes = [r["count"] for r in in_ranges(df, "k", "v", ranges=8).where("k = 'hot'").groupBy(RANGE).count().collect()]
+    assert len(sizes) >= 7 and max(sizes) < 1000
+
+
+def test_ranges_follow_the_size(spark):
+    """Few rows end up in one range, and totals stay right either way."""
+    df = spark.range(40).select(F.col("id").alias("v"), F.lit(1).cast("bigint").alias("a"))
+    assert in_ranges(df, "v").select(RANGE).distinct().count() <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert all(r["before_a"] == r["v"] for r in running_totals(df, ["v"], ["a"]).collect())
+    assert all(r["position"] == r["v"] + 1 for r in positions(df, "v").collect())

@@ -59,7 +59,7 @@ m AS (
   FROM m0)"""
 
 COUNTS = "n, n_pos, n_neg, single_class, tp, tn, fp, fn"
-ROUNDED = ", ".join(f"round({x}, 6) AS {x}" for x in me.FOLD_METRICS)
+ROUNDED = ", ".join(f"round({x}, 9) AS {x}" for x in me.FOLD_METRICS)
 
 
 def confusion_per_group(spark, d):
@@ -112,10 +112,10 @@ def _summary_sql(source: str) -> str:
         f"SELECT unit, n, single_class, '{x}' AS metric, {x} AS v FROM m" for x in me.FOLD_METRICS)
     return sql(source, SCORED, f"l AS ({parts})", """sc AS (
   SELECT 'all_folds' AS scope, * FROM l UNION ALL SELECT 'both_class_folds', * FROM l WHERE NOT single_class)""", body="""
-SELECT scope, metric, count(*) AS n_folds, count(v) AS n_defined, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS sd,
-  round(quantile_cont(v, 0.5), 6) AS median, round(quantile_cont(v, 0.25), 6) AS q1, round(quantile_cont(v, 0.75), 6) AS q3,
-  round(quantile_cont(v, 0.75) - quantile_cont(v, 0.25), 6) AS iqr,
-  round(sum(v * n) / sum(CASE WHEN v IS NOT NULL THEN n END), 6) AS weighted_mean
+SELECT scope, metric, count(*) AS n_folds, count(v) AS n_defined, round(avg(v), 9) AS mean, round(stddev_samp(v), 9) AS sd,
+  round(quantile_cont(v, 0.5), 9) AS median, round(quantile_cont(v, 0.25), 9) AS q1, round(quantile_cont(v, 0.75), 9) AS q3,
+  round(quantile_cont(v, 0.75) - quantile_cont(v, 0.25), 9) AS iqr,
+  round(sum(v * n) / sum(CASE WHEN v IS NOT NULL THEN n END), 9) AS weighted_mean
 FROM sc GROUP BY scope, metric""")
 
 
@@ -148,9 +148,9 @@ def evaluation_report(spark, d):
 EVALUATION_SQL = sql(EVENTS.replace("p AS (", "p AS (SELECT 'all' AS unit, label AS target, prob FROM records UNION ALL "),
                      SCORED, "l AS (" + " UNION ALL ".join(
                          f"SELECT unit, single_class, '{x}' AS metric, {x} AS v FROM m" for x in me.FOLD_METRICS) + ")", body="""
-SELECT CASE WHEN unit = 'all' THEN 'pooled' ELSE 'fold_metrics' END AS part, unit AS key, metric, round(v, 6) AS value FROM l
-UNION ALL SELECT 'fold_summary_all', 'mean', metric, round(avg(v), 6) FROM l WHERE unit <> 'all' GROUP BY metric
-UNION ALL SELECT 'fold_summary_both_classes', 'mean', metric, round(avg(v), 6) FROM l WHERE unit <> 'all' AND NOT single_class GROUP BY metric""")
+SELECT CASE WHEN unit = 'all' THEN 'pooled' ELSE 'fold_metrics' END AS part, unit AS key, metric, round(v, 9) AS value FROM l
+UNION ALL SELECT 'fold_summary_all', 'mean', metric, round(avg(v), 9) FROM l WHERE unit <> 'all' GROUP BY metric
+UNION ALL SELECT 'fold_summary_both_classes', 'mean', metric, round(avg(v), 9) FROM l WHERE unit <> 'all' AND NOT single_class GROUP BY metric""")
 
 
 def curve_points(spark, d):
@@ -160,11 +160,11 @@ def curve_points(spark, d):
 
 CURVE_SQL = sql(NATIONS, """s AS (
   SELECT unit, prob, count(*) FILTER (target = 1) AS np, count(*) FILTER (target = 0) AS nn FROM p GROUP BY unit, prob)""", body="""
-SELECT unit, round(prob, 6) AS threshold, (SELECT sum(np) FROM s b WHERE b.unit = a.unit AND b.prob >= a.prob)::BIGINT AS tp,
+SELECT unit, round(prob, 9) AS threshold, (SELECT sum(np) FROM s b WHERE b.unit = a.unit AND b.prob >= a.prob)::BIGINT AS tp,
   (SELECT sum(nn) FROM s b WHERE b.unit = a.unit AND b.prob >= a.prob)::BIGINT AS fp,
-  round((SELECT sum(np) FROM s b WHERE b.unit = a.unit AND b.prob >= a.prob) / (SELECT sum(np) FROM s b WHERE b.unit = a.unit), 6) AS tpr,
-  round((SELECT sum(nn) FROM s b WHERE b.unit = a.unit AND b.prob >= a.prob) / (SELECT sum(nn) FROM s b WHERE b.unit = a.unit), 6) AS fpr,
-  round((SELECT sum(np) / sum(np + nn) FROM s b WHERE b.unit = a.unit AND b.prob >= a.prob), 6) AS precision
+  round((SELECT sum(np) FROM s b WHERE b.unit = a.unit AND b.prob >= a.prob) / (SELECT sum(np) FROM s b WHERE b.unit = a.unit), 9) AS tpr,
+  round((SELECT sum(nn) FROM s b WHERE b.unit = a.unit AND b.prob >= a.prob) / (SELECT sum(nn) FROM s b WHERE b.unit = a.unit), 9) AS fpr,
+  round((SELECT sum(np) / sum(np + nn) FROM s b WHERE b.unit = a.unit AND b.prob >= a.prob), 9) AS precision
 FROM s a""")
 
 
@@ -209,13 +209,13 @@ def multiclass_metrics(spark, d):
 MULTICLASS_SQL = sql(VECTORS, CLASS_SQL, """t AS (
   SELECT max(n_total)::DOUBLE AS n, sum(hits)::DOUBLE AS c, sum(support::DOUBLE * predicted) AS tp, sum(support::DOUBLE * support) AS tt,
          sum(predicted::DOUBLE * predicted) AS pp FROM cl)""", body="""
-SELECT max(n_total) AS n, count(*) FILTER (support > 0) AS n_classes, round((SELECT c / n FROM t), 6) AS accuracy,
-  round(avg(sensitivity) FILTER (support > 0), 6) AS balanced_accuracy, round(avg(precision), 6) AS macro_precision,
-  round(avg(sensitivity), 6) AS macro_recall, round(avg(f1), 6) AS macro_f1,
-  round(sum(f1 * support) / max(n_total), 6) AS weighted_f1,
-  round((SELECT (c / n - tp / (n * n)) / (1 - tp / (n * n)) FROM t), 6) AS kappa,
-  round((SELECT (c * n - tp) / sqrt((n * n - pp) * (n * n - tt)) FROM t), 6) AS mcc,
-  round(avg(specificity), 6) AS macro_specificity FROM cl""")
+SELECT max(n_total) AS n, count(*) FILTER (support > 0) AS n_classes, round((SELECT c / n FROM t), 9) AS accuracy,
+  round(avg(sensitivity) FILTER (support > 0), 9) AS balanced_accuracy, round(avg(precision), 9) AS macro_precision,
+  round(avg(sensitivity), 9) AS macro_recall, round(avg(f1), 9) AS macro_f1,
+  round(sum(f1 * support) / max(n_total), 9) AS weighted_f1,
+  round((SELECT (c / n - tp / (n * n)) / (1 - tp / (n * n)) FROM t), 9) AS kappa,
+  round((SELECT (c * n - tp) / sqrt((n * n - pp) * (n * n - tt)) FROM t), 9) AS mcc,
+  round(avg(specificity), 9) AS macro_specificity FROM cl""")
 
 
 def one_vs_rest_auc(spark, d):
@@ -296,19 +296,19 @@ UNION ALL SELECT 'prediction_score', count(*) FROM events WHERE value >= 50 HAVI
     "confusion_matrix": (confusion_matrix, sql(VECTORS, body="SELECT truth, " + ", ".join(
         f"count(*) FILTER (pred = {c}) AS pred_{c}" for c in CLASSES) + " FROM vectors GROUP BY truth")),
     "class_metrics": (class_metrics, sql(VECTORS, CLASS_SQL, body="""
-SELECT klass, support, predicted, hits, n_total, round(sensitivity, 6) AS sensitivity, round(specificity, 6) AS specificity,
-  round(precision, 6) AS precision, round(f1, 6) AS f1 FROM cl""")),
+SELECT klass, support, predicted, hits, n_total, round(sensitivity, 9) AS sensitivity, round(specificity, 9) AS specificity,
+  round(precision, 9) AS precision, round(f1, 9) AS f1 FROM cl""")),
     "multiclass_metrics": (multiclass_metrics, MULTICLASS_SQL),
     "one_vs_rest_auc": (one_vs_rest_auc, sql(VECTORS, OVR, body="""
-SELECT auc.klass, count(*) FILTER (target = 1) AS n_pos, count(*) FILTER (target = 0) AS n_neg, round(any_value(roc_auc), 6) AS roc_auc
+SELECT auc.klass, count(*) FILTER (target = 1) AS n_pos, count(*) FILTER (target = 0) AS n_neg, round(any_value(roc_auc), 9) AS roc_auc
 FROM auc JOIN o ON auc.klass = o.klass GROUP BY auc.klass""")),
-    "macro_auc": (macro_auc, sql(VECTORS, OVR, body="SELECT count(*) AS n_defined, round(avg(roc_auc), 6) AS macro_auc FROM auc")),
+    "macro_auc": (macro_auc, sql(VECTORS, OVR, body="SELECT count(*) AS n_defined, round(avg(roc_auc), 9) AS macro_auc FROM auc")),
     "cv_summary": (cv_summary, sql(SCORES, body="""
-SELECT task, n_classes, n_fits, round(cv_mean, 6) AS cv_mean, round(cv_sd, 6) AS cv_sd, round(holdout_score, 6) AS holdout_score FROM cv""")),
+SELECT task, n_classes, n_fits, round(cv_mean, 9) AS cv_mean, round(cv_sd, 9) AS cv_sd, round(holdout_score, 9) AS holdout_score FROM cv""")),
     "cv_range": (cv_range, sql(SCORES, body="""
-SELECT n_classes, count(*) AS n_tasks, round(min(cv_mean), 6) AS lowest, round(max(cv_mean), 6) AS highest FROM cv GROUP BY n_classes""")),
+SELECT n_classes, count(*) AS n_tasks, round(min(cv_mean), 9) AS lowest, round(max(cv_mean), 9) AS highest FROM cv GROUP BY n_classes""")),
     "best_epoch": (best_epoch, sql(BEST, body="SELECT * FROM best")),
     "early_share": (early_share, sql(BEST, body="""
 SELECT count(*) AS n_fits, count(*) FILTER (best_epoch <= 2000) AS n_early,
-  round(count(*) FILTER (best_epoch <= 2000) / count(*), 6) AS early_share FROM best""")),
+  round(count(*) FILTER (best_epoch <= 2000) / count(*), 9) AS early_share FROM best""")),
 }

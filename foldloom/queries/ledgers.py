@@ -66,8 +66,8 @@ o AS (
   SELECT queue, count(*) AS n_outputs, count(*) FILTER (finished_at > t - 3600) AS n_recent, greatest((max(t) - min(finished_at)) / 3600, 0.001) AS hours
   FROM outputs, (SELECT max(finished_at) AS t FROM outputs) GROUP BY queue),
 r AS (SELECT j.*, n_outputs, n_recent, hours, n_recent / least(1, hours) AS rate FROM j JOIN o USING (queue))""", body="""
-SELECT * EXCLUDE (hours, rate), round(100 * n_outputs / n_expected, 6) AS percent, round(rate, 6) AS recent_rate,
-  round(n_outputs / hours, 6) AS overall_rate, round(CASE WHEN rate > 0 THEN (n_expected - n_outputs) / rate END, 6) AS hours_left FROM r""")
+SELECT * EXCLUDE (hours, rate), round(100 * n_outputs / n_expected, 9) AS percent, round(rate, 9) AS recent_rate,
+  round(n_outputs / hours, 9) AS overall_rate, round(CASE WHEN rate > 0 THEN (n_expected - n_outputs) / rate END, 9) AS hours_left FROM r""")
 
 
 def completeness(spark, d):

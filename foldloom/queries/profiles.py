@@ -95,10 +95,10 @@ def signal_flags(spark, d):
 SIGNAL_FLAGS_SQL = sql(VECTORS, body="""
 SELECT record_id, list_bool_and(list_transform(signal, lambda x: isfinite(x))) AS finite, len(signal) = 64 AS length_ok,
   true AS shape_ok, false AS other_shape_ok,
-  round(CAST(list_max(list_transform(signal, lambda x: CAST(x * CAST(1e6 AS FLOAT) AS FLOAT))) AS DOUBLE), 6) AS scaled_max,
+  round(CAST(list_max(list_transform(signal, lambda x: CAST(x * CAST(1e6 AS FLOAT) AS FLOAT))) AS DOUBLE), 9) AS scaled_max,
   CAST(8 AS BIGINT) AS n_probe,
-  round(list_sum(list_transform(range(0, 64, 8), lambda i: CAST(signal[i + 1] AS DOUBLE))), 6) AS probe_sum,
-  round(CAST(signal[3 * 8 + 2 + 1] AS DOUBLE), 6) AS channel_2_time_3
+  round(list_sum(list_transform(range(0, 64, 8), lambda i: CAST(signal[i + 1] AS DOUBLE))), 9) AS probe_sum,
+  round(CAST(signal[3 * 8 + 2 + 1] AS DOUBLE), 9) AS channel_2_time_3
 FROM vectors""")
 
 
@@ -119,7 +119,7 @@ def json_safe_values(spark, d):
 JSON_SAFE_SQL = """
 SELECT event_type, count(*) AS n, count(*) FILTER (value >= 50) AS n_root,
   count(*) FILTER (value < 17.976931348623157) AS n_huge,
-  round(avg(CASE WHEN value >= 50 THEN sqrt(value - 50) END), 6) AS mean_root
+  round(avg(CASE WHEN value >= 50 THEN sqrt(value - 50) END), 9) AS mean_root
 FROM events GROUP BY event_type"""
 
 
@@ -171,7 +171,7 @@ def amplitude_overall(spark, d):
 
 
 AMPLITUDE_SQL = """
-SELECT {key} round(quantile_cont(a, 0.5), 6) AS median_abs, round(quantile_cont(a, 0.99), 6) AS p99_abs, round(max(a), 6) AS max_abs
+SELECT {key} round(quantile_cont(a, 0.5), 9) AS median_abs, round(quantile_cont(a, 0.99), 9) AS p99_abs, round(max(a), 9) AS max_abs
 FROM (SELECT set_id, CAST(abs(unnest(signal)) AS DOUBLE) AS a FROM vectors) {group}"""
 
 

@@ -79,7 +79,7 @@ VECTORS = """vectors AS (
   FROM embeddings)"""
 
 
-def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
+def rounded(df: DataFrame, *columns: str, digits: int = 9) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldloom.llm import bpe, decontamination, language_id, line_dedup, simhash_dedup
+from foldloom.llm import bpe, decontamination, language_id, license_scan, line_dedup, simhash_dedup, url_reputation
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -25,6 +25,81 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op3_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page by rule or reputation. A page shows the document that its path ends with; that document's labels are its outcome."""
+    pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
+    number = F.regexp_extract(url_reputation.url_path(F.col("url")), "^/[a-z]+/([0-9]{1,18})", 1).try_cast("long")
+    judged = labels.groupBy("doc_id").agg(F.max((F.col("toxic") == 1) | (F.col("quality") == 0)).alias("bad"))
+    outcomes = pages.select("page_id", number.alias("doc_id")).join(judged, "doc_id").select("page_id", "bad")
+    return url_reputation.filter_urls(pages, outcomes)
+
+
+def _strength_sql(counts: str) -> str:
+    rate = "(k / n)"
+    excess = f"((spread - k * k / n) / ({rate} * (1 - {rate})) - (g - 1))"
+    room = "(n - square / n - (g - 1))"
+    return f"""(SELECT CASE WHEN g < 2 OR k = 0 OR k = n OR n * n <= square OR {room} <= 0 OR {excess} / {room} <= 0 THEN 1000.0
+                     ELSE least(1000.0, greatest(1.0, 1 / ({excess} / {room}) - 1)) END AS a
+               FROM (SELECT coalesce(sum(n), 0)::DOUBLE AS n, coalesce(sum(k), 0)::DOUBLE AS k, count(*) AS g, coalesce(sum(n * n), 0)::DOUBLE AS square,
+                            coalesce(sum((k * k * 1000000) // n), 0)::DOUBLE / 1e6 AS spread FROM {counts} WHERE n > 0))"""
+
+
+_RULES_SQL = " ".join(
+    f"WHEN (host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{path}') THEN '{verdict} {host}{path}'"
+    for verdict, host, path in (("block", "example.org", "/en/1"), ("block", "example.org", "/es/"), ("allow", "com", "/fr/"),
+                                ("block", "com", "/de/"), ("allow", "org", "/")))
+
+OP3_SQL = rf"""
+WITH judged AS (SELECT doc_id, max(CASE WHEN toxic = 1 OR quality = 0 THEN 1 WHEN toxic IS NULL OR quality IS NULL THEN NULL ELSE 0 END) AS bad
+                FROM labels GROUP BY doc_id),
+p AS (SELECT page_id, {LOWER_SQL.format("regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1)")} AS host,
+             regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
+known AS (SELECT page_id, max(bad) AS bad FROM p JOIN judged ON doc_id = try_cast(regexp_extract(path, '^/[a-z]+/([0-9]{{1,18}})', 1) AS BIGINT)
+          WHERE bad IS NOT NULL GROUP BY page_id),
+hosts AS (SELECT host, count(bad)::BIGINT AS n, count(CASE WHEN bad = 1 THEN 1 END)::BIGINT AS k, string_split(host, '.')[-1] AS suffix,
+                 CASE WHEN contains(host, '.') THEN string_split(host, '.')[-2] || '.' || string_split(host, '.')[-1] ELSE host END AS domain
+          FROM p LEFT JOIN known USING (page_id) GROUP BY host),
+domains AS (SELECT domain, suffix, sum(n)::BIGINT AS n, sum(k)::BIGINT AS k FROM hosts GROUP BY ALL),
+suffixes AS (SELECT suffix, sum(n)::BIGINT AS n, sum(k)::BIGINT AS k FROM domains GROUP BY ALL),
+a AS (SELECT h.a AS ah, d.a AS ad, s.a AS s_a FROM {_strength_sql('hosts')} h, {_strength_sql('domains')} d, {_strength_sql('suffixes')} s),
+top AS (SELECT (coalesce(sum(k), 0) + 1)::DOUBLE / (coalesce(sum(n), 0) + 2) AS rate FROM suffixes),
+srate AS (SELECT suffix, (k + s_a * rate) / (n + s_a) AS rate FROM suffixes, a, top),
+drate AS (SELECT domain, d.suffix, (k + ad * s.rate) / (n + ad) AS rate FROM a, domains d JOIN srate s ON s.suffix = d.suffix),
+hrate AS (SELECT host, n, (k + ah * d.rate) / (n + ah) AS rate, ah FROM a, hosts h JOIN drate d ON d.domain = h.domain AND d.suffix = h.suffix),
+bounds AS (SELECT host, round(rate, 6) AS rate, round(rate - 1.645 * sqrt(rate * (1 - rate) / (n + ah + 1)), 6) AS bound FROM hrate),
+ruled AS (SELECT page_id, host, path, CASE {_RULES_SQL} END AS found FROM p)
+SELECT page_id, host, path, string_split(found, ' ')[2] AS rule,
+       coalesce(string_split(found, ' ')[1], CASE WHEN bound >= 0.5 THEN 'block' ELSE 'allow' END) AS verdict, rate, bound
+FROM ruled JOIN bounds USING (host)"""
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+_PHRASE_SQL = " UNION ALL ".join(
+    f"SELECT row_id, i - 1 AS i, '{label}' AS label FROM (SELECT row_id, w, unnest(range(1, len(w) + 1)) AS i FROM words) "
+    f"WHERE w[i:i + {len(phrase.split()) - 1}] = {phrase.split()}" for phrase, label in license_scan.PHRASES.items())
+_TEMPLATE_SQL = ", ".join(f"('{label}', {words})" for label, words in license_scan.template_words(license_scan.TEMPLATES))
+
+OP4_SQL = rf"""
+WITH docs AS (SELECT doc_id, row_number() OVER () AS row_id, {LOWER_SQL.format("coalesce(text, '')")} AS low FROM documents),
+words AS (SELECT doc_id, row_id, regexp_extract_all(low, '{WORD}') AS w FROM docs),
+places AS ({_PHRASE_SQL}),
+base AS (SELECT row_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels
+         FROM places GROUP BY row_id),
+blocks AS (SELECT row_id, list_distinct(regexp_extract_all(unnest(string_split(low, chr(10))), '{WORD}')) AS b FROM docs),
+met AS (SELECT row_id, label, len(list_intersect(b, t)) / len(t) AS share FROM blocks, (VALUES {_TEMPLATE_SQL}) v(label, t)
+        WHERE len(list_intersect(b, t)) >= ceil(round(0.8 * len(t), 9))),
+labels AS (SELECT row_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
+           FROM (SELECT row_id, label FROM met UNION ALL SELECT row_id, label FROM places) GROUP BY row_id),
+best AS (SELECT row_id, max(share) AS share FROM met GROUP BY row_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+       CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0)::DOUBLE END AS score
+FROM words LEFT JOIN base USING (row_id) LEFT JOIN labels USING (row_id) LEFT JOIN best USING (row_id)"""
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = decontamination.item_words(table(spark, sf_dir, "benchmark"))
     found = decontamination.decontaminate(table(spark, sf_dir, "documents"), items, keep=["doc_id"])
@@ -91,6 +166,8 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_byte_bpe": (op1_byte_bpe, None),
+    "op3_url_reputation": (op3_url_reputation, OP3_SQL),
+    "op4_license_scan": (op4_license_scan, OP4_SQL),
     "op6_benchmark_decontamination": (op6_benchmark_decontamination, OP6_SQL),
     "op7_language_id": (op7_language_id, None),
     "op8_line_dedup": (op8_line_dedup, OP8_SQL),

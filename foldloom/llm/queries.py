@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldloom.llm import bpe, decontamination, language_id, license_scan, line_dedup, simhash_dedup, url_reputation
+from foldloom.llm import bpe, decontamination, embedding_dedup, language_id, license_scan, line_dedup, simhash_dedup, url_reputation
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -100,6 +100,23 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base,
 FROM words LEFT JOIN base USING (row_id) LEFT JOIN labels USING (row_id) LEFT JOIN best USING (row_id)"""
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+OP5_SQL = """
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+good AS (SELECT * FROM v WHERE e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0
+         AND len(list_filter(e, x -> x <> 0)) > 0),
+links AS (SELECT a.r AS a, b.r AS b FROM good a JOIN good b ON a.r <> b.r AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9),
+reach AS (SELECT r AS a, r AS b FROM good UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+ids AS (SELECT reach.a, min(v.vec_id) AS component_id FROM reach JOIN v ON v.r = reach.b GROUP BY reach.a),
+n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, CASE WHEN ids.a IS NULL THEN vec_id ELSE component_id END AS component_id,
+       vec_id = CASE WHEN ids.a IS NULL THEN vec_id ELSE component_id END AS kept
+FROM v LEFT JOIN ids ON ids.a = v.r LEFT JOIN n ON n.a = v.r"""
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = decontamination.item_words(table(spark, sf_dir, "benchmark"))
     found = decontamination.decontaminate(table(spark, sf_dir, "documents"), items, keep=["doc_id"])
@@ -168,6 +185,7 @@ QUERIES = {
     "op1_byte_bpe": (op1_byte_bpe, None),
     "op3_url_reputation": (op3_url_reputation, OP3_SQL),
     "op4_license_scan": (op4_license_scan, OP4_SQL),
+    "op5_embedding_dedup": (op5_embedding_dedup, OP5_SQL),
     "op6_benchmark_decontamination": (op6_benchmark_decontamination, OP6_SQL),
     "op7_language_id": (op7_language_id, None),
     "op8_line_dedup": (op8_line_dedup, OP8_SQL),

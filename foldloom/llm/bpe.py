@@ -17,6 +17,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -25,8 +26,8 @@ from foldloom.llm.batches import extended, raw_texts, with_columns
 
 # A space beside other white space. Elsewhere each single space starts a new word, whatever stands around it.
 LOOSE_SPACE = re.compile(r" \s|\s ")
-# Bound of the word memory of one Python worker; beyond it the memory starts anew.
-MEMORY_WORDS = 400_000
+# Bound of the word memory of one Python worker, beyond which it starts anew; words merged at once.
+MEMORY_WORDS, REPLAY_WORDS = 200_000, 100_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -39,19 +40,19 @@ class Replay:
     """The merges of one vocabulary. A pair's rank is the rank of its joined bytes, however the bytes are divided."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int64)
+        self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         self.bits = max(ranks.values()).bit_length() + 1
         self.end = 1 << (self.bits - 1)  # stands between words and pairs with nothing
         self.merged = {ranks[t[:i]] << self.bits | ranks[t[i:]]: rank for t, rank in ranks.items()
                        for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
         self.pairs = np.array(sorted(self.merged), dtype=np.int64)
-        self.ranks = np.array([self.merged[p] for p in self.pairs.tolist()], dtype=np.int64)
+        self.ranks = np.array([self.merged[p] for p in self.pairs.tolist()], dtype=np.int32)
 
     def rank_of(self, left: np.ndarray | int, right: np.ndarray | int) -> np.ndarray:
         """Rank of each pair, -1 for pairs that never merge."""
-        pair = np.left_shift(left, self.bits) | right
+        pair = np.left_shift(left, self.bits, dtype=np.int64) | right
         place = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
-        return np.where(self.pairs[place] == pair, self.ranks[place], -1)
+        return np.where(self.pairs[place] == pair, self.ranks[place], np.int32(-1))
 
     def __call__(self, words: list[bytes]) -> list[bytes]:
         """Packed ids of every word: merges in rank order, equal ranks from left to right, within each word."""
@@ -62,8 +63,8 @@ class Replay:
         text = np.frombuffer(b"\0" + b"\0".join(words) + b"\0", dtype=np.uint8)
         token = self.byte_ids[text]
         token[0] = token[starts + sizes] = self.end
-        after, before = np.arange(1, len(token) + 1), np.arange(-1, len(token) - 1)
-        pair = np.append(self.rank_of(token[:-1], token[1:]), -1)  # rank of the pair that begins at each position
+        after, before = np.arange(1, len(token) + 1, dtype=np.int32), np.arange(-1, len(token) - 1, dtype=np.int32)
+        pair = np.append(self.rank_of(token[:-1], token[1:]), np.int32(-1))  # rank of the pair that begins at each position
         alive = token != self.end
         index: dict[int, list[np.ndarray]] = {}
         heap: list[int] = []
@@ -79,7 +80,7 @@ class Replay:
                     heapq.heappush(heap, rank)
                 index[rank].append(places[a:b])
 
-        first = np.flatnonzero(pair >= 0)
+        first = np.flatnonzero(pair >= 0).astype(np.int32)
         if len(first):
             enter(first, pair[first])
         odd: list[np.ndarray] = []
@@ -167,7 +168,10 @@ class Encoder:
         opening = {"  " + word for first, _ in cut for word in first} - self.known.keys()
         split = {piece: self.pattern.findall(" " + piece) for piece in spaced} | {piece: [piece[2:]] for piece in opening}
         words = list({word for parts in split.values() for word in parts})
-        packed = dict(zip(words, self.replay([word.encode() for word in words])))
+        packed: dict[str, bytes] = {}
+        for at in range(0, len(words), REPLAY_WORDS):
+            part = words[at:at + REPLAY_WORDS]
+            packed.update(zip(part, self.replay([word.encode() for word in part])))
         self.known.update((piece, b"".join(map(packed.__getitem__, parts))) for piece, parts in split.items())
         known = self.known.__getitem__
         return [b"".join(known("  " + word) for word in first) + b"".join(map(known, rest)) for first, rest in cut]
@@ -187,12 +191,12 @@ def _token_bytes(path: str) -> list[bytes]:
     return table
 
 
-def blocks(batches: Iterator[pa.RecordBatch], name: str, size: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+def blocks(batches: Iterator[pa.RecordBatch], name: str, size: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Slices of the batches whose column ``name`` has about ``size`` bytes at most, one row at least."""
     for batch in batches:
-        lengths = np.array([len(x) for x in raw_texts(batch, name)], dtype=np.int64)
-        cuts = np.flatnonzero(np.diff(np.cumsum(lengths) // size)) + 1 if len(lengths) else []
-        edges = [0, *cuts, batch.num_rows]
+        column = batch.column(batch.schema.get_field_index(name)).cast(pa.large_binary())
+        lengths = pc.fill_null(pc.binary_length(column), 0).to_numpy()
+        edges = [0, *(np.flatnonzero(np.diff(np.cumsum(lengths) // size)) + 1), batch.num_rows]
         yield from (batch.slice(a, b - a) for a, b in zip(edges, edges[1:]) if b > a)
 
 

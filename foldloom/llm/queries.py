@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldloom.llm import bpe, decontamination, embedding_dedup, language_id, license_scan, line_dedup, simhash_dedup, url_reputation
+from foldloom.llm import (bpe, decontamination, embedding_dedup, language_id, license_scan, line_dedup, packing, secret_scan, simhash_dedup,
+                          url_reputation)
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -25,6 +26,12 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of 2,048 ids with all documents' tokens, in 16-bit numbers."""
+    ids = bpe.encode(table(spark, sf_dir, "documents"), VOCABULARY, public_tokenizers.PATTERN, keep=["doc_id"])
+    return packing.pack(ids)
+
+
 def op3_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page by rule or reputation. A page shows the document that its path ends with; that document's labels are its outcome."""
     pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
@@ -176,6 +183,10 @@ kept AS (SELECT l.doc_id, coalesce(string_agg(raw, chr(10) ORDER BY i) FILTER (c
 SELECT d.doc_id, k.text, coalesce(k.n_lines, 0) AS n_lines, coalesce(k.n_removed, 0) AS n_removed FROM documents d LEFT JOIN kept k USING (doc_id)"""
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("simhash"), 16, "0")).alias("fingerprint"), "component_id")
@@ -183,11 +194,13 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_byte_bpe": (op1_byte_bpe, None),
+    "op2_token_packing": (op2_token_packing, None),
     "op3_url_reputation": (op3_url_reputation, OP3_SQL),
     "op4_license_scan": (op4_license_scan, OP4_SQL),
     "op5_embedding_dedup": (op5_embedding_dedup, OP5_SQL),
     "op6_benchmark_decontamination": (op6_benchmark_decontamination, OP6_SQL),
     "op7_language_id": (op7_language_id, None),
     "op8_line_dedup": (op8_line_dedup, OP8_SQL),
+    "op9_secret_scan": (op9_secret_scan, None),
     "op10_simhash_dedup": (op10_simhash_dedup, None),
 }

@@ -26,8 +26,8 @@ from foldloom.llm.batches import extended, raw_texts, with_columns
 
 # A space beside other white space. Elsewhere each single space starts a new word, whatever stands around it.
 LOOSE_SPACE = re.compile(r" \s|\s ")
-# Bound of the word memory of one Python worker, beyond which it starts anew; words merged at once.
-MEMORY_WORDS, REPLAY_WORDS = 200_000, 100_000
+# Bound of the word memory of one Python worker, beyond which only words that came again stay; words merged at once.
+MEMORY_WORDS, REPLAY_WORDS = 250_000, 100_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -86,11 +86,11 @@ class Replay:
         odd: list[np.ndarray] = []
         while heap:
             rank = heapq.heappop(heap)
-            parts = index.pop(rank)
-            at = parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts))
-            at = at[pair[at] == rank]
+            at = np.concatenate(index.pop(rank))
+            at = np.sort(at[pair[at] == rank])
             if not len(at):
                 continue
+            at = at[np.append(True, at[1:] != at[:-1])]
             gone = after[at]
             chained = gone[:-1] == at[1:]
             if chained.any():  # pairs that share a token: every other one of a chain merges
@@ -104,7 +104,7 @@ class Replay:
             left = before[at]
             pair[at] = self.rank_of(rank, token[right])
             pair[left] = self.rank_of(token[left], rank)
-            touched = np.unique(np.concatenate([at, left]))
+            touched = np.concatenate([at, left])
             found = pair[touched]
             touched, found = touched[found >= 0], found[found >= 0]
             if len(touched):
@@ -161,11 +161,12 @@ class Encoder:
     def __call__(self, texts: Iterable[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         cut = [self.pieces(text) for text in texts]
-        if len(self.known) > MEMORY_WORDS:
-            self.known.clear()
         # Opening words are kept behind two spaces: a piece holds no space, so the two kinds never clash.
-        spaced = set().union(*(rest for _, rest in cut)) - self.known.keys()
-        opening = {"  " + word for first, _ in cut for word in first} - self.known.keys()
+        spaced = set().union(*(rest for _, rest in cut))
+        opening = {"  " + word for first, _ in cut for word in first}
+        if len(self.known) > MEMORY_WORDS:
+            self.known = {piece: self.known[piece] for piece in (spaced | opening) & self.known.keys()}
+        spaced, opening = spaced - self.known.keys(), opening - self.known.keys()
         split = {piece: self.pattern.findall(" " + piece) for piece in spaced} | {piece: [piece[2:]] for piece in opening}
         words = list({word for parts in split.values() for word in parts})
         packed: dict[str, bytes] = {}

@@ -13,12 +13,23 @@ MATCH, MISMATCH, INCOMPARABLE = "MATCH", "MISMATCH", "INCOMPARABLE"
 def diff_tables(left: DataFrame, right: DataFrame, keys: Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
     """One row per differing cell: keys, ``column``, ``left_value``, ``right_value``.
 
-    A row that only one side has appears once, under the column ``<row>``.
+    A row that only one side has appears once, under the column ``<row>``; a column that only one side has appears once for each row of both,
+    under ``<column> name``.
     """
-    columns = list(columns or [c for c in left.columns if c not in keys and c in right.columns])
+    if columns is None:
+        lonely = [c for c in [*left.columns, *right.columns] if c not in keys and (c in left.columns) != (c in right.columns)]
+        note = lambda c: F.lit(f"<column> {c}").alias("column")
+        value = lambda df, c: (F.lit("present") if c in df.columns else F.lit(None).cast("string"))
+        shared = left.select(*keys).join(right.select(*keys), list(keys), "left_semi")
+        notes = [shared.select(*keys, note(c), value(left, c).alias("left_value"), value(right, c).alias("right_value")) for c in lonely]
+        found = diff_tables(left, right, keys, [c for c in left.columns if c not in keys and c in right.columns])
+        for rows in notes:
+            found = found.unionByName(rows)
+        return found
+    columns = list(columns)
 
     def packed(df: DataFrame, name: str) -> DataFrame:
-        return df.select(*keys, F.struct(*[F.col(c).cast("string").alias(c) for c in columns]).alias(name))
+        return df.select(*keys, F.struct(F.lit(1).alias("_"), *[F.col(c).cast("string").alias(c) for c in columns]).alias(name))
 
     a, b = packed(left, "_l"), packed(right, "_r")
     condition = a[keys[0]].eqNullSafe(b[keys[0]])

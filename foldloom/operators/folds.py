@@ -13,21 +13,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldloom.functions.text import natural_key
-from foldloom.operators.profile import LIST_LIMIT, case_lists, group_counts
+from foldloom.operators.profile import case_counts, group_cases, group_counts
 from foldloom.plans.ordering import RANGE, numbered, positions, rows_before
 from foldloom.plans.stage import stage
 
 UNIT_KINDS = ("group", "case")
 
-# Column order of the fold manifest file.
 MANIFEST_COLUMNS = (
-    "fold", "test_unit", "validation_unit", "fit_seed",
-    "n_train_neg", "n_train_pos", "n_val_neg", "n_val_pos",
-    "n_test_neg", "n_test_pos", "n_train", "n_val", "n_test", "n_excluded",
-    "test_group", "validation_cases", "excluded_units", "n_train_groups", "test_single_class",
-    "name", "unit_kind",
+    "fold", "name", "unit_kind", "test_unit", "test_group", "val_group", "seed", "n_train", "n_train_neg", "n_train_pos", "n_train_groups",
+    "n_val", "n_val_neg", "n_val_pos", "n_val_cases", "n_test", "n_test_neg", "n_test_pos", "test_single_class",
+    "n_excluded", "n_excluded_units",
 )
 
+# Heads whose roles are rows of one block; more heads make more blocks.
+BLOCK_FOLDS = 256
+
 
 class FoldPlanError(ValueError):
     """The fold plan cannot be built, is inconsistent, or does not match the data."""
@@ -50,7 +50,7 @@ def _ordered_groups(cases: DataFrame, min_per_class: int) -> DataFrame:
     summary with one row per range names the first eligible group of the ranges that follow.
     """
     local = numbered(group_counts(cases, min_per_class).withColumn("_key", natural_key("group_id")), "_key", "group_id")
-    candidate = F.when(F.col("eligible"), F.struct("group_id", "n_neg", "n_pos"))
+    candidate = F.when(F.col("eligible"), F.struct("group_id", "n_neg", "n_pos", "n_cases"))
     # Bounded by the number of partitions, so its windows and its broadcast stay small at any scale.
     per_range = local.groupBy(RANGE).agg(
         F.max("_row").alias("_n"), F.min_by(candidate, F.when(F.col("eligible"), F.col("_row"))).alias("_first"),
@@ -70,6 +70,29 @@ def _ordered_groups(cases: DataFrame, min_per_class: int) -> DataFrame:
             .drop("_inside", "_later", "_key", "_row", "_off", RANGE))
 
 
+def case_violations(cases: DataFrame) -> DataFrame:
+    """(rule, n): what keeps folds from being built, from the case counts: blank owners, labels outside 0 and 1, split cases, no data."""
+    blank = lambda c: F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) == ""
+    bad = F.col("n_bad") if "n_bad" in cases.columns else F.lit(0)
+    per_case = cases.groupBy("case_id").agg(
+        F.count(F.lit(1)).alias("owners"), F.sum(F.col("n_neg") + F.col("n_pos") + bad).alias("records"), F.sum(bad).alias("bad"),
+        F.sum(F.when(blank("group_id"), F.col("n_neg") + F.col("n_pos") + bad).otherwise(0)).alias("unowned"))
+    counts = per_case.agg(
+        F.sum(F.when(blank("case_id"), F.col("records"))).alias("blank_case"), F.sum("unowned").alias("blank_group"),
+        F.sum("bad").alias("label_outside_domain"), F.count_if((F.col("owners") > 1) & ~blank("case_id")).alias("case_with_several_groups"),
+        (F.count(F.lit(1)) == 0).cast("bigint").alias("no_records"))
+    return counts.unpivot([], counts.columns, "rule", "n").where("n > 0")
+
+
+def input_violations(records: DataFrame) -> DataFrame:
+    """(rule, n): ``case_violations`` of the records, and record ids that are missing or occur more than once."""
+    ids = records.groupBy("record_id").agg(F.count(F.lit(1)).alias("n"))
+    repeated = ids.agg(F.count_if(F.col("record_id").isNotNull() & (F.col("n") > 1)).alias("repeated_record_id"),
+                       F.sum(F.when(F.col("record_id").isNull(), F.col("n"))).alias("blank_record_id"))
+    rows = repeated.unpivot([], repeated.columns, "rule", "n").where("n > 0")
+    return case_violations(case_counts(records)).unionByName(rows)
+
+
 def logo_folds(cases: DataFrame, unit: str = "group", min_per_class: int = 5, seed: int = 42) -> DataFrame:
     """One row per fold: the heads of the leave-one-group-out plan and the class counts of its parts.
 
@@ -79,6 +102,9 @@ def logo_folds(cases: DataFrame, unit: str = "group", min_per_class: int = 5, se
     """
     if unit not in UNIT_KINDS:
         raise FoldPlanError(f"unit must be one of {UNIT_KINDS}, got {unit!r}")
+    broken = case_violations(cases).collect()  # one row a rule at most
+    if broken:
+        raise FoldPlanError("; ".join(f"{r['rule']}: {r['n']}" for r in broken))
     groups = _ordered_groups(cases, min_per_class)
     owner = groups.select(F.col("group_id").alias("test_group"), F.col("n_neg").alias("_group_neg"),
                           F.col("n_pos").alias("_group_pos"), "n_cases", "n_groups", "all_neg", "all_pos", "next", "position")
@@ -97,7 +123,7 @@ def logo_folds(cases: DataFrame, unit: str = "group", min_per_class: int = 5, se
     folds = stage(units.select(
         F.col("position").alias("fold"), F.concat(F.lit("fold_"), "test_unit").alias("name"),
         F.lit(unit).alias("unit_kind"), "test_unit", "test_group", F.col("next.group_id").alias("val_group"),
-        "n_excluded_units", (F.lit(int(seed)).cast("bigint") + F.col("position")).alias("seed"),
+        "n_excluded_units", F.col("next.n_cases").alias("n_val_cases"), (F.lit(int(seed)).cast("bigint") + F.col("position")).alias("seed"),
         "n_test_neg", "n_test_pos", F.col("next.n_neg").alias("n_val_neg"), F.col("next.n_pos").alias("n_val_pos"),
         (F.col("_group_neg") - F.col("n_test_neg")).alias("n_excluded_neg"),
         (F.col("_group_pos") - F.col("n_test_pos")).alias("n_excluded_pos"),
@@ -106,36 +132,32 @@ def logo_folds(cases: DataFrame, unit: str = "group", min_per_class: int = 5, se
         (F.col("n_groups") - 2).alias("n_train_groups")))
     # Without an eligible group there is no next one; a single one would have to follow itself.
     alone = F.col("val_group").isNull() | (F.col("val_group") == F.col("test_group"))
-    if folds.where(alone).limit(1).count():
+    untrained = F.least("n_train_neg", "n_train_pos") == 0
+    faults = folds.agg(F.count_if(alone).alias("alone"), F.count_if(untrained & ~alone).alias("untrained")).first()
+    if faults["alone"]:
         raise FoldPlanError(f"fewer than 2 groups have at least {max(1, int(min_per_class))} records of each class")
+    if faults["untrained"]:
+        raise FoldPlanError(f"{faults['untrained']} folds have no training records of some class")
     return folds
 
 
-def excluded_units(folds: DataFrame, cases: DataFrame, limit: int = LIST_LIMIT) -> DataFrame:
-    """(fold, excluded_units): the other cases of the test group, where they fit into one cell.
+def excluded_units(folds: DataFrame, cases: DataFrame) -> DataFrame:
+    """(fold, ordinal, excluded_unit): the other cases of the test group, one row each.
 
-    For larger groups the rule says the same without a list: ``case_id <> test_unit`` within ``test_group``.
+    For folds that are looked at: the rule says the same without rows, ``case_id <> test_unit`` within ``test_group``.
     """
-    siblings = case_lists(cases, limit).withColumnRenamed("group_id", "test_group")
-    return (folds.where("n_excluded_units > 0").join(siblings, "test_group")
-            .where(F.col("cases").isNotNull())
-            .select("fold", F.array_remove("cases", F.col("test_unit")).alias("excluded_units")))
-
-
-def fold_manifest(folds: DataFrame, cases: DataFrame, limit: int = LIST_LIMIT) -> DataFrame:
-    """The readable fold table: units, class counts per part, seed. No record is read."""
-    validation = case_lists(cases, limit).select(F.col("group_id").alias("val_group"),
-                                                 F.array_join("cases", ";").alias("validation_cases"))
-    others = excluded_units(folds, cases, limit).select("fold", F.array_join("excluded_units", ";").alias("excluded_units"))
-    wide = (folds.join(validation, "val_group", "left").join(others, "fold", "left")
-            .withColumns({
-                "n_train": F.col("n_train_neg") + F.col("n_train_pos"),
-                "n_val": F.col("n_val_neg") + F.col("n_val_pos"),
-                "n_test": F.col("n_test_neg") + F.col("n_test_pos"),
-                "n_excluded": F.col("n_excluded_neg") + F.col("n_excluded_pos"),
-                "test_single_class": F.least("n_test_neg", "n_test_pos") == 0,
-                "excluded_units": F.when(F.col("n_excluded_units") == 0, "").otherwise(F.col("excluded_units")),
-                "validation_unit": F.col("val_group"), "fit_seed": F.col("seed")}))
+    siblings = group_cases(cases).withColumnRenamed("group_id", "test_group")
+    return (folds.where("n_excluded_units > 0").select("fold", "test_group", "test_unit").join(siblings, "test_group")
+            .where("case_id <> test_unit").select("fold", "ordinal", F.col("case_id").alias("excluded_unit")))
+
+
+def fold_manifest(folds: DataFrame) -> DataFrame:
+    """The readable fold table: units, class counts per part, seed. No record is read, and nothing grows with a group's cases:
+    the validation cases are those of ``val_group`` in ``group_cases``, the excluded ones those of ``test_group`` but ``test_unit``."""
+    wide = folds.withColumns({
+        "n_train": F.col("n_train_neg") + F.col("n_train_pos"), "n_val": F.col("n_val_neg") + F.col("n_val_pos"),
+        "n_test": F.col("n_test_neg") + F.col("n_test_pos"), "n_excluded": F.col("n_excluded_neg") + F.col("n_excluded_pos"),
+        "test_single_class": F.least("n_test_neg", "n_test_pos") == 0})
     return wide.select(*MANIFEST_COLUMNS)
 
 
@@ -166,23 +188,22 @@ def role_of(case: Column, group: Column, test_unit: Column, test_group: Column,
             .when(group == val_group, "validation").otherwise("train"))
 
 
-def fold_roles(records: DataFrame, folds: DataFrame, max_folds: int = 256) -> DataFrame:
-    """Role of every record in each of the given (selected) folds: ``fold, seed, role`` beside the record.
+def fold_roles(records: DataFrame, folds: DataFrame) -> DataFrame:
+    """Role of every record in each of the given folds: ``fold, seed, role`` beside the record.
 
-    The output has one row per record and selected fold, so the selection is counted first. Select the folds that
-    are trained now; ``tested_in`` answers "which fold tests this record" for a whole plan.
+    The result has one row per record and fold, so hand over the folds that are trained now; ``tested_in`` answers "which fold tests this
+    record" for a whole plan. Heads are joined in blocks, each meeting every part of the records, so both sides may have any size.
     """
     heads = folds.select("fold", "seed", "unit_kind", "test_unit", "test_group", "val_group")
-    chosen = heads.limit(max_folds + 1).collect()
-    if len(chosen) > max_folds:
-        raise FoldPlanError(f"more than {max_folds} folds selected: their roles are rows of record x fold")
-    literal = F.array(*[F.struct(*[F.lit(row[c]).alias(c) for c in heads.columns]) for row in chosen])
-    exploded = records.withColumn("_f", F.explode(literal))
-    role = role_of(F.col("case_id"), F.col("group_id"), F.col("_f.test_unit"), F.col("_f.test_group"),
-                   F.col("_f.val_group"), F.col("_f.unit_kind"))
-    return exploded.select("*", F.col("_f.fold").cast("bigint").alias("fold"),
-                           F.col("_f.seed").cast("bigint").alias("seed"),
-                           role.alias("role")).drop("_f")
+    blocks = max(1, -(-heads.count() // BLOCK_FOLDS))
+    parts = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left = records.withColumns({"_part": F.pmod(F.xxhash64("record_id"), F.lit(parts)).cast("int"),
+                                "_block": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))})
+    right = heads.select(*[F.col(c).alias(f"_{c}") for c in heads.columns], F.pmod(F.xxhash64("fold"), F.lit(blocks)).cast("int").alias("_block"),
+                         F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_part"))
+    joined = left.join(right, ["_block", "_part"])
+    role = role_of(F.col("case_id"), F.col("group_id"), *[F.col(f"_{c}") for c in ("test_unit", "test_group", "val_group", "unit_kind")])
+    return joined.select(*records.columns, F.col("_fold").alias("fold"), F.col("_seed").alias("seed"), role.alias("role"))
 
 
 def tested_in(records: DataFrame, folds: DataFrame, unit: str = "group") -> DataFrame:

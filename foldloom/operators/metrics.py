@@ -13,11 +13,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldloom.functions.scores import THRESHOLD, ratio
+from foldloom.functions.scores import THRESHOLD, finite_or_null, ratio
 from foldloom.plans.ordering import exact_percentiles, running_totals
 from foldloom.plans.stage import stage
 
-# The metrics of a fold, in report order.
 FOLD_METRICS = ("accuracy", "balanced_accuracy", "sensitivity", "specificity", "precision", "npv",
                 "f1_pos", "f1_neg", "macro_f1", "kappa", "mcc", "roc_auc", "average_precision")
 
@@ -40,12 +39,18 @@ def score_counts(predictions: DataFrame, by: Sequence[str] = (), target: str = "
 
 
 def confusion(predictions: DataFrame, by: Sequence[str] = (), threshold: float = THRESHOLD) -> DataFrame:
-    """tp, tn, fp, fn at the threshold: one pass, no ranking."""
+    """tp, tn, fp, fn at the threshold, without ranking. Invalid or no predictions raise."""
     hit = F.col("prob") >= F.lit(threshold)
-    pos, neg = F.col("target") == 1, F.col("target") == 0
-    return predictions.groupBy(*by).agg(
-        F.count_if(pos & hit).alias("tp"), F.count_if(neg & ~hit).alias("tn"),
-        F.count_if(neg & hit).alias("fp"), F.count_if(pos & ~hit).alias("fn"))
+    part = lambda side, keep: F.coalesce(F.sum(F.when(keep, F.col(side))), F.lit(0))
+    return refuse_empty(score_counts(predictions, by)).groupBy(*by).agg(
+        part("n_pos", hit).alias("tp"), part("n_neg", ~hit).alias("tn"), part("n_neg", hit).alias("fp"), part("n_pos", ~hit).alias("fn"))
+
+
+def refuse_empty(counts: DataFrame) -> DataFrame:
+    """``counts``, or an error if they count nothing: metrics of no predictions are a mistake further up."""
+    if counts.isEmpty():
+        raise ValueError("there are no predictions")
+    return counts
 
 
 def score_ranks(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -113,7 +118,7 @@ def metrics_from_ranks(ranks: DataFrame, by: Sequence[str] = (), threshold: floa
 def per_unit_metrics(predictions: DataFrame, unit: str = "unit", extra: Sequence[str] = (),
                      threshold: float = THRESHOLD) -> DataFrame:
     """Metrics per test unit; ``extra`` are fold-level columns, which must be constant within a unit."""
-    table = metrics_from_ranks(score_ranks(score_counts(predictions, [unit]), [unit]), [unit], threshold)
+    table = metrics_from_ranks(score_ranks(refuse_empty(stage(score_counts(predictions, [unit]))), [unit]), [unit], threshold)
     if not extra:
         return table
     # min and max run as partial aggregates, unlike a set of all values.
@@ -125,7 +130,7 @@ def per_unit_metrics(predictions: DataFrame, unit: str = "unit", extra: Sequence
 
 def pooled_metrics(predictions: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The same metrics over all predictions at once."""
-    return metrics_from_ranks(score_ranks(score_counts(predictions)), (), threshold)
+    return metrics_from_ranks(score_ranks(refuse_empty(stage(score_counts(predictions)))), (), threshold)
 
 
 def aggregate_metrics(table: DataFrame, metrics: Sequence[str] = FOLD_METRICS, weight: str = "n",
@@ -152,8 +157,8 @@ def summarize_folds(table: DataFrame, metrics: Sequence[str] = FOLD_METRICS, wei
 
 
 def evaluation_report(predictions: DataFrame, unit: str = "unit", extra: Sequence[str] = ()) -> dict[str, DataFrame]:
-    """Per-unit table, summaries and pooled metrics from a single scan of the predictions."""
-    counts = stage(score_counts(predictions, [unit]))
+    """Per-unit table, summaries and pooled metrics from one scan of the predictions, and a second one for ``extra``."""
+    counts = refuse_empty(stage(score_counts(predictions, [unit])))
     per_unit = stage(metrics_from_ranks(score_ranks(counts, [unit]), [unit]))
     pooled = counts.groupBy("prob").agg(F.sum("n_pos").alias("n_pos"), F.sum("n_neg").alias("n_neg"))
     table = per_unit
@@ -187,8 +192,8 @@ def cv_range(summary: DataFrame) -> DataFrame:
 
 
 def best_epoch(history: DataFrame) -> DataFrame:
-    """Per fit the first epoch that reached the top score. ``history(fit, epoch, score)``."""
-    top = F.max(F.struct(F.col("score"), (-F.col("epoch")).alias("back")))
+    """Per fit the first epoch that reached the top score; NaN and missing scores never win. ``history(fit, epoch, score)``."""
+    top = F.max(F.when(finite_or_null("score").isNotNull(), F.struct(F.col("score"), (-F.col("epoch")).alias("back"))))
     return history.groupBy("fit").agg(top.alias("_t"), F.max("epoch").alias("last_epoch")).select(
         "fit", (-F.col("_t.back")).alias("best_epoch"), F.col("_t.score").alias("best_score"), "last_epoch")
 

@@ -174,15 +174,25 @@ def plan_coverage(members: DataFrame, records: DataFrame) -> DataFrame:
     return counts.withColumn("coverage", F.when(full, "full").otherwise(text))
 
 
+def _head_rules(whole: DataFrame, broken: dict[str, str]) -> DataFrame:
+    """(rule, n) for the conditions that hold on the one row of ``whole``; n is its number of folds."""
+    found = F.array_compact(F.array(*[F.when(F.expr(bad), F.lit(rule)) for rule, bad in broken.items()]))
+    return whole.select(F.explode(found).alias("rule"), F.col("k").alias("n"))
+
+
+def plan_kind_violations(folds: DataFrame) -> DataFrame:
+    """Rules of any plan, complete or not: it has folds, and all test one kind of unit."""
+    whole = folds.agg(F.count(F.lit(1)).alias("k"), F.min("unit_kind").alias("u0"), F.max("unit_kind").alias("u1"))
+    found = _head_rules(whole, {"mixed_units": "u0 <> u1", "empty_plan": "k = 0"})
+    return found.select("rule", F.lit(None).cast("bigint").alias("fold"), F.col("n").cast("bigint").alias("n"))
+
+
 def completeness_violations(members: DataFrame, folds: DataFrame, records: DataFrame) -> DataFrame:
     """Rules of a complete plan: numbering, seeds, every unit and every record tested exactly once."""
     shift = F.col("seed") - F.col("fold")
     whole = folds.agg(F.count(F.lit(1)).alias("k"), F.count_distinct("fold").alias("d"), F.min("fold").alias("lo"),
-                      F.max("fold").alias("hi"), F.min(shift).alias("s0"), F.max(shift).alias("s1"),
-                      F.min("unit_kind").alias("u0"), F.max("unit_kind").alias("u1"))
-    broken = {"fold_numbers": "lo <> 1 OR hi <> k OR d <> k", "seeds": "s0 <> s1", "mixed_units": "u0 <> u1", "empty_plan": "k = 0"}
-    found = F.array_compact(F.array(*[F.when(F.expr(bad), F.lit(rule)) for rule, bad in broken.items()]))
-    head_rules = whole.select(F.explode(found).alias("rule"), F.col("k").alias("n"))
+                      F.max("fold").alias("hi"), F.min(shift).alias("s0"), F.max(shift).alias("s1"))
+    head_rules = _head_rules(whole, {"fold_numbers": "lo <> 1 OR hi <> k OR d <> k", "seeds": "s0 <> s1"})
     kind = folds.agg(F.min("unit_kind")).scalar()
     units = records.select(F.when(kind == "case", F.col("case_id")).otherwise(F.col("group_id")).alias("test_unit")).distinct()
     planned = folds.groupBy("test_unit").agg(F.count(F.lit(1)).alias("times"))
@@ -199,7 +209,7 @@ def completeness_violations(members: DataFrame, folds: DataFrame, records: DataF
 def check_plan(members: DataFrame, folds: DataFrame, records: DataFrame, min_per_class: int = 5,
                complete: bool = True) -> DataFrame:
     """All broken plan rules as rows ``(rule, fold, n)``; no row means the plan is valid."""
-    found = fold_violations(fold_audit(members, folds, records), min_per_class)
+    found = fold_violations(fold_audit(members, folds, records), min_per_class).unionByName(plan_kind_violations(folds))
     if complete:
         found = found.unionByName(completeness_violations(members, folds, records))
     return found
@@ -210,7 +220,7 @@ def report_problems(violations: DataFrame, limit: int = 20) -> DataFrame:
     return violations.orderBy(F.asc_nulls_last("fold"), "rule").limit(limit)
 
 
-HEAD_FIELDS = ("test_unit", "test_group", "val_group", "seed")
+HEAD_FIELDS = ("test_unit", "test_group", "val_group", "seed", "n_excluded_units")
 
 
 def diff_heads(left: DataFrame, right: DataFrame, fields=HEAD_FIELDS) -> DataFrame:
@@ -231,3 +241,17 @@ def compare_with_rule(folds: DataFrame, rule_folds: DataFrame, fields=HEAD_FIELD
     return diff.agg(F.count(F.lit(1)).alias("n_differing"), first.alias("f")).select(
         "n_differing", F.col("f.fold").alias("first_fold"), F.col("f.side").alias("first_side"),
         F.when(F.col("f.side") == "both", F.col("f.field")).alias("first_field"))
+
+
+def diff_members(members: DataFrame, records: DataFrame, rule_folds: DataFrame, line: Column | None = None) -> DataFrame:
+    """(fold, part, n_plan, n_rule): parts of a plan in row form whose members are not those of the rule, by number or by member sums.
+
+    The rule's parts are sums over cases, so no row per fold and record is made for it.
+    """
+    from foldloom.operators.fingerprints import case_sums, part_digests, plan_part_sums, record_line, rule_part_sums
+
+    line = record_line("record_id") if line is None else line
+    plan = part_digests(plan_part_sums(members, line)).select("fold", "part", F.col("n_members").alias("n_plan"), F.col("digest").alias("_a"))
+    rule = part_digests(rule_part_sums(rule_folds, case_sums(records, line))).select("fold", "part", F.col("n_members").alias("n_rule"), F.col("digest").alias("_b"))
+    joined = plan.join(rule, ["fold", "part"], "full").na.fill(0, ["n_plan", "n_rule"])
+    return joined.where(~F.col("_a").eqNullSafe(F.col("_b"))).drop("_a", "_b")

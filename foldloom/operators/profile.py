@@ -4,18 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldloom.functions.text import natural_key
-from foldloom.plans.ordering import exact_percentiles
+from foldloom.plans.ordering import exact_percentiles, positions
 from foldloom.plans.stage import stage
 
-# Longest list put into one cell. Longer lists stay in their long form (``group_cases``), which is always whole.
-# Spark cuts a rank filter before the shuffle up to a rank of 1,000, so one more than the limit still qualifies.
-LIST_LIMIT = 999
-
-
 def _negatives() -> Column:
     return F.count_if(F.col("label") == 0).alias("n_neg")
 
@@ -29,8 +24,12 @@ def class_counts(records: DataFrame) -> DataFrame:
 
 
 def case_counts(records: DataFrame) -> DataFrame:
-    """Class counts per (group, case), written once: every fold operator starts from this small table."""
-    return stage(records.groupBy("group_id", "case_id").agg(_negatives(), _positives()))
+    """Class counts per (group, case), written once: every fold operator starts from this small table.
+
+    ``n_bad`` counts the records whose label is not 0 or 1; fold operators refuse them.
+    """
+    bad = F.count_if(~F.coalesce(F.col("label").isin(0, 1), F.lit(False))).alias("n_bad")
+    return stage(records.groupBy("group_id", "case_id").agg(_negatives(), _positives(), bad))
 
 
 def group_counts(cases: DataFrame, min_per_class: int = 5) -> DataFrame:
@@ -42,27 +41,18 @@ def group_counts(cases: DataFrame, min_per_class: int = 5) -> DataFrame:
 
 
 def group_cases(cases: DataFrame) -> DataFrame:
-    """Long form of "the cases of a group": one row per pair, whatever the size of the group."""
-    return cases.select("group_id", "case_id")
-
-
-def case_lists(cases: DataFrame, limit: int = LIST_LIMIT) -> DataFrame:
-    """(group_id, cases) in natural order; NULL for a group whose list does not fit into a cell.
+    """(group_id, ordinal, case_id): the cases of every group in natural order, one row each, whatever the size of the group.
 
-    Every partition keeps the first ``limit + 1`` cases of a group before the shuffle, so a group with any number of
-    cases reaches its task as a short list that tells whether it is whole.
+    The order is a global one, so no group has to fit into a task; a group's ordinals count from its first place.
     """
-    keyed = cases.select("group_id", "case_id", natural_key("case_id").alias("_key"))
-    rank = F.row_number().over(Window.partitionBy("group_id").orderBy("_key", "case_id"))
-    first = keyed.withColumn("_r", rank).where(F.col("_r") <= limit + 1)
-    listed = first.groupBy("group_id").agg(F.array_sort(F.collect_list(F.struct("_r", "case_id"))).alias("_l"))
-    return listed.select("group_id", F.when(F.size("_l") <= limit, F.transform("_l", lambda x: x["case_id"])).alias("cases"))
+    placed = positions(cases.select("group_id", "case_id", natural_key("case_id").alias("_key")), "group_id", "_key", "case_id", name="_p")
+    first = placed.groupBy("group_id").agg(F.min("_p").alias("_first"))
+    return placed.join(first, "group_id").select("group_id", (F.col("_p") - F.col("_first") + 1).alias("ordinal"), "case_id")
 
 
-def group_table(cases: DataFrame, min_per_class: int = 5, limit: int = LIST_LIMIT) -> DataFrame:
-    """Per group: case list, class counts, eligibility. ``cases`` is NULL above the cell limit."""
-    lists = case_lists(cases, limit).select("group_id", F.array_join("cases", ";").alias("cases"))
-    return group_counts(cases, min_per_class).join(lists, "group_id", "left")
+def group_table(cases: DataFrame, min_per_class: int = 5) -> DataFrame:
+    """Per group: class counts, number of cases, eligibility. The cases themselves are the rows of ``group_cases``."""
+    return group_counts(cases, min_per_class)
 
 
 def class_pivot(records: DataFrame, label_column: str, names: Sequence[str]) -> DataFrame:

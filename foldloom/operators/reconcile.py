@@ -97,9 +97,9 @@ def merge_outputs(states: DataFrame, outputs: DataFrame) -> DataFrame:
     """Rows of done jobs, merged per queue; refuses mixed study ids and a ledger without done jobs."""
     if not states.where("state = 'done'").limit(1).count():
         raise MergeError("no done job to merge")
-    mixed = [r["queue"] for r in studies_per_queue(states, outputs).where("first_study <> last_study")
-             .orderBy("queue").limit(20).collect()]
+    queues = studies_per_queue(states, outputs).where("first_study <> last_study")
+    mixed = [r["queue"] for r in queues.orderBy("queue").limit(20).collect()]
     if mixed:
-        raise MergeError(f"more than one study id among the done jobs of: {mixed}")
+        raise MergeError(f"more than one study id among the done jobs of {queues.count()} queues (studies_per_queue lists them), first {mixed}")
     done = states.where("state = 'done'").select("queue", "job_id")
     return outputs.join(done, ["queue", "job_id"], "left_semi")

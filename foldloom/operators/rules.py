@@ -255,7 +255,10 @@ def summarize_violations(violations: DataFrame, examples: int = 5) -> DataFrame:
 
 
 def assert_valid(violations: DataFrame) -> None:
-    """Raises ``DataRuleError`` with counts and examples when an ``error`` row exists."""
-    rows = summarize_violations(violations.where("severity = 'error'")).orderBy("rule").limit(50).collect()
+    """Raises ``DataRuleError`` with counts and examples of the first rules, and how many rules are broken, when an ``error`` row exists."""
+    summary = summarize_violations(violations.where("severity = 'error'"))
+    rows = summary.orderBy("rule").limit(50).collect()
     if rows:
-        raise DataRuleError("; ".join(f"{r['rule']}: {r['n_bad']} ({r['examples']})" for r in rows))
+        said = "; ".join(f"{r['rule']}: {r['n_bad']} ({r['examples']})" for r in rows)
+        n = len(rows) if len(rows) < 50 else summary.count()
+        raise DataRuleError(said if n <= 50 else f"{n} rules are broken, summarize_violations lists all; the first are {said}")

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldloom.functions import text as tx
-from foldloom.plans.ordering import hash_positions
+from foldloom.plans.ordering import hash_positions, running_totals
+from foldloom.plans.stage import stage
 
 # Shares and seed offset of the study's splits.
 K_FOLDS, HOLDOUT_SHARE, VALIDATION_SHARE, HOLDOUT_SEED_OFFSET = 10, 0.30, 0.15, 1000
@@ -64,10 +65,16 @@ def share(n, fraction: float):
 
 def stratified_kfold(records: DataFrame, k: int = K_FOLDS, seed: int = 42, stratum: str = "set_id",
                      key: str = "record_id") -> DataFrame:
-    """Adds ``test_fold`` (1..k): every stratum is spread over the folds with sizes within one record."""
-    ranked = hash_positions(records, key, [stratum], F.lit(seed))
-    return (ranked.withColumn("test_fold", F.pmod(F.col("position") - 1, F.lit(k)) + 1)
-            .drop("position", "n_stratum"))
+    """Adds ``test_fold`` (1..k): strata and whole folds are spread with sizes within one record."""
+    return _with_fold(hash_positions(records, key, [stratum], F.lit(seed)), k, stratum).drop("position", "n_stratum")
+
+
+def _with_fold(ranked: DataFrame, k: int, stratum: str) -> DataFrame:
+    """Each stratum goes on dealing where the one before it stopped. One row per stratum carries the offset."""
+    sizes = stage(ranked.groupBy(stratum).agg(F.count(F.lit(1)).alias("n")))
+    offsets = running_totals(sizes, [stratum], ["n"]).select(F.col(stratum).alias("_stratum"), F.col("before_n").alias("_dealt"))
+    return (ranked.join(offsets, F.col(stratum).eqNullSafe(F.col("_stratum")))
+            .withColumn("test_fold", F.pmod(F.col("_dealt") + F.col("position") - 1, F.lit(k)) + 1).drop("_stratum", "_dealt"))
 
 
 def stratified_holdout(records: DataFrame, fraction: float = HOLDOUT_SHARE, seed: int = 42, stratum: str = "set_id",
@@ -96,8 +103,9 @@ def planned_fits(records: DataFrame, k: int = K_FOLDS, seed: int = 42, stratum:
 
     A record takes part in every fit, so the k + 1 rows per record are the plan itself.
     """
-    held = stratified_holdout(stratified_kfold(records.select(key, stratum), k, seed, stratum, key),
-                              HOLDOUT_SHARE, seed, stratum, key)
+    # Folds and holdout follow the same order, which is ranked once.
+    ranked = stage(hash_positions(records.select(key, stratum), key, [stratum], F.lit(seed)))
+    held = _with_fold(ranked, k, stratum).withColumn("is_test", F.col("position") <= share(F.col("n_stratum"), HOLDOUT_SHARE))
     cv = F.transform(F.sequence(F.lit(1), F.lit(k)), lambda i: F.struct(
         F.format_string("cv_fold_%02d", i).alias("fit"), (F.lit(seed) + i).alias("seed"),
         F.when(F.col("test_fold") == i, "test").otherwise("dev").alias("part")))
@@ -111,13 +119,25 @@ def planned_fits(records: DataFrame, k: int = K_FOLDS, seed: int = 42, stratum:
 
 def plan_tasks(tasks: DataFrame, records: DataFrame, k: int = K_FOLDS, seed: int = 42,
                stratum: str = "set_id", key: str = "record_id") -> DataFrame:
-    """Every task with every fit: ``task_id, fit, seed, part, set_id, record_id, target``."""
+    """Every task with every fit: ``task_id, fit, seed, part, set_id, record_id, target``. Raises if a task lacks fits."""
     targets = task_targets(tasks).withColumnRenamed("set_id", stratum)
-    return planned_fits(records, k, seed, stratum, key).join(targets, stratum)
+    fits = stage(planned_fits(records, k, seed, stratum, key))
+    counted = fit_sizes(fits, targets, stratum).groupBy("task_id").agg(F.count_distinct("fit").alias("n_fits"))
+    planned = targets.select("task_id").distinct().join(counted, "task_id", "left").where(F.coalesce("n_fits", F.lit(0)) != k + 1)
+    short = planned.agg(F.count(F.lit(1)).alias("n"), F.min("task_id").alias("first")).first()
+    if short["n"]:
+        raise SplitError(f"{short['n']} tasks do not have {k + 1} fits, the first is {short['first']}")
+    return fits.join(targets, stratum)
+
+
+def fit_sizes(fits: DataFrame, targets: DataFrame, stratum: str = "set_id") -> DataFrame:
+    """(task_id, fit, seed, part, target, n): records are counted per fit, part and stratum before tasks come in."""
+    sizes = fits.groupBy("fit", "seed", "part", stratum).agg(F.count(F.lit(1)).alias("n"))
+    return sizes.join(targets, stratum).groupBy("task_id", "fit", "seed", "part", "target").agg(F.sum("n").alias("n"))
 
 
 def incomplete_tasks(splits: DataFrame, k: int = K_FOLDS) -> DataFrame:
-    """Tasks whose number of fits is not k + 1."""
+    """Tasks whose number of fits is not k + 1; ``splits`` has task and fit in any number of rows."""
     fits = splits.select("task_id", "fit").distinct().groupBy("task_id").agg(F.count(F.lit(1)).alias("n_fits"))
     return fits.where(F.col("n_fits") != k + 1)
 

@@ -40,18 +40,6 @@ def tree_digest(df: DataFrame, line: Column, by: Sequence[str] = (), name: str =
                                    _hash_sorted("_entry").alias(name))
 
 
-def exact_digest(df: DataFrame, line: Column, name: str = "digest", max_rows: int = 1_000_000) -> DataFrame:
-    """SHA-256 over the sorted lines joined by newlines, as stored in plan files.
-
-    The bytes are hashed in one sequence, so the number of rows is checked first; beyond the limit use
-    ``tree_digest``.
-    """
-    size = df.limit(max_rows + 1).count()
-    if size > max_rows:
-        raise ValueError(f"more than {max_rows} rows: use tree_digest")
-    return df.select(line.alias("_line")).agg(_hash_sorted("_line").alias(name))
-
-
 def member_sums(df: DataFrame, line: Column, by: Sequence[str] = (), positive: Column | None = None) -> DataFrame:
     """Per key: members (``n_members``), positives among them (``n_pos``) and lane sums (``lanes``).
 

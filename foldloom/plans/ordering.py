@@ -127,18 +127,15 @@ def hash_positions(df: DataFrame, key: str, by: Sequence[str], seed, name: str =
                    total: str = "n_stratum") -> DataFrame:
     """Position of every row within ``by`` in a seeded pseudo-random order, and the size of its key.
 
-    The order is the SHA-256 of ``seed:key``. Its first hex digits spread each key evenly over 4,096
-    sub-keys, so a stratum that holds a third of all rows is still ranked in small pieces.
+    The order is the SHA-256 of ``seed:key``. Rows get their place in the global order of (``by``, hash), from which the first place of
+    their key is taken off, so a stratum that holds a third of all rows is ranked in as many ranges as its size takes.
     """
     seeded = df.withColumn("_h", F.sha2(F.concat(seed.cast("string"), F.lit(":"), F.col(key).cast("string")), 256))
-    seeded = seeded.withColumn("_slot", F.substring("_h", 1, 3))
-    inside = Window.partitionBy(*by, "_slot").orderBy("_h", key)
-    local = seeded.withColumn("_row", F.row_number().over(inside).cast("bigint"))
-    sizes = seeded.groupBy(*by, "_slot").agg(F.count(F.lit(1)).alias("_n"))
-    earlier = Window.partitionBy(*by).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(
-        *by, "_slot", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_off"),
-        F.sum("_n").over(Window.partitionBy(*by)).alias(total))
-    return (local.join(offsets, [*by, "_slot"])
-            .withColumn(name, F.col("_row") + F.col("_off"))
-            .drop("_row", "_off", "_slot", "_h"))
+    placed = positions(seeded, *by, "_h", key, name="_place").drop("_h")
+    starts = placed.groupBy(*by).agg((F.min("_place") - 1).alias("_before"), F.count(F.lit(1)).alias(total))
+    starts = starts.withColumnsRenamed({c: f"_by_{c}" for c in by})
+    condition = F.lit(True)
+    for c in by:
+        condition = condition & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    joined = placed.join(starts, condition)
+    return joined.withColumn(name, F.col("_place") - F.col("_before")).drop("_place", "_before", *[f"_by_{c}" for c in by])

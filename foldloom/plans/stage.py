@@ -1,31 +1,42 @@
-"""Cutting lineage with reliable checkpoints."""
+"""Tables written once in the shared folder and read back.
+
+What is read back is a plain scan: its size is the true one, so a join may pick the small side, and no partitioning is left over
+that would keep a frequent key together. A lost executor costs nothing that was written.
+"""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named by ``spark.checkpoint.dir``; fall back only on a local master."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        context.setCheckpointDir(shared)
-    elif context.master.startswith("local"):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    else:
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``. Only a local master without it gets a temporary folder, kept for the session."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+def _session_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/staged-{spark.sparkContext.applicationId}"
 
 
 def stage(df: DataFrame) -> DataFrame:
-    """Write ``df`` once so that later branches read it instead of scanning the sources again.
+    """Writes ``df`` as Parquet and reads it back: later branches start there instead of scanning the sources again."""
+    spark = df.sparkSession
+    path = f"{_session_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
 
-    Meant for tables that are already reduced (counts per case, counts per score), never for
-    record-level payloads. A lost executor costs nothing here: the checkpoint is on shared storage.
-    """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def clear_staged(spark: SparkSession) -> None:
+    """Removes what this application has staged. Results that still read it must be written before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_session_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -62,11 +62,11 @@ FROM heads_{unit} h""")
 
 
 def fold_manifest_group(spark, d):
-    return fo.fold_manifest(*_folds(spark, d, "group"))
+    return fo.fold_manifest(_folds(spark, d, "group")[0])
 
 
 def fold_manifest_case(spark, d):
-    return fo.fold_manifest(*_folds(spark, d, "case"))
+    return fo.fold_manifest(_folds(spark, d, "case")[0])
 
 
 def _manifest_sql(unit: str) -> str:
@@ -80,17 +80,43 @@ def _manifest_sql(unit: str) -> str:
          count(DISTINCT gid) FILTER (role = 'train') AS n_train_groups
   FROM roles GROUP BY fold),
 users AS (SELECT DISTINCT user_id, gid FROM records)""", body=f"""
-SELECT a.*, h.test_unit, h.val_group AS validation_unit, 42 + h.fold AS fit_seed, h.test_group,
-  (SELECT string_agg('u' || user_id, ';' ORDER BY user_id) FROM users u WHERE u.gid = h.vgid) AS validation_cases,
-  coalesce((SELECT string_agg('u' || user_id, ';' ORDER BY user_id) FROM users u
-            WHERE '{unit}' = 'case' AND u.gid = h.gid AND 'u' || user_id <> h.test_unit), '') AS excluded_units,
+SELECT a.*, h.test_unit, h.val_group, 42 + h.fold AS seed, h.test_group,
+  (SELECT count(*) FROM users u WHERE u.gid = h.vgid) AS n_val_cases,
+  (SELECT count(*) FROM users u WHERE '{unit}' = 'case' AND u.gid = h.gid AND 'u' || user_id <> h.test_unit) AS n_excluded_units,
   least(n_test_neg, n_test_pos) = 0 AS test_single_class, 'fold_' || h.test_unit AS name, '{unit}' AS unit_kind
 FROM agg a JOIN heads_{unit} h ON a.fold = h.fold""")
 
 
 def excluded_units(spark, d):
     folds, cases = _folds(spark, d, "case")
-    return fo.excluded_units(folds, cases).select("fold", F.array_join("excluded_units", ";").alias("excluded_units"))
+    return fo.excluded_units(folds, cases)
+
+
+def _spoilt(spark, d):
+    """Events with every kind of bad input: blank owners and cases, labels that are missing or 2, split cases, repeated ids."""
+    event, user = F.col("record_id"), F.col("case_id")
+    return records(spark, d).select(
+        F.when(event % 11 == 0, event + 1).otherwise(event).alias("record_id"), F.when(event % 97 == 0, " ").otherwise(user).alias("case_id"),
+        F.when(event % 89 == 0, F.lit(None)).when(event % 83 == 0, "other").otherwise(F.col("group_id")).alias("group_id"),
+        F.when(event % 79 == 0, 2).when(event % 73 == 0, F.lit(None)).otherwise(F.col("label")).alias("label"))
+
+
+def fold_input_violations(spark, d):
+    return fo.input_violations(_spoilt(spark, d))
+
+
+INPUT_VIOLATIONS_SQL = sql(RECORDS, """spoilt AS (
+  SELECT CASE WHEN record_id % 11 = 0 THEN record_id + 1 ELSE record_id END AS record_id, CASE WHEN record_id % 97 = 0 THEN ' ' ELSE case_id END AS case_id,
+         CASE WHEN record_id % 89 = 0 THEN NULL WHEN record_id % 83 = 0 THEN 'other' ELSE group_id END AS group_id,
+         CASE WHEN record_id % 79 = 0 THEN 2 WHEN record_id % 73 = 0 THEN NULL ELSE label END AS label FROM records),
+found AS (
+  SELECT 'blank_case' AS rule, count(*) AS n FROM spoilt WHERE trim(case_id) = ''
+  UNION ALL SELECT 'blank_group', count(*) FROM spoilt WHERE group_id IS NULL
+  UNION ALL SELECT 'label_outside_domain', count(*) FROM spoilt WHERE label IS NULL OR label = 2
+  UNION ALL SELECT 'case_with_several_groups', count(*) FROM (
+    SELECT case_id FROM spoilt WHERE trim(case_id) <> '' GROUP BY case_id HAVING count(DISTINCT coalesce(group_id, '-')) > 1)
+  UNION ALL SELECT 'repeated_record_id', count(*) FROM (SELECT record_id FROM spoilt GROUP BY record_id HAVING count(*) > 1))""", body="""
+SELECT rule, n FROM found WHERE n > 0""")
 
 
 def selected_folds(spark, d):
@@ -239,6 +265,20 @@ SELECT fold, part, count(*) AS n_missing,
 FROM bplan WHERE record_id NOT IN (SELECT record_id FROM texts) GROUP BY fold, part""")
 
 
+def member_differences(spark, d):
+    """The broken plan against the rule, part by part, from member sums."""
+    data, folds, members = _broken_plan(spark, d)
+    return pc.diff_members(members, data, folds)
+
+
+MEMBER_DIFFERENCES_SQL = sql(TEXTS, TEXT_HEADS, BROKEN, """sides AS (
+  SELECT fold, part, list_sort(list(record_id)) AS ids, count(*) AS n FROM bplan GROUP BY fold, part),
+rule AS (SELECT fold, part, list_sort(list(record_id)) AS ids, count(*) AS n FROM tplan
+         WHERE fold < (SELECT max(fold) FROM theads) GROUP BY fold, part)""", body="""
+SELECT coalesce(s.fold, r.fold) AS fold, coalesce(s.part, r.part) AS part, coalesce(s.n, 0) AS n_plan, coalesce(r.n, 0) AS n_rule
+FROM sides s FULL JOIN rule r ON s.fold = r.fold AND s.part = r.part WHERE s.ids IS DISTINCT FROM r.ids""")
+
+
 def plan_problems(spark, d):
     """The bounded report of the broken plan."""
     data, folds, members = _broken_plan(spark, d)
@@ -274,8 +314,11 @@ QUERIES = {
     "fold_manifest_group": (fold_manifest_group, _manifest_sql("group")),
     "fold_manifest_case": (fold_manifest_case, _manifest_sql("case")),
     "excluded_units": (excluded_units, sql(RECORDS, GROUPS, body="""
-SELECT fold, string_agg('u' || user_id, ';' ORDER BY user_id) AS excluded_units
-FROM heads_case h JOIN (SELECT DISTINCT user_id, gid FROM records) u ON u.gid = h.gid AND 'u' || user_id <> test_unit GROUP BY fold""")),
+SELECT fold, ordinal, 'u' || user_id AS excluded_unit
+FROM heads_case h JOIN (SELECT user_id, gid, row_number() OVER (PARTITION BY gid ORDER BY user_id) AS ordinal
+                        FROM (SELECT DISTINCT user_id, gid FROM records)) u ON u.gid = h.gid AND 'u' || user_id <> test_unit""")),
+    "fold_input_violations": (fold_input_violations, INPUT_VIOLATIONS_SQL),
+    "member_differences": (member_differences, MEMBER_DIFFERENCES_SQL),
     "selected_folds": (selected_folds, _heads_sql("group") + f" WHERE test_unit IN {SELECTED}"),
     "unknown_units": (unknown_units, """
 SELECT DISTINCT 'g' || (user_id // 2 + 3) AS test_unit FROM events

@@ -106,6 +106,13 @@ def payload_hashes(spark, d):
     return vectors(spark, d).select("record_id", sig.payload_sha256("signal").alias("payload_sha256"))
 
 
+# A float's bits as bytes come most significant first; payloads have the least significant first.
+PAYLOAD_HASHES_SQL = sql(VECTORS, body="""
+SELECT record_id, sha256(unhex(string_agg(substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || substr(h, 1, 2), '' ORDER BY i))) AS payload_sha256
+FROM (SELECT record_id, i, hex(CAST(CAST(CAST(signal[i] AS FLOAT) AS BIT) AS BLOB)) AS h
+      FROM (SELECT record_id, signal, unnest(range(1, len(signal) + 1)) AS i FROM vectors)) GROUP BY record_id""")
+
+
 def json_safe_values(spark, d):
     raw = table(spark, d, "events").select(
         F.col("event_type"), F.sqrt(F.col("value") - 50).alias("root"), (F.col("value") * 1e307).alias("huge"))
@@ -132,7 +139,7 @@ def group_table(spark, d):
 
 
 GROUP_TABLE_SQL = sql(RECORDS, body=f"""
-SELECT group_id, (SELECT string_agg('u' || c, ';' ORDER BY c) FROM (SELECT DISTINCT user_id AS c, gid FROM records) x WHERE x.gid = r.gid) AS cases,
+SELECT group_id,
   count(*) FILTER (label = 0) AS n_neg, count(*) FILTER (label = 1) AS n_pos,
   count(DISTINCT user_id) AS n_cases,
   least(count(*) FILTER (label = 0), count(*) FILTER (label = 1)) >= {MIN_PER_CLASS} AS eligible
@@ -211,12 +218,13 @@ FROM events GROUP BY 1"""),
     "content_digests": (content_digests, CONTENT_DIGESTS_SQL),
     "normalized_duplicates": (normalized_duplicates, NORMALIZED_DUPLICATES_SQL),
     "signal_flags": (signal_flags, SIGNAL_FLAGS_SQL),
-    "payload_hashes": (payload_hashes, None),
+    "payload_hashes": (payload_hashes, PAYLOAD_HASHES_SQL),
     "json_safe_values": (json_safe_values, JSON_SAFE_SQL),
     "class_counts": (class_counts, sql(RECORDS, body="""
 SELECT count(*) AS n_total, count(*) FILTER (label = 0) AS n_neg, count(*) FILTER (label = 1) AS n_pos FROM records""")),
     "group_table": (group_table, GROUP_TABLE_SQL),
-    "group_cases": (group_cases, sql(RECORDS, body="SELECT DISTINCT group_id, case_id FROM records")),
+    "group_cases": (group_cases, sql(RECORDS, body="""
+SELECT group_id, row_number() OVER (PARTITION BY group_id ORDER BY user_id) AS ordinal, case_id FROM (SELECT DISTINCT group_id, case_id, user_id FROM records)""")),
     "class_pivot": (class_pivot, sql(RECORDS, body="""
 SELECT group_id, case_id, count(*) FILTER (label = 0) AS nonseizure, count(*) FILTER (label = 1) AS seizure
 FROM records GROUP BY group_id, case_id""")),

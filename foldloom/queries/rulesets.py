@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from foldloom.functions.signal import is_finite
 from foldloom.operators import profile, rules
+from foldloom.plans.stage import stage
 from foldloom.queries.views import VECTORS, prefixed, sql, table, vectors
 
 
@@ -95,7 +97,7 @@ def _hashes(spark, d):
 
 
 def hash_mismatch(spark, d):
-    rows = _hashes(spark, d)
+    rows = stage(_hashes(spark, d))  # texts are hashed once for the three comparisons
     parts = [rules.classify_hash_mismatch(rows, stored, "computed").withColumn("stored", F.lit(stored))
              for stored in ("computed", "exchanged", "edited")]
     return rules.union_violations(parts)
@@ -127,7 +129,7 @@ def amplitude_warning(spark, d):
 def recording_sets(spark, d):
     rows = vectors(spark, d).select(
         "record_id", "set_id", F.sha2(F.array_join(F.col("signal").cast("array<string>"), ","), 256).alias("payload_hash"),
-        F.size("signal").alias("length"), F.lit(True).alias("finite"))
+        F.size("signal").alias("length"), is_finite("signal").alias("finite"))
     return rules.recording_sets(rows, 100, "payload_hash", "length", "finite").where("rule <> 'recording_copies'")
 
 

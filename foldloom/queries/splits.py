@@ -15,10 +15,10 @@ targets AS (
 
 RANKED = """ranked AS (
   SELECT record_id, set_id, row_number() OVER (PARTITION BY set_id ORDER BY sha256('42:' || record_id)) AS pos,
-         count(*) OVER (PARTITION BY set_id) AS n FROM vectors),
+         row_number() OVER (ORDER BY set_id, sha256('42:' || record_id)) AS deal, count(*) OVER (PARTITION BY set_id) AS n FROM vectors),
 fits AS (
   SELECT 'cv_fold_' || lpad(CAST(i AS VARCHAR), 2, '0') AS fit, 42 + i AS seed, record_id, set_id,
-         CASE WHEN (pos - 1) % 10 + 1 = i THEN 'test' ELSE 'dev' END AS part FROM ranked, range(1, 11) r(i)
+         CASE WHEN (deal - 1) % 10 + 1 = i THEN 'test' ELSE 'dev' END AS part FROM ranked, range(1, 11) r(i)
   UNION ALL
   SELECT 'holdout_70_30', 1042, record_id, set_id, CASE WHEN pos <= round(n * 0.3) THEN 'test' ELSE 'dev' END FROM ranked),
 inner_ranked AS (
@@ -50,7 +50,9 @@ def kfold_members(spark, d):
 
 
 def kfold_balance(spark, d):
-    return st.fold_balance(st.stratified_kfold(vectors(spark, d).select("record_id", "set_id")))
+    """Sizes per stratum, and of whole folds under the stratum ``all``."""
+    assigned = st.stratified_kfold(vectors(spark, d).select("record_id", "set_id"))
+    return st.fold_balance(assigned.unionByName(assigned.withColumn("set_id", F.lit("all"))))
 
 
 def holdout_members(spark, d):
@@ -62,15 +64,14 @@ def planned_fits(spark, d):
 
 
 def task_plan_sizes(spark, d):
-    plan = st.plan_tasks(st.preset_tasks(spark), vectors(spark, d))
-    return plan.groupBy("task_id", "fit", "seed", "part", "target").agg(F.count(F.lit(1)).alias("n"))
+    return st.fit_sizes(st.planned_fits(vectors(spark, d)), st.task_targets(st.preset_tasks(spark)))
 
 
 def incomplete_tasks(spark, d):
     """Tasks without eleven fits once the holdout of the tasks that use set S is lost."""
-    plan = st.plan_tasks(st.preset_tasks(spark), vectors(spark, d))
+    sizes = st.fit_sizes(st.planned_fits(vectors(spark, d)), st.task_targets(st.preset_tasks(spark)))
     lost = (F.col("fit") == "holdout_70_30") & F.col("task_id").contains("S")
-    return st.incomplete_tasks(plan.where(~lost))
+    return st.incomplete_tasks(sizes.where(~lost))
 
 
 QUERIES = {
@@ -80,12 +81,15 @@ SELECT task_id, pos::BIGINT AS pos, len(string_split(task_id, '_vs_')) AS n_clas
   (SELECT count(*) FROM vectors v JOIN targets g ON v.set_id = g.set_id WHERE g.task_id = t.task_id) AS n_records FROM tasks t""")),
     "task_targets": (task_targets, sql(VECTORS, TASKS, body="""
 SELECT task_id, target, count(*) AS n FROM vectors JOIN targets USING (set_id) GROUP BY task_id, target""")),
-    "kfold_members": (kfold_members, sql(VECTORS, RANKED, body="SELECT record_id, set_id, (pos - 1) % 10 + 1 AS test_fold FROM ranked")),
+    "kfold_members": (kfold_members, sql(VECTORS, RANKED, body="SELECT record_id, set_id, (deal - 1) % 10 + 1 AS test_fold FROM ranked")),
     "kfold_balance": (kfold_balance, sql(VECTORS, body="""
-SELECT set_id, count(*) AS n_records, count(*) // 10 AS smallest_fold, (count(*) + 9) // 10 AS largest_fold FROM vectors GROUP BY set_id""")),
+SELECT set_id, count(*) AS n_records, count(*) // 10 AS smallest_fold, (count(*) + 9) // 10 AS largest_fold FROM vectors GROUP BY set_id
+UNION ALL SELECT 'all', count(*), count(*) // 10, (count(*) + 9) // 10 FROM vectors""")),
     "holdout_members": (holdout_members, sql(VECTORS, RANKED, body="SELECT record_id, set_id, pos <= round(n * 0.3) AS is_test FROM ranked")),
     "planned_fits": (planned_fits, sql(VECTORS, RANKED, body="SELECT fit, seed, part, set_id, record_id FROM planned")),
     "task_plan_sizes": (task_plan_sizes, sql(VECTORS, TASKS, RANKED, body="""
 SELECT task_id, fit, seed, part, target, count(*) AS n FROM planned JOIN targets USING (set_id) GROUP BY ALL""")),
-    "incomplete_tasks": (incomplete_tasks, sql(TASKS, body="SELECT task_id, 10::BIGINT AS n_fits FROM tasks WHERE contains(task_id, 'S')")),
+    "incomplete_tasks": (incomplete_tasks, sql(VECTORS, TASKS, RANKED, body="""
+SELECT task_id, count(DISTINCT fit) AS n_fits FROM planned JOIN targets USING (set_id)
+WHERE NOT (fit = 'holdout_70_30' AND contains(task_id, 'S')) GROUP BY task_id HAVING count(DISTINCT fit) <> 11""")),
 }

@@ -18,5 +18,3 @@ RECORDING_LENGTHS = (4096, 4097)
 SKIPPED_NAMES = (".DS_Store", "Thumbs.db", "desktop.ini", "__MACOSX", "__pycache__", ".ipynb_checkpoints",
                  ".git", ".pytest_cache")
 SKIPPED_SUFFIXES = (".pyc", ".pt", ".pth")
-# Fixed value: format tag of a plan file.
-PLAN_FORMAT = "chbmit-lopo-plan/1"

@@ -1,32 +1,27 @@
-"""Fold plans on disk.
+"""Fold plans on disk: a folder with heads and members as Parquet, and one line of JSON that says what they were built on.
 
-Large plans are tables: heads as JSON lines and members as Parquet partitioned by fold. The single JSON document
-is the exchange form of small studies; its hash covers one byte sequence, so its size is checked before it is
-assembled.
+Digests are trees over rows, so a plan of any size is written and checked without passing through the driver. A plan kept as a single JSON
+document can be read, and written again as a folder.
 """
 
 from __future__ import annotations
 
-import hashlib
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldloom.functions.text import normalize_hash
-from foldloom.operators.fingerprints import record_id_line
+from foldloom.operators.fingerprints import record_id_line, record_line
 from foldloom.operators.folds import FoldPlanError
-from foldloom.operators.plancheck import check_plan
-from foldloom.plans.digests import exact_digest
-from foldloom.sources.constants import PLAN_FORMAT
-
-DOCUMENT_ROWS = 1_000_000
+from foldloom.operators.plancheck import HEAD_FIELDS, check_plan
+from foldloom.plans.digests import tree_digest
 
-# Keys that enter the hash of a plan document, and their names here.
-HASHED_KEYS = {"fold": "fold", "unit": "unit_kind", "test_unit": "test_unit", "test_subject": "test_group",
-               "val_subject": "val_group", "excluded_units": "excluded_units", "seed": "seed"}
-UNIT_NAMES = {"group": "subject", "case": "case"}
+PLAN_FORMAT = "foldloom-plan/1"
+INFO_SCHEMA = ("format string, unit_kind string, min_per_class bigint, seed bigint, n_folds bigint, n_records bigint, plan_digest string, "
+               "records_digest string, payload_digest string")
+# Folds lie in folders of their own; a fold's rows are as many as the records, so they are written by several tasks.
+FILES_A_FOLD = 8
 
+# The fields of a plan document.
 _FOLD = ("fold bigint, name string, unit string, test_unit string, test_subject string, val_subject string, "
          "excluded_units array<string>, seed bigint, train array<string>, val array<string>, test array<string>")
 PLAN_SCHEMA = (f"format string, record_id_column string, params struct<lopo_unit:string,min_val_per_class:bigint,"
@@ -34,14 +29,39 @@ PLAN_SCHEMA = (f"format string, record_id_column string, params struct<lopo_unit
                f"plan_sha256 string, folds array<struct<{_FOLD}>>")
 
 
-def write_plan_table(folds: DataFrame, members: DataFrame, path: str) -> None:
-    folds.orderBy("fold").write.mode("overwrite").json(path.rstrip("/") + "/heads")
-    members.write.mode("overwrite").partitionBy("fold").parquet(path.rstrip("/") + "/members")
+def plan_digest(folds: DataFrame, members: DataFrame) -> str:
+    """One digest over the heads and all members, whatever their order and partitioning."""
+    heads = tree_digest(folds, record_line("fold", "unit_kind", *[c for c in HEAD_FIELDS if c in folds.columns])).first()["digest"]
+    rows = tree_digest(members, record_line("fold", "part", "record_id")).first()
+    return f"{heads}:{rows['n_lines']}:{rows['digest']}"
+
+
+def data_digests(records: DataFrame, payload_hash: str | None = None) -> dict[str, str | None]:
+    """Digests of the record table (ids, owners, labels) and, if given, of its payloads."""
+    out = {"records_digest": tree_digest(records, record_id_line()).first()["digest"], "payload_digest": None}
+    if payload_hash:
+        line = F.concat_ws("\t", F.col("record_id").cast("string"), normalize_hash(payload_hash))
+        out["payload_digest"] = tree_digest(records, line).first()["digest"]
+    return out
+
+
+def write_plan_table(folds: DataFrame, members: DataFrame, records: DataFrame, path: str, min_per_class: int, seed: int,
+                     payload_hash: str | None = None) -> None:
+    """Heads, members by fold, and the line of settings and digests."""
+    path, spark = path.rstrip("/"), folds.sparkSession
+    folds.write.mode("overwrite").parquet(f"{path}/heads")
+    part = F.pmod(F.xxhash64("record_id"), F.lit(FILES_A_FOLD))
+    members.select("fold", "part", "record_id").repartition("fold", part).write.mode("overwrite").partitionBy("fold").parquet(f"{path}/members")
+    info = {"format": PLAN_FORMAT, "unit_kind": folds.agg(F.min("unit_kind")).first()[0], "min_per_class": min_per_class, "seed": seed,
+            "n_folds": folds.count(), "n_records": records.count(), "plan_digest": plan_digest(folds, members), **data_digests(records, payload_hash)}
+    spark.createDataFrame([info], INFO_SCHEMA).coalesce(1).write.mode("overwrite").json(f"{path}/info")
 
 
-def read_plan_table(spark: SparkSession, path: str, head_schema) -> tuple[DataFrame, DataFrame]:
-    heads = spark.read.schema(head_schema).json(path.rstrip("/") + "/heads")
-    return heads, spark.read.parquet(path.rstrip("/") + "/members")
+def read_plan_table(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(info, folds, members)`` of a plan folder."""
+    path = path.rstrip("/")
+    members = spark.read.parquet(f"{path}/members").withColumn("fold", F.col("fold").cast("bigint"))
+    return spark.read.schema(INFO_SCHEMA).json(f"{path}/info"), spark.read.parquet(f"{path}/heads"), members.select("fold", "part", "record_id")
 
 
 def read_plan_document(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -60,81 +80,30 @@ def read_plan_document(spark: SparkSession, path: str) -> tuple[DataFrame, DataF
     return info, folds, members
 
 
-def document_entries(folds: DataFrame, members: DataFrame, max_rows: int = DOCUMENT_ROWS) -> list[dict]:
-    """Fold entries of a plan document: heads with sorted id lists, after a size check.
-
-    ``folds`` carries ``excluded_units`` as a list.
-    """
-    if members.limit(max_rows + 1).count() > max_rows:
-        raise FoldPlanError(f"more than {max_rows} plan rows: use write_plan_table")
-    ids = {(r["fold"], r["part"]): sorted(r["ids"]) for r in members.groupBy("fold", "part").agg(
-        F.collect_list(F.col("record_id").cast("string")).alias("ids")).collect()}
-    entries = []
-    for row in folds.orderBy("fold").collect():
-        entry = {theirs: row[ours] for theirs, ours in HASHED_KEYS.items()}
-        entry["unit"] = UNIT_NAMES[row["unit_kind"]]
-        entry["excluded_units"] = list(row["excluded_units"] or [])
-        entry["name"] = f"fold_{row['test_unit']}"
-        entry.update({p: ids.get((row["fold"], p), []) for p in ("train", "val", "test")})
-        entries.append(entry)
-    return entries
-
-
-def plan_sha256(entries: list[dict]) -> str:
-    """Hash of the fold contents: sorted keys, compact separators, sorted id lists."""
-    kept = (*HASHED_KEYS, "train", "val", "test")
-    text = json.dumps([{k: e[k] for k in kept} for e in entries], sort_keys=True, separators=(",", ":"))
-    return hashlib.sha256(text.encode()).hexdigest()
-
-
-def plan_document(folds: DataFrame, members: DataFrame, records: DataFrame, min_per_class: int, seed: int,
-                  payload_hash: str | None = None) -> dict:
-    entries = document_entries(folds, members)
-    digests = record_hashes(records, payload_hash)
-    return {"format": PLAN_FORMAT, "record_id_column": "segment_id",
-            "params": {"lopo_unit": entries[0]["unit"], "min_val_per_class": min_per_class, "seed": seed},
-            "n_records": records.count(), "n_folds": len(entries), **digests,
-            "plan_sha256": plan_sha256(entries), "folds": entries}
-
-
-def record_hashes(records: DataFrame, payload_hash: str | None = None) -> dict[str, str]:
-    """The two data hashes of a plan document."""
-    out = {"records_sha256": exact_digest(records, record_id_line()).first()[0]}
-    if payload_hash:
-        line = F.concat_ws("\t", F.col("record_id").cast("string"), normalize_hash(payload_hash))
-        out["signals_sha256"] = exact_digest(records, line).first()[0]
-    return out
-
-
-def document_text(document: dict) -> str:
-    """The bytes of a plan file: the same folds give the same text."""
-    return json.dumps(document, indent=1) + "\n"
-
-
 def replay_plan(spark: SparkSession, path: str, records: DataFrame, payload_hash: str | None = None,
                 wanted: dict | None = None) -> tuple[DataFrame, DataFrame]:
     """Heads and members of a saved plan after all checks; raises ``FoldPlanError`` on the first failure.
 
-    Checked in turn: format, hash of the contents, number of records, data hashes, requested settings, ids,
-    plan rules. Row order of the data does not matter.
+    Checked in turn: format, digest of the contents, number of records, data digests, requested settings, plan rules. Row order and
+    partitioning of the data do not matter.
     """
-    info, folds, members = read_plan_document(spark, path)
+    info, folds, members = read_plan_table(spark, path)
     head = info.first()
     if head is None or head["format"] != PLAN_FORMAT:
         raise FoldPlanError(f"unknown plan format; expected {PLAN_FORMAT}")
-    if plan_sha256(document_entries(folds, members)) != head["plan_sha256"]:
-        raise FoldPlanError("plan_sha256 does not match the fold contents: the plan was modified")
+    if plan_digest(folds, members) != head["plan_digest"]:
+        raise FoldPlanError("plan_digest does not match the fold contents: the plan was modified")
     n = records.count()
     if head["n_records"] != n:
         raise FoldPlanError(f"the plan covers {head['n_records']} records, the data has {n}")
-    for key, value in record_hashes(records, payload_hash).items():
-        if head[key] is not None and head[key] != value:
+    for key, value in data_digests(records, payload_hash).items():
+        if value is not None and head[key] is not None and head[key] != value:
             raise FoldPlanError(f"{key} differs: this is not the data the plan was built on")
-    params = head["params"].asDict() if head["params"] else {}
-    differ = {k: (params.get(k), v) for k, v in (wanted or {}).items() if params.get(k) != v}
+    differ = {k: (head[k] if k in head.asDict() else None, v) for k, v in (wanted or {}).items() if head.asDict().get(k) != v}
     if differ:
         raise FoldPlanError(f"the plan was built with different settings (plan, requested): {differ}")
-    broken = check_plan(members, folds, records, params.get("min_val_per_class") or 1).limit(5).collect()
-    if broken:
-        raise FoldPlanError(f"plan rules are broken: {[tuple(r) for r in broken]}")
+    broken = check_plan(members, folds, records, head["min_per_class"] or 1)
+    counts = broken.groupBy("rule").agg(F.count(F.lit(1)).alias("n")).orderBy("rule").collect()  # one row a rule at most
+    if counts:
+        raise FoldPlanError(f"plan rules are broken: {[tuple(r) for r in counts]}; check_plan lists the folds")
     return folds, members

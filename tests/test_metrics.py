@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from foldloom.operators import metrics as me
 from foldloom.operators import multiclass as mc
@@ -38,7 +39,7 @@ def test_metrics_match_definitions(spark):
     units = {}
     for name, n, digits in (("a", 200, 1), ("b", 31, 3), ("hot", 600, 2), ("one", 9, 0)):
         truth = rng.integers(0, 2, n)
-        units[name] = (truth, np.round(np.clip(truth * 0.3 + rng.uniform(0, 0.7, n), 0, 1), digits))
+        units[name] = (truth, np.round(rng.beta(2 + truth, 3 - truth), digits))
     df = frame(spark, units)
     got = {r["unit"]: r for r in me.per_unit_metrics(df).collect()}
     for name, (truth, prob) in units.items():
@@ -157,3 +158,19 @@ def test_one_vs_rest(spark):
     for c in range(3):
         assert got[c] == pytest.approx(brute((truth == c).astype(int), probs[:, c])["roc_auc"])
     assert mc.macro_auc(per).first()["macro_auc"] == pytest.approx(np.mean(list(got.values())))
+
+
+def test_wrong_or_no_predictions_raise(spark):
+    good = frame(spark, {"a": ([0, 1], [0.2, 0.7])})
+    for empty in (me.pooled_metrics, me.confusion, me.per_unit_metrics, me.evaluation_report):
+        with pytest.raises(ValueError, match="no predictions"):
+            empty(good.limit(0))
+    for column, value in (("target", 2), ("target", None), ("prob", float("nan")), ("prob", None)):
+        with pytest.raises(Exception, match="finite score"):
+            me.confusion(good.withColumn(column, F.lit(value).cast(good.schema[column].dataType))).collect()
+
+
+def test_best_epoch_passes_over_undefined_scores(spark):
+    rows = [("a", 1, 0.5), ("a", 2, float("nan")), ("a", 3, 0.7), ("a", 4, 0.7), ("a", 5, None), ("b", 1, float("nan")), ("c", 1, float("inf")), ("c", 2, 0.1)]
+    got = {r["fit"]: (r["best_epoch"], r["best_score"], r["last_epoch"]) for r in me.best_epoch(spark.createDataFrame(rows, "fit string, epoch int, score double")).collect()}
+    assert got == {"a": (3, 0.7, 5), "b": (None, None, 1), "c": (2, 0.1, 2)}

@@ -106,4 +106,25 @@ def test_ids(base, spark):
 
 def test_group_table_inputs(spark):
     counts = {r["group_id"]: (r["n_neg"], r["n_pos"]) for r in pr.group_counts(pr.case_counts(records(spark, SMALL))).collect()}
-    assert counts == {"chb01": (11, 11), "chb02": (6, 5)}
+    assert counts == {"chb01": tuple(map(sum, zip(SMALL["chb01"], SMALL["chb21"]))), "chb02": SMALL["chb02"]}
+
+
+def test_empty_and_mixed_plans_are_always_wrong(spark):
+    data = records(spark, NINE)
+    folds = fo.logo_folds(pr.case_counts(data), "case")
+    members = pc.stage(pc.expand_plan(data, folds))
+    rules = lambda f, m: {r["rule"] for r in pc.check_plan(m, f, data, complete=False).collect()}
+    assert rules(folds, members) == set()
+    assert rules(folds.limit(0), members.limit(0)) == {"empty_plan"}
+    mixed = folds.withColumn("unit_kind", F.when(F.col("test_unit") == "chb02", "group").otherwise(F.col("unit_kind")))
+    assert rules(mixed, members) == {"mixed_units"}
+
+
+def test_members_that_differ_from_the_rule(spark):
+    data = records(spark, NINE)
+    folds = fo.logo_folds(pr.case_counts(data), "case")
+    members = pc.stage(pc.expand_plan(data, folds))
+    assert pc.diff_members(members, data, folds).count() == 0
+    moved = F.when((F.col("fold") == 3) & (F.col("part") == "test"), "val").otherwise(F.col("part"))
+    got = {(r["fold"], r["part"]): (r["n_plan"], r["n_rule"]) for r in pc.diff_members(members.withColumn("part", moved), data, folds).collect()}
+    assert set(got) == {(3, "test"), (3, "val")} and got[(3, "test")][0] == 0

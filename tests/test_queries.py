@@ -5,7 +5,9 @@ import re
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from foldloom.queries import all_queries as queries
+from foldloom.queries import all_sql as oracle_sql
 from oracle import compare, connect
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -35,7 +37,14 @@ def test_query(spark, con, name):
 
 
 def test_every_query_without_sql_is_known():
-    assert set(queries()) - set(oracle_sql()) == PYTHON
+    assert set(queries()) == set(oracle_sql())
+
+
+def test_heads_are_the_small_side(spark):
+    """Staged heads have their true size, so the records stay where they are when a plan is small."""
+    plan = queries()["tested_in"](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    join = next(line for line in plan.splitlines() if "BroadcastHashJoin" in line)
+    assert "BuildRight" in join
 
 
 def test_entry(spark):

@@ -15,7 +15,7 @@ from foldloom.operators import reconcile as rc
 from foldloom.operators import rules as ru
 from foldloom.sources import files, ledger, plans, recordings, segments, sinks
 from foldloom.sources.constants import CHANNELS
-from tables import NINE, record_rows, records
+from tables import NINE, records
 
 
 def write_segments(root, n=6):
@@ -121,65 +121,58 @@ def test_file_scan_against_manifest(spark, tmp_path):
 @pytest.fixture(scope="module")
 def planned(spark):
     data = records(spark, NINE).withColumn("payload_hash", F.sha2("record_id", 256))
-    cases = pr.case_counts(data)
-    heads = fo.logo_folds(cases, "case")
-    folds = heads.join(fo.excluded_units(heads, cases), "fold", "left")
-    return data, folds, pc.stage(pc.expand_plan(data, heads))
-
-
-def plain_hash(document):
-    keys = ("fold", "unit", "test_unit", "test_subject", "val_subject", "excluded_units", "seed", "train", "val", "test")
-    return hashlib.sha256(json.dumps([{k: f[k] for k in keys} for f in document["folds"]], sort_keys=True,
-                                     separators=(",", ":")).encode()).hexdigest()
+    heads = fo.logo_folds(pr.case_counts(data), "case")
+    return data, heads, pc.stage(pc.expand_plan(data, heads))
 
 
-def test_plan_document_round_trip(spark, tmp_path, planned):
+def test_plan_is_written_and_replayed(spark, tmp_path, planned):
     data, folds, members = planned
-    document = plans.plan_document(folds, members, data, 5, 42, "payload_hash")
-    again = plans.plan_document(folds.repartition(3), members.repartition(5), data.repartition(2), 5, 42, "payload_hash")
-    assert plans.document_text(document) == plans.document_text(again)
-    assert document["plan_sha256"] == plain_hash(document) and document["n_folds"] == 9
-    lines = sorted("\t".join(map(str, (r[0], r[2], r[1], r[3]))) for r in record_rows(NINE))
-    assert document["records_sha256"] == hashlib.sha256("\n".join(lines).encode()).hexdigest()
-    by = {f["test_unit"]: f for f in document["folds"]}
-    assert by["chb21"]["excluded_units"] == ["chb01"] and by["chb02"]["excluded_units"] == []
-    path = tmp_path / "plan.json"
-    path.write_text(plans.document_text(document), encoding="utf-8")
-    heads, rows = plans.replay_plan(spark, str(path), data.orderBy(F.rand(2)), "payload_hash",
-                                    {"lopo_unit": "case", "min_val_per_class": 5, "seed": 42})
-    assert heads.count() == 9 and rows.exceptAll(members.select(*rows.columns)).count() == 0
+    path = str(tmp_path / "p")
+    plans.write_plan_table(folds, members, data, path, 5, 42, "payload_hash")
+    heads, rows = plans.replay_plan(spark, path, data.orderBy(F.rand(2)), "payload_hash", {"unit_kind": "case", "min_per_class": 5, "seed": 42})
+    assert heads.exceptAll(folds).count() == 0 and rows.exceptAll(members.select(*rows.columns)).count() == 0
+    assert plans.plan_digest(folds.repartition(3), members.repartition(5)) == plans.plan_digest(folds, members)
 
-    def fails(body, match, source=data, **kw):
-        path.write_text(json.dumps(body))
+    def fails(match, source=data, at=path, **kw):
         with pytest.raises(fo.FoldPlanError, match=match):
-            plans.replay_plan(spark, str(path), source, "payload_hash", **kw)
-
-    edited = json.loads(json.dumps(document))
-    edited["folds"][0]["test"].append(edited["folds"][0]["train"].pop())
-    fails(edited, "modified")
-    fails({**document, "format": "other/1"}, "format")
-    fails(document, "different settings", wanted={"seed": 7})
-    fails(document, "records", data.where("case_id <> 'chb05'"))
-    fails(document, "records_sha256", data.withColumn("label", F.when(F.col("case_id") == "chb05", 1 - F.col("label")).otherwise(F.col("label")))
-          .withColumn("label", F.when(F.col("record_id").contains("chb05_0000"), 0).otherwise(F.col("label"))))
-    with pytest.raises(fo.FoldPlanError):
-        plans.document_entries(folds, members, max_rows=5)
-
-
-def test_plan_table_round_trip(spark, tmp_path, planned):
-    data, folds, members = planned
-    plans.write_plan_table(folds, members, str(tmp_path / "p"))
-    heads, rows = plans.read_plan_table(spark, str(tmp_path / "p"), folds.schema)
-    assert heads.exceptAll(folds).count() == 0
-    assert pc.check_plan(rows.withColumn("fold", F.col("fold").cast("bigint")), heads, data).count() == 0
+            plans.replay_plan(spark, at, source, "payload_hash", **kw)
+
+    fails("different settings", wanted={"seed": 7})
+    fails("covers", data.where("case_id <> 'chb05'"))
+    fails("records_digest", data.withColumn("label", F.when(F.col("case_id") == "chb04", 1).otherwise(F.col("label"))))
+    fails("payload_digest", data.withColumn("payload_hash", F.sha2("case_id", 256)))
+    one = rows.where("fold = 1 AND part = 'train'").limit(1).first()["record_id"]
+    edited = members.withColumn("part", F.when((F.col("fold") == 1) & (F.col("record_id") == one), "test").otherwise(F.col("part")))
+    other = str(tmp_path / "q")
+    plans.write_plan_table(folds, edited, data, other, 5, 42)
+    fails("rules are broken", at=other)
+    edited.repartition("fold").write.mode("overwrite").partitionBy("fold").parquet(path + "/members")
+    fails("modified")
+    (tmp_path / "r").mkdir()
+    spark.read.json(path + "/info").withColumn("format", F.lit("other/1")).write.json(str(tmp_path / "r" / "info"))
+    folds.write.parquet(str(tmp_path / "r" / "heads"))
+    edited.write.partitionBy("fold").parquet(str(tmp_path / "r" / "members"))
+    fails("format", at=str(tmp_path / "r"))
+
+
+def test_plan_document_is_read(spark, tmp_path):
+    fold = {"fold": 1, "name": "fold_a", "unit": "subject", "test_unit": "a", "test_subject": "a", "val_subject": "b", "excluded_units": [], "seed": 43,
+            "train": ["r3", "r4"], "val": ["r2"], "test": ["r1"]}
+    path = tmp_path / "plan.json"
+    path.write_text(json.dumps({"format": "x", "n_records": 4, "n_folds": 1, "folds": [fold]}, indent=1))
+    info, folds, members = plans.read_plan_document(spark, str(path))
+    assert info.first()["n_records"] == 4 and folds.first()["unit_kind"] == "group"
+    assert {tuple(r) for r in members.collect()} == {(1, "train", "r3"), (1, "train", "r4"), (1, "val", "r2"), (1, "test", "r1")}
 
 
 def test_sinks(spark, tmp_path):
     data = records(spark, NINE)
     cases = pr.case_counts(data)
-    sinks.write_fold_manifest(fo.fold_manifest(fo.logo_folds(cases), cases), str(tmp_path / "m"))
+    sinks.write_fold_manifest(fo.fold_manifest(fo.logo_folds(cases, "case")), cases, str(tmp_path / "m"))
     text = [line for f in sorted(os.listdir(tmp_path / "m")) if f.endswith(".csv") for line in (tmp_path / "m" / f).read_text().splitlines()]
-    assert text[0].split(",") == list(fo.MANIFEST_COLUMNS) and len([x for x in text if not x.startswith("fold,")]) == 7
+    assert text[0].split(",") == list(sinks.MANIFEST_FILE) and len([x for x in text if not x.startswith("fold,")]) == 9
+    row = next(dict(zip(text[0].split(","), x.split(","))) for x in text if ",chb21," in x)
+    assert (row["excluded_units"], row["validation_cases"], row["lopo_unit"], row["fit_seed"]) == ("chb01", "chb02", "case", "51")
     sinks.write_report(pr.dataset_report(data), str(tmp_path / "r"))
     report = spark.read.json(str(tmp_path / "r"))
     assert report.where("section = 'single_class_case'").first()["key"] == "chb04"

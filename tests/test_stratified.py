@@ -1,5 +1,6 @@
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from foldloom.operators import stratified as st
@@ -27,6 +28,10 @@ def test_kfold_is_balanced_and_reproducible(spark):
     assert a == b and set(a.values()) == set(range(1, 11))
     for r in st.fold_balance(st.stratified_kfold(df)).collect():
         assert r["largest_fold"] - r["smallest_fold"] <= 1
+    whole = Counter(a.values())
+    assert max(whole.values()) - min(whole.values()) <= 1
+    spread = st.stratified_kfold(recordings(spark, 3, "ABCDEFGHIJKLMNOPQRST"))
+    assert set(Counter(r["test_fold"] for r in spread.collect()).values()) == {6}
     few = st.fold_balance(st.stratified_kfold(df.where("record_id = 'O001'"))).first()
     assert (few["smallest_fold"], few["largest_fold"]) == (0, 1)
 
@@ -36,6 +41,8 @@ def test_all_fits_of_all_tasks(spark):
     assert plan.select("task_id", "fit").distinct().count() == 352
     assert st.incomplete_tasks(plan).count() == 0
     assert st.incomplete_tasks(plan.where("NOT (task_id = 'Z_vs_O' AND fit = 'cv_fold_03')")).first()[:] == ("Z_vs_O", 10)
+    with pytest.raises(st.SplitError, match="fits"):
+        st.plan_tasks(st.preset_tasks(spark), recordings(spark, 1, "ZO"))
     one = plan.where("task_id = 'Z+O_vs_S'").collect()
     parts = {}
     for r in one:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldloom.functions.text import natural_key
-from foldloom.plans.ordering import exact_percentiles, positions
+from foldloom.plans.ordering import bracketed_percentiles, positions
 from foldloom.plans.stage import stage
 
 def _negatives() -> Column:
@@ -72,7 +72,7 @@ def single_class_units(cases: DataFrame) -> DataFrame:
 def amplitude_stats(values: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """Exact median, 99th percentile and maximum of absolute values; ``values`` has one sample per row."""
     absolute = values.select(*by, F.abs(value).alias("_abs"))
-    return exact_percentiles(absolute, "_abs", {"median_abs": 0.5, "p99_abs": 0.99, "max_abs": 1.0}, by)
+    return bracketed_percentiles(absolute, "_abs", {"median_abs": 0.5, "p99_abs": 0.99, "max_abs": 1.0}, by)
 
 
 def samples(df: DataFrame, signal: str, *keep: str) -> DataFrame:

@@ -123,6 +123,49 @@ def exact_percentiles(df: DataFrame, value: str, probabilities: dict[str, float]
     return ranked.groupBy(*by).agg(*picks).select(*by, *outs)
 
 
+def bracketed_percentiles(df: DataFrame, value: str, probabilities: dict[str, float], by: Sequence[str] = (),
+                          accuracy: int = 10_000) -> DataFrame:
+    """The same percentiles for values that are many and hardly repeat: only those near a wanted rank are shuffled.
+
+    A sketch with a bounded rank error brackets each rank; a second pass counts the values below each bracket and ranks the few inside.
+    Keys with fewer values than ``accuracy`` are bracketed by their smallest and largest value.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
+    slack, names = 6 / accuracy, list(probabilities)
+    edge = lambda q: F.percentile_approx("_v", min(1.0, max(0.0, q)), accuracy)
+    bracket = lambda q: F.struct(
+        F.when(F.count("_v") < accuracy, F.min("_v")).otherwise(edge(q - slack)).alias("lo"),
+        F.when(F.count("_v") < accuracy, F.max("_v")).otherwise(edge(q + slack)).alias("hi"))
+    brackets = stage(rows.groupBy(*by).agg(F.count("_v").alias("_total"), F.array(*[bracket(probabilities[n]) for n in names]).alias("_b"))
+                     .withColumnsRenamed({c: f"_by_{c}" for c in by}))
+    if by:
+        condition = F.lit(True)
+        for c in by:
+            condition = condition & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+        placed = rows.join(brackets, condition)
+    else:
+        one = brackets.first()  # a single row: no key, one bracket per percentile
+        held = F.array(*[F.struct(F.lit(b["lo"]).cast("double").alias("lo"), F.lit(b["hi"]).cast("double").alias("hi")) for b in one["_b"]])
+        placed = rows.withColumns({"_b": held, "_total": F.lit(one["_total"])})
+    # A value counts for a percentile when it lies below its bracket (without its value) or inside it.
+    near = F.filter(F.transform("_b", lambda b, i: F.struct(i.alias("i"), F.when(F.col("_v") >= b["lo"], F.col("_v")).alias("v"), b["hi"].alias("hi"))),
+                    lambda x: x["v"].isNull() | (x["v"] <= x["hi"]))
+    counted = (placed.select(*by, "_total", F.explode(near).alias("_x")).groupBy(*by, "_total", F.col("_x.i").alias("_i"), F.col("_x.v").alias("_v"))
+               .agg(F.count(F.lit(1)).alias("_n")))
+    # Null sorts first, so the values below a bracket are the first entry of its running count.
+    ranked = running_totals(counted, ["_v"], ["_n"], [*by, "_i"])
+    share = F.element_at(F.array(*[F.lit(float(probabilities[n])) for n in names]), F.col("_i") + 1)
+    target = (F.col("_total") - 1) * share
+    first, last = F.col("before__n"), F.col("before__n") + F.col("_n") - 1
+    low, high = F.floor(target), F.ceil(target)
+    picks = [a for i, n in enumerate(names) for a in (
+        F.max(F.when((F.col("_i") == i) & (first <= low) & (low <= last), F.col("_v"))).alias(f"_lo_{n}"),
+        F.max(F.when((F.col("_i") == i) & (first <= high) & (high <= last), F.col("_v"))).alias(f"_hi_{n}"),
+        F.max(F.when(F.col("_i") == i, target - low)).alias(f"_part_{n}"))]
+    outs = [(F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * F.col(f"_part_{n}")).alias(n) for n in names]
+    return ranked.groupBy(*by).agg(*picks).select(*by, *outs)
+
+
 def hash_positions(df: DataFrame, key: str, by: Sequence[str], seed, name: str = "position",
                    total: str = "n_stratum") -> DataFrame:
     """Position of every row within ``by`` in a seeded pseudo-random order, and the size of its key.

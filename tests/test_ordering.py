@@ -1,7 +1,8 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from foldloom.plans.ordering import RANGE, exact_percentiles, hash_positions, in_ranges, positions, running_totals
+from foldloom.plans.ordering import RANGE, bracketed_percentiles, exact_percentiles, hash_positions, in_ranges, positions, running_totals
 
 
 def test_running_totals_with_a_hot_key(spark):
@@ -67,3 +68,21 @@ def test_ranges_follow_the_size(spark):
     assert in_ranges(df, "v").select(RANGE).distinct().count() <= int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert all(r["before_a"] == r["v"] for r in running_totals(df, ["v"], ["a"]).collect())
     assert all(r["position"] == r["v"] + 1 for r in positions(df, "v").collect())
+
+
+@pytest.mark.parametrize("by", [(), ("k",)])
+def test_bracketed_percentiles_are_exact(spark, by):
+    rng = np.random.default_rng(8)
+    keys = rng.choice(["a", "b", "c"], 4000, p=[0.9, 0.09, 0.01])
+    values = np.where(rng.random(4000) < 0.2, 1.5, rng.normal(size=4000))
+    rows = [(str(k), float(v)) for k, v in zip(keys, values)] + [("a", None), ("z", 7.0)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(5)
+    wanted = {"least": 0.0, "low": 0.1, "median": 0.5, "p99": 0.99, "largest": 1.0}
+    for accuracy in (200, 100_000):  # the first brackets by sketch, the second takes all values in
+        got = {tuple(r[c] for c in by): r for r in bracketed_percentiles(df, "v", wanted, by, accuracy).collect()}
+        groups = {(k,) for k, _ in rows} if by else {()}
+        assert set(got) == groups
+        for group in groups:
+            own = [v for k, v in rows if v is not None and group in ((k,), ())]
+            for name, q in wanted.items():
+                assert got[group][name] == pytest.approx(np.quantile(own, q), abs=1e-12), (group, name, accuracy)

@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import heapq
 import re
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 from functools import cache
 
@@ -19,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -26,8 +28,10 @@ from foldloom.llm.batches import extended, raw_texts, with_columns
 
 # A space beside other white space. Elsewhere each single space starts a new word, whatever stands around it.
 LOOSE_SPACE = re.compile(r" \s|\s ")
-# Bound of the word memory of one Python worker, beyond which only words that came again stay; words merged at once.
+# Bound of the word memory of one task, beyond which only words that came again stay; words merged at once.
 MEMORY_WORDS, REPLAY_WORDS = 250_000, 100_000
+# The library needs no room for a replay, so more words are kept; the longest word that goes to it.
+LIBRARY_WORDS, LIBRARY_CHARACTERS = 500_000, 1_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -43,10 +47,10 @@ class Replay:
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         self.bits = max(ranks.values()).bit_length() + 1
         self.end = 1 << (self.bits - 1)  # stands between words and pairs with nothing
-        self.merged = {ranks[t[:i]] << self.bits | ranks[t[i:]]: rank for t, rank in ranks.items()
-                       for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
-        self.pairs = np.array(sorted(self.merged), dtype=np.int64)
-        self.ranks = np.array([self.merged[p] for p in self.pairs.tolist()], dtype=np.int32)
+        merged = {ranks[t[:i]] << self.bits | ranks[t[i:]]: rank for t, rank in ranks.items()
+                  for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
+        self.pairs = np.array(sorted(merged), dtype=np.int64)
+        self.ranks = np.array([merged[p] for p in self.pairs.tolist()], dtype=np.int32)
 
     def rank_of(self, left: np.ndarray | int, right: np.ndarray | int) -> np.ndarray:
         """Rank of each pair, -1 for pairs that never merge."""
@@ -123,8 +127,8 @@ class Replay:
         """Packed ids of one word, by always merging the first pair of lowest rank."""
         token = self.byte_ids[np.frombuffer(word, dtype=np.uint8)].tolist()
         after, before = [*range(1, len(token)), -1], list(range(-1, len(token) - 1))
-        rank_of = lambda at: self.merged.get(token[at] << self.bits | token[after[at]]) if after[at] >= 0 else None
-        heap = [(rank, at) for at in range(len(token)) if (rank := rank_of(at)) is not None]
+        rank_of = lambda at: int(self.rank_of(token[at], token[after[at]])) if after[at] >= 0 else -1
+        heap = [(rank, at) for at in range(len(token)) if (rank := rank_of(at)) >= 0]
         heapq.heapify(heap)
         while heap:
             rank, at = heapq.heappop(heap)
@@ -135,16 +139,20 @@ class Replay:
             if after[at] >= 0:
                 before[after[at]] = at
             for place in (before[at], at):
-                if place >= 0 and (found := rank_of(place)) is not None:
+                if place >= 0 and (found := rank_of(place)) >= 0:
                     heapq.heappush(heap, (found, place))
         return np.array([t for t in token if t >= 0], "<u4").tobytes()
 
 
 class Encoder:
-    """Encodes blocks of texts. Words and their ids are remembered up to a bound."""
+    """Encodes the blocks of one task. Words and their ids are remembered up to a bound, and no longer than the task runs.
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.replay, self.pattern = Replay(ranks), regex.compile(pattern)
+    With ``library`` new words go to the tiktoken library, which gives the same ids; very long ones stay with the replay, since the
+    library's pattern matcher fails on long runs of white space.
+    """
+
+    def __init__(self, replay: Replay, pattern: str, library: tiktoken.Encoding | None = None):
+        self.replay, self.pattern, self.library = replay, regex.compile(pattern), library
         self.known: dict[str, bytes] = {}
 
     def pieces(self, text: str) -> tuple[list[str], list[str]]:
@@ -164,9 +172,15 @@ class Encoder:
         # Opening words are kept behind two spaces: a piece holds no space, so the two kinds never clash.
         spaced = set().union(*(rest for _, rest in cut))
         opening = {"  " + word for first, _ in cut for word in first}
-        if len(self.known) > MEMORY_WORDS:
-            self.known = {piece: self.known[piece] for piece in (spaced | opening) & self.known.keys()}
-        spaced, opening = spaced - self.known.keys(), opening - self.known.keys()
+        if len(self.known) > (LIBRARY_WORDS if self.library else MEMORY_WORDS):
+            self.known = {piece: self.known[piece] for own in (spaced, opening) for piece in own if piece in self.known}
+        spaced, opening = spaced.difference(self.known), opening.difference(self.known)
+        if self.library:
+            ids_of = self.library.encode_ordinary
+            short = lambda own: (piece for piece in own if len(piece) <= LIBRARY_CHARACTERS)
+            self.known.update([(piece, array("I", ids_of(" " + piece)).tobytes()) for piece in short(spaced)])
+            self.known.update([(piece, array("I", ids_of(piece[2:])).tobytes()) for piece in short(opening)])
+            spaced, opening = spaced.difference(self.known), opening.difference(self.known)
         split = {piece: self.pattern.findall(" " + piece) for piece in spaced} | {piece: [piece[2:]] for piece in opening}
         words = list({word for parts in split.values() for word in parts})
         packed: dict[str, bytes] = {}
@@ -179,8 +193,13 @@ class Encoder:
 
 
 @cache
-def _encoder(path: str, pattern: str) -> Encoder:
-    return Encoder(read_ranks(path), pattern)
+def _replay(path: str) -> Replay:
+    return Replay(read_ranks(path))
+
+
+@cache
+def _library(path: str, pattern: str) -> tiktoken.Encoding:
+    return tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=read_ranks(path), special_tokens={})
 
 
 @cache
@@ -202,16 +221,17 @@ def blocks(batches: Iterator[pa.RecordBatch], name: str, size: int = 4_000_000)
 
 
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "token_ids",
-           keep: Iterable[str] | None = None) -> DataFrame:
+           keep: Iterable[str] | None = None, library: bool = False) -> DataFrame:
     """Adds ``ids``: the token ids of the whole text as packed little-endian unsigned 32-bit integers (binary).
 
-    ``path``: rank file, readable on every machine. ``keep``: columns that pass through (default: all). A null or empty text has no
+    ``path``: rank file, readable on every machine. ``keep``: columns that pass through (default: all). ``library``: merge new
+    words with the tiktoken library instead of the replay; the ids are the same. A null or empty text has no
     ids; bytes that are no UTF-8 are read as U+FFFD. Repeated rows are encoded alike; an existing column ``ids`` is replaced.
     """
     passed, schema = extended(df, keep, [T.StructField(ids, T.BinaryType())])
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(path, pattern)
+        encoder = Encoder(_replay(path), pattern, _library(path, pattern) if library else None)
         for batch in blocks(batches, text):
             packed = encoder(raw.decode("utf-8", "replace") for raw in raw_texts(batch, text))
             yield with_columns(batch, passed, {ids: pa.array(packed, pa.binary())})

@@ -28,7 +28,7 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of 2,048 ids with all documents' tokens, in 16-bit numbers."""
-    ids = bpe.encode(table(spark, sf_dir, "documents"), VOCABULARY, public_tokenizers.PATTERN, keep=["doc_id"])
+    ids = bpe.encode(table(spark, sf_dir, "documents"), VOCABULARY, public_tokenizers.PATTERN, keep=["doc_id"], library=True)
     return packing.pack(ids)
 
 

@@ -17,7 +17,7 @@ SCHEMA = "doc_id long, text string, token_ids string, decoded int, score string,
 def odd_texts():
     rng = random.Random(5)
     marks = list("aab  \n\t'sdtrevelm123.,!?éß中　\x1c\x85A")
-    return [None, "", " ", "\n\n \n", "a", "a" * 4000, "ab " * 3000, "The MIT License's 42  spaces", "é" * 500, "x\r\ny", " lead", "trail ",
+    return [None, "", " ", "\n\n \n", "a", "a" * 4000, "ab " * 3000, "The MIT License's 42  spaces", "é" * 500, "\n" * 300_000 + "x", "x\r\ny", " lead", "trail ",
             *("".join(rng.choice(marks) for _ in range(rng.randint(1, 60))) for _ in range(60))]
 
 
@@ -31,13 +31,15 @@ def test_bpe_matches_reference_encoder_and_round_trips(spark):
     out = bpe.decode(bpe.encode(table(spark, rows), PATH, PATTERN), PATH)
     assert set(out.columns) == {"doc_id", "text", "token_ids", "decoded", "score", "lang"}  # clashing columns are replaced
     coder = brute.encoding()
+    same = bpe.encode(table(spark, rows), PATH, PATTERN, library=True)
+    assert sorted((bytes(r["token_ids"]) for r in same.collect())) == sorted(bytes(r["token_ids"]) for r in out.collect())
     found = sorted(((r["text"] or "", np.frombuffer(r["token_ids"], "<u4").tolist(), bytes(r["decoded"])) for r in out.collect()))
     assert found == sorted((t or "", coder.encode_ordinary(t or ""), (t or "").encode()) for _, t, _ in rows)
     assert bpe.encode(table(spark, []), PATH, PATTERN).count() == 0
 
 
 def test_replay_equals_word_by_word_and_takes_lower_ranks_first():
-    replay = bpe.Encoder(bpe.read_ranks(PATH), PATTERN).replay
+    replay = bpe.Replay(bpe.read_ranks(PATH))
     rng = random.Random(2)
     words = ["".join(rng.choice("abtheion ") for _ in range(rng.randint(1, 25))).encode() for _ in range(3000)] + [b"a" * n for n in range(1, 40)]
     assert replay(words) == [replay.alone(w) for w in words]

@@ -29,6 +29,8 @@ RADII = (1.0, 0.5, 0.25, 0.125)
 # Bounds by the triangle inequality are trusted only this far from the threshold; nearer pairs are computed.
 MARGIN = 1e-6
 TILE = 1_024
+# Node pairs with so many pairs of points below them, or fewer, are compared point by point.
+LEAF_PAIRS = 2_000_000
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -109,6 +111,12 @@ def traverse(a: CoverTree, b: CoverTree, threshold: float) -> Iterator[tuple[np.
     waiting = [(0, 0, 0, 0)]
     while waiting:
         la, i, lb, j = waiting.pop()
+        pa, pb = a.below[la][i], b.below[lb][j]
+        if len(pa) * len(pb) <= LEAF_PAIRS:
+            hits = a.points[pa] @ b.points[pb].T >= threshold
+            if hits.any():
+                yield pa, pb, hits
+            continue
         ca, cb = a.children[la][i], b.children[lb][j]
         la, lb = min(la + 1, a.last), min(lb + 1, b.last)
         ends = la == a.last and lb == b.last
@@ -122,13 +130,22 @@ def traverse(a: CoverTree, b: CoverTree, threshold: float) -> Iterator[tuple[np.
                     if hits.any():
                         yield own, other, hits
                     continue
-                gap = np.sqrt(np.maximum(2 - 2 * cosine, 0))
                 spread = a.radius[la][own][:, None] + b.radius[lb][other][None, :]
-                near = gap <= reach + spread + MARGIN
-                whole = near & (gap + spread <= reach - MARGIN)
-                for p, q in zip(*np.nonzero(whole)):
-                    yield a.below[la][own[p]], b.below[lb][other[q]], None
-                waiting += [(la, int(own[p]), lb, int(other[q])) for p, q in zip(*np.nonzero(near & ~whole))]
+                p, q = np.nonzero(cosine >= 1 - (reach + spread + MARGIN) ** 2 / 2)  # the others are too far apart
+                whole = np.sqrt(np.maximum(2 - 2 * cosine[p, q], 0)) + spread[p, q] <= reach - MARGIN
+                for k in np.flatnonzero(whole):
+                    yield a.below[la][own[p[k]]], b.below[lb][other[q[k]]], None
+                p, q = own[p[~whole]], other[q[~whole]]
+                # A node and all its near partners are compared at once, if these are few points.
+                for group in np.split(np.arange(len(p)), np.flatnonzero(np.diff(p)) + 1) if len(p) else ():
+                    pa, parts = a.below[la][p[group[0]]], [b.below[lb][n] for n in q[group]]
+                    if len(pa) * sum(map(len, parts)) > LEAF_PAIRS:
+                        waiting += [(la, int(p[group[0]]), lb, int(n)) for n in q[group]]
+                        continue
+                    pb = np.concatenate(parts)
+                    hits = a.points[pa] @ b.points[pb].T >= threshold
+                    if hits.any():
+                        yield pa, pb, hits
 
 
 def spread_out(points: np.ndarray, n: int) -> np.ndarray:

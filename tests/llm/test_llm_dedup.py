@@ -118,6 +118,7 @@ def links(rows, threshold=0.9):
 @pytest.mark.parametrize("chunk", [16, 4096])
 def test_embeddings_against_all_pairs(spark, monkeypatch, chunk):
     monkeypatch.setattr(embedding_dedup, "CHUNK_ROWS", chunk)
+    monkeypatch.setattr(embedding_dedup, "LEAF_PAIRS", chunk // 4)
     rng = np.random.default_rng(5)
     base = rng.normal(size=(8, 6))
     spread = rng.choice([0, .01, .1, .3, .8], 130)
@@ -132,7 +133,7 @@ def test_embeddings_against_all_pairs(spark, monkeypatch, chunk):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
-def test_cover_tree_levels_nest_and_cover():
+def test_cover_tree_levels_nest_and_cover(monkeypatch):
     rng = np.random.default_rng(6)
     points = embedding_dedup.unit(np.concatenate([rng.normal(size=(60, 5)), np.repeat(rng.normal(size=(3, 5)), 20, axis=0) + 0.02 * rng.normal(size=(60, 5))]))
     level = embedding_dedup.entry_levels(points)
@@ -147,7 +148,9 @@ def test_cover_tree_levels_nest_and_cover():
     for parts, radii in zip(tree.below, tree.radius):
         assert sorted(np.concatenate(parts)) == list(range(len(points)))
         assert all(embedding_dedup.distances(points[[n]], points[own]).max() <= r + 1e-7 for n, (own, r) in enumerate(zip(parts, radii)))
-    pairs = np.zeros((len(points), len(points)), int)
-    for p, q, hits in embedding_dedup.traverse(tree, tree, 0.9):
-        pairs[np.ix_(p, q)] += 1 if hits is None else hits
-    assert (pairs == (points @ points.T >= 0.9)).all()
+    for leaf in (0, 50, 10**6):
+        monkeypatch.setattr(embedding_dedup, "LEAF_PAIRS", leaf)
+        pairs = np.zeros((len(points), len(points)), int)
+        for p, q, hits in embedding_dedup.traverse(tree, tree, 0.9):
+            pairs[np.ix_(p, q)] += 1 if hits is None else hits
+        assert (pairs == (points @ points.T >= 0.9)).all()

@@ -24,12 +24,12 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from foldloom.llm.batches import extended, raw_texts, with_columns
+from foldloom.llm.batches import extended, raw_texts, release_memory, with_columns
 
 # A space beside other white space. Elsewhere each single space starts a new word, whatever stands around it.
 LOOSE_SPACE = re.compile(r" \s|\s ")
 # Bound of the word memory of one task, beyond which only words that came again stay; words merged at once.
-MEMORY_WORDS, REPLAY_WORDS = 250_000, 100_000
+MEMORY_WORDS, REPLAY_WORDS = 250_000, 50_000
 # The library needs no room for a replay, so more words are kept; the longest word that goes to it.
 LIBRARY_WORDS, LIBRARY_CHARACTERS = 500_000, 1_000
 
@@ -235,6 +235,10 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
         for batch in blocks(batches, text):
             packed = encoder(raw.decode("utf-8", "replace") for raw in raw_texts(batch, text))
             yield with_columns(batch, passed, {ids: pa.array(packed, pa.binary())})
+            del packed
+            release_memory()
+        del encoder
+        release_memory()
 
     return df.select(*dict.fromkeys([*passed, text])).mapInArrow(step, schema)
 
@@ -248,5 +252,6 @@ def decode(df: DataFrame, path: str, ids: str = "token_ids", out: str = "decoded
         for batch in blocks(batches, ids):
             texts = [b"".join(map(piece, np.frombuffer(raw, "<u4").tolist())) for raw in raw_texts(batch, ids)]
             yield with_columns(batch, passed, {out: pa.array(texts, pa.binary())})
+        release_memory()
 
     return df.select(*dict.fromkeys([*passed, ids])).mapInArrow(step, schema)

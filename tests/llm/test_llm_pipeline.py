@@ -60,6 +60,17 @@ def test_pipeline_of_odd_rows(spark, tmp_path):
     assert 6 in got and 8 in got and not {0, 1, 2, 4, 7} & set(got)
 
 
+def test_further_columns_pass_whatever_their_names(spark):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").limit(5)
+    from pyspark.sql import functions as F
+    extra = {c: F.concat(F.lit(f"{c}:"), F.col("doc_id")) for c in ("score", "lang_pred", "n_removed", "n_words", "contaminated", "simhash", "row")}
+    docs = docs.withColumns(extra)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF_DIR)
+        assert out.columns == docs.columns
+        assert all(r[c] == f"{c}:{r['doc_id']}" for r in out.collect() for c in extra), name
+
+
 def test_stages_keep_columns_and_take_empty_tables(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").limit(0).select("*")
     empty = spark.createDataFrame([], docs.schema)

@@ -23,7 +23,7 @@ from foldloom.plans.stage import stage
 # Bounds of what the driver handles: sampled vectors for the centres, and centres. Every vector is assigned to its nearest centre.
 SAMPLE, MAX_CENTRES = 4_000, 1_000
 # Vectors in a chunk, about; two chunks with their trees fit easily in a task.
-CHUNK_ROWS = 4_096
+CHUNK_ROWS = 8_192
 # Radii of the levels below the root, which covers everything (unit vectors are at most 2 apart).
 RADII = (1.0, 0.5, 0.25, 0.125)
 # Bounds by the triangle inequality are trusted only this far from the threshold; nearer pairs are computed.

@@ -115,7 +115,7 @@ def links(rows, threshold=0.9):
     return [(key, sum((i, j) in near for j in good), least.get(roots[i])) for i, (key, _) in enumerate(rows)]
 
 
-@pytest.mark.parametrize("chunk", [16, 4096])
+@pytest.mark.parametrize("chunk", [16, 8192])
 def test_embeddings_against_all_pairs(spark, monkeypatch, chunk):
     monkeypatch.setattr(embedding_dedup, "CHUNK_ROWS", chunk)
     monkeypatch.setattr(embedding_dedup, "LEAF_PAIRS", chunk // 4)

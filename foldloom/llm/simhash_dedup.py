@@ -73,13 +73,13 @@ def near_pairs(prints: DataFrame, out: str = "simhash") -> DataFrame:
             .select(F.least("f", "g").alias("a"), F.greatest("f", "g").alias("b")))
 
 
-def near_duplicate_classes(prints: DataFrame, key: str = "doc_id", out: str = "simhash") -> DataFrame:
-    """(``out``, component_id): for each fingerprint the smallest ``key`` reachable over links of at most 3 bits.
+def near_duplicate_classes(prints: DataFrame, key: str = "doc_id", out: str = "simhash", pairs: DataFrame | None = None) -> DataFrame:
+    """(``out``, component_id): for each fingerprint the smallest ``key`` reachable over ``pairs`` (a, b), by default links of at most 3 bits.
 
     ``prints`` is read twice: hand over a written table. Null keys have no part in the minimum; a component of null keys only has a null id.
     """
     least = prints.groupBy(out).agg(F.min(key).alias("least"))
-    roots = components(near_pairs(prints, out))
+    roots = components(near_pairs(prints, out) if pairs is None else pairs)
     joined = stage(least.join(roots, least[out] == roots["node"], "left").select(out, "least", "root"))
     linked = joined.where("root is not null")
     best = linked.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -1,6 +1,6 @@
 """Secret scans: candidates by shape, and a random forest that takes out false positives, with DataFrame operations only.
 
-A candidate is a long run of key characters in a word. Its features are length, shares of character kinds, transitions between them, how
+A candidate is a long run of key characters in a word, or a run of any length right behind a name such as ``password=``. Its features are length, shares of character kinds, transitions between them, how
 much of it the corpus' own dictionary covers, the path it stands in, and the words around it. The forest learns from labelled findings,
 at most a bounded sample of each label, and gives every finding a probability.
 """
@@ -19,6 +19,11 @@ VALUE = "[A-Za-z0-9+/_-]{16,}"
 #: What a candidate's word must show besides: a digit, or a long run of capitals.
 SHAPE = "[0-9]|[A-Z]{16}"
 KEYS = "(?i)pass(word|wd|phrase)?|token|secret|api|key|auth|credential|bearer"
+#: Behind a key name and = or :, a run of any length and shape is a candidate.
+ASSIGNED = "(?i:pass(?:word|wd|phrase)?|token|secret|api|key|auth|credential|bearer)[\"']?[=:][\"']?"
+CANDIDATE = f"{VALUE}|(?<={ASSIGNED})[A-Za-z0-9+/_-]+"
+#: What stands between a name and what is assigned to it.
+NAMED = "^[\"']?[=:][\"']?"
 MOCKS = "(?i)example|sample|dummy|test|fake|mock|placeholder|x{6}"
 # Labelled findings of each label that the forest learns from at most, and a word's least count in the dictionary.
 SAMPLE_ROWS, DICTIONARY_COUNT = 10_000, 5
@@ -27,17 +32,33 @@ FEATURES = ("size", "digits", "capitals", "smalls", "distinct", "transitions", "
 
 
 def candidates(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = "source") -> DataFrame:
-    """(key, at, value, word, before, after, path): every candidate with its place among the words (from 0) and its neighbours."""
+    """(key, at, run, value, prefix, word, before, after, path): every candidate with its place among the words and among the runs of its word (from 0).
+
+    ``prefix`` is the text before the run back to the last run, with that run if it is the name to which this one is assigned; ``word`` goes from there to
+    the next run or, where one follows, the next separator. ``before`` and ``after`` are the neighbouring words.
+    """
     where = F.col(path).cast("string") if path else F.lit(None).cast("string")
     words = df.select(F.col(key).alias("key"), where.alias("path"), F.split(F.col(text), r"\s+", -1).alias("words"))
     word = lambda i: F.get("words", i)
-    places = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: (F.length(word(i)) >= 16) & word(i).rlike(VALUE) & word(i).rlike(SHAPE))
+    places = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: ((F.length(word(i)) >= 16) | word(i).rlike("[=:].")) & word(i).rlike(CANDIDATE))
     # The outer form: filters that Spark derives from an inner explode would be computed again from the text, once for every word.
     found = words.select("key", "path", "words", F.explode_outer(places).alias("at")).where("at is not null")
-    return (found
-            .select("key", F.col("at").cast("long").alias("at"), F.regexp_extract(word(F.col("at")), VALUE, 0).alias("value"), word(F.col("at")).alias("word"),
-                    F.concat_ws(" ", word(F.col("at") - 2), word(F.col("at") - 1)).alias("before"),
-                    F.coalesce(word(F.col("at") + 1), F.lit("")).alias("after"), "path"))
+    parts = found.select(
+        "key", F.col("at").cast("long").alias("at"), word(F.col("at")).alias("word"), F.concat_ws(" ", word(F.col("at") - 2), word(F.col("at") - 1)).alias("before"),
+        F.coalesce(word(F.col("at") + 1), F.lit("")).alias("after"), "path").withColumns(
+        {"runs": F.regexp_extract_all("word", F.lit(CANDIDATE), F.lit(0)), "pieces": F.split("word", CANDIDATE, -1), "shaped": F.col("word").rlike(SHAPE)})
+
+    def described(run: Column, i: Column) -> Column:
+        piece, following, more = F.get("pieces", i), F.get("pieces", i + 1), i + 1 < F.size("runs")
+        own = F.when(~piece.rlike("[A-Za-z]") & piece.rlike("[=:]"), F.concat(F.coalesce(F.get("runs", i - 1), F.lit("")), piece)).otherwise(piece)
+        name = following.rlike(NAMED + "[A-Za-z0-9+/_-]") | (more & following.rlike(NAMED + "$"))
+        return F.struct(i.cast("long").alias("run"), run.alias("value"), own.alias("prefix"),
+                        F.when(more, F.regexp_extract(following, "^[^,&;]*", 0)).otherwise(following).alias("rest"),
+                        (run.rlike(SHAPE) | (F.col("shaped") & ~name) | own.rlike(ASSIGNED + "$")).alias("taken"))
+
+    each = F.filter(F.transform("runs", described), lambda x: x["taken"])
+    rows = parts.select("key", "at", "before", "after", "path", F.explode_outer(each).alias("x")).where("x is not null")
+    return rows.select("key", "at", "x.run", "x.value", "x.prefix", F.concat("x.prefix", "x.value", "x.rest").alias("word"), "before", "after", "path")
 
 
 def dictionary(df: DataFrame, text: str = "text", least: int = DICTIONARY_COUNT) -> DataFrame:
@@ -67,16 +88,16 @@ def features(found: DataFrame, covered: DataFrame) -> DataFrame:
         "transitions": F.regexp_count("value", F.lit("(?<=[a-z])(?![a-z])|(?<=[A-Z])(?![A-Z])|(?<=[0-9])(?![0-9])")) / size,
         "slashes": F.regexp_count("word", F.lit("/")).cast("double"), "hexadecimal": flag(F.col("value").rlike("^([0-9a-f]+|[0-9A-F]+)$")),
         "assigned": flag(F.concat_ws(" ", F.substring_index("before", " ", -1), "word").rlike("[=:]")),
-        "key_before": flag(F.concat_ws(" ", "before", F.expr("substring_index(word, value, 1)")).rlike(KEYS)), "mock_near": flag(near.rlike(MOCKS)),
+        "key_before": flag(F.concat_ws(" ", "before", "prefix").rlike(KEYS)), "mock_near": flag(near.rlike(MOCKS)),
         "path_depth": F.regexp_count(path, F.lit("/")).cast("double"), "path_mock": flag(path.rlike(MOCKS))})
 
 
 def rule_label() -> Column:
-    """A label where the case is clear, else null: key ids of a fixed form and assigned hexadecimal keys are secrets; numbers, plain
+    """A label where the case is clear, else null: key ids of a fixed form and long assigned hexadecimal keys are secrets; numbers, plain
     words and values beside words such as "example" are not."""
     value = F.col("value")
     false = value.rlike("^[0-9/_+-]+$") | value.rlike("^[A-Za-z]+$") & ~value.rlike("^AKIA") | (F.col("mock_near") == 1)
-    true = value.rlike("^AKIA[A-Z0-9]{16}$") | ((F.col("hexadecimal") == 1) & (F.col("key_before") == 1) & value.rlike("[a-f]") & value.rlike("[0-9]"))
+    true = value.rlike("^AKIA[A-Z0-9]{16}$") | ((F.col("size") >= 16) & (F.col("hexadecimal") == 1) & (F.col("key_before") == 1) & value.rlike("[a-f]") & value.rlike("[0-9]"))
     return F.when(false, 0.0).when(true, 1.0)
 
 
@@ -85,7 +106,7 @@ def fit_forest(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, trees: int =
 
     Of each label the ``sample_rows`` findings with the smallest hash take part.
     """
-    parts = [labelled.where(F.col("label") == label).orderBy(F.xxhash64("value", "before", "after"), "value", "at").limit(sample_rows) for label in (0.0, 1.0)]
+    parts = [labelled.where(F.col("label") == label).orderBy(F.xxhash64("value", "before", "after"), "value", "at", "run").limit(sample_rows) for label in (0.0, 1.0)]
     sample = stage(parts[0].unionByName(parts[1]).select("label", *FEATURES))
     if sample.select("label").distinct().count() < 2:
         return None
@@ -95,7 +116,7 @@ def fit_forest(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, trees: int =
 
 def scan_secrets(df: DataFrame, labels: Column | None = None, threshold: float = 0.5, key: str = "doc_id", text: str = "text",
                  path: str | None = "source") -> DataFrame:
-    """(key, at, value_sha256, shown, label, probability, is_secret): every candidate of every document; values are not shown whole.
+    """(key, at, run, value_sha256, shown, label, probability, is_secret): every candidate of every document; values are not shown whole.
 
     ``labels`` is the label of a finding (0, 1 or null) from its columns and features; by default ``rule_label()``. If only one label
     occurs the probability is that label, without any it is 0.5. Null and empty texts have no candidates; null paths and keys are allowed; repeated
@@ -110,5 +131,5 @@ def scan_secrets(df: DataFrame, labels: Column | None = None, threshold: float =
     else:
         vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(known)
         scored = model.transform(vectors).withColumn("probability", F.get(vector_to_array("probability"), F.lit(1)))
-    return scored.select(F.col("key").alias(key), "at", F.sha2("value", 256).alias("value_sha256"), F.concat(F.substring("value", 1, 4), F.lit("...")).alias("shown"),
+    return scored.select(F.col("key").alias(key), "at", "run", F.sha2("value", 256).alias("value_sha256"), F.concat(F.expr("left(value, least(4, length(value) div 4))"), F.lit("...")).alias("shown"),
                          "label", F.round("probability", 6).alias("probability"), (F.col("probability") >= threshold).alias("is_secret"))

@@ -130,7 +130,7 @@ def recording_sets(spark, d):
     rows = vectors(spark, d).select(
         "record_id", "set_id", F.sha2(F.array_join(F.col("signal").cast("array<string>"), ","), 256).alias("payload_hash"),
         F.size("signal").alias("length"), is_finite("signal").alias("finite"))
-    return rules.recording_sets(rows, 100, "payload_hash", "length", "finite").where("rule <> 'recording_copies'")
+    return rules.recording_sets(rows, 100, "payload_hash", "length", "finite")
 
 
 def signal_rules(spark, d):

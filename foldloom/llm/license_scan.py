@@ -1,10 +1,12 @@
 """License scans by an exact set-similarity join of text blocks with license templates, with built-in expressions only.
 
-A block is a line, a template a notice; both are sets of words. A block meets a template when it holds at least ``threshold`` of the
+A block is a line, or a run of words that may cross line ends; a template is a notice; both are sets of words. A run has as many
+words as the template's text, so that a wrapped notice fits in (comment marks are no words) and few others do. A block meets a template when it holds at least ``threshold`` of the
 template's words. Words are ordered by their frequency in all blocks, rarest first. A template of n words that needs c of them can
 miss n - c, so one of its first n - c + 1 words is in every block that meets it (prefix filter); that block has c of the words
 (length filter), and behind the first common word there is room for the others on both sides (positional filter). What passes is verified.
-Words that no template holds never count towards an overlap, so blocks are kept as their template words.
+Words that no template holds never count towards an overlap, so blocks are kept as their template words. Runs are looked at around each place of a
+prefix word only, with the same filters.
 """
 
 from __future__ import annotations
@@ -56,14 +58,14 @@ def template_words(templates: tuple[tuple[str, str], ...]) -> list[tuple[str, li
 
 
 def parse(df: DataFrame, universe: list[str], phrases: dict[str, str], key: str, text: str) -> DataFrame:
-    """(key, row, n_words, found, blocks): one row per document; ``found`` has (label, n, first, last) of each phrase that stands
-    in it, ``blocks`` the distinct template words of each line that holds any."""
+    """(key, row, n_words, found, blocks, places): one row per document; ``found`` has (label, n, first, last) of each phrase that stands
+    in it, ``blocks`` the distinct template words of each line that holds any, ``places`` every template word with its place."""
     lines = df.select(F.col(key).alias("key"), F.xxhash64(key, text).alias("row"),
                       F.split(ascii_lower(F.coalesce(F.col(text), F.lit(""))), "\n", -1).alias("lines"))
     words = lines.select("key", "row", F.transform("lines", lambda x: F.filter(F.split(x, SEPARATOR, -1), lambda w: w != "")).alias("lines"))
     # A dot before the first word, so that no phrase stands at the very start: a split there would not show.
     flat = words.select("key", "row", "lines", F.flatten("lines").alias("words")).select(
-        "key", "row", "lines", F.size("words").alias("n_words"), F.concat(F.lit(". "), F.array_join("words", " "), F.lit(" ")).alias("line"))
+        "key", "row", "lines", "words", F.size("words").alias("n_words"), F.concat(F.lit(". "), F.array_join("words", " "), F.lit(" ")).alias("line"))
     spaces = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit("")))
     found = []
     for phrase, label in phrases.items():
@@ -71,8 +73,9 @@ def parse(df: DataFrame, universe: list[str], phrases: dict[str, str], key: str,
         found.append(F.when(F.contains("line", F.lit(f" {phrase} ")), F.struct(
             F.lit(label).alias("label"), (F.size(parts) - 1).alias("n"), spaces(F.get(parts, F.lit(0))).alias("first"),
             (F.col("n_words") - spaces(F.element_at(parts, -1)) + 1).alias("last"))))
+    places = F.filter(F.transform("words", lambda w, i: F.struct(i.alias("at"), w.alias("word"))), lambda x: x["word"].isin(universe))
     own = F.filter(F.transform("lines", lambda b: F.array_distinct(F.filter(b, lambda w: w.isin(universe)))), lambda b: F.size(b) > 0)
-    return flat.select("key", "row", F.col("n_words").cast("long"), F.array_compact(F.array(*found)).alias("found"), own.alias("blocks"))
+    return flat.select("key", "row", F.col("n_words").cast("long"), F.array_compact(F.array(*found)).alias("found"), own.alias("blocks"), places.alias("places"))
 
 
 def word_ranks(parsed: DataFrame, universe: list[str]) -> dict[str, int]:
@@ -103,12 +106,44 @@ def containment_join(spark: SparkSession, parsed: DataFrame, sets: list[tuple[st
     return met.where(shared >= F.col("need")).select("key", "row", "label", (shared / F.size("words")).alias("share"))
 
 
+def run_lengths(templates: tuple[tuple[str, str], ...]) -> list[int]:
+    """Words of a run for each of the ``template_words``, repeated ones counted."""
+    import re
+
+    counts = [sum(1 for w in re.split(SEPARATOR, text.translate(str.maketrans(UPPER, LOWER))) if w) for _, text in templates]
+    return [n for n in counts if n]
+
+
+def run_join(spark: SparkSession, parsed: DataFrame, sets: list[tuple[str, list[str]]], lengths: list[int], ranks: dict[str, int], threshold: float) -> DataFrame:
+    """(key, row, label, share): every template that a run of the document's words meets, and the largest share of its words around a place."""
+    entries = []
+    for (label, words), length in zip(sets, lengths, strict=True):
+        order = sorted(words, key=ranks.get)
+        need = math.ceil(round(threshold * len(order), 9))
+        entries += [(word, label, order, need, length) for word in order[:len(order) - need + 1]]
+    prefixes = spark.createDataFrame(entries, "first string, label string, words array<string>, need int, length int")
+    first, longest, least = sorted({e[0] for e in entries}), max(lengths), min(e[3] for e in entries)
+    place = lambda i: F.get("places", i)
+    own = F.filter(F.sequence(F.lit(0), F.size("places") - 1), lambda i: place(i)["word"].isin(first))
+    near = F.transform(own, lambda i: F.struct(place(i)["at"].alias("at"), place(i)["word"].alias("first"), F.filter(
+        F.slice("places", F.greatest(i - longest + 2, F.lit(1)), F.lit(2 * longest)), lambda x: F.abs(x["at"] - place(i)["at"]) < longest).alias("near")))
+    around = parsed.where(F.size("places") >= least).select("key", "row", F.explode(near).alias("x")).select("key", "row", "x.*").where(F.size("near") >= least)
+    # As in containment_join the prefixes are bounded.
+    met = around.join(F.broadcast(prefixes), "first")
+    words_in = lambda low, high: F.transform(F.filter("near", lambda x: (x["at"] >= low) & (x["at"] < high)), lambda x: x["word"])
+    span = F.col("length")
+    met = met.where(F.size(F.array_intersect(words_in(F.col("at") - span + 1, F.col("at") + span), "words")) >= F.col("need"))
+    starts = F.filter("near", lambda x: (x["at"] > F.col("at") - span) & (x["at"] <= F.col("at")))
+    shared = F.array_max(F.transform(starts, lambda s: F.size(F.array_intersect(words_in(s["at"], s["at"] + span), "words"))))
+    return met.withColumn("shared", shared).where("shared >= need").select("key", "row", "label", (F.col("shared") / F.size("words")).alias("share"))
+
+
 def scan_licenses(df: DataFrame, phrases: dict[str, str] = PHRASES, templates: tuple[tuple[str, str], ...] = TEMPLATES,
                   threshold: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_words, n_base, first_word, last_word, base_labels, labels, score) of every row.
 
     n_base counts all places of the phrases, first_word and last_word are their smallest and largest start (words from 0, else null).
-    ``labels`` adds those of the templates that some line meets; ``score`` is 1 with a phrase, else the largest share met, else 0. Labels are
+    ``labels`` adds those of the templates that some line or run of words meets; ``score`` is 1 with a phrase, else the largest share met, else 0. Labels are
     distinct, sorted and comma-joined. Null and empty texts have no words, an empty result string and score 0. Repeated rows are judged
     alike; further columns play no part.
     """
@@ -122,7 +157,9 @@ def scan_licenses(df: DataFrame, phrases: dict[str, str] = PHRASES, templates: t
         F.array_max(F.transform(found, lambda x: x["last"])).cast("long").alias("last_word"),
         F.array_sort(F.array_distinct(F.transform(found, lambda x: x["label"]))).alias("base"))
     if sets:
-        met = containment_join(spark, parsed, sets, word_ranks(parsed, universe), threshold)
+        ranks = word_ranks(parsed, universe)
+        met = containment_join(spark, parsed, sets, ranks, threshold).unionByName(
+            run_join(spark, parsed, sets, run_lengths(templates), ranks, threshold))
         best = met.groupBy("key", "row").agg(F.collect_set("label").alias("met"), F.max("share").alias("share"))
     else:
         best = spark.createDataFrame([], "key long, row long, met array<string>, share double")

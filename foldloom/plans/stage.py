@@ -33,10 +33,23 @@ def stage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{_session_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._staged_at = path
+    return back
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def drop_staged(df: DataFrame) -> None:
+    """Removes the table that ``stage`` returned as ``df``: for rounds whose table has been replaced by a written one. Other DataFrames are left alone."""
+    path = getattr(df, "__dict__", {}).pop("_staged_at", None)
+    if path:
+        _remove(df.sparkSession, path)
 
 
 def clear_staged(spark: SparkSession) -> None:
     """Removes what this application has staged. Results that still read it must be written before."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_session_folder(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _remove(spark, _session_folder(spark))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldloom.llm import (bpe, decontamination, embedding_dedup, language_id, license_scan, line_dedup, packing, secret_scan, simhash_dedup,
-                          url_reputation)
+                          url_reputation, vector_queries)
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -203,4 +203,4 @@ QUERIES = {
     "op8_line_dedup": (op8_line_dedup, OP8_SQL),
     "op9_secret_scan": (op9_secret_scan, None),
     "op10_simhash_dedup": (op10_simhash_dedup, None),
-}
+} | vector_queries.QUERIES

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldloom.llm import (bpe, decontamination, embedding_dedup, language_id, license_scan, line_dedup, packing, secret_scan, simhash_dedup,
+from foldloom.llm import (bpe, decontamination, embedding_dedup, language_id, license_scan, line_dedup, packing, privacy_queries, secret_scan, simhash_dedup,
                           url_reputation, vector_queries)
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -203,4 +203,4 @@ QUERIES = {
     "op8_line_dedup": (op8_line_dedup, OP8_SQL),
     "op9_secret_scan": (op9_secret_scan, None),
     "op10_simhash_dedup": (op10_simhash_dedup, None),
-} | vector_queries.QUERIES
+} | privacy_queries.QUERIES | vector_queries.QUERIES

@@ -47,8 +47,8 @@ def _strength_sql(counts: str) -> str:
     room = "(n - square / n - (g - 1))"
     return f"""(SELECT CASE WHEN g < 2 OR k = 0 OR k = n OR n * n <= square OR {room} <= 0 OR {excess} / {room} <= 0 THEN 1000.0
                      ELSE least(1000.0, greatest(1.0, 1 / ({excess} / {room}) - 1)) END AS a
-               FROM (SELECT coalesce(sum(n), 0)::DOUBLE AS n, coalesce(sum(k), 0)::DOUBLE AS k, count(*) AS g, coalesce(sum(n * n), 0)::DOUBLE AS square,
-                            coalesce(sum((k * k * 1000000) // n), 0)::DOUBLE / 1e6 AS spread FROM {counts} WHERE n > 0))"""
+               FROM (SELECT coalesce(sum(n), 0)::DOUBLE AS n, coalesce(sum(k), 0)::DOUBLE AS k, count(*) AS g, coalesce(sum(n::HUGEINT * n), 0)::DOUBLE AS square,
+                            coalesce(sum((k::HUGEINT * k * 1000000) // n), 0)::DOUBLE / 1e6 AS spread FROM {counts} WHERE n > 0))"""
 
 
 _RULES_SQL = " ".join(
@@ -63,9 +63,10 @@ p AS (SELECT page_id, {LOWER_SQL.format("regexp_extract(coalesce(url, ''), '(?s)
              regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
 known AS (SELECT page_id, max(bad) AS bad FROM p JOIN judged ON doc_id = try_cast(regexp_extract(path, '^/[a-z]+/([0-9]{{1,18}})', 1) AS BIGINT)
           WHERE bad IS NOT NULL GROUP BY page_id),
-hosts AS (SELECT host, count(bad)::BIGINT AS n, count(CASE WHEN bad = 1 THEN 1 END)::BIGINT AS k, string_split(host, '.')[-1] AS suffix,
-                 CASE WHEN contains(host, '.') THEN string_split(host, '.')[-2] || '.' || string_split(host, '.')[-1] ELSE host END AS domain
-          FROM p LEFT JOIN known USING (page_id) GROUP BY host),
+hosts AS (SELECT host, count(bad)::BIGINT AS n, count(CASE WHEN bad = 1 THEN 1 END)::BIGINT AS k,
+                 CASE WHEN two IN {url_reputation.SUFFIXES} THEN two ELSE string_split(host, '.')[-1] END AS suffix,
+                 CASE WHEN two IN {url_reputation.SUFFIXES} THEN array_to_string(string_split(host, '.')[-3:], '.') ELSE two END AS domain
+          FROM (SELECT *, array_to_string(string_split(host, '.')[-2:], '.') AS two FROM p) LEFT JOIN known USING (page_id) GROUP BY host, two),
 domains AS (SELECT domain, suffix, sum(n)::BIGINT AS n, sum(k)::BIGINT AS k FROM hosts GROUP BY ALL),
 suffixes AS (SELECT suffix, sum(n)::BIGINT AS n, sum(k)::BIGINT AS k FROM domains GROUP BY ALL),
 a AS (SELECT h.a AS ah, d.a AS ad, s.a AS s_a FROM {_strength_sql('hosts')} h, {_strength_sql('domains')} d, {_strength_sql('suffixes')} s),
@@ -87,7 +88,8 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PHRASE_SQL = " UNION ALL ".join(
     f"SELECT row_id, i - 1 AS i, '{label}' AS label FROM (SELECT row_id, w, unnest(range(1, len(w) + 1)) AS i FROM words) "
     f"WHERE w[i:i + {len(phrase.split()) - 1}] = {phrase.split()}" for phrase, label in license_scan.PHRASES.items())
-_TEMPLATE_SQL = ", ".join(f"('{label}', {words})" for label, words in license_scan.template_words(license_scan.TEMPLATES))
+_TEMPLATE_SQL = ", ".join(f"('{t.label}', {t.words}, {t.required}::VARCHAR[], {t.excluded}::VARCHAR[], {t.length}, {license_scan.need(t, 0.8)})"
+                          for t in license_scan.prepared(license_scan.TEMPLATES))
 
 OP4_SQL = rf"""
 WITH docs AS (SELECT doc_id, row_number() OVER () AS row_id, {LOWER_SQL.format("coalesce(text, '')")} AS low FROM documents),
@@ -96,8 +98,15 @@ places AS ({_PHRASE_SQL}),
 base AS (SELECT row_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels
          FROM places GROUP BY row_id),
 blocks AS (SELECT row_id, list_distinct(regexp_extract_all(unnest(string_split(low, chr(10))), '{WORD}')) AS b FROM docs),
-met AS (SELECT row_id, label, len(list_intersect(b, t)) / len(t) AS share FROM blocks, (VALUES {_TEMPLATE_SQL}) v(label, t)
-        WHERE len(list_intersect(b, t)) >= ceil(round(0.8 * len(t), 9))),
+templates AS (SELECT * FROM (VALUES {_TEMPLATE_SQL}) v(label, t, required, excluded, length, need)),
+lines AS (SELECT row_id, label, len(list_intersect(b, t)) / len(t) AS share FROM blocks, templates
+          WHERE len(list_intersect(b, t)) >= need AND list_has_all(b, required) AND NOT list_has_any(b, excluded)),
+near AS (SELECT row_id, w, templates.* FROM words, templates WHERE list_has_all(w, required) AND len(list_intersect(list_distinct(w), t)) >= need),
+runs AS (SELECT row_id, label, len(list_intersect(list_distinct(w[i:i + length - 1]), t)) / len(t) AS share
+         FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM near)
+         WHERE list_contains(t, w[i]) AND len(list_intersect(list_distinct(w[i:i + length - 1]), t)) >= need
+           AND list_has_all(w[i:i + length - 1], required) AND NOT list_has_any(w[greatest(i - 1, 1):i + length], excluded)),
+met AS (SELECT * FROM lines UNION ALL SELECT * FROM runs),
 labels AS (SELECT row_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
            FROM (SELECT row_id, label FROM met UNION ALL SELECT row_id, label FROM places) GROUP BY row_id),
 best AS (SELECT row_id, max(share) AS share FROM met GROUP BY row_id)

@@ -165,12 +165,16 @@ def licenses(text, phrases, templates, threshold=0.8):
                 places.append(i)
                 labels.add(label)
     base = set(labels)
-    for line in (text or "").split("\n"):
-        for label, template in templates:
-            want = set(words(template))
-            share = len(want & set(words(line))) / len(want)
-            if len(want & set(words(line))) >= math.ceil(round(threshold * len(want), 9)):
+    for label, template, *rest in templates:
+        required, excluded = [set(words(x)) for x in [*rest, "", ""][:2]]
+        want, length = set(words(template)), len(words(template))
+        if not want:
+            continue
+        blocks = [(set(words(line)), set(words(line))) for line in (text or "").split("\n")]
+        blocks += [(set(own[i:i + length]), set(own[max(i - 1, 0):i + length + 1])) for i, w in enumerate(own) if w in want]
+        for held, around in blocks:
+            if len(want & held) >= math.ceil(round(threshold * len(want), 9)) and required <= held and not excluded & around:
                 labels.add(label)
-                best = max(best, share)
+                best = max(best, len(want & held) / len(want))
     return (len(own), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)),
             1.0 if places else best)

@@ -11,7 +11,7 @@ from foldloom.llm import license_scan, secret_scan, url_reputation
 
 def test_licenses_against_every_line_and_template(spark):
     rng = random.Random(1)
-    templates = [t for _, t in license_scan.TEMPLATES]
+    templates = [t[1] for t in license_scan.TEMPLATES]
     texts = [None, "", "\n\n", "MIT", "mit license", "The MIT-LICENSE, mit license\nMIT\nLicense", "Apache License apache license general public license",
              "licence mit license. x", "ÉMIT license", "KIT mit license", "no mit licenses", "word " * 30_000 + "mit license", *templates]
     for _ in range(60):
@@ -29,6 +29,32 @@ def test_licenses_against_every_line_and_template(spark):
     assert {r["labels"] for r in license_scan.scan_licenses(df, templates=()).collect()} == {w[5] for w in want}
 
 
+def test_each_notice_has_the_label_of_its_license_alone(spark):
+    """Every notice on one line, wrapped, and inside other text; and sister notices that differ in one word."""
+    sisters = {"Released under the Apache License.": "apache", "Released under the BSD License.": "bsd", "Licensed under CC BY 4.0.": "cc-by",
+               "Licensed under CC BY-SA 4.0.": "cc-by-sa", "Licensed under CC BY-NC 4.0.": "cc-by-nc", "Licensed under CC BY-NC-SA 4.0.": "", "Released under the Zlib License.": "",
+               "cc 4 licensed under CC BY-SA 4.0": "cc-by-sa", "sa vie\nLicensed under CC BY 4.0.\nc'est sa vie": "cc-by"}
+    whole = {t: label for label, t, *_ in license_scan.TEMPLATES}
+    forms = [(t, label) for t, label in whole.items()]
+    forms += [("# " + "\n#  ".join(" ".join(part) for part in (t.split()[i:i + 4] for i in range(0, len(t.split()), 4))), label) for t, label in whole.items()]
+    forms += [(f"some words before. {t} And {'more ' * 40}", label) for t, label in whole.items()] + list(sisters.items())
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(forms)], "doc_id int, text string")
+    got = {r["doc_id"]: r["labels"] for r in license_scan.scan_licenses(df).collect()}
+    assert [(forms[i][0], got[i]) for i in sorted(got)] == forms
+
+
+def test_templates_take_several_passes_and_long_texts_chunks(spark, monkeypatch):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["mit", "license", "under", "the", "released", "cc", "by", "x", "sa", "4", "0", "licensed"]) for _ in range(400)) for _ in range(12)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string")
+    plain = sorted(map(str, license_scan.scan_licenses(df).collect()))
+    monkeypatch.setattr(license_scan, "CHUNK", 7)
+    monkeypatch.setattr(license_scan, "TEMPLATES_AT_ONCE", 4)
+    assert sorted(map(str, license_scan.scan_licenses(df).collect())) == plain
+    want = [brute.licenses(t, license_scan.PHRASES, license_scan.TEMPLATES)[5] for t in texts]
+    assert [r["labels"] for r in license_scan.scan_licenses(df).orderBy("doc_id").collect()] == want
+
+
 def test_overlapping_phrases_count_each_place(spark):
     df = spark.createDataFrame([(1, "a a a b a a")], "doc_id long, text string")
     row = license_scan.scan_licenses(df, phrases={"a a": "twice"}, templates=(("other", "q r s"),)).first()

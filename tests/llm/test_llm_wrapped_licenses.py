@@ -7,7 +7,7 @@ from foldloom.llm import license_scan
 
 def test_wrapped_notices_meet_their_templates(spark):
     rows = []
-    for label, text in license_scan.TEMPLATES:
+    for label, text, *_ in license_scan.TEMPLATES:
         for width, mark in ((24, ""), (40, " * "), (70, "# ")):
             lines = textwrap.wrap(text, width)
             rows.append((len(rows), label, "some code\n" * 30 + "\n".join(mark + x for x in lines) + "\nmore code" * 30))

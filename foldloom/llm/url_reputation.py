@@ -15,8 +15,9 @@ from foldloom.plans.stage import stage
 
 # The given rules (verdict, host and path).
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
-# Public suffixes of two labels that the engine knows; others end at the last dot. Pass a longer list where it matters.
-TWO_LABEL_SUFFIXES = ("ac.uk", "co.jp", "co.nz", "co.uk", "com.au", "com.br", "gov.uk", "org.uk")
+# Suffixes besides the last label that are known without a table. A run on real hosts passes the public list.
+SUFFIXES = ("ac.uk", "co.jp", "co.nz", "co.uk", "com.au", "com.br", "gov.uk", "org.uk")
+MAX_LABELS = 5
 WEAKEST, STRONGEST = 1.0, 1000.0
 ADDRESS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -32,14 +33,16 @@ def url_path(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), ADDRESS, 2)
 
 
-def suffix_of(host: Column, two_labels: tuple[str, ...] = TWO_LABEL_SUFFIXES) -> Column:
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(list(two_labels)), two).otherwise(F.substring_index(host, ".", -1))
-
-
-def domain_of(host: Column, two_labels: tuple[str, ...] = TWO_LABEL_SUFFIXES) -> Column:
-    """The suffix and one label before it; a host without more labels is its own domain."""
-    return F.when(F.substring_index(host, ".", -2).isin(list(two_labels)), F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
+def with_suffix(hosts: DataFrame, suffixes: DataFrame) -> DataFrame:
+    """``hosts`` (one row each) with ``suffix``, the longest of the table ``suffixes(suffix)`` in which the host ends, else its last label, and ``domain``: one label
+    more. A host without more labels is its own domain. Suffixes of up to ``MAX_LABELS`` labels are looked up, by equality."""
+    labels = F.split("host", "[.]", -1)
+    tail = lambda n: F.array_join(F.slice(labels, F.greatest(F.size(labels) - n + 1, F.lit(1)), n), ".")
+    tails = F.transform(F.sequence(F.lit(1), F.least(F.size(labels), F.lit(MAX_LABELS))), lambda n: F.struct(n.alias("n"), tail(n).alias("suffix")))
+    found = (hosts.select("host", F.explode(tails).alias("x")).select("host", "x.*").join(suffixes.select("suffix").distinct(), "suffix")
+             .groupBy(F.col("host").alias("_host")).agg(F.max("n").alias("_n")))
+    n = F.coalesce("_n", F.lit(1))
+    return hosts.join(found, F.col("host") == F.col("_host"), "left").withColumns({"suffix": tail(n), "domain": tail(n + 1)}).drop("_host", "_n")
 
 
 def matching_rule(host: Column, path: Column, rules: tuple[tuple[str, str], ...] = RULES) -> Column:
@@ -66,21 +69,24 @@ def strength(n: int, k: int, groups: int, n_square: float, spread: float) -> flo
 
 
 def level_strength(counts: DataFrame) -> float:
-    """Strength of the prior over the groups of ``counts`` (n, k). One row of whole-number sums reaches the driver."""
-    row = counts.where("n > 0").agg(F.sum("n").alias("n"), F.sum("k").alias("k"), F.count("n").alias("groups"), F.sum(F.expr("n * n")).alias("square"),
-                                    F.sum(F.expr("(k * k * 1000000) div n")).alias("spread")).first()
-    return strength(row["n"] or 0, row["k"] or 0, row["groups"], row["square"] or 0, (row["spread"] or 0) / 1e6)
+    """Strength of the prior over the groups of ``counts`` (n, k). One row of whole-number sums reaches the driver; squares are decimals of 38 digits."""
+    wide = counts.where("n > 0").select("n", "k", *[F.col(c).cast("decimal(16,0)").alias(f"w{c}") for c in ("n", "k")])
+    row = wide.agg(F.sum("n").alias("n"), F.sum("k").alias("k"), F.count("n").alias("groups"), F.sum(F.expr("wn * wn")).alias("square"),
+                   F.sum(F.expr("cast((wk * wk * 1000000) div wn as decimal(24,0))")).alias("spread")).first()
+    return strength(row["n"] or 0, row["k"] or 0, row["groups"], float(row["square"] or 0), float(row["spread"] or 0) / 1e6)
 
 
-def host_reputation(pages: DataFrame, host: str = "host", bad: str = "bad", z: float = 1.645) -> DataFrame:
+def host_reputation(pages: DataFrame, host: str = "host", bad: str = "bad", z: float = 1.645, suffixes: DataFrame | None = None) -> DataFrame:
     """(host, n, k, rate, bound) of every host: labelled pages, bad ones, posterior rate and its lower bound, rounded to 6 digits.
 
-    ``bad`` is true, false, or null without a label. Hosts without labelled pages get the rate of their domain. Null hosts count as the
+    ``suffixes(suffix)`` is the table of public suffixes (without it: a few). ``bad`` is true, false, or null without a label. Hosts without labelled pages get the rate of their domain. Null hosts count as the
     empty host. Counts are summed before the shuffle, so one host may hold any share of the pages.
     """
     n, k = F.count(bad), F.count(F.when(F.col(bad), 1))
-    hosts = stage(pages.groupBy(F.coalesce(F.col(host), F.lit("")).alias("host")).agg(n.alias("n"), k.alias("k"))
-                  .withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))}))
+    counted = stage(pages.groupBy(F.coalesce(F.col(host), F.lit("")).alias("host")).agg(n.alias("n"), k.alias("k")))
+    if suffixes is None:
+        suffixes = pages.sparkSession.createDataFrame([(s,) for s in SUFFIXES], "suffix string")
+    hosts = stage(with_suffix(counted, suffixes))
     total = lambda df, *by: df.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     domains = stage(total(hosts, "domain", "suffix"))
     suffixes = stage(total(domains, "suffix"))
@@ -97,7 +103,7 @@ def host_reputation(pages: DataFrame, host: str = "host", bad: str = "bad", z: f
 
 
 def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, threshold: float = 0.5,
-                key: str = "page_id", url: str = "url") -> DataFrame:
+                key: str = "page_id", url: str = "url", suffixes: DataFrame | None = None) -> DataFrame:
     """(key, host, path, rule, verdict, rate, bound) of every page: the longest fitting rule decides, else the host's reputation.
 
     ``outcomes`` has (key, bad). Null urls and urls without :// have an empty host and path and meet no rule. Repeated pages are judged
@@ -105,7 +111,7 @@ def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: tuple[tuple[str, s
     """
     known = outcomes.where(F.col("bad").isNotNull()).groupBy(key).agg(F.max("bad").alias("bad"))
     own = pages.select(key, url_host(F.col(url)).alias("host"), url_path(F.col(url)).alias("path"))
-    reputation = stage(host_reputation(own.join(known, key, "left")))
+    reputation = stage(host_reputation(own.join(known, key, "left"), suffixes=suffixes))
     rule = matching_rule(F.col("host"), F.col("path"), rules)
     return (own.join(reputation, "host").withColumn("__rule", rule)
             .select(key, "host", "path", F.col("__rule.rule").alias("rule"),

@@ -24,7 +24,8 @@ ASSIGNED = "(?i:pass(?:word|wd|phrase)?|token|secret|api|key|auth|credential|bea
 CANDIDATE = f"{VALUE}|(?<={ASSIGNED})[A-Za-z0-9+/_-]+"
 #: What stands between a name and what is assigned to it.
 NAMED = "^[\"']?[=:][\"']?"
-MOCKS = "(?i)example|sample|dummy|test|fake|mock|placeholder|x{6}"
+#: Words of their own, or parts between other characters than letters: "test_key" but not "latest".
+MOCKS = "(?i)(?<![a-z])(example|sample|dummy|test|fake|mock|placeholder)(?![a-z])|x{6}"
 # Labelled findings of each label that the forest learns from at most, and a word's least count in the dictionary.
 SAMPLE_ROWS, DICTIONARY_COUNT = 10_000, 5
 FEATURES = ("size", "digits", "capitals", "smalls", "distinct", "transitions", "slashes", "hexadecimal", "coverage", "assigned", "key_before",

@@ -28,6 +28,7 @@ KINDS = (*PATTERNS, "term")
 # A text without this has no match.
 HINTS = {"email": "@", "ip": "[0-9][.][0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){13}", "phone": "[+][0-9]"}
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
 CAPITALS, SMALLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Code points on either side of an entity in which terms count as near, and a term's least length.
 NEAR, LEAST_LENGTH = 80, 3
@@ -42,18 +43,31 @@ def _total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0), lambda s, x: s + x)
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often and inside whatever lambda it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def starts(lengths: Column) -> Column:
     """Running sums before each element: by chunks, so that a list of n costs n times the chunk, and no list is built up element by element."""
-    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / _CHUNK).cast("int")), lambda c: F.slice(lengths, c * _CHUNK + 1, _CHUNK))
-    sums = F.transform(chunks, _total)
-    whole = F.transform(chunks, lambda chunk, c: F.transform(chunk, lambda x, i: _total(F.slice(sums, 1, c)) + _total(F.slice(chunk, 1, i))))
-    return F.when(F.size(lengths) > 0, F.flatten(whole)).otherwise(F.array().cast("array<int>"))
+    def inside(sums: Column):
+        return lambda chunk, c: bound(_total(F.slice(sums, 1, c)), lambda before: F.transform(chunk, lambda x, i: before + _total(F.slice(chunk, 1, i))))
+
+    def chunked(values: Column) -> Column:
+        count = F.floor((F.size(values) - 1) / _CHUNK).cast("int")
+        chunks = F.transform(F.sequence(F.lit(0), count), lambda c: F.slice(values, c * _CHUNK + 1, _CHUNK))
+        return bound(chunks, lambda parts: bound(F.transform(parts, _total), lambda sums: F.flatten(F.transform(parts, inside(sums)))))
+
+    return bound(lengths, lambda values: F.when(F.size(values) > 0, chunked(values)).otherwise(F.array().cast("array<int>")))
 
 
 def placed(values: Column, gaps: Column) -> Column:
     """Starts of the matches ``values`` of a text with pieces of the lengths ``gaps`` around them (one more than matches)."""
-    steps = F.transform(values, lambda v, i: F.length(v) + F.get(gaps, i + 1))
-    return F.transform(starts(steps), lambda s: s + F.get(gaps, F.lit(0)))
+    def use(own: Column) -> Column:
+        steps = F.transform(values, lambda v, i: F.length(v) + F.get(own, i + 1))
+        return F.transform(starts(steps), lambda s: s + F.get(own, F.lit(0)))
+
+    return bound(gaps, use)
 
 
 def _digits(value: Column) -> Column:
@@ -93,7 +107,7 @@ def _near_terms(before: Column, after: Column, cut_before: Column, cut_after: Co
 
 def terms(text: Column) -> Column:
     """Distinct terms of a text."""
-    found = F.regexp_extract_all(F.translate(text, CAPITALS, SMALLS), F.lit(WORD), F.lit(0))
+    found = F.split(F.translate(text, CAPITALS, SMALLS), f"{BETWEEN}+")
     return F.array_distinct(F.filter(found, lambda w: F.length(w) >= LEAST_LENGTH))
 
 
@@ -155,7 +169,8 @@ def disclosing_terms(df: DataFrame, text: str = "text", least_rows: int = LEAST_
     entities = parts.where("term = ''").select("entity", F.col("n").alias("entity_rows"))
     pairs = parts.where("term <> ''").select("entity", "term", F.col("n").alias("near_rows"))
     words = docs.select(F.explode_outer(terms(F.col("text"))).alias("term")).where("term is not null")
-    rows = words.join(pairs.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("rows"))
+    # Words are counted before they meet the pairs: what a task hands on is its vocabulary, however common the terms of pairs are.
+    rows = words.groupBy("term").agg(F.count(F.lit(1)).alias("rows"))
     known = pairs.join(entities, "entity").join(rows, "term").where(F.col("entity_rows") < total)
     share = F.round(1 + F.log(F.col("near_rows") / F.col("rows")) / F.log(F.lit(total) / F.col("entity_rows")), 9)
     scored = known.withColumn("disclosure", share).where(F.col("disclosure") >= generalise)
@@ -169,11 +184,11 @@ def term_spans(df: DataFrame, disclosed: DataFrame, text: str = "text") -> DataF
     words = docs.select(*_text_key(), F.explode_outer(terms(F.col("text"))).alias("term")).where("term is not null")
     hit = stage(words.join(disclosed.select("term"), "term", "left_semi").select("h", "g").distinct())
     own = docs.select("text", *_text_key()).join(hit, ["h", "g"], "left_semi").dropDuplicates(["h", "g"])
-    low = own.select("h", "g", F.translate("text", CAPITALS, SMALLS).alias("low")).select(
-        "h", "g", F.regexp_extract_all("low", F.lit(WORD), F.lit(0)).alias("values"), F.transform(F.split("low", WORD, -1), F.length).alias("gaps"))
-    at = low.select("h", "g", "values", placed(F.col("values"), F.col("gaps")).alias("at"))
-    each = at.select("h", "g", F.explode_outer(F.arrays_zip("at", "values")).alias("x")).select("h", "g", F.col("x.at").alias("start"), F.col("x.values").alias("term"))
-    found = each.where("term is not null").join(disclosed.select("term", "removed"), "term")
+    # One character lies between two pieces, so their lengths alone place them.
+    pieces = own.select("h", "g", F.split(F.translate("text", CAPITALS, SMALLS), BETWEEN, -1).alias("pieces"))
+    at = pieces.select("h", "g", "pieces", starts(F.transform("pieces", lambda p: F.length(p) + 1)).alias("at"))
+    each = at.select("h", "g", F.explode_outer(F.arrays_zip("at", "pieces")).alias("x")).select("h", "g", F.col("x.at").alias("start"), F.col("x.pieces").alias("term"))
+    found = each.where(F.length("term") >= LEAST_LENGTH).join(disclosed.select("term", "removed"), "term")
     return found.groupBy("h", "g").agg(F.sort_array(F.collect_list(F.struct(  # at most the words of one text
         "start", F.lit(len(PATTERNS)).alias("kind"), (F.col("start") + F.length("term")).alias("end"), "removed"))).alias("terms"))
 

@@ -43,15 +43,22 @@ def check_scale(factor: float) -> float:
     return value
 
 
+def _times(x: Column, factor: float) -> Column:
+    """``x`` times ``factor`` in float32; an error where a finite value becomes infinite."""
+    y = (x * F.lit(factor).cast("float")).cast("float")
+    lost = (F.abs(y) == F.lit(math.inf)) & (F.abs(x) < F.lit(math.inf))
+    return F.when(lost, F.raise_error(F.lit(f"a value times {factor} overflows float32")).cast("float")).otherwise(y)
+
+
 def scale_units(signal: str | Column, factor: float) -> Column:
-    """Flat signal times ``factor`` in float32."""
-    scale = F.lit(check_scale(factor)).cast("float")
-    return F.transform(as_column(signal), lambda x: (x * scale).cast("float"))
+    """Flat signal times ``factor`` in float32; values that overflow raise an error."""
+    scale = check_scale(factor)
+    return F.transform(as_column(signal), lambda x: _times(x, scale))
 
 
 def scale_channels(signal: str | Column, factor: float) -> Column:
-    scale = F.lit(check_scale(factor)).cast("float")
-    return F.transform(as_column(signal), lambda row: F.transform(row, lambda x: (x * scale).cast("float")))
+    scale = check_scale(factor)
+    return F.transform(as_column(signal), lambda row: F.transform(row, lambda x: _times(x, scale)))
 
 
 def stride_probe(signal: str | Column, step: int = 8) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldloom.functions import text as tx
-from foldloom.plans.ordering import hash_positions, running_totals
+from foldloom.plans.ordering import hash_positions, positions, running_totals
 from foldloom.plans.stage import stage
 
 # Shares and seed offset of the study's splits.
@@ -55,7 +55,9 @@ def task_targets(tasks: DataFrame) -> DataFrame:
 
 
 def order_tasks(catalog: DataFrame) -> DataFrame:
-    return catalog.orderBy(F.desc("n_classes"), "pos")
+    """The catalog with ``rank`` from 1: more classes first, ties in original order. Rows come in that order."""
+    back = catalog.withColumn("_back", -F.col("n_classes"))
+    return positions(back, "_back", "pos", name="rank").drop("_back").orderBy("rank")
 
 
 def share(n, fraction: float):

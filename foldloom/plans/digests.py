@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 LANES = 16
 
 
-def _hash_sorted(entries: str) -> Column:
-    return F.sha2(F.array_join(F.array_sort(F.collect_list(entries)), "\n"), 256)
+def hash_lines(lines: str | Column) -> Column:
+    """SHA-256 of the sorted lines of a group whose size is bounded."""
+    return F.sha2(F.array_join(F.array_sort(F.collect_list(lines)), "\n"), 256)
 
 
 def tree_digest(df: DataFrame, line: Column, by: Sequence[str] = (), name: str = "digest") -> DataFrame:
@@ -32,12 +33,12 @@ def tree_digest(df: DataFrame, line: Column, by: Sequence[str] = (), name: str =
         F.concat_ws(":", "_h", F.col("_n").cast("string")).alias("_entry"))
     # Placing by (key, first three digits) serves both levels below with a single shuffle.
     placed = leaves.repartition(*by, "_p3")
-    lower = placed.groupBy(*by, "_p3", "_p6").agg(_hash_sorted("_entry").alias("_d"), F.sum("_n").alias("_n"))
+    lower = placed.groupBy(*by, "_p3", "_p6").agg(hash_lines("_entry").alias("_d"), F.sum("_n").alias("_n"))
     lower = lower.withColumn("_entry", F.concat_ws(":", "_p6", "_d"))
-    middle = lower.groupBy(*by, "_p3").agg(_hash_sorted("_entry").alias("_d"), F.sum("_n").alias("_n"))
+    middle = lower.groupBy(*by, "_p3").agg(hash_lines("_entry").alias("_d"), F.sum("_n").alias("_n"))
     middle = middle.withColumn("_entry", F.concat_ws(":", "_p3", "_d"))
     return middle.groupBy(*by).agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n_lines"),
-                                   _hash_sorted("_entry").alias(name))
+                                   hash_lines("_entry").alias(name))
 
 
 def member_sums(df: DataFrame, line: Column, by: Sequence[str] = (), positive: Column | None = None) -> DataFrame:

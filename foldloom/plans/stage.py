@@ -6,6 +6,7 @@ that would keep a frequent key together. A lost executor costs nothing that was
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -28,10 +29,15 @@ def _session_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/staged-{spark.sparkContext.applicationId}"
 
 
+def new_path(spark: SparkSession) -> str:
+    """A folder of its own below the shared one, for tables that are stored for this application only."""
+    return f"{_session_folder(spark)}/{uuid.uuid4().hex}"
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Writes ``df`` as Parquet and reads it back: later branches start there instead of scanning the sources again."""
     spark = df.sparkSession
-    path = f"{_session_folder(spark)}/{uuid.uuid4().hex}"
+    path = new_path(spark)
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._staged_at = path
@@ -43,11 +49,20 @@ def _remove(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def drop_staged(df: DataFrame) -> None:
-    """Removes the table that ``stage`` returned as ``df``: for rounds whose table has been replaced by a written one. Other DataFrames are left alone."""
-    path = getattr(df, "__dict__", {}).pop("_staged_at", None)
-    if path:
-        _remove(df.sparkSession, path)
+def drop_staged(*tables: DataFrame) -> None:
+    """Removes tables that ``stage`` returned, once nothing that is still to run reads them. Other DataFrames are left alone.
+
+    The JVM is asked to collect what refers to the jobs that wrote them: Spark then removes their shuffle files.
+    """
+    spark = None
+    for df in tables:
+        path = df.__dict__.pop("_staged_at", None)
+        if path:
+            spark = df.sparkSession
+            _remove(spark, path)
+    if spark:
+        gc.collect()
+        spark._jvm.System.gc()
 
 
 def clear_staged(spark: SparkSession) -> None:

@@ -8,9 +8,11 @@ from foldloom.functions.text import record_line
 from foldloom.operators import compare as co
 from foldloom.operators import fingerprints as fp
 from foldloom.operators import folds as fo
+from foldloom.operators import splittree as tr
 from foldloom.operators import stratified as st
 from foldloom.operators.profile import case_counts
 from foldloom.plans.digests import tree_digest
+from foldloom.plans.stage import new_path
 from foldloom.queries import folds as qf
 from foldloom.queries import splits as qs
 from foldloom.queries.views import MIN_PER_CLASS, RECORDS, TEXTS, VECTORS, records, sql, table, texts, vectors
@@ -29,20 +31,25 @@ def tree(name: str, source: str, line: str, by: str = "") -> str:
   FROM {name}_3 {tail})"""
 
 
+def backwards():
+    """The labelled documents from the last id to the first: an order that is not the key."""
+    return F.lit(10**9) - F.col("record_id")
+
+
 def dataset_digests(spark, d):
     data = texts(spark, d)
     return fp.keyed_digests(data, {
         "records": fp.record_id_line(), "payloads": record_line("record_id", "payload_hash"),
         "labels": F.concat_ws(":", "payload_hash", F.col("label").cast("string")),
         "owners": F.concat_ws(":", "payload_hash", "group_id", "case_id"),
-        "row_order": record_line("record_id", "payload_hash")})
+        "row_order": record_line(backwards(), "payload_hash")})
 
 
 def single_digests(spark, d):
     """The same digests, one operator each."""
     data = texts(spark, d)
     parts = {"records": fp.records_digest(data), "payloads": fp.payload_digest(data), "labels": fp.signal_label_digest(data),
-             "owners": fp.owner_digest(data), "row_order": fp.ordered_digest(data, "record_id", F.col("payload_hash"))}
+             "owners": fp.owner_digest(data), "row_order": fp.ordered_digest(data.withColumn("ordinal", backwards()), "ordinal", F.col("payload_hash"))}
     out = None
     for key, part in parts.items():
         row = part.select(F.lit(key).alias("key"), "n_lines", "digest")
@@ -53,9 +60,10 @@ def single_digests(spark, d):
 RECORD_LINE = "record_id || chr(9) || group_id || chr(9) || case_id || chr(9) || label"
 DATASET_SQL = sql(TEXTS, tree("a", "texts", RECORD_LINE), tree("b", "texts", "record_id || chr(9) || payload_hash"),
                   tree("c", "texts", "payload_hash || ':' || label"),
-                  tree("e2", "texts", "payload_hash || ':' || group_id || ':' || case_id"), body="""
+                  tree("e2", "texts", "payload_hash || ':' || group_id || ':' || case_id"),
+                  tree("o", "texts", "(1000000000 - record_id) || chr(9) || payload_hash"), body="""
 SELECT 'records' AS key, * FROM a UNION ALL SELECT 'payloads', * FROM b UNION ALL SELECT 'labels', * FROM c
-UNION ALL SELECT 'owners', * FROM e2 UNION ALL SELECT 'row_order', * FROM b""")
+UNION ALL SELECT 'owners', * FROM e2 UNION ALL SELECT 'row_order', * FROM o""")
 
 
 def line_digest(spark, d):
@@ -92,21 +100,80 @@ def _plan(spark, d, tasks=None):
 
 
 def split_digests(spark, d):
-    """Digest of every task and of the whole split plan."""
-    out = fp.split_digests(_plan(spark, d))
+    """Digest of every task and of the whole split plan, composed from the members of each set."""
+    out = tr.composed_split_digests(st.planned_fits(vectors(spark, d)), st.task_targets(st.preset_tasks(spark)))
     return out["task"].select("task_id", "n_lines", "digest").unionByName(
         out["plan"].select(F.lit("<all>").alias("task_id"), "n_lines", "digest"))
 
 
-SPLIT_SQL = sql(VECTORS, qs.TASKS, qs.RANKED, "rows AS (SELECT * FROM planned JOIN targets USING (set_id))",
-                tree("f", "rows", "part || chr(9) || record_id || chr(9) || target || chr(9) || seed", "task_id, fit"),
-                tree("t", "f", "fit || chr(9) || digest", "task_id"),
-                tree("a", "t", "task_id || chr(9) || digest"), body="""
-SELECT task_id, n_lines, digest FROM t UNION ALL SELECT '<all>', n_lines, digest FROM a""")
+def _lanes(h: str) -> str:
+    return " || ',' || ".join(f"sum(CAST('0x' || substr({h}, {4 * i + 1}, 4) AS BIGINT))::BIGINT" for i in range(16))
+
+
+# The same digests from all rows of all tasks.
+SPLIT_SQL = sql(VECTORS, qs.TASKS, qs.RANKED, f"""hashed AS (SELECT *, sha256(CAST(record_id AS VARCHAR)) AS h FROM planned),
+lined AS (SELECT task_id, fit, part || chr(9) || target || chr(9) || seed || chr(9) || count(*) || chr(9) || sha256(count(*) || ',' || {_lanes("h")}) AS line
+          FROM hashed JOIN targets USING (set_id) GROUP BY task_id, fit, seed, part, target),
+f AS (SELECT task_id, fit, sha256(string_agg(line, chr(10) ORDER BY line)) AS digest FROM lined GROUP BY task_id, fit),
+t AS (SELECT task_id, count(*) AS n_lines, sha256(string_agg(fit || chr(9) || digest, chr(10) ORDER BY fit || chr(9) || digest)) AS digest FROM f GROUP BY task_id)""",
+                body="""
+SELECT task_id, n_lines, digest FROM t UNION ALL
+SELECT '<all>', count(*), sha256(string_agg(task_id || chr(9) || digest, chr(10) ORDER BY task_id || chr(9) || digest)) FROM t""")
+
+
+def _edited_fits(fits):
+    """A plan in which fold 3 validates some of its training records, fold 1 lost some records, and the holdout has another seed."""
+    key, fit = F.col("record_id"), F.col("fit")
+    moved = (fit == "cv_fold_03") & (F.col("part") == "train") & (key % 50 == 7)
+    kept = fits.where(~((fit == "cv_fold_01") & (key % 97 == 5)))
+    return kept.withColumns({"part": F.when(moved, "val").otherwise(F.col("part")),
+                             "seed": F.when(fit == "holdout_70_30", F.col("seed") + 1).otherwise(F.col("seed"))})
+
+
+def _stored_trees(spark, d):
+    """Trees of the plan and of its edited form; in that one set S has another target in all tasks with set Z."""
+    fits = fp.stage(st.planned_fits(vectors(spark, d)))
+    targets = st.task_targets(st.preset_tasks(spark))
+    other = targets.withColumn("target", F.when(F.col("task_id").contains("Z") & (F.col("set_id") == "S"), F.col("target") + 10).otherwise(F.col("target")))
+    trees = []
+    for rows, goals in ((fits, targets), (_edited_fits(fits), other)):
+        path = new_path(spark)
+        tr.write_split_tree(rows, goals, path)
+        trees.append(tr.read_split_tree(spark, path))
+    return trees
+
+
+def differing_fits(spark, d):
+    return tr.differing_fits(*_stored_trees(spark, d))
+
+
+def differing_records(spark, d):
+    return tr.differing_records(*_stored_trees(spark, d))
+
+
+EDITED = """edited AS (
+  SELECT fit, CASE WHEN fit = 'holdout_70_30' THEN seed + 1 ELSE seed END AS seed, record_id, set_id,
+         CASE WHEN fit = 'cv_fold_03' AND part = 'train' AND record_id % 50 = 7 THEN 'val' ELSE part END AS part
+  FROM planned WHERE NOT (fit = 'cv_fold_01' AND record_id % 97 = 5)),
+goals AS (SELECT task_id, set_id, CASE WHEN contains(task_id, 'Z') AND set_id = 'S' THEN target + 10 ELSE target END AS target FROM targets)"""
+
+# All rows of both plans side by side.
+DIFFERING_FITS_SQL = sql(VECTORS, qs.TASKS, qs.RANKED, EDITED, """a AS (SELECT * FROM planned JOIN targets USING (set_id)),
+b AS (SELECT * FROM edited JOIN goals USING (set_id)),
+both_sides AS (SELECT coalesce(a.task_id, b.task_id) AS task_id, coalesce(a.fit, b.fit) AS fit, coalesce(a.record_id, b.record_id) AS record_id,
+    a.part IS DISTINCT FROM b.part AS moved, a.seed <> b.seed AS reseeded, a.target <> b.target AS retargeted
+  FROM a FULL JOIN b ON a.task_id = b.task_id AND a.fit = b.fit AND a.record_id = b.record_id),
+aims AS (SELECT t.task_id, bool_or(t.target <> g.target) AS targets_differ FROM targets t JOIN goals g USING (task_id, set_id) GROUP BY t.task_id)""", body="""
+SELECT task_id, fit, 'both' AS side, coalesce(bool_or(reseeded), false) AS seed_differs, any_value(targets_differ) AS targets_differ,
+  count(*) FILTER (moved) AS n_records, coalesce(array_to_string(list_sort(list(record_id) FILTER (moved))[1:3], ', '), '') AS first_records
+FROM both_sides JOIN aims USING (task_id) GROUP BY task_id, fit HAVING bool_or(moved OR coalesce(reseeded, false) OR coalesce(retargeted, false))""")
+DIFFERING_RECORDS_SQL = sql(VECTORS, qs.RANKED, EDITED.split(",\ngoals")[0], body="""
+SELECT coalesce(a.fit, b.fit) AS fit, coalesce(a.record_id, b.record_id) AS record_id, a.set_id AS left_set, a.part AS left_part, b.set_id AS right_set, b.part AS right_part
+FROM planned a FULL JOIN edited b ON a.fit = b.fit AND a.record_id = b.record_id WHERE a.part IS DISTINCT FROM b.part""")
+
 
 def _lane_digest(keys: str, source: str, line: str) -> str:
-    text = " || ',' || ".join(f"sum(CAST('0x' || substr(h, {4 * i + 1}, 4) AS BIGINT))::BIGINT" for i in range(16))
-    return f"SELECT {keys}, count(*) AS n_members, count(*) FILTER (label = 1) AS n_pos, sha256(count(*) || ',' || {text}) AS digest FROM (SELECT *, sha256({line}) AS h FROM {source}) GROUP BY {keys}"
+    return f"SELECT {keys}, count(*) AS n_members, count(*) FILTER (label = 1) AS n_pos, sha256(count(*) || ',' || {_lanes('h')}) AS digest FROM (SELECT *, sha256({line}) AS h FROM {source}) GROUP BY {keys}"
 
 
 def fold_part_digests(spark, d):
@@ -229,6 +296,8 @@ QUERIES = {
     "case_digests": (case_digests, sql(RECORDS, tree("a", "records", RECORD_LINE, "group_id"), body="SELECT group_id, n_lines, digest FROM a")),
     "recording_digests": (recording_digests, sql(RECORDINGS, tree("a", "lines", "line", "key"), body="SELECT key, n_lines, digest FROM a")),
     "split_digests": (split_digests, SPLIT_SQL),
+    "differing_fits": (differing_fits, DIFFERING_FITS_SQL),
+    "differing_records": (differing_records, DIFFERING_RECORDS_SQL),
     "fold_part_digests": (fold_part_digests, FOLD_PARTS_SQL),
     "plan_row_digests": (plan_row_digests, PLAN_ROWS_SQL),
     "fingerprint_status": (fingerprint_status, sql(TEXTS, body="""

@@ -84,6 +84,7 @@ def tied_pooled_metrics(spark, d):
     return rounded(me.pooled_metrics(_ties(spark, d)), *me.FOLD_METRICS)
 
 
+SUMMARY = ["n_folds", "n_defined", "mean", "sd", "median", "q1", "q3", "iqr", "weighted_mean"]
 AGG = ["mean", "sd", "median", "q1", "q3", "iqr", "weighted_mean"]
 
 
@@ -140,17 +141,22 @@ def evaluation_report(spark, d):
         F.lit("fold_metrics").alias("part"), F.col("unit").alias("key"), "metric", "value")
     pooled = report["pooled"].unpivot([], list(me.FOLD_METRICS), "metric", "value").select(
         F.lit("pooled").alias("part"), F.lit("all").alias("key"), "metric", "value")
-    summaries = [report[name].select(F.lit(name).alias("part"), F.lit("mean").alias("key"), "metric", F.col("mean").alias("value"))
-                 for name in ("fold_summary_all", "fold_summary_both_classes")]
+    summaries = [report[name].select("metric", *[F.col(c).cast("double").alias(c) for c in SUMMARY]).unpivot("metric", SUMMARY, "key", "value").select(
+        F.lit(name).alias("part"), "key", "metric", "value") for name in ("fold_summary_all", "fold_summary_both_classes")]
     return rounded(per_unit.unionByName(pooled).unionByName(summaries[0]).unionByName(summaries[1]), "value")
 
 
 EVALUATION_SQL = sql(EVENTS.replace("p AS (", "p AS (SELECT 'all' AS unit, label AS target, prob FROM records UNION ALL "),
                      SCORED, "l AS (" + " UNION ALL ".join(
-                         f"SELECT unit, single_class, '{x}' AS metric, {x} AS v FROM m" for x in me.FOLD_METRICS) + ")", body="""
+                         f"SELECT unit, n, single_class, '{x}' AS metric, {x} AS v FROM m" for x in me.FOLD_METRICS) + ")", """sc AS (
+  SELECT 'fold_summary_all' AS part, metric, n, v FROM l WHERE unit <> 'all'
+  UNION ALL SELECT 'fold_summary_both_classes', metric, n, v FROM l WHERE unit <> 'all' AND NOT single_class),
+agg AS (
+  SELECT part, metric, count(*)::DOUBLE AS n_folds, count(v)::DOUBLE AS n_defined, avg(v) AS mean, stddev_samp(v) AS sd, quantile_cont(v, 0.5) AS median,
+         quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.75) AS q3, quantile_cont(v, 0.75) - quantile_cont(v, 0.25) AS iqr,
+         sum(v * n) / sum(CASE WHEN v IS NOT NULL THEN n END) AS weighted_mean FROM sc GROUP BY part, metric)""", body="""
 SELECT CASE WHEN unit = 'all' THEN 'pooled' ELSE 'fold_metrics' END AS part, unit AS key, metric, round(v, 9) AS value FROM l
-UNION ALL SELECT 'fold_summary_all', 'mean', metric, round(avg(v), 9) FROM l WHERE unit <> 'all' GROUP BY metric
-UNION ALL SELECT 'fold_summary_both_classes', 'mean', metric, round(avg(v), 9) FROM l WHERE unit <> 'all' AND NOT single_class GROUP BY metric""")
+""" + "".join(f"UNION ALL SELECT part, '{c}', metric, round({c}, 9) FROM agg\n" for c in SUMMARY))
 
 
 def curve_points(spark, d):

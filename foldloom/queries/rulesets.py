@@ -118,7 +118,7 @@ UNION ALL SELECT 'edited', count(*) FILTER (edited <> computed), (SELECT n FROM
 
 def wrong_text_hashes(spark, d):
     rows = _hashes(spark, d).select(F.col("doc_id").alias("record_id"), F.upper("edited").alias("stored"), "computed")
-    return rules.check_records(rows, [rules.hash_agrees("stored", "computed")]).drop("detail")
+    return rules.check_records(rows, [rules.hash_agrees("stored", "computed")])
 
 
 def amplitude_warning(spark, d):
@@ -171,13 +171,15 @@ SELECT 'manifest' AS rule, 'error' AS severity, CAST(coalesce(d.doc_id, l.k) AS
 FROM documents d FULL JOIN (SELECT doc_id + 5 AS k FROM labels) l ON d.doc_id = l.k WHERE d.doc_id IS NULL OR l.k IS NULL"""),
     "hash_mismatch": (hash_mismatch, HASH_MISMATCH_SQL),
     "wrong_text_hashes": (wrong_text_hashes, """
-SELECT 'payload_hash' AS rule, 'error' AS severity, CAST(doc_id AS VARCHAR) AS record_id FROM documents WHERE doc_id % 10 = 0"""),
+SELECT 'payload_hash' AS rule, 'error' AS severity, CAST(doc_id AS VARCHAR) AS record_id,
+  upper(sha256(sha256(text))) AS detail FROM documents WHERE doc_id % 10 = 0"""),
     "amplitude_warning": (amplitude_warning, sql(VECTORS, body="""
 SELECT 'amplitude' AS rule, 'warning' AS severity, 'all' AS record_id, 'median |x| ' || printf('%.6g', m) AS detail
 FROM (SELECT quantile_cont(a, 0.5) * 1e6 AS m FROM (SELECT CAST(abs(unnest(signal)) AS DOUBLE) AS a FROM vectors))
 WHERE m NOT BETWEEN 1 AND 1000""")),
     "recording_sets": (recording_sets, sql(VECTORS, body="""
 SELECT 'recordings_per_set' AS rule, 'error' AS severity, set_id AS record_id, count(*) || ' records, 0 not finite' AS detail
-FROM vectors GROUP BY set_id HAVING count(*) <> 100""")),
+FROM vectors GROUP BY set_id HAVING count(*) <> 100
+UNION ALL SELECT 'recording_copies', 'error', CAST(min(record_id) AS VARCHAR), count(*) || ' equal payloads' FROM vectors GROUP BY signal HAVING count(*) > 1""")),
     "signal_rules": (signal_rules, "SELECT 'declared_fs' AS rule, count(*) AS n FROM embeddings WHERE len(embedding) <> 256"),
 }

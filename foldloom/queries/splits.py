@@ -76,7 +76,7 @@ def incomplete_tasks(spark, d):
 
 QUERIES = {
     "task_catalog": (task_catalog, sql(VECTORS, TASKS, body="""
-SELECT task_id, pos::BIGINT AS pos, len(string_split(task_id, '_vs_')) AS n_classes,
+SELECT task_id, pos::BIGINT AS pos, row_number() OVER (ORDER BY len(string_split(task_id, '_vs_')) DESC, pos) AS rank, len(string_split(task_id, '_vs_')) AS n_classes,
   100 * (SELECT count(*) FROM targets g WHERE g.task_id = t.task_id) AS n_recordings,
   (SELECT count(*) FROM vectors v JOIN targets g ON v.set_id = g.set_id WHERE g.task_id = t.task_id) AS n_records FROM tasks t""")),
     "task_targets": (task_targets, sql(VECTORS, TASKS, body="""

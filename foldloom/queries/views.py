@@ -64,9 +64,10 @@ TEXTS = """texts AS (
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Embeddings as recordings: label modulo 5 = set, the first ten values = class scores."""
+    """Embeddings as recordings: label modulo 5 = set; the sum of every tenth value from the c-th on = score of class c."""
     letters = F.array(*[F.lit(s) for s in "ZONFS"])
-    scores = F.slice("embedding", 1, 10)
+    own = lambda c: F.filter("embedding", lambda _, i: i % 10 == c)
+    scores = F.array(*[F.round(F.aggregate(own(c), F.lit(0.0), lambda s, x: s + x.cast("double")), 6) for c in range(10)])
     return table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("record_id"), F.element_at(letters, (F.col("label") % 5 + 1).cast("int")).alias("set_id"),
         F.col("label").alias("truth"), F.col("embedding").alias("signal"), scores.alias("probs"),
@@ -75,8 +76,9 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 VECTORS = """vectors AS (
   SELECT vec_id AS record_id, ['Z','O','N','F','S'][label % 5 + 1] AS set_id, label AS truth, embedding AS signal,
-         embedding[1:10] AS probs, list_position(embedding[1:10], list_max(embedding[1:10])) - 1 AS pred
-  FROM embeddings)"""
+         probs, list_position(probs, list_max(probs)) - 1 AS pred
+  FROM (SELECT *, list_transform(range(10), lambda c: round(list_sum(list_transform(
+    range(c + 1, len(embedding) + 1, 10), lambda i: CAST(embedding[i] AS DOUBLE))), 6)) AS probs FROM embeddings))"""
 
 
 def rounded(df: DataFrame, *columns: str, digits: int = 9) -> DataFrame:

@@ -40,7 +40,8 @@ def write_report(report: DataFrame, path: str) -> None:
     json_safe(report).orderBy("section", "key").write.mode("overwrite").json(path)
 
 
-def write_eval_tables(tables: dict[str, DataFrame], path: str) -> None:
-    """One Parquet folder per table of an evaluation."""
-    for name, table in tables.items():
+def write_eval_tables(tables: dict[str, DataFrame], path: str, predictions: DataFrame | None = None) -> None:
+    """One Parquet folder per table of an evaluation; ``predictions`` are its out-of-fold rows, with the columns that they have."""
+    rows = {} if predictions is None else {"out_of_fold_predictions": predictions}
+    for name, table in (tables | rows).items():
         table.write.mode("overwrite").parquet(f"{path.rstrip('/')}/{name}")

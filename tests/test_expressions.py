@@ -61,6 +61,10 @@ def test_signal_expressions(spark):
     assert np.array_equal(np.array(rows[0]["k"], dtype="f4"), x * np.float32(1e6))
     assert np.allclose(rows[0]["p"], x[::8])
     assert all(r["n"] for r in rows)
+    big = spark.createDataFrame([([1.0, 3e38],)], "s array<float>")
+    for scaled in (sig.scale_units("s", 1e6), sig.scale_channels(F.array("s"), 1e6)):
+        with pytest.raises(Exception, match="overflows float32"):
+            big.select(scaled).collect()
     with pytest.raises(ValueError):
         sig.scale_units("s", math.nan)
     with pytest.raises(ValueError):

@@ -171,14 +171,15 @@ def test_sinks(spark, tmp_path):
     sinks.write_fold_manifest(fo.fold_manifest(fo.logo_folds(cases, "case")), cases, str(tmp_path / "m"))
     text = [line for f in sorted(os.listdir(tmp_path / "m")) if f.endswith(".csv") for line in (tmp_path / "m" / f).read_text().splitlines()]
     assert text[0].split(",") == list(sinks.MANIFEST_FILE) and len([x for x in text if not x.startswith("fold,")]) == 9
-    row = next(dict(zip(text[0].split(","), x.split(","))) for x in text if ",chb21," in x)
+    row = next(dict(zip(text[0].split(","), x.split(","))) for x in text if x.split(",")[1] == "chb21")
     assert (row["excluded_units"], row["validation_cases"], row["lopo_unit"], row["fit_seed"]) == ("chb01", "chb02", "case", "51")
     sinks.write_report(pr.dataset_report(data), str(tmp_path / "r"))
     report = spark.read.json(str(tmp_path / "r"))
     assert report.where("section = 'single_class_case'").first()["key"] == "chb04"
     oof = data.select(F.col("group_id").alias("unit"), F.col("label").alias("target"), (F.abs(F.hash("record_id")) % 10 / 10).alias("prob"))
-    sinks.write_eval_tables(me.evaluation_report(oof), str(tmp_path / "e"))
-    assert sorted(os.listdir(tmp_path / "e")) == ["fold_metrics", "fold_summary_all", "fold_summary_both_classes", "pooled"]
+    sinks.write_eval_tables(me.evaluation_report(oof), str(tmp_path / "e"), oof)
+    assert sorted(os.listdir(tmp_path / "e")) == ["fold_metrics", "fold_summary_all", "fold_summary_both_classes", "out_of_fold_predictions", "pooled"]
+    assert sorted(spark.read.parquet(str(tmp_path / "e" / "out_of_fold_predictions")).collect()) == sorted(oof.collect())
     assert spark.read.parquet(str(tmp_path / "e" / "fold_metrics")).count() == 7
 
 

@@ -15,6 +15,7 @@ def test_task_list(spark):
     tasks = st.preset_tasks(spark)
     rows = st.order_tasks(st.task_catalog(tasks)).collect()
     assert [r["n_classes"] for r in rows] == [5] + [4] * 5 + [3] * 11 + [2] * 15
+    assert [r["rank"] for r in rows] == list(range(1, 33))
     assert rows[0]["task_id"] == "Z_vs_O_vs_N_vs_F_vs_S" and rows[-1]["task_id"] == "Z+O_vs_N+F+S"
     assert rows[0]["n_recordings"] == 500 and len({r["task_id"] for r in rows}) == 32
     targets = {(r["set_id"], r["target"]) for r in st.task_targets(tasks).where("task_id = 'Z+O_vs_N+F_vs_S'").collect()}

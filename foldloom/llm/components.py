@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldloom.plans.stage import stage
+from foldloom.plans.stage import drop_staged, stage
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -27,8 +27,10 @@ def components(edges: DataFrame) -> DataFrame:
         up = stage(links.groupBy("a").agg(F.min(mixed("b")).alias("least"))
                    .select(F.col("a").alias("v"), F.least(mixed("a"), F.col("least"))["v"].alias("up")))
         higher = up.select(F.col("v").alias("up"), F.col("up").alias("top"))
-        up = stage(up.join(higher, "up").select("v", F.col("top").alias("up")))
-        labels = stage(labels.join(up, labels["root"] == up["v"], "left").select("node", F.coalesce("up", "root").alias("root")))
+        nearest, up = up, stage(up.join(higher, "up").select("v", F.col("top").alias("up")))
+        former, labels = labels, stage(labels.join(up, labels["root"] == up["v"], "left").select("node", F.coalesce("up", "root").alias("root")))
+        drop_staged(nearest, former)
         one, two = up.select(F.col("v").alias("a"), F.col("up").alias("x")), up.select(F.col("v").alias("b"), F.col("up").alias("y"))
-        links = stage(links.join(one, "a").join(two, "b").where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
+        former, links = links, stage(links.join(one, "a").join(two, "b").where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
+        drop_staged(former, up)
     return labels

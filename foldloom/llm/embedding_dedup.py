@@ -1,10 +1,10 @@
 """Embedding near-dedup: a dual traversal of cover trees finds all pairs of vectors above a cosine threshold.
 
-Equal vectors become one class with a weight. Classes are divided into cells around spread-out centres, cells into chunks of bounded size, and
-every chunk gets a cover tree: nested levels with halving radii over unit vectors, each node with the exact radius that covers what
-is below it. Pairs of chunks, unless their radii keep them apart, are work units of their own: a dual traversal goes down both trees and drops node
-pairs that are too far apart. Node pairs that are close as a whole link without being taken apart, so a dense group costs no pair per link. Only
-between are cosines computed, in double precision.
+Equal vectors become one class with a weight. The upper levels of the tree are a table: classes are divided into cells around spread-out centres, crowded
+cells around centres of their own, and so on until a chunk fits a task. Every chunk gets a cover tree: nested levels with halving radii over unit vectors,
+each node with the exact radius that covers what is below it. Pairs of chunks, unless their radii keep them apart, are work units of their own: a dual
+traversal goes down both trees and drops node pairs that are too far apart. Node pairs that are close as a whole link without being taken apart, so a dense
+group costs no pair per link. Only between are cosines computed: in single precision first, and in double precision wherever that could decide otherwise.
 """
 
 from __future__ import annotations
@@ -12,16 +12,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldloom.llm.components import components
-from foldloom.plans.stage import stage
+from foldloom.plans.stage import drop_staged, stage
 
-# Bounds of what the driver handles: sampled vectors for the centres, and centres. Every vector is assigned to its nearest centre.
+# Bounds of what the driver handles at once: sampled vectors for the centres, and centres of the top level. Every vector is assigned to its nearest centre.
 SAMPLE, MAX_CENTRES = 4_000, 1_000
+# How often crowded cells are divided by place; what is crowded still then has hardly any extent and is divided by hash.
+DIVISIONS = 6
 # Vectors in a chunk, about; two chunks with their trees fit easily in a task.
 CHUNK_ROWS = 8_192
 # Radii of the levels below the root, which covers everything (unit vectors are at most 2 apart).
@@ -30,11 +31,13 @@ RADII = (1.0, 0.5, 0.25, 0.125)
 MARGIN = 1e-6
 TILE = 1_024
 # Node pairs with so many pairs of points below them, or fewer, are compared point by point.
-LEAF_PAIRS = 2_000_000
+LEAF_PAIRS = 65_536
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
-    return vectors / np.sqrt(np.einsum("ij,ij->i", vectors, vectors))[:, None]
+    """Rows of length 1, scaled by their largest component first, so that no square over- or underflows."""
+    scaled = vectors / np.abs(vectors).max(axis=1)[:, None]
+    return scaled / np.sqrt(np.einsum("ij,ij->i", scaled, scaled))[:, None]
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -84,7 +87,7 @@ class CoverTree:
     """
 
     def __init__(self, points: np.ndarray, level: np.ndarray):
-        self.points = points
+        self.points, self.single = points, points.astype(np.float32)
         self.sizes = sorted({int(np.searchsorted(level, depth, "right")) for depth in range(len(RADII) + 2)} - {0})
         self.last = len(self.sizes) - 1
         self.children: list[list[np.ndarray]] = []
@@ -102,6 +105,20 @@ class CoverTree:
             self.below.insert(0, parts)
 
 
+def linked(a: CoverTree, pa: np.ndarray, b: CoverTree, pb: np.ndarray, threshold: float) -> np.ndarray | None:
+    """Which of the given points link, None if none does."""
+    cosine = a.single[pa] @ b.single[pb].T
+    doubt = cosine.dtype.type(a.points.shape[1] * 2.0**-22)  # more than single precision can be off
+    hits = cosine >= np.float32(threshold) - doubt
+    if not hits.any():
+        return None
+    x, y = np.nonzero(hits & (cosine <= np.float32(threshold) + doubt))
+    for at in range(0, len(x), TILE * TILE):
+        own = slice(at, at + TILE * TILE)
+        hits[x[own], y[own]] = np.einsum("ij,ij->i", a.points[pa[x[own]]], b.points[pb[y[own]]]) >= threshold
+    return hits if hits.any() else None
+
+
 def traverse(a: CoverTree, b: CoverTree, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
     """(points of a, points of b, which link): all of them link where the last is None. Each linked pair comes once.
 
@@ -113,8 +130,8 @@ def traverse(a: CoverTree, b: CoverTree, threshold: float) -> Iterator[tuple[np.
         la, i, lb, j = waiting.pop()
         pa, pb = a.below[la][i], b.below[lb][j]
         if len(pa) * len(pb) <= LEAF_PAIRS:
-            hits = a.points[pa] @ b.points[pb].T >= threshold
-            if hits.any():
+            hits = linked(a, pa, b, pb, threshold)
+            if hits is not None:
                 yield pa, pb, hits
             continue
         ca, cb = a.children[la][i], b.children[lb][j]
@@ -124,15 +141,20 @@ def traverse(a: CoverTree, b: CoverTree, threshold: float) -> Iterator[tuple[np.
             own = ca[x:x + TILE]
             for y in range(0, len(cb), TILE):
                 other = cb[y:y + TILE]
-                cosine = a.points[own] @ b.points[other].T
                 if ends:
-                    hits = cosine >= threshold
-                    if hits.any():
+                    hits = linked(a, own, b, other, threshold)
+                    if hits is not None:
                         yield own, other, hits
                     continue
-                spread = a.radius[la][own][:, None] + b.radius[lb][other][None, :]
-                p, q = np.nonzero(cosine >= 1 - (reach + spread + MARGIN) ** 2 / 2)  # the others are too far apart
-                whole = np.sqrt(np.maximum(2 - 2 * cosine[p, q], 0)) + spread[p, q] <= reach - MARGIN
+                # Most node pairs fail even with the largest radii of the tile; only the rest is looked at with its own.
+                widest = reach + a.radius[la][own].max() + b.radius[lb][other].max() + MARGIN
+                p, q = np.nonzero(a.single[own] @ b.single[other].T >= np.float32(1 - widest**2 / 2 - a.points.shape[1] * 2.0**-22) if widest < 2
+                                  else np.ones((len(own), len(other)), dtype=bool))
+                cosine = np.einsum("ij,ij->i", a.points[own[p]], b.points[other[q]])
+                spread = a.radius[la][own[p]] + b.radius[lb][other[q]]
+                near = cosine >= 1 - (reach + spread + MARGIN) ** 2 / 2  # the others are too far apart
+                p, q, cosine, spread = p[near], q[near], cosine[near], spread[near]
+                whole = np.sqrt(np.maximum(2 - 2 * cosine, 0)) + spread <= reach - MARGIN
                 for k in np.flatnonzero(whole):
                     yield a.below[la][own[p[k]]], b.below[lb][other[q[k]]], None
                 p, q = own[p[~whole]], other[q[~whole]]
@@ -143,8 +165,8 @@ def traverse(a: CoverTree, b: CoverTree, threshold: float) -> Iterator[tuple[np.
                         waiting += [(la, int(p[group[0]]), lb, int(n)) for n in q[group]]
                         continue
                     pb = np.concatenate(parts)
-                    hits = a.points[pa] @ b.points[pb].T >= threshold
-                    if hits.any():
+                    hits = linked(a, pa, b, pb, threshold)
+                    if hits is not None:
                         yield pa, pb, hits
 
 
@@ -157,25 +179,83 @@ def spread_out(points: np.ndarray, n: int) -> np.ndarray:
     return np.array(chosen)
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
+def _by_length(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, places, unit vectors) of the lists of a column."""
+    sizes = np.diff(column.offsets.to_numpy())
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return unit(flat.reshape(len(column), -1)) if len(column) else np.empty((0, 1))
+    starts = np.cumsum(np.r_[0, sizes])[:-1]
+    for d in np.unique(sizes):
+        own = np.flatnonzero(sizes == d)
+        yield int(d), own, unit(flat[starts[own][:, None] + np.arange(d)[None, :]])
 
 
-def _assigned(classes: DataFrame, centres: np.ndarray) -> DataFrame:
-    """(cid, weight, vector, cell, gap): the nearest centre and the distance to it."""
-    shared = classes.sparkSession.sparkContext.broadcast(centres)
+def _assigned(cells: DataFrame, centres: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """``cells`` with those rows moved whose (length, cell) has ``centres`` (ids, vectors): to the nearest, with the distance to it."""
+    shared = cells.sparkSession.sparkContext.broadcast(centres)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            points = _matrix(batch.column(2))
-            cell, gap = np.empty(len(points), np.int64), np.empty(len(points))
-            for at in range(0, len(points), TILE):
-                d = distances(points[at:at + TILE], shared.value)
-                cell[at:at + TILE], gap[at:at + TILE] = d.argmin(axis=1), d.min(axis=1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(gap)], names=["cid", "weight", "vector", "cell", "gap"])
+            cell, gap = batch.column(4).to_numpy().copy(), batch.column(5).to_numpy().copy()
+            for d, own, points in _by_length(batch.column(2)) if batch.num_rows else ():
+                for former in np.unique(cell[own]):
+                    if (d, int(former)) not in shared.value:
+                        continue
+                    ids, vectors = shared.value[d, int(former)]
+                    rows = np.flatnonzero(cell[own] == former)
+                    for at in range(0, len(rows), TILE):
+                        part = rows[at:at + TILE]
+                        far = distances(points[part], vectors)
+                        cell[own[part]], gap[own[part]] = ids[far.argmin(axis=1)], far.min(axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(cell), pa.array(gap)], names=["cid", "weight", "vector", "d", "cell", "gap"])
+
+    kind = cells.schema["vector"].dataType.simpleString()
+    return cells.select("cid", "weight", "vector", "d", "cell", "gap").mapInArrow(step, f"cid long, weight long, vector {kind}, d int, cell long, gap double")
+
+
+def _samples(cells: DataFrame, rows: int) -> dict[tuple[int, int], np.ndarray]:
+    """Sampled unit vectors by (length, cell), ``SAMPLE`` in all."""
+    some = cells.select("d", "cell", "vector").sample(min(1.0, 2 * SAMPLE / max(rows, 1)), seed=7).limit(SAMPLE).collect()
+    found: dict[tuple[int, int], list] = {}
+    for r in some:
+        found.setdefault((r["d"], r["cell"]), []).append(r["vector"])
+    return {k: unit(np.array(v, dtype=np.float64)) for k, v in found.items()}
+
 
-    return classes.select("cid", "weight", "vector").mapInArrow(step, "cid long, weight long, vector array<double>, cell long, gap double")
+def divided(classes: DataFrame, rows: int) -> tuple[DataFrame, dict[int, np.ndarray], dict[int, int]]:
+    """Classes (cid, weight, vector, d) with their cell, the centres of the cells that have one, and of each cell the top cell it comes from.
+
+    A length that no sampled vector has is one cell without a centre: number -1 - length.
+    """
+    limit = lambda n: -(-n // CHUNK_ROWS)
+    start = classes.select("cid", "weight", "vector", "d", (-1 - F.col("d")).cast("long").alias("cell"), F.lit(float("inf")).alias("gap"))
+    centres: dict[int, np.ndarray] = {}
+    origin: dict[int, int] = {}
+
+    def chosen(samples: dict, sizes: dict) -> dict:
+        table = {}
+        for key, points in samples.items():
+            picks = points[spread_out(points, min(2 * limit(sizes[key]) if sizes[key] > CHUNK_ROWS else 1, MAX_CENTRES))]
+            ids = np.arange(len(centres), len(centres) + len(picks))
+            table[key] = (ids, picks)
+            for i, c in zip(ids.tolist(), picks, strict=True):
+                centres[i] = c
+                origin[i] = origin.get(key[1], i) if key[1] >= 0 else i
+        return table
+
+    cells = start
+    for number in range(DIVISIONS):
+        sizes = {(r["d"], r["cell"]): r["n"] for r in cells.groupBy("d", "cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+        crowded = {k: n for k, n in sizes.items() if n > CHUNK_ROWS}
+        if number and not crowded:
+            break
+        wanted = sizes if not number else crowded
+        pool = cells if not number else cells.join(F.broadcast(cells.sparkSession.createDataFrame(list(crowded), "d int, cell long")), ["d", "cell"], "left_semi")
+        table = {k: v for k, v in chosen(_samples(pool, sum(wanted.values())), sizes).items() if not number or len(v[0]) > 1}
+        if not table:
+            break
+        former, cells = cells, stage(_assigned(cells, table))
+        drop_staged(former)
+    return cells, centres, origin
 
 
 def _spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -197,22 +277,35 @@ def _spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids[label[own]], ids[own]
 
 
-def _links(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
+def _sides(table: pa.Table, names: list[int]) -> list[tuple[CoverTree, np.ndarray, np.ndarray]]:
+    """Tree, ids and weights of the named chunks of a unit, chunks without rows left out."""
+    chunk, level, cid, weight = (table.column(c).to_numpy() for c in ("chunk", "level", "cid", "weight"))
+    vectors = table.column("vector").combine_chunks()
+    out = []
+    for name in names:
+        own = np.flatnonzero(chunk == name)
+        own = own[np.lexsort((cid[own], level[own]))]
+        if len(own):
+            (_, _, points), = _by_length(vectors.take(pa.array(own)))
+            out.append((CoverTree(points, level[own]), cid[own], weight[own]))
+    return out
+
+
+def _links(table: pa.Table, threshold: float) -> pa.Table:
     """Links of one work unit: (a, b, n). Rows with b tell that a and b are connected, n is the weight linked to a."""
-    chunks = [int(pdf["low"].iloc[0]), int(pdf["high"].iloc[0])]
-    sides = [pdf[pdf["chunk"] == c].sort_values(["level", "cid"]) for c in dict.fromkeys(chunks)]
-    if not all(map(len, sides)):  # a chunk without vectors
-        return pd.DataFrame({"a": [], "b": [], "n": []}).astype({"a": "int64", "b": "Int64", "n": "int64"})
-    trees = [CoverTree(unit(np.stack(part["vector"].to_numpy()).astype(np.float64)), part["level"].to_numpy()) for part in sides]
-    cids, weights = [part["cid"].to_numpy() for part in sides], [part["weight"].to_numpy() for part in sides]
-    one, two = 0, len(sides) - 1
-    counts = [np.zeros(len(c), dtype=np.int64) for c in cids]
+    chunks = list(dict.fromkeys([table.column("low")[0].as_py(), table.column("high")[0].as_py()]))
+    sides = _sides(table, chunks)
+    if len(sides) < len(chunks):
+        return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
+    (tree, cid, weight), (other_tree, other_cid, other_weight) = sides[0], sides[-1]
+    same = len(sides) == 1
+    counts = [np.zeros(len(c), dtype=np.int64) for _, c, _ in sides]
     a, b, ends, held = np.empty(0, np.int64), np.empty(0, np.int64), [], 0
-    for p, q, hits in traverse(trees[one], trees[two], threshold):
-        counts[one][p] += weights[two][q].sum() if hits is None else hits @ weights[two][q]
-        if two != one:
-            counts[two][q] += weights[one][p].sum() if hits is None else weights[one][p] @ hits
-        x, y = cids[one][p], cids[two][q]
+    for p, q, hits in traverse(tree, other_tree, threshold):
+        counts[0][p] += other_weight[q].sum() if hits is None else hits @ other_weight[q]
+        if not same:
+            counts[1][q] += weight[p].sum() if hits is None else weight[p] @ hits
+        x, y = cid[p], other_cid[q]
         if hits is None:  # the first of each side connects all of them
             ends.append((np.concatenate([x, np.full(len(y), x[0])]), np.concatenate([np.full(len(x), y[0]), y])))
         else:
@@ -223,48 +316,61 @@ def _links(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
             a, b = _spanning(np.concatenate([a, *(e for e, _ in ends)]), np.concatenate([b, *(e for _, e in ends)]))
             ends, held = [], 0
     a, b = _spanning(np.concatenate([a, *(e for e, _ in ends)]), np.concatenate([b, *(e for _, e in ends)]))
-    linked = [(c[n > 0], n[n > 0]) for c, n in zip(cids, counts)]
-    n = np.concatenate([np.zeros(len(a), np.int64), *(x for _, x in linked)])
-    own = np.concatenate([a, *(c for c, _ in linked)])
-    other = pd.Series(np.concatenate([b, np.zeros(len(own) - len(b), np.int64)]), dtype="Int64")
-    other[len(b):] = pd.NA
-    return pd.DataFrame({"a": own, "b": other, "n": n})
+    linked_to = [(c[n > 0], n[n > 0]) for (_, c, _), n in zip(sides, counts, strict=True)]
+    own = np.concatenate([a, *(c for c, _ in linked_to)])
+    other = pa.array(np.concatenate([b, np.zeros(len(own) - len(b), np.int64)]), mask=np.arange(len(own)) >= len(b))
+    return pa.table({"a": own, "b": other, "n": np.concatenate([np.zeros(len(a), np.int64), *(n for _, n in linked_to)])})
 
 
-def _levels(pdf: pd.DataFrame) -> pd.DataFrame:
+def _levels(table: pa.Table) -> pa.Table:
     """The rows of one chunk with their entry levels."""
-    pdf = pdf.sort_values("cid")
-    return pdf.assign(level=entry_levels(unit(np.stack(pdf["vector"].to_numpy()).astype(np.float64))))
+    table = table.sort_by("cid")
+    (_, _, points), = _by_length(table.column("vector").combine_chunks())
+    return table.append_column("level", pa.array(entry_levels(points)))
 
 
 def link_classes(classes: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, n) over classes (cid, weight, vector): edges (b set), and the weight linked to each class (n, to be summed), its own included."""
-    rows = classes.count()
-    spark = classes.sparkSession
+    """(a, b, n) over classes (cid, weight, vector, d): edges (b set), and the weight linked to each class (n, to be summed), its own included."""
+    spark, rows = classes.sparkSession, classes.count()
     if not rows:
         return spark.createDataFrame([], "a long, b long, n long")
-    fraction = min(1.0, 2 * SAMPLE / rows)
-    sample = unit(np.array([r["vector"] for r in classes.select("vector").sample(fraction, seed=7).limit(SAMPLE).collect()]
-                           or [classes.first()["vector"]], dtype=np.float64))
-    centres = sample[spread_out(sample, min(MAX_CENTRES, -(-rows // CHUNK_ROWS)))]
-    cells = stage(_assigned(classes, centres))
-    sizes = cells.groupBy("cell").agg(F.count("cid").alias("n"), F.max("gap").alias("r")).collect()  # at most MAX_CENTRES rows
-    parts = {r["cell"]: -(-r["n"] // CHUNK_ROWS) for r in sizes}
-    radius = {r["cell"]: r["r"] for r in sizes}
-    reach, order = float(np.sqrt(2 - 2 * threshold)), sorted(parts)
-    gaps = distances(centres, centres)
-    first = dict(zip(order, np.cumsum([0, *(parts[c] for c in order)]).tolist()))
-    # For every cell the other cells its vectors can link to; a vector takes part in one unit with each of their chunks.
-    near = [(c, [d for d in order if gaps[c, d] <= radius[c] + radius[d] + reach + MARGIN]) for c in order]
-    plan = spark.createDataFrame([(c, parts[c], first[c], [q for d in ds for q in range(first[d], first[d] + parts[d])]) for c, ds in near],
-                                 "cell long, parts int, first int, others array<int>")
-    placed = (cells.join(F.broadcast(plan.drop("others")), "cell")  # one row a cell
-              .select("cid", "weight", "vector", "cell", (F.col("first") + F.pmod(F.xxhash64("cid"), F.col("parts"))).cast("long").alias("chunk")))
-    trees = stage(placed.groupBy("chunk").applyInPandas(_levels, "cid long, weight long, vector array<double>, cell long, chunk long, level long"))
-    units = trees.join(F.broadcast(plan.select("cell", "others")), "cell").select(
-        "cid", "weight", "vector", "chunk", "level", F.explode("others").alias("other")).select(
+    cells, centres, origin = divided(classes, rows)
+    # A cell that is crowded still is divided by hash.
+    sizes = stage(cells.groupBy("d", "cell").agg(F.count(F.lit(1)).alias("n"), F.max("gap").alias("r")).withColumn("parts", F.ceil(F.col("n") / CHUNK_ROWS).cast("int")))
+    placed = cells.join(sizes.select("d", "cell", "parts"), ["d", "cell"]).select(
+        "cid", "weight", "vector", F.xxhash64("d", "cell", F.pmod(F.xxhash64("cid"), F.col("parts"))).alias("chunk"))
+    kind = cells.schema["vector"].dataType.simpleString()
+    trees = stage(placed.groupBy("chunk").applyInArrow(_levels, f"cid long, weight long, vector {kind}, chunk long, level long"))
+    # Cells whose radii let vectors of both link, met by their top cells: at most MAX_CENTRES of these for a length.
+    reach = float(np.sqrt(2 - 2 * threshold)) + MARGIN
+    top_radius: dict[int, float] = {}
+    for i, c in centres.items():
+        top_radius[origin[i]] = max(top_radius.get(origin[i], 0.0), float(np.linalg.norm(c - centres[origin[i]])))
+    extent = {r["cell"]: r["r"] for r in sizes.groupBy("cell").agg(F.max("r").alias("r")).collect()}
+    for i, r in extent.items():
+        if i >= 0:
+            top_radius[origin[i]] = max(top_radius[origin[i]], float(np.linalg.norm(centres[i] - centres[origin[i]])) + r)
+    by_length: dict[int, list[int]] = {}
+    for i in sorted(set(origin.values())):
+        by_length.setdefault(len(centres[i]), []).append(i)
+    pairs = []
+    for tops in by_length.values():
+        gaps, r = distances(np.array([centres[i] for i in tops]), np.array([centres[i] for i in tops])), np.array([top_radius[i] for i in tops])
+        x, y = np.nonzero(gaps <= r[:, None] + r[None, :] + reach)
+        pairs += [(tops[i], tops[j]) for i, j in zip(x.tolist(), y.tolist(), strict=True)]
+    known = spark.createDataFrame([(i, origin[i], c.tolist()) for i, c in centres.items()], "cell long, top long, centre array<double>")
+    lone = F.array().cast("array<double>")
+    table = stage(sizes.join(known, "cell", "left").select("d", "cell", "r", F.coalesce("top", "cell").alias("top"), F.coalesce("centre", lone).alias("centre"), F.explode(
+        F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.xxhash64("d", "cell", k.cast("bigint")))).alias("chunk")))
+    near_tops = spark.createDataFrame(pairs, "top long, near long").unionByName(table.where("top < 0").select("top", F.col("top").alias("near")).distinct())
+    other = table.select(F.col("d").alias("e"), F.col("cell").alias("cell2"), F.col("r").alias("r2"), F.col("top").alias("near"), F.col("centre").alias("centre2"), F.col("chunk").alias("other"))
+    gap = F.sqrt(F.aggregate(F.zip_with("centre", "centre2", lambda u, v: (u - v) * (u - v)), F.lit(0.0), lambda t, u: t + u))
+    met = table.join(near_tops, "top").join(other, "near").where(F.col("d") == F.col("e")).where(
+        (F.col("cell") == F.col("cell2")) | (gap <= F.col("r") + F.col("r2") + reach))
+    units = stage(met.select("chunk", "other").distinct())
+    copies = trees.join(units, "chunk").select(
         "cid", "weight", "vector", "chunk", "level", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"))
-    return units.groupBy("low", "high").applyInPandas(lambda pdf: _links(pdf, threshold), "a long, b long, n long")
+    return copies.groupBy("low", "high").applyInArrow(lambda rows: _links(rows, threshold), "a long, b long, n long")
 
 
 def near_duplicates(df: DataFrame, threshold: float = 0.9, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -274,7 +380,8 @@ def near_duplicates(df: DataFrame, threshold: float = 0.9, key: str = "vec_id",
     of different lengths never link. Repeated rows are vectors of their own and link with each other. Rows with a null key link like others, but
     have no part in the smallest key; a component of null keys has a null id and kept is null. Further columns play no part.
     """
-    v = F.col(vector).cast("array<double>")
+    exact = df.schema[vector].dataType.simpleString() in ("array<float>", "array<double>")
+    v = F.col(vector) if exact else F.col(vector).cast("array<double>")
     good = F.col("vector").isNotNull() & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(
         "vector", lambda x: x != 0)
     rows = stage(df.select(F.col(key).alias("key"), v.alias("vector")).withColumn("vector", F.when(good, F.col("vector")))
@@ -282,16 +389,11 @@ def near_duplicates(df: DataFrame, threshold: float = 0.9, key: str = "vec_id",
     some = rows.where("vector is not null")
     classes = stage(some.groupBy("h", "g", "d").agg(F.count(F.lit(1)).alias("weight"), F.min("key").alias("least"), F.first("vector").alias("vector"))
                     .withColumn("cid", F.monotonically_increasing_id()))
-    dims = [r["d"] for r in classes.select("d").distinct().limit(100).collect()]
-    links = None
-    for d in dims:
-        own = link_classes(classes.where(F.col("d") == d), threshold)
-        links = own if links is None else links.unionByName(own)
-    links = stage(links) if links is not None else df.sparkSession.createDataFrame([], "a long, b long, n long")
+    links = stage(link_classes(classes, threshold))
     roots = components(links.where("b is not null").select("a", "b"))
     counts = links.where("b is null").groupBy("a").agg(F.sum("n").alias("n"))
     per_class = (classes.select("cid", "h", "g", "weight", "least").join(counts, F.col("cid") == F.col("a"), "left")
-                 .join(roots, F.col("cid") == F.col("node"), "left").select("h", "g", F.col("n").alias("linked"), "least", F.coalesce("root", "cid").alias("root")))
+                 .join(roots, F.col("cid") == F.col("node"), "left").select("h", "g", F.coalesce("n", "weight").alias("linked"), "least", F.coalesce("root", "cid").alias("root")))
     per_class = stage(per_class)
     best = per_class.groupBy("root").agg(F.min("least").alias("component_id"))
     classed = stage(per_class.join(best, "root").select("h", "g", "linked", "component_id"))

@@ -133,6 +133,19 @@ def test_embeddings_against_all_pairs(spark, monkeypatch, chunk):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_vectors_of_many_lengths_and_tiny_ones(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for d in range(1, 121):
+        v = rng.normal(size=d)
+        rows += [(len(rows), v.tolist()), (len(rows) + 1, (v * 3).tolist())]
+    rows += [(1000, [1e-170, 2e-170, 0.0]), (1001, [1e170, 2e170, 0.0]), (1002, [2e-170, -1e-170, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_duplicates(df).collect()}
+    assert all(got[i][0] >= 1 and got[i][1] == i - i % 2 for i in range(6, 240)) and None not in {n for n, _ in got.values()}
+    assert got[1000][1] == got[1001][1] and got[1002][1] != got[1000][1]
+
+
 def test_cover_tree_levels_nest_and_cover(monkeypatch):
     rng = np.random.default_rng(6)
     points = embedding_dedup.unit(np.concatenate([rng.normal(size=(60, 5)), np.repeat(rng.normal(size=(3, 5)), 20, axis=0) + 0.02 * rng.normal(size=(60, 5))]))

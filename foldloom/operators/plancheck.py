@@ -1,8 +1,9 @@
 """Checks of an externally supplied plan: heads ``folds`` and rows ``members(fold, part, record_id)``.
 
-The row form of a plan has one row per fold and record, so it is aggregated twice and never joined with
-itself: to (fold, record) for repeats and overlaps, then to (fold, group, case) for everything about ids. A plan
-built by ``logo_folds`` needs no such rows; compare its heads with ``compare_with_rule``.
+The row form of a plan has one row per fold and record. It is read once: records have ordinals in the order of their cases, and the first aggregation
+turns the rows of a fold, part and case into bitmaps over these, one bit a record. Sizes, overlaps between parts and what is left out are counts of bits; rows of single
+records are looked at again only in the bitmaps that hold repeated or shared ones. A plan built by ``logo_folds`` needs no such rows; compare its heads with
+``compare_with_rule``.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldloom.operators.profile import case_counts
+from foldloom.plans.ordering import positions
 from foldloom.plans.stage import stage
 
 PARTS = ("train", "val", "test")
@@ -69,28 +71,92 @@ def shared_between_parts(located: DataFrame, key: str = "record_id") -> DataFram
     return sides.where("_a <> _b").select("fold", key)
 
 
-def fold_audit(members: DataFrame, folds: DataFrame, records: DataFrame) -> DataFrame:
-    """One row of counts per fold: everything the fold rules need."""
-    located = locate(members, records)
+def _all_of(*conditions: Column) -> Column:
+    whole = conditions[0]
+    for c in conditions[1:]:
+        whole = whole & c
+    return whole
+
+
+BIT_KEYS = ("fold", "group_id", "case_id", "label", "bucket", "unknown_id")
+
+
+def ordinals(records: DataFrame) -> DataFrame:
+    """Records (record_id unique) with ``bucket`` and ``bit`` of their ordinal: a case's records of one label lie next to each other, so they share few buckets."""
+    rows = positions(records.select("record_id", "group_id", "case_id", "label"), "group_id", "case_id", "label", "record_id", name="_at")
+    return stage(rows.select("record_id", "group_id", "case_id", "label", F.bitmap_bucket_number("_at").alias("bucket"), F.bitmap_bit_position("_at").alias("bit")))
+
+
+def with_bits(members: DataFrame, placed: DataFrame) -> DataFrame:
+    """Plan rows with the bit of their record; an id that the data lacks is its own bitmap of one bit (``unknown_id``)."""
+    joined = members.select("fold", "part", "record_id").join(placed, "record_id", "left")
+    return joined.withColumns({"unknown_id": F.when(F.col("bucket").isNull(), F.col("record_id")), "bit": F.coalesce("bit", F.lit(0))})
+
+
+def part_bits(rows: DataFrame) -> DataFrame:
+    """One bitmap per fold, part, case, label and bucket, and the number of plan rows in it: the only aggregation over plan rows."""
+    return stage(rows.groupBy(*BIT_KEYS, "part").agg(F.bitmap_construct_agg("bit").alias("bits"), F.count(F.lit(1)).alias("n")).withColumn("size", F.bitmap_count("bits")))
+
+
+def merged_parts(bits: DataFrame) -> DataFrame:
+    """Bitmaps of all parts side by side: distinct records per part and in all (``placed``), rows per part, and records in more than one part (``overlap``).
+
+    Sizes of unions give those of intersections.
+    """
+    def union(*parts: str) -> Column:
+        names = ", ".join(f"'{p}'" for p in parts)
+        return F.coalesce(F.expr(f"bitmap_count(bitmap_or_agg(bits) FILTER (WHERE part IN ({names})))"), F.lit(0))
+
+    def of(part: str, value: str) -> Column:
+        return F.coalesce(F.sum(F.when(F.col("part") == part, F.col(value))), F.lit(0))
+
+    pairs = {f"_{x}_{y}": (x, y) for x, y in (("train", "val"), ("train", "test"), ("val", "test"))}
+    wide = bits.groupBy(*BIT_KEYS).agg(
+        F.bitmap_count(F.bitmap_or_agg("bits")).alias("placed"), union(*PARTS).alias("_all"), *[union(*p).alias(c) for c, p in pairs.items()],
+        *[of(p, "size").alias(p) for p in PARTS], *[of(p, "n").alias(f"rows_{p}") for p in PARTS])
+    both = {c: F.col(x) + F.col(y) - F.col(c) for c, (x, y) in pairs.items()}
+    in_two = sum(both.values(), F.lit(0))
+    in_three = F.col("_all") - sum((F.col(p) for p in PARTS), F.lit(0)) + in_two
+    return wide.withColumn("overlap", in_two - 2 * in_three).drop("_all", *pairs)
+
+
+def _rows_below(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """Plan rows of the given bitmaps. Without such bitmaps the plan is not read again."""
+    if keys.isEmpty():
+        return rows.limit(0)
+    condition = None
+    for c in keys.columns:
+        same = rows[c].eqNullSafe(keys[c])
+        condition = same if condition is None else condition & same
+    return rows.join(keys, condition, "left_semi")
 
-    def has(part: str) -> Column:
-        return F.count_if(F.col("part") == part)
 
-    per_record = located.groupBy("record_id", "fold").agg(
-        has("train").alias("train"), has("val").alias("val"), has("test").alias("test"),
-        *[F.first(c).alias(c) for c in ("known", "group_id", "case_id", "label")])
-    inside = {p: F.col(p) > 0 for p in PARTS}
-    known = F.col("known")
-    n_parts = sum((inside[p].cast("int") for p in PARTS[1:]), inside["train"].cast("int"))
+def repeated_records(rows: DataFrame, bits: DataFrame) -> DataFrame:
+    """(fold, record_id) of records that one part of a fold lists more than once."""
+    uneven = stage(bits.where("n > size").select("fold", "part", "case_id", "bucket", "unknown_id"))
+    again = _rows_below(rows, uneven).groupBy("fold", "part", "record_id").count().where("count > 1")
+    return again.select("fold", "record_id").distinct()
+
+
+def shared_records(members: DataFrame, records: DataFrame) -> DataFrame:
+    """(fold, record_id) of records that stand in more than one part of a fold, found in the bitmaps of the parts."""
+    rows = with_bits(members, ordinals(records))
+    shared = stage(merged_parts(part_bits(rows)).where("overlap > 0").select("fold", "case_id", "bucket", "unknown_id"))
+    return shared_between_parts(_rows_below(rows, shared), "record_id")
+
+
+def fold_audit(members: DataFrame, folds: DataFrame, records: DataFrame) -> DataFrame:
+    """One row of counts per fold: everything the fold rules need."""
+    rows = with_bits(members, ordinals(records))
+    bits = part_bits(rows)
+    known = F.col("unknown_id").isNull()
+    count = lambda column, *conditions: F.coalesce(F.sum(F.when(_all_of(known, *conditions), F.col(column))), F.lit(0))
     # At most folds x cases rows, read twice below.
-    per_case = stage(per_record.groupBy("fold", "group_id", "case_id").agg(
-        F.count_if(~known).alias("unknown"), F.count_if(known).alias("placed"),
-        F.count_if((F.col("train") > 1) | (F.col("val") > 1) | (F.col("test") > 1)).alias("repeated"),
-        F.count_if(n_parts > 1).alias("overlap"),
-        *[F.sum(p).alias(f"rows_{p}") for p in PARTS],
-        *[F.count_if(known & inside[p]).alias(p) for p in PARTS],
-        *[F.count_if(known & inside[p] & (F.col("label") == c)).alias(f"{p}_{c}") for p in ("train", "val")
-          for c in (0, 1)]))
+    per_case = stage(merged_parts(bits).groupBy("fold", "group_id", "case_id").agg(
+        F.coalesce(F.sum(F.when(~known, F.col("placed"))), F.lit(0)).alias("unknown"), count("placed").alias("placed"), F.sum("overlap").alias("overlap"),
+        *[F.sum(f"rows_{p}").alias(f"rows_{p}") for p in PARTS], *[count(p).alias(p) for p in PARTS],
+        *[count(p, F.col("label") == c).alias(f"{p}_{c}") for p in ("train", "val") for c in (0, 1)]))
+    repeated = repeated_records(rows, bits).groupBy("fold").agg(F.count(F.lit(1)).alias("repeated"))
     heads = folds.select("fold", "unit_kind", "test_unit", "test_group", "val_group")
     judged = per_case.join(heads, "fold")
     unit = F.when(F.col("unit_kind") == "case", F.col("case_id")).otherwise(F.col("group_id"))
@@ -101,7 +167,7 @@ def fold_audit(members: DataFrame, folds: DataFrame, records: DataFrame) -> Data
     def where(flag: str, value: str) -> Column:
         return F.sum(F.when(F.col(flag), F.col(value)).otherwise(F.lit(0)))
 
-    sums = ["unknown", "placed", "repeated", "overlap", *[f"rows_{p}" for p in PARTS], *PARTS,
+    sums = ["unknown", "placed", "overlap", *[f"rows_{p}" for p in PARTS], *PARTS,
             "train_0", "train_1", "val_0", "val_1"]
     sibling = F.sum(F.when(F.col("_own") & ~F.col("_unit"), F.col("placed")).otherwise(F.lit(0)))
     by_fold = judged.groupBy("fold").agg(
@@ -126,7 +192,7 @@ def fold_audit(members: DataFrame, folds: DataFrame, records: DataFrame) -> Data
     expected = expected.select("fold", "test_unit", "unit_kind", *[F.coalesce(c, F.lit(0)).alias(a) for c, a in (
         (n_unit, "n_unit"), (F.col("n_own"), "n_own"), (F.col("n_val_group"), "n_val_group"))])
     total = cases.agg(F.sum(n).alias("n")).scalar()
-    audit = expected.join(by_fold, "fold", "left").join(leaks, "fold", "left").withColumn("n_records", total)
+    audit = expected.join(by_fold, "fold", "left").join(repeated, "fold", "left").join(leaks, "fold", "left").withColumn("n_records", total)
     counted = [c for c in audit.columns if c not in ("fold", "test_unit", "unit_kind")]
     return audit.na.fill(0, subset=counted)
 

@@ -171,11 +171,13 @@ def _text_plan(spark, d):
 def _broken_plan(spark, d):
     data, folds, plan = _text_plan(spark, d)
     last = folds.agg(F.max("fold")).scalar()
-    kept = plan.where((F.col("fold") < last) & ~((F.col("fold") == 2) & (F.col("part") == "val") & (F.col("record_id") % 2 == 0)))
-    leaked = plan.where("fold = 1 AND part = 'test'").withColumn("part", F.lit("train"))
-    repeated = plan.where("fold = 3 AND part = 'test'")
-    alien = plan.where("fold = 4 AND part = 'val'").withColumn("record_id", -1 - F.col("record_id"))
-    members = kept.unionByName(leaked).unionByName(repeated).unionByName(alien)
+    fold, part, key = F.col("fold"), F.col("part"), F.col("record_id")
+    row = lambda p, k, when: F.when(when, F.struct(p.alias("part"), k.alias("record_id")))
+    # One expansion of the plan: each of its rows becomes none, one or two.
+    changed = F.array_compact(F.array(
+        row(part, key, (fold < last) & ~((fold == 2) & (part == "val") & (key % 2 == 0))), row(F.lit("train"), key, (fold == 1) & (part == "test")),
+        row(part, key, (fold == 3) & (part == "test")), row(part, -1 - key, (fold == 4) & (part == "val"))))
+    members = plan.select("fold", F.explode(changed).alias("x")).select("fold", "x.part", "x.record_id")
     return data, folds.where(F.col("fold") < last), members
 
 
@@ -251,7 +253,7 @@ SELECT (SELECT count(*) FROM texts) AS n_records, count(*) AS n_tested, count(*)
 
 def shared_records(spark, d):
     data, _, members = _broken_plan(spark, d)
-    return pc.shared_between_parts(pc.locate(members, data), "record_id")
+    return pc.shared_records(members, data)
 
 
 def missing_plan_ids(spark, d):

@@ -30,8 +30,8 @@ from foldloom.llm.batches import extended, raw_texts, release_memory, with_colum
 LOOSE_SPACE = re.compile(r" \s|\s ")
 # Bound of the word memory of one task, beyond which only words that came again stay; words merged at once.
 MEMORY_WORDS, REPLAY_WORDS = 250_000, 50_000
-# The library needs no room for a replay, so more words are kept; the longest word that goes to it.
-LIBRARY_WORDS, LIBRARY_CHARACTERS = 500_000, 1_000
+# White space that the library's pattern matcher need not manage.
+LONG_SPACE = re.compile(r"\s{1000}")
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -147,8 +147,8 @@ class Replay:
 class Encoder:
     """Encodes the blocks of one task. Words and their ids are remembered up to a bound, and no longer than the task runs.
 
-    With ``library`` new words go to the tiktoken library, which gives the same ids; very long ones stay with the replay, since the
-    library's pattern matcher fails on long runs of white space.
+    With ``library`` texts go to the tiktoken library, which gives the same ids; those with a long run of white space stay with the replay, since the
+    library's pattern matcher fails on them.
     """
 
     def __init__(self, replay: Replay, pattern: str, library: tiktoken.Encoding | None = None):
@@ -168,19 +168,22 @@ class Encoder:
 
     def __call__(self, texts: Iterable[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
+        if self.library is None:
+            return self.by_words(texts)
+        texts = list(texts)
+        fit = [LONG_SPACE.search(text) is None for text in texts]
+        others = iter(self.by_words([text for text, fits in zip(texts, fit, strict=True) if not fits]))
+        ids_of = self.library.encode_ordinary
+        return [array("I", ids_of(text)).tobytes() if fits else next(others) for text, fits in zip(texts, fit, strict=True)]
+
+    def by_words(self, texts: Iterable[str]) -> list[bytes]:
         cut = [self.pieces(text) for text in texts]
         # Opening words are kept behind two spaces: a piece holds no space, so the two kinds never clash.
         spaced = set().union(*(rest for _, rest in cut))
         opening = {"  " + word for first, _ in cut for word in first}
-        if len(self.known) > (LIBRARY_WORDS if self.library else MEMORY_WORDS):
+        if len(self.known) > MEMORY_WORDS:
             self.known = {piece: self.known[piece] for own in (spaced, opening) for piece in own if piece in self.known}
         spaced, opening = spaced.difference(self.known), opening.difference(self.known)
-        if self.library:
-            ids_of = self.library.encode_ordinary
-            short = lambda own: (piece for piece in own if len(piece) <= LIBRARY_CHARACTERS)
-            self.known.update([(piece, array("I", ids_of(" " + piece)).tobytes()) for piece in short(spaced)])
-            self.known.update([(piece, array("I", ids_of(piece[2:])).tobytes()) for piece in short(opening)])
-            spaced, opening = spaced.difference(self.known), opening.difference(self.known)
         split = {piece: self.pattern.findall(" " + piece) for piece in spaced} | {piece: [piece[2:]] for piece in opening}
         words = list({word for parts in split.values() for word in parts})
         packed: dict[str, bytes] = {}
@@ -224,8 +227,8 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
            keep: Iterable[str] | None = None, library: bool = False) -> DataFrame:
     """Adds ``ids``: the token ids of the whole text as packed little-endian unsigned 32-bit integers (binary).
 
-    ``path``: rank file, readable on every machine. ``keep``: columns that pass through (default: all). ``library``: merge new
-    words with the tiktoken library instead of the replay; the ids are the same. A null or empty text has no
+    ``path``: rank file, readable on every machine. ``keep``: columns that pass through (default: all). ``library``: merge
+    with the tiktoken library instead of the replay; the ids are the same. A null or empty text has no
     ids; bytes that are no UTF-8 are read as U+FFFD. Repeated rows are encoded alike; an existing column ``ids`` is replaced.
     """
     passed, schema = extended(df, keep, [T.StructField(ids, T.BinaryType())])

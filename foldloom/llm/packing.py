@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 # Tokens of a block, about; one document more may stand in it.
 BLOCK_TOKENS = 2_000_000
@@ -76,14 +77,16 @@ def pack(df: DataFrame, capacity: int = 2048, key: str = "doc_id", ids: str = "t
     ``ids`` holds ``capacity`` numbers of ``width``, padded with ``pad``; ``positions`` the place of each token in its segment, starting anew with every
     segment and at the padding; ``cu_seqlens`` the segments' cumulative lengths from 0; ``docs`` and ``starts`` the document and first token of each segment. Input ids are
     packed little-endian unsigned 32-bit integers. Documents with null or no ids have no segment; null keys are kept as null; repeated rows are
-    packed each. Ids that do not fit ``width`` raise.
+    packed each. Ids that do not fit ``width`` raise, and so does a ``capacity`` whose positions do not. Keys are of any type that Arrow knows.
     """
     kind, largest = WIDTHS[width]
+    if not 0 < capacity <= largest + 1 or pad > largest:
+        raise ValueError(f"rows of {capacity} ids padded with {pad} have positions or ids that do not fit {width}")
     schema = T.StructType([T.StructField("partition", T.IntegerType()), T.StructField("block", T.LongType()), T.StructField("row", T.LongType()),
                            T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("cu_seqlens", T.ArrayType(T.IntegerType())),
                            T.StructField("positions", T.BinaryType()), T.StructField("docs", T.ArrayType(df.schema[key].dataType)),
                            T.StructField("starts", T.ArrayType(T.LongType()))])
-    arrow_key = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[df.schema[key].dataType.simpleString()]
+    arrow_key = to_arrow_type(df.schema[key].dataType)
 
     def rows_of(number: int, partition: int, docs: list, arrays: list[np.ndarray]) -> pa.RecordBatch:
         pieces = [(d, at, min(capacity, len(a) - at)) for d, a in enumerate(arrays) for at in range(0, len(a), capacity)]

@@ -186,3 +186,12 @@ def test_language_of_given_documents_held_out(spark):
     assert all(found[d]["held_out"] for d, *_ in held) and sum(r["held_out"] for r in found.values()) == len(held)
     assert sum(found[d]["lang_pred"] == lang for d, _, lang in held) >= 0.95 * len(held)
     assert all(found[d]["lang_pred"] == brute.language(t, want)[0] for d, t, _ in held[:40])
+
+
+def test_packing_refuses_positions_that_do_not_fit(spark):
+    ids = spark.createDataFrame([(1, b"\x01\x00\x00\x00" * 70_000)], "doc_id short, token_ids binary")
+    with pytest.raises(ValueError, match="do not fit"):
+        packing.pack(ids, capacity=70_000)
+    row = packing.pack(ids, capacity=70_000, width="uint32").first()
+    assert row["n_tokens"] == 70_000 and row["docs"] == [1] and int.from_bytes(row["positions"][4 * 65_536:4 * 65_537], "little") == 65_536
+    assert packing.pack(ids, capacity=65_536).count() == 2

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foldloom.plans.stage import stage
+
 MATCH, MISMATCH, INCOMPARABLE = "MATCH", "MISMATCH", "INCOMPARABLE"
 
 
@@ -31,11 +33,12 @@ def diff_tables(left: DataFrame, right: DataFrame, keys: Sequence[str], columns:
     def packed(df: DataFrame, name: str) -> DataFrame:
         return df.select(*keys, F.struct(F.lit(1).alias("_"), *[F.col(c).cast("string").alias(c) for c in columns]).alias(name))
 
-    a, b = packed(left, "_l"), packed(right, "_r")
-    condition = a[keys[0]].eqNullSafe(b[keys[0]])
-    for k in keys[1:]:
-        condition = condition & a[k].eqNullSafe(b[k])
-    joined = a.join(b, condition, "full").select(*[F.coalesce(a[k], b[k]).alias(k) for k in keys], "_l", "_r")
+    # The right keys get names of their own: both sides may come from one table.
+    a, b = packed(left, "_l"), packed(right, "_r").withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    condition = F.lit(True)
+    for k in keys:
+        condition = condition & F.col(k).eqNullSafe(F.col(f"_right_{k}"))
+    joined = a.join(b, condition, "full").select(*[F.coalesce(k, f"_right_{k}").alias(k) for k in keys], "_l", "_r")
     lonely = F.col("_l").isNull() | F.col("_r").isNull()
 
     def cell(name: str, x: Column, y: Column) -> Column:
@@ -49,6 +52,34 @@ def diff_tables(left: DataFrame, right: DataFrame, keys: Sequence[str], columns:
     return exploded.select(*keys, "_c.column", "_c.left_value", "_c.right_value")
 
 
+def bucket_sums(df: DataFrame, keys: Sequence[str], columns: Sequence[str], buckets: int) -> DataFrame:
+    """(bucket, n, a, b): rows of each bucket of keys and two sums of 64-bit row hashes, whatever the row order."""
+    cells = [F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in [*keys, *columns]]
+    wide = lambda seed: F.sum(F.xxhash64(F.lit(seed), *cells).cast("decimal(20,0)"))
+    return df.groupBy(_bucket(keys, buckets).alias("bucket")).agg(F.count(F.lit(1)).alias("n"), wide(1).alias("a"), wide(2).alias("b"))
+
+
+def _bucket(keys: Sequence[str], buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*[F.col(k).cast("string") for k in keys]), F.lit(buckets))
+
+
+def diff_large_tables(left: DataFrame, right: DataFrame, keys: Sequence[str], columns: Sequence[str] | None = None, buckets: int = 4_096) -> DataFrame:
+    """The result of ``diff_tables`` for tables that hardly differ: buckets of keys are compared by their sums, and only rows of differing buckets are joined.
+
+    Equal tables are read once and never joined. Tables with other column names go to ``diff_tables``, which reports these. Each key is on one row of a side.
+    """
+    if columns is None:
+        if set(left.columns) != set(right.columns):
+            return diff_tables(left, right, keys)
+        columns = [c for c in left.columns if c not in keys]
+    a, b = bucket_sums(left, keys, columns, buckets), bucket_sums(right, keys, columns, buckets)
+    both = a.join(b.withColumnsRenamed({c: f"_{c}" for c in ("n", "a", "b")}), "bucket", "full")
+    same = F.col("n").eqNullSafe(F.col("_n")) & F.col("a").eqNullSafe(F.col("_a")) & F.col("b").eqNullSafe(F.col("_b"))
+    uneven = stage(both.where(~same).select("bucket"))  # at most ``buckets`` rows
+    own = lambda df: df.join(uneven, _bucket(keys, buckets) == uneven["bucket"], "left_semi")
+    return diff_tables(own(left), own(right), keys, columns)
+
+
 def compare_keys(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Every key of either side with ``side``: ``both``, ``only_left`` or ``only_right``."""
     a = left.select(F.col(key), F.lit(1).alias("_s"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldloom.functions import text as tx
-from foldloom.plans.ordering import hash_positions, positions, running_totals
+from foldloom.plans.ordering import first_by_hash, hash_positions, positions, running_totals
 from foldloom.plans.stage import stage
 
 # Shares and seed offset of the study's splits.
@@ -82,9 +82,7 @@ def _with_fold(ranked: DataFrame, k: int, stratum: str) -> DataFrame:
 def stratified_holdout(records: DataFrame, fraction: float = HOLDOUT_SHARE, seed: int = 42, stratum: str = "set_id",
                        key: str = "record_id") -> DataFrame:
     """Adds ``is_test``: the rounded share of every stratum."""
-    ranked = hash_positions(records, key, [stratum], F.lit(seed))
-    return (ranked.withColumn("is_test", F.col("position") <= share(F.col("n_stratum"), fraction))
-            .drop("position", "n_stratum"))
+    return first_by_hash(records, key, [stratum], F.lit(seed), lambda n: share(n, fraction), "is_test")
 
 
 def inner_validation(members: DataFrame, fraction: float = VALIDATION_SHARE, stratum: str = "set_id",
@@ -93,10 +91,9 @@ def inner_validation(members: DataFrame, fraction: float = VALIDATION_SHARE, str
 
     ``members(fit, seed, part, ...)`` has part ``dev`` or ``test``; test rows pass unchanged.
     """
-    ranked = hash_positions(members, key, ["fit", "part", stratum], F.col("seed"))
-    cut = F.when(F.col("part") == "test", "test").when(
-        F.col("position") <= share(F.col("n_stratum"), fraction), "val").otherwise("train")
-    return ranked.withColumn("part", cut).drop("position", "n_stratum")
+    test = F.col("part") == "test"
+    chosen = first_by_hash(members, key, ["fit", "part", stratum], F.col("seed"), lambda n: share(n, fraction), "_val", ~test)
+    return chosen.withColumn("part", F.when(test, "test").when(F.col("_val"), "val").otherwise("train")).drop("_val")
 
 
 def planned_fits(records: DataFrame, k: int = K_FOLDS, seed: int = 42, stratum: str = "set_id",

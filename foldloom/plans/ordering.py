@@ -7,9 +7,9 @@ window runs inside one range. What earlier ranges contribute comes from a table
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldloom.plans.stage import stage
@@ -182,3 +182,47 @@ def hash_positions(df: DataFrame, key: str, by: Sequence[str], seed, name: str =
         condition = condition & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
     joined = placed.join(starts, condition)
     return joined.withColumn(name, F.col("_place") - F.col("_before")).drop("_place", "_before", *[f"_by_{c}" for c in by])
+
+
+# Hex digits of a hash that are counted to find the place of a cut: 65,536 prefixes a stratum at most.
+PREFIX_DIGITS = 4
+
+
+def seeded_hash(seed: Column, key: str) -> Column:
+    """The hash whose order stands for a seeded random order."""
+    return F.sha2(F.concat(seed.cast("string"), F.lit(":"), F.col(key).cast("string")), 256)
+
+
+def hash_cuts(df: DataFrame, key: str, by: Sequence[str], seed: Column, size: Callable[[Column], Column]) -> DataFrame:
+    """(``by`` as ``_by_*``, ``_cut_hash``, ``_cut_key``): the last of the first ``size(n)`` rows of each key in hash order, found without sorting the rows.
+
+    Counts of hash prefixes tell in which prefix the cut lies; only the rows of that prefix, one in 65,536, are ranked. A key whose cut is 0 has no row.
+    """
+    rows = df.select(*by, F.col(key).alias("_key"), seeded_hash(seed, key).alias("_hash")).withColumn("_prefix", F.substring("_hash", 1, PREFIX_DIGITS))
+    counts = stage(rows.groupBy(*by, "_prefix").agg(F.count(F.lit(1)).alias("_n")))
+    upto = Window.partitionBy(*by).orderBy("_prefix").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = counts.withColumns({"_until": F.sum("_n").over(upto), "_want": size(F.sum("_n").over(Window.partitionBy(*by)))})
+    found = stage(placed.withColumn("_before", F.col("_until") - F.col("_n")).where("_before < _want AND _want <= _until").select(
+        *[F.col(c).alias(f"_by_{c}") for c in by], F.col("_prefix").alias("_cut_prefix"), (F.col("_want") - F.col("_before")).alias("_rank")))
+    near = rows.join(found, _same_key(by) & (F.col("_prefix") == F.col("_cut_prefix")))
+    rank = F.row_number().over(Window.partitionBy(*[f"_by_{c}" for c in by]).orderBy("_hash", "_key"))
+    return stage(near.withColumn("_at", rank).where("_at = _rank").select(*[f"_by_{c}" for c in by], F.col("_hash").alias("_cut_hash"), F.col("_key").alias("_cut_key")))
+
+
+def _same_key(by: Sequence[str]) -> Column:
+    condition = F.lit(True)
+    for c in by:
+        condition = condition & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    return condition
+
+
+def first_by_hash(df: DataFrame, key: str, by: Sequence[str], seed: Column, size: Callable[[Column], Column], name: str, only: Column | None = None) -> DataFrame:
+    """Adds ``name``: whether a row is among the first ``size(n)`` of the n rows of its key in seeded hash order. ``key`` values are unique within ``by``.
+
+    Rows outside ``only`` are never among them and not counted. Rows stay where they are: they meet one row per key that has a cut. The same rows are
+    chosen as by ``hash_positions``.
+    """
+    cuts = hash_cuts(df if only is None else df.where(only), key, by, seed, size)
+    joined = df.join(cuts, _same_key(by), "left")
+    chosen = F.coalesce(F.struct(seeded_hash(seed, key), F.col(key)) <= F.struct("_cut_hash", "_cut_key"), F.lit(False))
+    return joined.withColumn(name, chosen if only is None else chosen & F.coalesce(only, F.lit(False))).drop("_cut_hash", "_cut_key", *[f"_by_{c}" for c in by])

@@ -288,7 +288,27 @@ SELECT coalesce(s_suppkey, k) AS s_suppkey, '<row>' AS "column", CASE WHEN s_sup
 UNION ALL SELECT s_suppkey, 's_nationkey', CAST(s_nationkey AS VARCHAR), CAST(nat AS VARCHAR) FROM supplier JOIN r ON s_suppkey = k
 WHERE s_nationkey IS DISTINCT FROM nat"""
 
+def order_cells(spark, d):
+    """Orders against a copy with a few changes: a changed status, a missing price, lost and moved orders."""
+    left = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    key = F.col("o_orderkey")
+    right = left.where(key % 997 != 0).select(
+        F.when(key % 991 == 0, -key).otherwise(key).alias("o_orderkey"), "o_custkey", F.when(key % 983 == 0, "?").otherwise(F.col("o_orderstatus")).alias("o_orderstatus"),
+        F.when(key % 977 == 0, F.lit(None)).otherwise(F.col("o_totalprice")).alias("o_totalprice"))
+    return co.diff_large_tables(left, right, ["o_orderkey"]).select("o_orderkey", "column", F.when(F.col("column") == "o_totalprice", F.lit(None)).otherwise(
+        F.col("left_value")).alias("left_value"), "right_value")
+
+
+ORDER_CELLS_SQL = """
+WITH r AS (SELECT CASE WHEN o_orderkey % 991 = 0 THEN -o_orderkey ELSE o_orderkey END AS k, CASE WHEN o_orderkey % 983 = 0 THEN '?' ELSE o_orderstatus END AS s,
+  CASE WHEN o_orderkey % 977 <> 0 THEN o_totalprice END AS p FROM orders WHERE o_orderkey % 997 <> 0)
+SELECT coalesce(o_orderkey, k) AS o_orderkey, '<row>' AS "column", CASE WHEN o_orderkey IS NOT NULL THEN 'present' END AS left_value,
+  CASE WHEN k IS NOT NULL THEN 'present' END AS right_value FROM orders FULL JOIN r ON o_orderkey = k WHERE o_orderkey IS NULL OR k IS NULL
+UNION ALL SELECT o_orderkey, 'o_orderstatus', o_orderstatus, s FROM orders JOIN r ON o_orderkey = k WHERE o_orderstatus IS DISTINCT FROM s
+UNION ALL SELECT o_orderkey, 'o_totalprice', NULL, NULL FROM orders JOIN r ON o_orderkey = k WHERE o_totalprice IS DISTINCT FROM p"""
+
 QUERIES = {
+    "order_cells": (order_cells, ORDER_CELLS_SQL),
     "dataset_digests": (dataset_digests, DATASET_SQL),
     "single_digests": (single_digests, DATASET_SQL),
     "line_digest": (line_digest, sql(tree("a", "lineitem", "l_orderkey || chr(9) || l_linenumber || chr(9) || l_partkey", "l_returnflag"),

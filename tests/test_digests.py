@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -116,3 +117,32 @@ def test_diff_tables(spark):
     got = {tuple(r) for r in co.diff_tables(a, b, ["k"]).collect()}
     assert got == {(1, "n", None, "1"), (3, "<row>", "present", None), (4, "<row>", None, "present")}
     assert {tuple(r) for r in co.compare_keys(a, b, "k").collect()} == {(1, "both"), (2, "both"), (3, "only_left"), (4, "only_right")}
+
+
+def test_diff_large_tables_reads_differing_buckets_only(spark):
+    rng = random.Random(2)
+    rows = [(i, rng.choice("abc"), rng.choice([None, 1, 2])) for i in range(400)]
+    a = spark.createDataFrame(rows, "k int, s string, n int")
+    for edits in (0, 1, 7, 60):
+        other = dict((r[0], r) for r in rows)
+        for _ in range(edits):
+            k = rng.randrange(400)
+            other.pop(k, None) if rng.random() < .3 else other.update({k: (k, rng.choice("abcd"), rng.choice([None, 1]))})
+        other |= {1000 + i: (1000 + i, "new", None) for i in range(edits // 5)}
+        b = spark.createDataFrame(list(other.values()), "k int, s string, n int")
+        assert sorted(map(str, co.diff_large_tables(a, b, ["k"], buckets=64).collect())) == sorted(map(str, co.diff_tables(a, b, ["k"]).collect()))
+    again = a.repartition(7)
+    assert co.diff_large_tables(a, again, ["k"]).count() == 0
+    sums = [sorted(map(tuple, co.bucket_sums(x, ["k"], ["s", "n"], 16).collect())) for x in (a, again)]
+    assert sums[0] == sums[1] and len(sums[0]) == 16
+    # One edited row: the join reads the rows of one bucket of 64.
+    b = a.withColumn("s", F.when(F.col("k") == 77, "z").otherwise(F.col("s")))
+    seen = {}
+    plain = co.diff_tables
+    try:
+        co.diff_tables = lambda left, right, *rest: seen.update(n=left.count() + right.count()) or plain(left, right, *rest)
+        assert [tuple(r)[:2] for r in co.diff_large_tables(a, b, ["k"], buckets=64).collect()] == [(77, "s")]
+    finally:
+        co.diff_tables = plain
+    assert 0 < seen["n"] < 60
+    assert {r["column"] for r in co.diff_large_tables(a, a.withColumnRenamed("n", "m"), ["k"]).collect()} == {"<column> n", "<column> m"}

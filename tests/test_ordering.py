@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from foldloom.plans.ordering import RANGE, bracketed_percentiles, exact_percentiles, hash_positions, in_ranges, positions, running_totals
+from foldloom.plans.ordering import RANGE, bracketed_percentiles, exact_percentiles, first_by_hash, hash_positions, in_ranges, positions, running_totals
 
 
 def test_running_totals_with_a_hot_key(spark):
@@ -86,3 +86,15 @@ def test_bracketed_percentiles_are_exact(spark, by):
             own = [v for k, v in rows if v is not None and group in ((k,), ())]
             for name, q in wanted.items():
                 assert got[group][name] == pytest.approx(np.quantile(own, q), abs=1e-12), (group, name, accuracy)
+
+
+def test_first_by_hash_needs_no_sort_of_the_rows(spark):
+    """The same rows as ranked positions give, for hot and small keys, cuts of nothing and of everything, rows left out and null keys."""
+    df = spark.range(3000).select(F.when(F.col("id") % 50 == 0, "cold").when(F.col("id") % 997 == 3, F.lit(None)).otherwise("hot").alias("k"), F.col("id"), (F.col("id") % 3 == 0).alias("out"))
+    for fraction in (0.0, 0.15, 0.5, 1.0):
+        size = lambda n: F.round(n * F.lit(fraction)).cast("bigint")  # noqa: B023, E731
+        ranked = hash_positions(df.where(~F.col("out")), "id", ["k"], F.lit(7)).where(F.col("position") <= size(F.col("n_stratum")))
+        chosen = first_by_hash(df, "id", ["k"], F.lit(7), size, "first", ~F.col("out"))
+        assert chosen.count() == 3000 and chosen.columns == [*df.columns, "first"]
+        assert {r["id"] for r in chosen.where("first").collect()} == {r["id"] for r in ranked.collect()}
+    assert "rangepartitioning" not in chosen._jdf.queryExecution().executedPlan().toString()

@@ -214,3 +214,28 @@ def test_ledger(spark, tmp_path):
     assert {(r["fit"], r["best_epoch"]) for r in best.collect()} == {("fit_0", 2), ("fit_1", 2)}
     rollup = rc.ledger_rollup(states, outputs.withColumn("finished_at", F.lit(1000) + F.length("path") * 0), F.lit(4600)).first()
     assert (rollup["n_outputs"], rollup["n_recent"], rollup["percent"], rollup["overall_rate"]) == (4, 0, 40.0, 4.0)
+
+
+def test_unchanged_files_are_not_hashed_again(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "PATHS_AT_ONCE", 2)
+    root = tmp_path / "tree"
+    (root / "sub [1]").mkdir(parents=True)
+    names = ["a.txt", "sub [1]/b{x}.txt", "sub [1]/c*.txt", "d.txt", "e.txt"]
+    for name in names:
+        (root / name).write_text(name)
+        os.utime(root / name, (1_700_000_000, 1_700_000_000))
+    (root / "._junk").write_text("x")
+    stored = lambda df, at: (df.write.parquet(str(tmp_path / at)), spark.read.parquet(str(tmp_path / at)))[1]
+    first = stored(files.scan_changed(spark, str(root)), "one")
+    assert {r["path"] for r in first.where("hashed").collect()} == set(names)
+    again = files.scan_changed(spark, str(root), first)
+    assert again.where("hashed").count() == 0 and "content" not in again._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, again.drop("hashed").collect())) == sorted(map(tuple, first.drop("hashed").collect()))
+    (root / "sub [1]/b{x}.txt").write_text("other")          # another length
+    (root / "d.txt").write_text("D.txt")                     # the same length at another time
+    (root / "f?.txt").write_text("new")
+    (root / "a.txt").unlink()
+    second = stored(files.scan_changed(spark, str(root), first), "two")
+    assert {r["path"] for r in second.where("hashed").collect()} == {"sub [1]/b{x}.txt", "d.txt", "f?.txt"}
+    whole = {(r["path"], r["sha256"]) for r in files.scan_files(spark, str(root)).collect()}
+    assert {(r["path"], r["sha256"]) for r in second.collect()} == whole and len(whole) == 5

@@ -27,9 +27,13 @@ DIVISIONS = 6
 CHUNK_ROWS = 8_192
 # Radii of the levels below the root, which covers everything (unit vectors are at most 2 apart).
 RADII = (1.0, 0.5, 0.25, 0.125)
+# Bounds of the radii that share a tile.
+CLASSES = (0.0, 0.125, 0.25, 0.5, 1.0)
 # Bounds by the triangle inequality are trusted only this far from the threshold; nearer pairs are computed.
-MARGIN = 1e-6
+MARGIN = 1e-5
 TILE = 1_024
+# Values of vectors that are gathered at once.
+MAX_VALUES = 2**21
 # Node pairs with so many pairs of points below them, or fewer, are compared point by point.
 LEAF_PAIRS = 65_536
 
@@ -44,38 +48,37 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(2 - 2 * (a @ b.T), 0))
 
 
-def net(points: np.ndarray, first: np.ndarray, radius: float) -> np.ndarray:
-    """Indices of a subset that holds ``first``, keeps ``radius`` apart otherwise, and covers all points within ``radius``."""
-    chosen = list(first)
-    covered = np.zeros(len(points), dtype=bool)
-    for at in range(0, len(points), TILE):
-        part = slice(at, min(at + TILE, len(points)))
-        if len(first):
-            covered[part] = (distances(points[part], points[first]) <= radius).any(axis=1)
-    fresh: list[int] = []
-    for at in range(0, len(points), 256):
-        own = np.flatnonzero(~covered[at:at + 256]) + at
-        if len(own) and fresh:
-            own = own[~(distances(points[own], points[fresh]) <= radius).any(axis=1)]
-        if len(own):
-            near = distances(points[own], points[own]) <= radius
-            taken = np.zeros(len(own), dtype=bool)
-            for i in range(len(own)):
-                if not (near[i] & taken).any():
-                    taken[i] = True
-            fresh += own[taken].tolist()
-    return np.array(chosen + fresh, dtype=np.int64)
+def net(single: np.ndarray, places: np.ndarray, first: np.ndarray, radius: float) -> np.ndarray:
+    """Those of ``places`` that become nodes besides ``first``: none lies within ``radius`` of a node, all others do. In single precision, to its accuracy."""
+    least = np.float32(1 - radius**2 / 2)
+    chosen = np.empty((len(places) + len(first), single.shape[1]), dtype=np.float32)
+    chosen[:len(first)] = single[first]
+    count, fresh = len(first), []
+    for at in range(0, len(places), 256):
+        own = places[at:at + 256]
+        for low in range(0, count, 8 * TILE):
+            own = own[(single[own] @ chosen[low:min(low + 8 * TILE, count)].T).max(axis=1, initial=-2) < least]
+        near = single[own] @ single[own].T >= least
+        taken = np.zeros(len(own), dtype=bool)
+        for i in range(len(own)):
+            if not (near[i] & taken).any():
+                taken[i] = True
+        chosen[count:count + taken.sum()] = single[own[taken]]
+        count += int(taken.sum())
+        fresh.append(own[taken])
+    return np.concatenate(fresh) if fresh else places[:0]
 
 
 def entry_levels(points: np.ndarray) -> np.ndarray:
     """The level at which each point becomes a node: 0 for the root, then by halving radii; the last level takes what is left."""
+    single = points.astype(np.float32)
     level = np.full(len(points), len(RADII) + 1, dtype=np.int64)
     level[0] = 0
     for depth, radius in enumerate(RADII, 1):
-        chosen = net(points, np.flatnonzero(level < depth), radius)
-        level[chosen] = np.minimum(level[chosen], depth)
-        if (level <= depth).all():
+        left = np.flatnonzero(level > depth)
+        if not len(left):
             break
+        level[net(single, left, np.flatnonzero(level < depth), radius)] = depth
     return level
 
 
@@ -103,6 +106,37 @@ class CoverTree:
             parts = [self.below[0][own[0]] if len(own) == 1 else np.concatenate([self.below[0][c] for c in own]) for own in self.children[depth]]
             self.radius.insert(0, np.array([0.0 if len(own) == 1 else distances(points[[n]], points[own]).max() for n, own in enumerate(parts)]))
             self.below.insert(0, parts)
+        # Children of like radius stand together, so that few of a tile decide how far all of it reaches.
+        for depth in range(self.last):
+            radius = self.radius[depth + 1]
+            self.children[depth] = [own if len(own) == 1 else own[np.argsort(radius[own], kind="stable")] for own in self.children[depth]]
+
+        self.flat = [np.concatenate(parts) for parts in self.below]
+        self.ends = [np.cumsum([0, *map(len, parts)]) for parts in self.below]
+
+    def under(self, level: int, nodes: np.ndarray) -> np.ndarray:
+        """All points below the given nodes of a level."""
+        ends = self.ends[level]
+        sizes = ends[nodes + 1] - ends[nodes]
+        if (sizes == 1).all():
+            return self.flat[level][ends[nodes]]
+        return self.flat[level][np.repeat(ends[nodes] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())]
+
+    def tiles(self, level: int, nodes: np.ndarray) -> Iterator[np.ndarray]:
+        """Nodes sorted by radius, in parts of bounded size whose radii are of one class."""
+        edges = np.flatnonzero(np.diff(np.searchsorted(CLASSES, self.radius[level][nodes], side="left"))) + 1
+        for part in np.split(nodes, edges):
+            for at in range(0, len(part), TILE):
+                yield part[at:at + TILE]
+
+
+def cosines(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Cosines of the unit vectors a[x] and b[y] in double precision, by parts of bounded size."""
+    out, step = np.empty(len(x)), max(1, MAX_VALUES // a.shape[1])
+    for at in range(0, len(x), step):
+        own = slice(at, at + step)
+        out[own] = np.einsum("ij,ij->i", a[x[own]], b[y[own]])
+    return out
 
 
 def linked(a: CoverTree, pa: np.ndarray, b: CoverTree, pb: np.ndarray, threshold: float) -> np.ndarray | None:
@@ -113,9 +147,7 @@ def linked(a: CoverTree, pa: np.ndarray, b: CoverTree, pb: np.ndarray, threshold
     if not hits.any():
         return None
     x, y = np.nonzero(hits & (cosine <= np.float32(threshold) + doubt))
-    for at in range(0, len(x), TILE * TILE):
-        own = slice(at, at + TILE * TILE)
-        hits[x[own], y[own]] = np.einsum("ij,ij->i", a.points[pa[x[own]]], b.points[pb[y[own]]]) >= threshold
+    hits[x, y] = cosines(a.points, pa[x], b.points, pb[y]) >= threshold
     return hits if hits.any() else None
 
 
@@ -124,7 +156,7 @@ def traverse(a: CoverTree, b: CoverTree, threshold: float) -> Iterator[tuple[np.
 
     For a tree with itself (``a is b``) pairs come in both orders, points with themselves included.
     """
-    reach = float(np.sqrt(2 - 2 * threshold))
+    reach, doubt = float(np.sqrt(2 - 2 * threshold)), np.float32(a.points.shape[1] * 2.0**-22)
     waiting = [(0, 0, 0, 0)]
     while waiting:
         la, i, lb, j = waiting.pop()
@@ -137,34 +169,29 @@ def traverse(a: CoverTree, b: CoverTree, threshold: float) -> Iterator[tuple[np.
         ca, cb = a.children[la][i], b.children[lb][j]
         la, lb = min(la + 1, a.last), min(lb + 1, b.last)
         ends = la == a.last and lb == b.last
-        for x in range(0, len(ca), TILE):
-            own = ca[x:x + TILE]
-            for y in range(0, len(cb), TILE):
-                other = cb[y:y + TILE]
+        for own in a.tiles(la, ca):
+            for other in b.tiles(lb, cb):
                 if ends:
                     hits = linked(a, own, b, other, threshold)
                     if hits is not None:
                         yield own, other, hits
                     continue
-                # Most node pairs fail even with the largest radii of the tile; only the rest is looked at with its own.
-                widest = reach + a.radius[la][own].max() + b.radius[lb][other].max() + MARGIN
-                p, q = np.nonzero(a.single[own] @ b.single[other].T >= np.float32(1 - widest**2 / 2 - a.points.shape[1] * 2.0**-22) if widest < 2
-                                  else np.ones((len(own), len(other)), dtype=bool))
-                cosine = np.einsum("ij,ij->i", a.points[own[p]], b.points[other[q]])
-                spread = a.radius[la][own[p]] + b.radius[lb][other[q]]
-                near = cosine >= 1 - (reach + spread + MARGIN) ** 2 / 2  # the others are too far apart
-                p, q, cosine, spread = p[near], q[near], cosine[near], spread[near]
-                whole = np.sqrt(np.maximum(2 - 2 * cosine, 0)) + spread <= reach - MARGIN
+                # Single precision is enough here: what it may be off is granted to both bounds.
+                cosine = a.single[own] @ b.single[other].T
+                ra, rb = a.radius[la][own].astype(np.float32), b.radius[lb][other].astype(np.float32)
+                spread = ra[:, None] + rb[None, :] if ra.any() or rb.any() else np.float32(0)
+                p, q = np.nonzero(cosine >= 1 - np.minimum(spread + np.float32(reach + MARGIN), 2) ** 2 / 2 - doubt)  # the others are too far apart
+                far = np.sqrt(np.maximum(2 - 2 * (cosine[p, q] - doubt), 0)) + ra[p] + rb[q]
+                whole = far <= reach - MARGIN
                 for k in np.flatnonzero(whole):
                     yield a.below[la][own[p[k]]], b.below[lb][other[q[k]]], None
                 p, q = own[p[~whole]], other[q[~whole]]
                 # A node and all its near partners are compared at once, if these are few points.
                 for group in np.split(np.arange(len(p)), np.flatnonzero(np.diff(p)) + 1) if len(p) else ():
-                    pa, parts = a.below[la][p[group[0]]], [b.below[lb][n] for n in q[group]]
-                    if len(pa) * sum(map(len, parts)) > LEAF_PAIRS:
+                    pa, pb = a.below[la][p[group[0]]], b.under(lb, q[group])
+                    if len(pa) * len(pb) > LEAF_PAIRS:
                         waiting += [(la, int(p[group[0]]), lb, int(n)) for n in q[group]]
                         continue
-                    pb = np.concatenate(parts)
                     hits = linked(a, pa, b, pb, threshold)
                     if hits is not None:
                         yield pa, pb, hits

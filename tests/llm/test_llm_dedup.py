@@ -155,9 +155,9 @@ def test_cover_tree_levels_nest_and_cover(monkeypatch):
     tree = embedding_dedup.CoverTree(points, level)
     for depth, radius in enumerate(embedding_dedup.RADII, 1):
         nodes = points[level <= depth]
-        assert (embedding_dedup.distances(points, nodes).min(axis=1) <= radius + 1e-7).all()
+        assert (embedding_dedup.distances(points, nodes).min(axis=1) <= radius + 1e-5).all()  # nets are in single precision
         gaps = embedding_dedup.distances(nodes, nodes) + 9 * np.eye(len(nodes))
-        assert gaps.min() > radius - 1e-7
+        assert gaps.min() > radius - 1e-5
     for parts, radii in zip(tree.below, tree.radius):
         assert sorted(np.concatenate(parts)) == list(range(len(points)))
         assert all(embedding_dedup.distances(points[[n]], points[own]).max() <= r + 1e-7 for n, (own, r) in enumerate(zip(parts, radii)))

@@ -6,13 +6,20 @@ that would keep a frequent key together. A lost executor costs nothing that was
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: The folder of the innermost ``staging``.
+_SCOPE: contextvars.ContextVar[str | None] = contextvars.ContextVar("staging", default=None)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``. Only a local master without it gets a temporary folder, kept for the session."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -31,7 +38,20 @@ def _session_folder(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession) -> str:
     """A folder of its own below the shared one, for tables that are stored for this application only."""
-    return f"{_session_folder(spark)}/{uuid.uuid4().hex}"
+    return f"{_SCOPE.get() or _session_folder(spark)}/{uuid.uuid4().hex}"
+
+
+@contextlib.contextmanager
+def staging(spark: SparkSession) -> Iterator[None]:
+    """Whatever is staged inside is removed at the end: for work whose result is written before that."""
+    folder = new_path(spark)
+    token = _SCOPE.set(folder)
+    try:
+        yield
+    finally:
+        _SCOPE.reset(token)
+        _remove(spark, folder)
+        _collect_garbage(spark)
 
 
 def stage(df: DataFrame) -> DataFrame:
@@ -44,6 +64,11 @@ def stage(df: DataFrame) -> DataFrame:
     return back
 
 
+def _collect_garbage(spark: SparkSession) -> None:
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def _remove(spark: SparkSession, folder: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
@@ -61,8 +86,7 @@ def drop_staged(*tables: DataFrame) -> None:
             spark = df.sparkSession
             _remove(spark, path)
     if spark:
-        gc.collect()
-        spark._jvm.System.gc()
+        _collect_garbage(spark)
 
 
 def clear_staged(spark: SparkSession) -> None:

@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foldloom.llm.batches import WORD_TABLE, extended, raw_texts, with_columns, words_of
+from foldloom.plans.stage import drop_staged, stage
 
-# Words of all items that one automaton may hold. More items are refused here: raise the number, or judge by several item tables.
-MAX_ITEM_WORDS = 5_000_000
+# Characters of the items that one automaton may hold. Larger benchmarks are judged shard by shard, with the hits of all shards merged.
+MAX_ITEM_CHARACTERS = 40_000_000
+ADDED = ("n_words", "n_hit", "n_items", "items", "hit_spans", "contaminated")
 SPAN = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("length", T.LongType())]))
 
 
@@ -150,23 +152,25 @@ class Automaton:
 
 
 def item_words(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> list[tuple[str | None, list[bytes]]]:
-    """Distinct items as words. Their number is checked before they come to the driver."""
+    """Distinct items as words. Their size is checked before they come to the driver; ``decontaminate_by`` takes benchmarks of any size."""
     items = benchmark.select(F.col(item_id).cast("string").alias("name"), F.col(text).alias("text")).where(F.col("text").isNotNull())
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    if size > 8 * MAX_ITEM_WORDS:
-        raise ValueError(f"the benchmark has {size} characters; one automaton takes {8 * MAX_ITEM_WORDS}")
+    if size > MAX_ITEM_CHARACTERS:
+        raise ValueError(f"the benchmark has {size} characters; one automaton takes {MAX_ITEM_CHARACTERS}: use decontaminate_by")
     distinct = {(row["name"], row["text"]) for row in items.collect()}
     return [(name, words_of(body.encode())) for name, body in sorted(distinct, key=str)]
 
 
 def decontaminate(df: DataFrame, items: list[tuple[str | None, list[bytes]]], text: str = "text", window: int = 13, share: int = 20,
-                  keep: Iterable[str] | None = None, cleaned: str | None = None) -> DataFrame:
+                  keep: Iterable[str] | None = None, cleaned: str | None = None, longest: int | None = None, add_to: bool = False) -> DataFrame:
     """Adds n_words, n_hit, n_items, items (sorted names), hit_spans (start and length in words) and contaminated.
 
     A window is ``window`` consecutive words of an item, or a whole shorter item; words inside any occurrence are hit. A document is
     contaminated if it has a hit and ``share`` * n_hit >= n_words. Null and empty texts have no words and no hits. Items without a
     name still hit but are not counted in n_items; repeated items count once by name. Repeated rows are judged alike. Existing columns of
-    the added names are replaced. Without items nothing is hit. ``cleaned`` names a further column: the text without its hit spans.
+    the added names are replaced. Without items nothing is hit. ``cleaned`` names a further column: the text without the hit spans that exceed a limit,
+    i.e. those of more than ``longest`` words (None: every span), and all spans if the document is contaminated. With ``add_to`` the columns hit_spans and
+    items of ``df`` are those found by other items: the result has the hits of both.
     """
     added = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("n_items", T.LongType()),
              T.StructField("items", T.ArrayType(T.StringType())), T.StructField("hit_spans", SPAN),
@@ -180,19 +184,58 @@ def decontaminate(df: DataFrame, items: list[tuple[str | None, list[bytes]]], te
         automaton = Automaton(shared.value, window)
         for batch in batches:
             out: dict[str, list] = {f.name: [] for f in added}
-            for raw in raw_texts(batch, text):
+            former = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in earlier]
+            for place, raw in enumerate(raw_texts(batch, text)):
                 words = words_of(raw)
                 spans, names = automaton.scan(words)
+                if earlier:
+                    spans, names = merged([*((s["start"], s["length"]) for s in former[0][place]), *spans]), names | set(former[1][place])
                 hit = sum(length for _, length in spans)
-                for name, value in zip(out, (len(words), hit, len(names), sorted(names),
-                                             [{"start": a, "length": n} for a, n in spans], hit > 0 and share * hit >= len(words))):
+                bad = hit > 0 and share * hit >= len(words)
+                for name, value in zip(out, (len(words), hit, len(names), sorted(names), [{"start": a, "length": n} for a, n in spans], bad)):
                     out[name].append(value)
                 if cleaned:
-                    out[cleaned].append(remove_spans(raw, spans).decode("utf-8", "replace") if spans else raw.decode("utf-8", "replace"))
+                    gone = spans if bad else [s for s in spans if longest is None or s[1] > longest]
+                    out[cleaned].append((remove_spans(raw, gone) if gone else raw).decode("utf-8", "replace"))
             types = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), span_type, pa.bool_(), pa.string())
             yield with_columns(batch, passed, {n: pa.array(v, t) for (n, v), t in zip(out.items(), types)})
 
-    return df.select(*dict.fromkeys([*passed, text])).mapInArrow(step, schema)
+    earlier = ("hit_spans", "items") if add_to else ()
+    return df.select(*dict.fromkeys([*passed, text, *earlier])).mapInArrow(step, schema)
+
+
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans (start, length) in order, those that overlap or touch as one."""
+    out: list[list[int]] = []
+    for start, length in sorted(spans):
+        if out and start <= out[-1][0] + out[-1][1]:
+            out[-1][1] = max(out[-1][1], start + length - out[-1][0])
+        else:
+            out.append([start, length])
+    return [(a, n) for a, n in out]
+
+
+def decontaminate_by(df: DataFrame, benchmark: DataFrame, item_id: str = "item_id", item_text: str = "text", text: str = "text", keep: Iterable[str] | None = None,
+                     **settings) -> DataFrame:
+    """As ``decontaminate`` for a benchmark table of any size: its items are dealt by hash into shards that one automaton holds, and each shard's pass adds its hits.
+
+    A single item larger than a shard makes a shard of its own and more than ``MAX_ITEM_CHARACTERS`` raises. Passes are written in between, so one automaton is in memory.
+    """
+    size = benchmark.agg(F.sum(F.length(item_text))).first()[0] or 0
+    shards = 1 if size <= MAX_ITEM_CHARACTERS else -(-2 * size // MAX_ITEM_CHARACTERS)
+    if shards == 1:
+        return decontaminate(df, item_words(benchmark, item_id, item_text), text, keep=keep, **settings)
+    last = dict(settings)
+    first = {k: v for k, v in settings.items() if k not in ("cleaned", "longest")}
+    out, columns = df, [c for c in (df.columns if keep is None else keep) if c not in ADDED]
+    for number in range(shards):
+        own = item_words(benchmark.where(F.pmod(F.xxhash64(item_text), F.lit(shards)) == number), item_id, item_text)
+        final = number == shards - 1
+        former, out = out, decontaminate(out, own, text, keep=columns if final else [*dict.fromkeys([*columns, text])], add_to=number > 0, **(last if final else first))
+        if not final:
+            out = stage(out)
+            drop_staged(former)
+    return out
 
 
 def remove_spans(raw: bytes, spans: list[tuple[int, int]]) -> bytes:

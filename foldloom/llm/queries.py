@@ -134,8 +134,7 @@ FROM v LEFT JOIN ids ON ids.a = v.r LEFT JOIN n ON n.a = v.r"""
 
 
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = decontamination.item_words(table(spark, sf_dir, "benchmark"))
-    found = decontamination.decontaminate(table(spark, sf_dir, "documents"), items, keep=["doc_id"])
+    found = decontamination.decontaminate_by(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 

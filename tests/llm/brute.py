@@ -117,10 +117,10 @@ def held_out(doc):
     return doc is not None and zlib.crc32(str(doc).encode()) % 3 == 1
 
 
-def profiles(rows, size=400):
+def profiles(rows, size=400, all_rows=False):
     sums = {}
     for doc, text, lang in rows:
-        if doc is not None and lang is not None and text is not None and not held_out(doc):
+        if lang is not None and text is not None and (all_rows or doc is not None and not held_out(doc)):
             sums.setdefault(lang, Counter()).update(grams(text))
     return {lang: order(counts, size) for lang, counts in sums.items() if counts}
 
@@ -178,3 +178,16 @@ def licenses(text, phrases, templates, threshold=0.8):
                 best = max(best, len(want & held) / len(want))
     return (len(own), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)),
             1.0 if places else best)
+
+
+def shingle_set(text):
+    own = (text or "").translate(LOWER).split()
+    return {tuple(own[i:i + 5]) for i in range(max(1, len(own) - 4))} if own else set()
+
+
+def similar_kept(rows):
+    """Smallest key of each group of texts whose 5-word shingles have a Jaccard similarity of 0.8 or more."""
+    sets = [shingle_set(t) for _, t in rows]
+    alike = lambda a, b: sets[a] == sets[b] or 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])
+    roots = components(range(len(rows)), alike)
+    return sorted(min(d for (d, _), r in zip(rows, roots.values(), strict=True) if r == root) for root in set(roots.values()))

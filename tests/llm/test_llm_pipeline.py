@@ -21,17 +21,17 @@ def test_query_equals_sql(spark, con, name):
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 def twin(rows, items):
     """Rows (doc_id, text, lang) through all stages."""
-    table = brute.profiles(rows)
+    table = brute.profiles(rows, all_rows=True)
     rows = [r for r in rows if (found := brute.language(r[1], table))[0] != "und" and found[1] >= corpus_pipeline.LEAST_SCORE]
     clean = brute.line_dedup([r[:2] for r in rows])
     rows = [(d, text, lang) for (d, _, lang), (text, _, gone) in zip(rows, clean) if not gone or text.strip()]
-    _, roots = brute.simhash_components([r[:2] for r in rows])
-    rows = [r for r, root in zip(rows, roots) if r[0] == root]
+    kept = set(brute.similar_kept([r[:2] for r in rows]))
+    rows = [r for r in rows if r[0] in kept]
     rows = [r for r in rows if not brute.contamination(r[1], items)[4]]
     coder = brute.encoding()
     return {d: (lang, *brute.token_row(text, coder)) for d, text, lang in rows}

@@ -307,6 +307,60 @@ SELECT coalesce(o_orderkey, k) AS o_orderkey, '<row>' AS "column", CASE WHEN o_o
 UNION ALL SELECT o_orderkey, 'o_orderstatus', o_orderstatus, s FROM orders JOIN r ON o_orderkey = k WHERE o_orderstatus IS DISTINCT FROM s
 UNION ALL SELECT o_orderkey, 'o_totalprice', NULL, NULL FROM orders JOIN r ON o_orderkey = k WHERE o_totalprice IS DISTINCT FROM p"""
 
+# Both sides of the fingerprint queries, their lines and folds, hashed as plain sorted text and compared.
+FINGERPRINTS = """sides AS (
+  SELECT 'a' AS side, record_id, group_id, case_id, label, payload_hash FROM texts
+  UNION ALL SELECT 'b', record_id, group_id, 'c' || case_id, label, payload_hash FROM texts),
+lines AS (
+  SELECT side, 'record' AS level, 'records' AS key, record_id || chr(9) || group_id || chr(9) || case_id || chr(9) || label AS line FROM sides
+  UNION ALL SELECT side, 'payload', 'signals', payload_hash || ':' || label FROM sides
+  UNION ALL SELECT side, 'payload', 'owners', payload_hash || ':' || group_id || ':' || case_id FROM sides
+  UNION ALL SELECT side, 'note', 'row_order', record_id || chr(9) || payload_hash || ':' || label FROM sides),
+fold_lines AS (
+  SELECT side, 'record' AS level, fold, part || ' ' || record_id || ' ' || s.label AS line FROM tplan t JOIN sides s USING (record_id)
+  UNION ALL SELECT side, 'payload', fold, part || ' ' || payload_hash || ' ' || s.label FROM tplan t JOIN sides s USING (record_id)),
+fold_digests AS (SELECT side, level, 'fold' AS scope, CAST(fold AS VARCHAR) AS key, sha256(string_agg(line, chr(10) ORDER BY line)) AS d FROM fold_lines GROUP BY side, level, fold),
+digests AS (
+  SELECT side, level, 'dataset' AS scope, key, sha256(string_agg(line, chr(10) ORDER BY line)) AS d FROM lines GROUP BY side, level, key
+  UNION ALL SELECT side, level, 'dataset', 'fold_table', sha256(string_agg(key || d, chr(10) ORDER BY key)) FROM fold_digests GROUP BY side, level
+  UNION ALL SELECT * FROM fold_digests
+  UNION ALL SELECT side, 'meta', 'meta', unnest(['kind', 'schema']), 'x' FROM (VALUES ('a'), ('b')) v(side)),
+changes AS (SELECT a.level, a.scope, a.key, a.d <> b.d AS differs FROM digests a JOIN digests b USING (level, scope, key) WHERE a.side = 'a' AND b.side = 'b')"""
+
+FINGERPRINT_LINES_SQL = sql(TEXTS, qf.TEXT_HEADS, FINGERPRINTS, body="""
+SELECT level, scope, key, CASE WHEN differs THEN 'MISMATCH' ELSE 'MATCH' END AS result FROM changes WHERE scope <> 'fold'
+UNION ALL SELECT level, scope, key, 'MISMATCH' FROM (SELECT *, row_number() OVER (PARTITION BY level ORDER BY CAST(key AS BIGINT)) AS r
+  FROM changes WHERE scope = 'fold' AND differs) WHERE r <= 5""")
+FINGERPRINT_STATUS_SQL = sql(TEXTS, qf.TEXT_HEADS, FINGERPRINTS, """pairs AS (
+  SELECT 'same' AS pair, 'payload' AS level, scope, a.d <> b.d AS differs FROM digests a JOIN digests b USING (side, level, scope, key) WHERE side = 'a' AND level = 'payload'
+  UNION ALL SELECT 'other cases', level, scope, differs FROM changes WHERE level = 'payload'
+  UNION ALL SELECT 'ids only', level, scope, a.d <> b.d FROM digests a JOIN digests b USING (side, level, scope, key) WHERE side = 'a' AND level = 'record')""", body="""
+SELECT pair, CASE WHEN bool_or(differs) THEN 'MISMATCH' ELSE 'MATCH' END AS status, level, count(*) FILTER (differs AND scope = 'dataset') AS n_dataset_differs,
+  count(*) FILTER (differs AND scope = 'fold') AS n_folds_differ FROM pairs GROUP BY pair, level""")
+RECORDINGS_EXPLAINED_SQL = sql(RECORDINGS.split(",\nlines AS")[0], """variants AS (
+  SELECT 'same' AS variant, * FROM rec UNION ALL SELECT 'bytes', * REPLACE (sha256(file_hash) AS file_hash) FROM rec
+  UNION ALL SELECT 'names', * REPLACE ('x' || record_id AS record_id) FROM rec UNION ALL SELECT 'order', * REPLACE (-ordinal AS ordinal) FROM rec
+  UNION ALL SELECT 'content', * REPLACE (CASE WHEN ordinal = 7 THEN '0' ELSE payload_hash END AS payload_hash) FROM rec),
+d AS (SELECT variant, sha256(string_agg(ordinal || ' ' || set_id || ' ' || payload_hash, ',' ORDER BY ordinal)) AS data_order,
+    sha256(string_agg(set_id || ' ' || payload_hash, ',' ORDER BY set_id, payload_hash)) AS signals,
+    sha256(string_agg(ordinal || ' ' || set_id || ' ' || file_hash, ',' ORDER BY ordinal)) AS files,
+    sha256(string_agg(ordinal || ' ' || record_id, ',' ORDER BY ordinal)) AS names FROM variants GROUP BY variant)""", body="""
+SELECT v.variant, CASE WHEN v.data_order = s.data_order THEN 'MATCH' ELSE 'MISMATCH' END AS status,
+  CASE WHEN v.data_order = s.data_order AND v.files = s.files AND v.names = s.names THEN 'identical'
+    WHEN v.data_order = s.data_order AND v.names = s.names THEN 'same signals, other file bytes'
+    WHEN v.data_order = s.data_order AND v.files = s.files THEN 'same signals, other names'
+    WHEN v.data_order = s.data_order THEN 'same signals, other file bytes and names'
+    WHEN v.signals = s.signals THEN 'same signals, other order' ELSE 'different signals' END AS cause
+FROM d v, (SELECT * FROM d WHERE variant = 'same') s""")
+SPLIT_COMPARISON_SQL = sql(VECTORS, qs.TASKS, qs.RANKED, """l AS (SELECT task_id, fit, seed, part, record_id, target FROM planned JOIN targets USING (set_id)),
+r AS (SELECT task_id, fit, CASE WHEN contains(task_id, 'Z') THEN seed + 1 ELSE seed END AS seed, part, record_id, target FROM l WHERE NOT contains(task_id, 'S')),
+names AS (SELECT coalesce(x.task_id, y.task_id) AS task_id, x.task_id IS NULL AS lone_right, y.task_id IS NULL AS lone_left
+          FROM (SELECT DISTINCT task_id FROM l) x FULL JOIN (SELECT DISTINCT task_id FROM r) y ON x.task_id = y.task_id),
+rows_apart AS ((SELECT * FROM l EXCEPT SELECT * FROM r) UNION ALL (SELECT * FROM r EXCEPT SELECT * FROM l)),
+apart AS (SELECT DISTINCT task_id FROM rows_apart JOIN names USING (task_id) WHERE NOT lone_left AND NOT lone_right)""", body="""
+SELECT count(*) FILTER (NOT lone_left AND NOT lone_right) AS n_common, (SELECT count(*) FROM apart) AS n_differing, count(*) FILTER (lone_left) AS n_only_left,
+  count(*) FILTER (lone_right) AS n_only_right, (SELECT array_to_string(list_sort(list(task_id))[1:6], ', ') FROM apart) AS first_differing FROM names""")
+
 QUERIES = {
     "order_cells": (order_cells, ORDER_CELLS_SQL),
     "dataset_digests": (dataset_digests, DATASET_SQL),
@@ -320,29 +374,13 @@ QUERIES = {
     "differing_records": (differing_records, DIFFERING_RECORDS_SQL),
     "fold_part_digests": (fold_part_digests, FOLD_PARTS_SQL),
     "plan_row_digests": (plan_row_digests, PLAN_ROWS_SQL),
-    "fingerprint_status": (fingerprint_status, sql(TEXTS, body="""
-SELECT 'same' AS pair, 'MATCH' AS status, 'payload' AS level, 0::BIGINT AS n_dataset_differs, 0::BIGINT AS n_folds_differ
-UNION ALL SELECT 'other cases', CASE WHEN count(*) > 0 THEN 'MISMATCH' ELSE 'MATCH' END, 'payload', CAST(count(*) > 0 AS BIGINT), 0 FROM texts
-UNION ALL SELECT 'ids only', 'MATCH', 'record', 0, 0""")),
-    "fingerprint_lines": (fingerprint_lines, """
-SELECT level, scope, key, CASE WHEN changes AND (SELECT count(*) FROM labels) > 0 THEN 'MISMATCH' ELSE 'MATCH' END AS result
-FROM (VALUES ('meta', 'meta', 'kind', false), ('meta', 'meta', 'schema', false), ('record', 'dataset', 'records', true),
-  ('record', 'dataset', 'fold_table', false), ('payload', 'dataset', 'signals', false), ('payload', 'dataset', 'owners', true),
-  ('payload', 'dataset', 'fold_table', false), ('note', 'dataset', 'row_order', false)) x(level, scope, key, changes)"""),
-    "recordings_explained": (recordings_explained, """
-SELECT variant, CASE WHEN variant IN ('order', 'content') THEN 'MISMATCH' ELSE 'MATCH' END AS status,
-  CASE variant WHEN 'same' THEN 'identical' WHEN 'bytes' THEN 'same signals, other file bytes' WHEN 'names' THEN 'same signals, other names'
-    WHEN 'order' THEN 'same signals, other order' ELSE 'different signals' END AS cause
-FROM (SELECT unnest(['same', 'bytes', 'names', 'order', 'content']) AS variant) WHERE (SELECT count(*) FROM documents WHERE doc_id = 7) = 1"""),
+    "fingerprint_status": (fingerprint_status, FINGERPRINT_STATUS_SQL),
+    "fingerprint_lines": (fingerprint_lines, FINGERPRINT_LINES_SQL),
+    "recordings_explained": (recordings_explained, RECORDINGS_EXPLAINED_SQL),
     "missing_recordings": (missing_recordings, """
 SELECT lang AS set_id, count(*) AS n_missing FROM (
   SELECT DISTINCT lang, text FROM documents EXCEPT SELECT DISTINCT lang, text FROM documents WHERE doc_id % 9 <> 0) GROUP BY lang"""),
-    "split_comparison": (split_comparison, sql(qs.TASKS, body="""
-SELECT count(*) FILTER (NOT contains(task_id, 'S')) AS n_common,
-  count(*) FILTER (NOT contains(task_id, 'S') AND contains(task_id, 'Z')) AS n_differing,
-  count(*) FILTER (contains(task_id, 'S')) AS n_only_left, 0::BIGINT AS n_only_right,
-  array_to_string(list_sort(list(task_id) FILTER (NOT contains(task_id, 'S') AND contains(task_id, 'Z')))[1:6], ', ') AS first_differing
-FROM tasks""")),
+    "split_comparison": (split_comparison, SPLIT_COMPARISON_SQL),
     "task_sides": (task_sides, sql(qs.TASKS, body="""
 SELECT task_id, CASE WHEN contains(task_id, 'F') THEN 'only_left' ELSE 'both' END AS side FROM tasks
 UNION ALL SELECT 'x' || task_id, 'only_right' FROM tasks WHERE contains(task_id, 'F')""")),

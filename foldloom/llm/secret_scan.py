@@ -115,22 +115,52 @@ def fit_forest(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, trees: int =
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt").fit(vectors)
 
 
+def judged_findings(df: DataFrame, labels: Column | None = None, labelled: DataFrame | None = None, key: str = "doc_id", text: str = "text",
+                    path: str | None = "source") -> DataFrame:
+    """Every candidate with its features and its ``label`` (0, 1 or null).
+
+    ``labelled(key, at, run, label)`` are labelled findings, which count before all; ``labels`` is a label from a finding's columns and features, by default
+    ``rule_label()``. Without a row in ``labelled`` that column decides.
+    """
+    found = stage(candidates(df, key, text, path))
+    known = features(found, coverage(found, dictionary(df, text))).withColumn("label", rule_label() if labels is None else labels)
+    if labelled is not None:
+        given = labelled.groupBy(F.col(key).alias("_key"), F.col("at").alias("_at"), F.col("run").alias("_run")).agg(F.max(F.col("label").cast("double")).alias("_label"))
+        same = F.col("key").eqNullSafe(F.col("_key")) & (F.col("at") == F.col("_at")) & (F.col("run") == F.col("_run"))
+        known = known.join(given, same, "left").withColumn("label", F.coalesce("_label", "label")).drop("_key", "_at", "_run", "_label")
+    return stage(known)
+
+
+def scored(known: DataFrame, taught: DataFrame) -> DataFrame:
+    """``known`` with the probability by a forest that learns from the labelled rows of ``taught``."""
+    model = fit_forest(taught.where("label is not null"))
+    if model is None:
+        one = taught.agg(F.max("label")).first()[0]
+        return known.withColumn("probability", F.lit(0.5 if one is None else one))
+    vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(known)
+    return model.transform(vectors).withColumn("probability", F.get(vector_to_array("probability"), F.lit(1)))
+
+
+def held_out_quality(df: DataFrame, threshold: float = 0.5, parts: int = 3, **settings) -> DataFrame:
+    """One row: ``n, true_positive, false_positive, false_negative, precision, recall`` of the labelled findings of one value in ``parts``, by a forest that learnt from
+    the other values only. Without such findings counts are 0 and shares NULL."""
+    known = judged_findings(df, **settings).where("label is not null")
+    out = F.pmod(F.xxhash64("value"), F.lit(parts)) == 0
+    rows = scored(known.where(out), known.where(~out)).select("label", (F.col("probability") >= threshold).alias("yes"))
+    counts = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("yes") & (F.col("label") == 1)).alias("true_positive"),
+                      F.count_if(F.col("yes") & (F.col("label") == 0)).alias("false_positive"), F.count_if(~F.col("yes") & (F.col("label") == 1)).alias("false_negative"))
+    hits = F.col("true_positive")
+    return counts.withColumns({"precision": F.try_divide(hits, hits + F.col("false_positive")), "recall": F.try_divide(hits, hits + F.col("false_negative"))})
+
+
 def scan_secrets(df: DataFrame, labels: Column | None = None, threshold: float = 0.5, key: str = "doc_id", text: str = "text",
-                 path: str | None = "source") -> DataFrame:
+                 path: str | None = "source", labelled: DataFrame | None = None) -> DataFrame:
     """(key, at, run, value_sha256, shown, label, probability, is_secret): every candidate of every document; values are not shown whole.
 
-    ``labels`` is the label of a finding (0, 1 or null) from its columns and features; by default ``rule_label()``. If only one label
+    ``labels`` and ``labelled`` as in ``judged_findings``. If only one label
     occurs the probability is that label, without any it is 0.5. Null and empty texts have no candidates; null paths and keys are allowed; repeated
     rows give repeated findings. ``path`` may be None. Further columns play no part.
     """
-    found = stage(candidates(df, key, text, path))
-    known = stage(features(found, coverage(found, dictionary(df, text))).withColumn("label", rule_label() if labels is None else labels))
-    model = fit_forest(known.where("label is not null"))
-    if model is None:
-        one = known.agg(F.max("label")).first()[0]
-        scored = known.withColumn("probability", F.lit(0.5 if one is None else one))
-    else:
-        vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(known)
-        scored = model.transform(vectors).withColumn("probability", F.get(vector_to_array("probability"), F.lit(1)))
-    return scored.select(F.col("key").alias(key), "at", "run", F.sha2("value", 256).alias("value_sha256"), F.concat(F.expr("left(value, least(4, length(value) div 4))"), F.lit("...")).alias("shown"),
-                         "label", F.round("probability", 6).alias("probability"), (F.col("probability") >= threshold).alias("is_secret"))
+    known = judged_findings(df, labels, labelled, key, text, path)
+    return scored(known, known).select(F.col("key").alias(key), "at", "run", F.sha2("value", 256).alias("value_sha256"), F.concat(F.expr("left(value, least(4, length(value) div 4))"), F.lit("...")).alias("shown"),
+                                       "label", F.round("probability", 6).alias("probability"), (F.col("probability") >= threshold).alias("is_secret"))

@@ -128,15 +128,16 @@ def compare_fingerprints(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def comparison_lines(left: DataFrame, right: DataFrame, folds_shown: int = 5) -> DataFrame:
-    """Report lines: every data set digest, and the first differing folds in fold order."""
+    """Report lines: every data set digest, and the first differing folds in fold order; where these are cut, a line with the key ``...`` tells how many more differ."""
     diff = diff_fingerprints(left, right)
     word = F.when(F.col("same"), MATCH).otherwise(MISMATCH)
     top = diff.where("scope <> 'fold'").select("level", "scope", "key", word.alias("result"))
     number = F.col("key").cast("bigint")
     rank = F.row_number().over(Window.partitionBy("level").orderBy(number))
     side = F.when(F.col("left_value").isNull() | F.col("right_value").isNull(), "present in only one plan").otherwise(MISMATCH)
-    folds = (diff.where("scope = 'fold' AND NOT same").withColumn("_r", rank).where(F.col("_r") <= folds_shown)
-             .select("level", "scope", "key", side.alias("result")))
+    ranked = diff.where("scope = 'fold' AND NOT same").withColumns({"_r": rank, "_n": F.count(F.lit(1)).over(Window.partitionBy("level"))})
+    shown, more = F.col("_r") <= folds_shown, F.concat((F.col("_n") - folds_shown).cast("string"), F.lit(" more"))
+    folds = ranked.where(F.col("_r") <= folds_shown + 1).select("level", "scope", F.when(shown, F.col("key")).otherwise("...").alias("key"), F.when(shown, side).otherwise(more).alias("result"))
     return top.unionByName(folds)
 
 
@@ -156,7 +157,7 @@ def explain_recordings(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def compare_splits(left: DataFrame, right: DataFrame, names_shown: int = 6) -> DataFrame:
-    """Task digests of two sides (``task_id, digest``): counts, and the first differing task names."""
+    """Task digests of two sides (``task_id, digest``): counts, and the first differing task names, with ``...`` where there are more."""
     a = left.select("task_id", F.col("digest").alias("a"))
     b = right.select("task_id", F.col("digest").alias("b"))
     joined = a.join(b, "task_id", "full")
@@ -166,4 +167,4 @@ def compare_splits(left: DataFrame, right: DataFrame, names_shown: int = 6) -> D
     names = first.agg(F.array_join(F.array_sort(F.collect_list("task_id")), ", ")).scalar()
     return joined.agg(F.count_if(common).alias("n_common"), F.count_if(differs).alias("n_differing"),
                       F.count_if(F.col("b").isNull()).alias("n_only_left"),
-                      F.count_if(F.col("a").isNull()).alias("n_only_right")).withColumn("first_differing", names)
+                      F.count_if(F.col("a").isNull()).alias("n_only_right")).withColumn("first_differing", F.concat(names, F.when(F.col("n_differing") > names_shown, " ...").otherwise("")))

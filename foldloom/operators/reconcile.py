@@ -19,6 +19,19 @@ def verify_files(files: DataFrame, manifest: DataFrame) -> DataFrame:
     return a.join(b, "path", "full").select("path", status.alias("status"))
 
 
+def disagreements(left: DataFrame, right: DataFrame, value: str = "label", key: str = "record_id") -> DataFrame:
+    """(key, left_value, right_value) of records whose value differs, or that one side lacks (``missing``: ``left``, ``right``, else NULL).
+
+    Two stores with the same buckets meet bucket by bucket, without a shuffle.
+    """
+    a = left.select(F.col(key), F.col(value).alias("left_value"), F.lit(True).alias("_a"))
+    b = right.select(F.col(key).alias("_key"), F.col(value).alias("right_value"), F.lit(True).alias("_b"))
+    side = F.when(F.col("_a").isNull(), "left").when(F.col("_b").isNull(), "right")
+    joined = a.join(b, F.col(key) == F.col("_key"), "full")
+    return joined.where(side.isNotNull() | ~F.col("left_value").eqNullSafe(F.col("right_value"))).select(
+        F.coalesce(key, "_key").alias(key), "left_value", "right_value", side.alias("missing"))
+
+
 def verification_summary(checked: DataFrame) -> DataFrame:
     counts = [F.count_if(F.col("status") == s).alias(f"n_{s}") for s in ("ok", "different", "missing", "unlisted")]
     passed = F.count_if(F.col("status").isin("different", "missing")) == 0

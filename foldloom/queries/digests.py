@@ -330,7 +330,8 @@ changes AS (SELECT a.level, a.scope, a.key, a.d <> b.d AS differs FROM digests a
 FINGERPRINT_LINES_SQL = sql(TEXTS, qf.TEXT_HEADS, FINGERPRINTS, body="""
 SELECT level, scope, key, CASE WHEN differs THEN 'MISMATCH' ELSE 'MATCH' END AS result FROM changes WHERE scope <> 'fold'
 UNION ALL SELECT level, scope, key, 'MISMATCH' FROM (SELECT *, row_number() OVER (PARTITION BY level ORDER BY CAST(key AS BIGINT)) AS r
-  FROM changes WHERE scope = 'fold' AND differs) WHERE r <= 5""")
+  FROM changes WHERE scope = 'fold' AND differs) WHERE r <= 5
+UNION ALL SELECT level, 'fold', '...', (count(*) - 5) || ' more' FROM changes WHERE scope = 'fold' AND differs GROUP BY level HAVING count(*) > 5""")
 FINGERPRINT_STATUS_SQL = sql(TEXTS, qf.TEXT_HEADS, FINGERPRINTS, """pairs AS (
   SELECT 'same' AS pair, 'payload' AS level, scope, a.d <> b.d AS differs FROM digests a JOIN digests b USING (side, level, scope, key) WHERE side = 'a' AND level = 'payload'
   UNION ALL SELECT 'other cases', level, scope, differs FROM changes WHERE level = 'payload'
@@ -359,7 +360,7 @@ names AS (SELECT coalesce(x.task_id, y.task_id) AS task_id, x.task_id IS NULL AS
 rows_apart AS ((SELECT * FROM l EXCEPT SELECT * FROM r) UNION ALL (SELECT * FROM r EXCEPT SELECT * FROM l)),
 apart AS (SELECT DISTINCT task_id FROM rows_apart JOIN names USING (task_id) WHERE NOT lone_left AND NOT lone_right)""", body="""
 SELECT count(*) FILTER (NOT lone_left AND NOT lone_right) AS n_common, (SELECT count(*) FROM apart) AS n_differing, count(*) FILTER (lone_left) AS n_only_left,
-  count(*) FILTER (lone_right) AS n_only_right, (SELECT array_to_string(list_sort(list(task_id))[1:6], ', ') FROM apart) AS first_differing FROM names""")
+  count(*) FILTER (lone_right) AS n_only_right, (SELECT array_to_string(list_sort(list(task_id))[1:6], ', ') || CASE WHEN count(*) > 6 THEN ' ...' ELSE '' END FROM apart) AS first_differing FROM names""")
 
 QUERIES = {
     "order_cells": (order_cells, ORDER_CELLS_SQL),

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from foldloom.operators import reconcile as rc
+from foldloom.plans.stage import new_path
 from foldloom.queries.views import prefixed, rounded, sql, table
+from foldloom.sources.stores import write_store
 
 
 def _jobs(spark, d):
@@ -111,7 +115,22 @@ def verification_summary(spark, d):
     return rc.verification_summary(rc.verify_files(*_files(spark, d)))
 
 
+def stored_label_check(spark, d):
+    """Labels of the labelled documents against an edited copy, both stored in buckets by record."""
+    left = table(spark, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("label")).withColumnRenamed("doc_id", "record_id")
+    key = F.col("record_id")
+    right = left.where(key % 31 != 0).select("record_id", F.when(key % 17 == 0, 1 - F.col("label")).when(key % 29 == 0, F.lit(None)).otherwise(F.col("label")).alias("label"))
+    sides = [write_store(side, f"labels_{uuid.uuid4().hex}", new_path(spark), buckets=8) for side in (left, right)]
+    return rc.disagreements(*sides)
+
+
+STORED_LABEL_SQL = """
+WITH l AS (SELECT doc_id, max(quality) AS q FROM labels GROUP BY doc_id)
+SELECT doc_id AS record_id, q AS left_value, CASE WHEN doc_id % 31 <> 0 AND doc_id % 17 = 0 THEN 1 - q END AS right_value, CASE WHEN doc_id % 31 = 0 THEN 'right' END AS missing
+FROM l WHERE doc_id % 31 = 0 OR (doc_id % 17 = 0 AND q IS NOT NULL) OR (doc_id % 17 <> 0 AND doc_id % 29 = 0 AND q IS NOT NULL)"""
+
 QUERIES = {
+    "stored_label_check": (stored_label_check, STORED_LABEL_SQL),
     "job_states": (job_states, sql(LEDGER, body="SELECT queue, job_id, expect_complete, state FROM states")),
     "ledger_rollup": (ledger_rollup, ROLLUP_SQL),
     "completeness": (completeness, sql(LEDGER, COUNTED, body="""

@@ -146,3 +146,14 @@ def test_diff_large_tables_reads_differing_buckets_only(spark):
         co.diff_tables = plain
     assert 0 < seen["n"] < 60
     assert {r["column"] for r in co.diff_large_tables(a, a.withColumnRenamed("n", "m"), ["k"]).collect()} == {"<column> n", "<column> m"}
+
+
+def test_cut_lines_say_how_many_more(spark):
+    rows = [("record", "fold", str(i), f"x{i}") for i in range(9)] + [("record", "dataset", "records", "r")]
+    a = spark.createDataFrame(rows, "level string, scope string, key string, value string")
+    b = a.withColumn("value", F.when(F.col("key") != "3", F.concat("value", F.lit("!"))).otherwise(F.col("value")))
+    lines = {(r["key"], r["result"]) for r in co.comparison_lines(a, b).where("scope = 'fold'").collect()}
+    assert lines == {(k, "MISMATCH") for k in "01245"} | {("...", "3 more")}
+    sides = [spark.createDataFrame([(f"t{i}", f"{s}{i % 2 or s}") for i in range(20)], "task_id string, digest string") for s in "ab"]
+    row = co.compare_splits(*sides).first()
+    assert row["n_differing"] == 20 and row["first_differing"] == "t0, t1, t10, t11, t12, t13 ..."

@@ -29,12 +29,6 @@ def expand_plan(records: DataFrame, folds: DataFrame) -> DataFrame:
     return roles.select("fold", part.alias("part"), "record_id")
 
 
-def locate(members: DataFrame, records: DataFrame) -> DataFrame:
-    """Plan rows with the data of their record; ``known`` is false for ids the data lacks."""
-    data = records.select("record_id", "case_id", "group_id", "label", F.lit(True).alias("known"))
-    return members.join(data, "record_id", "left").withColumn("known", F.coalesce("known", F.lit(False)))
-
-
 def missing_ids(members: DataFrame, records: DataFrame, examples: int = 3) -> DataFrame:
     """Per fold and part: number of plan ids that the data lacks, and the first ids."""
     gone = members.join(records.select("record_id"), "record_id", "left_anti")

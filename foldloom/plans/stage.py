@@ -51,7 +51,7 @@ def staging(spark: SparkSession) -> Iterator[None]:
     finally:
         _SCOPE.reset(token)
         _remove(spark, folder)
-        _collect_garbage(spark)
+        collect_garbage(spark)
 
 
 def stage(df: DataFrame) -> DataFrame:
@@ -64,7 +64,8 @@ def stage(df: DataFrame) -> DataFrame:
     return back
 
 
-def _collect_garbage(spark: SparkSession) -> None:
+def collect_garbage(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of jobs that nothing refers to any more. For work that is about to write much."""
     gc.collect()
     spark._jvm.System.gc()
 
@@ -86,7 +87,7 @@ def drop_staged(*tables: DataFrame) -> None:
             spark = df.sparkSession
             _remove(spark, path)
     if spark:
-        _collect_garbage(spark)
+        collect_garbage(spark)
 
 
 def clear_staged(spark: SparkSession) -> None:

@@ -176,7 +176,6 @@ def mine(df: DataFrame, positives: int = 5, negatives: int = 10, lower: tuple[in
     one = lambda value: F.array(F.lit(value).cast("long"))
     anchors = stage(rows.where(F.col("key") % anchor_every == 0).withColumns({"hi": one(HIGHEST), "low": one(LOWEST)}))
     first = best_rows(rows, anchors.drop("key"), True, positives).select("arid", F.col("rank").alias("place"), F.col("id").alias("positive_id"), F.col("score").alias("positive_score"))
-    p = F.col("positive_score")
     (a, b), (c, d) = lower, upper
     first = stage(first.withColumns({"lo": F.expr(f"({a} * positive_score + pmod(-{a} * positive_score, {b})) div {b}"),
                                      "top": F.expr(f"({c} * positive_score - pmod({c} * positive_score, {d})) div {d}")}))

@@ -195,3 +195,21 @@ def test_packing_refuses_positions_that_do_not_fit(spark):
     row = packing.pack(ids, capacity=70_000, width="uint32").first()
     assert row["n_tokens"] == 70_000 and row["docs"] == [1] and int.from_bytes(row["positions"][4 * 65_536:4 * 65_537], "little") == 65_536
     assert packing.pack(ids, capacity=65_536).count() == 2
+
+
+def test_benchmarks_in_shards_hit_like_one_automaton(spark, monkeypatch):
+    rng = random.Random(12)
+    word = lambda: f"w{rng.randrange(30)}"
+    items = [(f"i{i}", " ".join(word() for _ in range(rng.choice([1, 5, 13, 20, 40])))) for i in range(25)] + [("i3", None), (None, "lone words here")]
+    texts = [" ".join([*(word() for _ in range(rng.randint(0, 30))), rng.choice(items)[1] or "x", rng.choice(items)[1] or "y", *(word() for _ in range(20))]) for _ in range(40)] + [None, ""]
+    df = spark.createDataFrame([(i, t, "old") for i, t in enumerate(texts)], "doc_id long, text string, items string")
+    benchmark = spark.createDataFrame(items, "item_id string, text string")
+    one = decontamination.decontaminate_by(df, benchmark, cleaned="clean", longest=13)
+    monkeypatch.setattr(decontamination, "MAX_ITEM_CHARACTERS", 700)
+    many = decontamination.decontaminate_by(df, benchmark, cleaned="clean", longest=13)
+    assert many.columns == one.columns
+    assert sorted(map(str, many.collect())) == sorted(map(str, one.collect()))
+    for r in one.collect():
+        long_spans = [s for s in r["hit_spans"] if s["length"] > 13]
+        gone = r["n_hit"] if r["contaminated"] else sum(s["length"] for s in long_spans)
+        assert len(words_of(r["clean"].encode())) == r["n_words"] - gone

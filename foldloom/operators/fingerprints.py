@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldloom.functions.text import normalize_hash, record_line
-from foldloom.plans.digests import add_members, member_sums, minus_lanes, sums_digest, tree_digest
+from foldloom.plans.digests import add_members, hash_lines, member_sums, minus_lanes, sums_digest, tree_digest, tree_parts
 from foldloom.plans.stage import stage
 
 SCHEMA_VERSION = "1"
@@ -61,12 +61,37 @@ def recording_digests(recordings: DataFrame) -> DataFrame:
 
 def split_digests(splits: DataFrame) -> dict[str, DataFrame]:
     """Digest of every fit, every task and the whole split plan, from one pass over the rows."""
-    line = record_line("part", "record_id", "target", "seed")
-    fits = stage(tree_digest(splits, line, ["task_id", "fit"]))
+    return _upper_digests(tree_digest(splits, member_line(), ["task_id", "fit"]))
+
+
+def member_line() -> Column:
+    return record_line("part", "record_id", "target", "seed")
+
+
+def _upper_digests(fits: DataFrame) -> dict[str, DataFrame]:
+    fits = stage(fits)
     tasks = stage(tree_digest(fits, record_line("fit", "digest"), ["task_id"]))
     return {"fit": fits, "task": tasks, "plan": tree_digest(tasks, record_line("task_id", "digest"))}
 
 
+def planned_fit_digests(fits: DataFrame, targets: DataFrame) -> DataFrame:
+    """``task_id, fit, n_lines, digest``: the fit digests of ``split_digests(fits.join(targets, "set_id"))``, without a row per task and record before a shuffle.
+
+    The line of a member depends on its target and not on the task, so each member is hashed and shuffled once per target of its set; the tasks take
+    their lines out of every branch. ``targets`` has one row per task and set; the list of tasks is a single value.
+    """
+    kind = record_line("set_id", "target")
+    wanted = targets.groupBy("task_id").agg(F.collect_set(kind).alias("kinds")).agg(F.collect_list(F.struct("task_id", "kinds")))
+    lines = fits.join(F.broadcast(targets.select("set_id", "target").distinct()), "set_id")
+    parts = tree_parts(lines.select("fit", kind.alias("kind"), member_line().alias("line")), "line", "kind", ["fit"], wanted.scalar(), "kinds")
+    return parts.groupBy("part.task_id", "fit").agg(F.sum("n").alias("n_lines"), hash_lines("entry").alias("digest"))
+
+
+def planned_split_digests(fits: DataFrame, targets: DataFrame) -> dict[str, DataFrame]:
+    """``split_digests`` of a plan given by its fits and the targets of its tasks."""
+    return _upper_digests(planned_fit_digests(fits, targets))
+
+
 def plan_part_sums(members: DataFrame, line: Column, positive: Column | None = None) -> DataFrame:
     """Member sums per (fold, part) of a plan in row form."""
     return member_sums(members, line, ["fold", "part"], positive)

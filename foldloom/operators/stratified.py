@@ -105,6 +105,8 @@ def planned_fits(records: DataFrame, k: int = K_FOLDS, seed: int = 42, stratum:
     # Folds and holdout follow the same order, which is ranked once.
     ranked = stage(hash_positions(records.select(key, stratum), key, [stratum], F.lit(seed)))
     held = _with_fold(ranked, k, stratum).withColumn("is_test", F.col("position") <= share(F.col("n_stratum"), HOLDOUT_SHARE))
+    # A staged table of narrow rows is few files: without this, one task would hold the k + 1 rows of all its records.
+    held = held.repartition(int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     cv = F.transform(F.sequence(F.lit(1), F.lit(k)), lambda i: F.struct(
         F.format_string("cv_fold_%02d", i).alias("fit"), (F.lit(seed) + i).alias("seed"),
         F.when(F.col("test_fold") == i, "test").otherwise("dev").alias("part")))
@@ -116,9 +118,9 @@ def planned_fits(records: DataFrame, k: int = K_FOLDS, seed: int = 42, stratum:
     return inner_validation(rows, VALIDATION_SHARE, stratum, key)
 
 
-def plan_tasks(tasks: DataFrame, records: DataFrame, k: int = K_FOLDS, seed: int = 42,
-               stratum: str = "set_id", key: str = "record_id") -> DataFrame:
-    """Every task with every fit: ``task_id, fit, seed, part, set_id, record_id, target``. Raises if a task lacks fits."""
+def complete_fits(tasks: DataFrame, records: DataFrame, k: int = K_FOLDS, seed: int = 42,
+                  stratum: str = "set_id", key: str = "record_id") -> tuple[DataFrame, DataFrame]:
+    """The fits of a plan, staged, and the targets of its tasks. Raises if a task lacks fits."""
     targets = task_targets(tasks).withColumnRenamed("set_id", stratum)
     fits = stage(planned_fits(records, k, seed, stratum, key))
     counted = fit_sizes(fits, targets, stratum).groupBy("task_id").agg(F.count_distinct("fit").alias("n_fits"))
@@ -126,6 +128,13 @@ def plan_tasks(tasks: DataFrame, records: DataFrame, k: int = K_FOLDS, seed: int
     short = planned.agg(F.count(F.lit(1)).alias("n"), F.min("task_id").alias("first")).first()
     if short["n"]:
         raise SplitError(f"{short['n']} tasks do not have {k + 1} fits, the first is {short['first']}")
+    return fits, targets
+
+
+def plan_tasks(tasks: DataFrame, records: DataFrame, k: int = K_FOLDS, seed: int = 42,
+               stratum: str = "set_id", key: str = "record_id") -> DataFrame:
+    """Every task with every fit: ``task_id, fit, seed, part, set_id, record_id, target``. Raises if a task lacks fits."""
+    fits, targets = complete_fits(tasks, records, k, seed, stratum, key)
     return fits.join(targets, stratum)
 
 

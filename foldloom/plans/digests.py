@@ -41,6 +41,31 @@ def tree_digest(df: DataFrame, line: Column, by: Sequence[str] = (), name: str =
                                    hash_lines("_entry").alias(name))
 
 
+def tree_parts(df: DataFrame, line: str, kind: str, by: Sequence[str], wanted: Column, kinds: str) -> DataFrame:
+    """``*by, part, n, entry``: the branches of the ``tree_digest`` of several overlapping parts of ``df``, whose lines are shuffled once and not once per part.
+
+    ``wanted`` is an array of structs; a part has the lines whose ``kind`` is in the array ``kinds`` of its struct. Hashing the entries of a key and part
+    gives its digest. A group holds one branch: 1 of 4,096 of the lines of a key.
+    """
+    hashed = df.select(*by, F.col(kind).alias("kind"), F.sha2(line, 256).alias("h"))
+    placed = hashed.withColumn("_p3", F.substring("h", 1, 3)).repartition(*by, "_p3")
+    leaves = placed.groupBy(*by, "_p3", F.substring("h", 1, 6).alias("p6")).agg(F.collect_list(F.struct("kind", "h")).alias("lines"))
+    branches = leaves.groupBy(*by, "_p3").agg(F.collect_list(F.struct("p6", "lines")).alias("_leaves"))
+    each = branches.withColumn("_wanted", wanted).select(*by, "_p3", "_leaves", F.explode("_wanted").alias("part"))
+    hashes = lambda leaf: F.transform(F.filter(leaf["lines"], lambda x: F.array_contains(F.col(f"part.{kinds}"), x["kind"])), lambda x: x["h"])
+    own = F.filter(F.transform("_leaves", lambda leaf: F.struct(leaf["p6"].alias("p6"), F.sort_array(hashes(leaf)).alias("h"))), lambda leaf: F.size(leaf["h"]) > 0)
+    # Exploded, so that the condition does not compute it once more.
+    found = each.select(*by, "_p3", "part", F.explode(F.array(own)).alias("_own")).where(F.size("_own") > 0)
+    one = lambda x, n: F.concat_ws(":", x, n.cast("string"))
+    # Copies of a line are counted; most leaves have one line.
+    counted = lambda h: F.when(F.size(h) == 1, F.transform(h, lambda x: one(x, F.lit(1)))).otherwise(
+        F.transform(F.array_distinct(h), lambda x: one(x, F.size(F.filter(h, lambda y: y == x)))))
+    text = lambda entries: F.sha2(F.array_join(F.sort_array(entries), "\n"), 256)
+    lower = F.transform("_own", lambda leaf: F.concat_ws(":", leaf["p6"], text(counted(leaf["h"]))))
+    size = F.aggregate("_own", F.lit(0).cast("bigint"), lambda n, leaf: n + F.size(leaf["h"]))
+    return found.select(*by, "part", size.alias("n"), F.concat_ws(":", "_p3", text(lower)).alias("entry"))
+
+
 def member_sums(df: DataFrame, line: Column, by: Sequence[str] = (), positive: Column | None = None) -> DataFrame:
     """Per key: members (``n_members``), positives among them (``n_pos``) and lane sums (``lanes``).
 

@@ -100,8 +100,8 @@ def _plan(spark, d, tasks=None):
 
 
 def split_digests(spark, d):
-    """Digest of every task and of the whole split plan, composed from the members of each set."""
-    out = tr.composed_split_digests(st.planned_fits(vectors(spark, d)), st.task_targets(st.preset_tasks(spark)))
+    """Digest of every task and of the whole split plan, from the lines of all their members."""
+    out = fp.planned_split_digests(st.planned_fits(vectors(spark, d)), st.task_targets(st.preset_tasks(spark)))
     return out["task"].select("task_id", "n_lines", "digest").unionByName(
         out["plan"].select(F.lit("<all>").alias("task_id"), "n_lines", "digest"))
 
@@ -110,15 +110,11 @@ def _lanes(h: str) -> str:
     return " || ',' || ".join(f"sum(CAST('0x' || substr({h}, {4 * i + 1}, 4) AS BIGINT))::BIGINT" for i in range(16))
 
 
-# The same digests from all rows of all tasks.
-SPLIT_SQL = sql(VECTORS, qs.TASKS, qs.RANKED, f"""hashed AS (SELECT *, sha256(CAST(record_id AS VARCHAR)) AS h FROM planned),
-lined AS (SELECT task_id, fit, part || chr(9) || target || chr(9) || seed || chr(9) || count(*) || chr(9) || sha256(count(*) || ',' || {_lanes("h")}) AS line
-          FROM hashed JOIN targets USING (set_id) GROUP BY task_id, fit, seed, part, target),
-f AS (SELECT task_id, fit, sha256(string_agg(line, chr(10) ORDER BY line)) AS digest FROM lined GROUP BY task_id, fit),
-t AS (SELECT task_id, count(*) AS n_lines, sha256(string_agg(fit || chr(9) || digest, chr(10) ORDER BY fit || chr(9) || digest)) AS digest FROM f GROUP BY task_id)""",
-                body="""
-SELECT task_id, n_lines, digest FROM t UNION ALL
-SELECT '<all>', count(*), sha256(string_agg(task_id || chr(9) || digest, chr(10) ORDER BY task_id || chr(9) || digest)) FROM t""")
+SPLIT_SQL = sql(VECTORS, qs.TASKS, qs.RANKED, "rows AS (SELECT * FROM planned JOIN targets USING (set_id))",
+                tree("f", "rows", "part || chr(9) || record_id || chr(9) || target || chr(9) || seed", "task_id, fit"),
+                tree("t", "f", "fit || chr(9) || digest", "task_id"),
+                tree("a", "t", "task_id || chr(9) || digest"), body="""
+SELECT task_id, n_lines, digest FROM t UNION ALL SELECT '<all>', n_lines, digest FROM a""")
 
 
 def _edited_fits(fits):

@@ -10,6 +10,7 @@ from foldloom.operators import stratified as st
 from foldloom.plans.stage import stage
 
 TASKS = ("Z_vs_O", "Z+O_vs_S", "O_vs_S")
+SF_DIR = "/root/testdata/sf0.001"
 
 
 def plan(spark):
@@ -84,3 +85,23 @@ def test_equal_branches_are_not_read(spark, tmp_path):
         text = rows._jdf.queryExecution().executedPlan().toString()
         assert re.search(r"PartitionFilters: \[[^\]]*fit#\d+ = cv_fold_02[^\]]*part#\d+ = train", text), text
         assert {(r["fit"], r["part"], r["set_id"]) for r in rows.collect()} == {("cv_fold_02", "train", "Z")}
+
+
+def test_members_hashed_once_per_target_give_the_digests_of_all_rows(spark):
+    """Also for a record that is repeated, or in two sets of one target; the whole line of each member counts."""
+    fits, targets = plan(spark)
+    own = (F.col("fit") == "cv_fold_02") & (F.col("record_id") == "Z3")
+    variants = edits(fits) | {"as planned": fits, "two sets": fits.unionByName(fits.where(own).withColumn("set_id", F.lit("O"))), "empty fit": fits.where("fit <> 'cv_fold_07'")}
+    for name, rows in variants.items():
+        whole, planned = fp.split_digests(rows.join(targets, "set_id")), fp.planned_split_digests(rows, targets)
+        for level in ("fit", "task", "plan"):
+            columns = whole[level].columns
+            assert sorted(map(tuple, planned[level].select(*columns).collect())) == sorted(map(tuple, whole[level].collect())), (name, level)
+
+
+def test_query_digests_the_lines_of_all_members(spark):
+    from foldloom.queries import digests as qd
+
+    whole = fp.split_digests(qd._plan(spark, SF_DIR))
+    wanted = [tuple(r) for r in whole["task"].select("task_id", "n_lines", "digest").collect()] + [("<all>", *whole["plan"].first())]
+    assert sorted(map(tuple, qd.split_digests(spark, SF_DIR).collect())) == sorted(wanted)

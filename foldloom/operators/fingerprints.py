@@ -68,9 +68,14 @@ def member_line() -> Column:
     return record_line("part", "record_id", "target", "seed")
 
 
+def task_digests(fits: DataFrame) -> DataFrame:
+    """Digest of every task from those of its fits."""
+    return stage(tree_digest(fits, record_line("fit", "digest"), ["task_id"]))
+
+
 def _upper_digests(fits: DataFrame) -> dict[str, DataFrame]:
     fits = stage(fits)
-    tasks = stage(tree_digest(fits, record_line("fit", "digest"), ["task_id"]))
+    tasks = task_digests(fits)
     return {"fit": fits, "task": tasks, "plan": tree_digest(tasks, record_line("task_id", "digest"))}
 
 

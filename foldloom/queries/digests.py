@@ -95,10 +95,6 @@ def recording_digests(spark, d):
     return fp.recording_digests(_recordings(spark, d))
 
 
-def _plan(spark, d, tasks=None):
-    return st.plan_tasks(st.preset_tasks(spark, tasks or st.PRESET_TASKS), vectors(spark, d))
-
-
 def split_digests(spark, d):
     """Digest of every task and of the whole split plan, from the lines of all their members."""
     out = fp.planned_split_digests(st.planned_fits(vectors(spark, d)), st.task_targets(st.preset_tasks(spark)))
@@ -249,12 +245,12 @@ def missing_recordings(spark, d):
 
 def split_comparison(spark, d):
     """All tasks with seed 42 against the tasks without set S, of which those with set Z use seed 43."""
-    full = fp.split_digests(_plan(spark, d))["task"]
+    fits, targets = st.complete_fits(st.preset_tasks(spark), vectors(spark, d))
     fewer = tuple(t for t in st.PRESET_TASKS if "S" not in t)
-    tasks = st.preset_tasks(spark, fewer)
-    again = st.plan_tasks(tasks, vectors(spark, d)).withColumn(
-        "seed", F.when(F.col("task_id").contains("Z"), F.col("seed") + 1).otherwise(F.col("seed")))
-    return co.compare_splits(full, fp.split_digests(again)["task"])
+    again, goals = st.complete_fits(st.preset_tasks(spark, fewer), vectors(spark, d))
+    with_z = F.col("task_id").contains("Z")
+    sides = (fp.planned_fit_digests(again.withColumn("seed", F.col("seed") + 1), goals.where(with_z)), fp.planned_fit_digests(again, goals.where(~with_z)))
+    return co.compare_splits(fp.planned_split_digests(fits, targets)["task"], fp.task_digests(sides[0].unionByName(sides[1])))
 
 
 def task_sides(spark, d):

@@ -101,7 +101,19 @@ def test_members_hashed_once_per_target_give_the_digests_of_all_rows(spark):
 
 def test_query_digests_the_lines_of_all_members(spark):
     from foldloom.queries import digests as qd
+    from foldloom.queries.views import vectors
 
-    whole = fp.split_digests(qd._plan(spark, SF_DIR))
+    whole = fp.split_digests(st.plan_tasks(st.preset_tasks(spark), vectors(spark, SF_DIR)))
     wanted = [tuple(r) for r in whole["task"].select("task_id", "n_lines", "digest").collect()] + [("<all>", *whole["plan"].first())]
     assert sorted(map(tuple, qd.split_digests(spark, SF_DIR).collect())) == sorted(wanted)
+
+
+def test_comparison_makes_no_row_per_task_and_record(spark, monkeypatch):
+    """What meets in a tree by task are digests of fits, at most 11 a task."""
+    from foldloom.queries import digests as qd
+
+    seen, plain = [], fp.tree_digest
+    monkeypatch.setattr(fp, "tree_digest", lambda df, *rest: seen.append(df.count()) or plain(df, *rest))
+    row = qd.split_comparison(spark, SF_DIR).first()
+    assert (row["n_common"], row["n_differing"], row["n_only_left"], row["n_only_right"]) == (12, 8, 20, 0)
+    assert seen and max(seen) <= 11 * len(st.PRESET_TASKS)

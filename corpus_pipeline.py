@@ -40,7 +40,7 @@ def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the smallest id. Links are exact: 5-word shingles, Jaccard similarity 0.8 or more."""
+    """One document of each near-duplicate group: the smallest id. SimHash finds pairs, an exact join those it misses; links have a Jaccard similarity of 0.8 or more of 5-word shingles."""
     return shingle_dedup.first_of_each(docs).select(*docs.columns)
 
 

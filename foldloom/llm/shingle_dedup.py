@@ -1,6 +1,7 @@
-"""Near-duplicates by exact shingle similarity: documents are linked when their sets of 5-word shingles have a Jaccard similarity of 0.8 or more.
+"""Near-duplicates by SimHash and exact shingle similarity: documents are linked when their sets of 5-word shingles have a Jaccard similarity of 0.8 or more.
 
-No link is left to chance. Shingles have one order, rarest first; of two sets of that similarity the first n - ceil(0.8 n) + 1 of each
+Fingerprints over 5-word shingles that differ in 3 bits at most (``simhash_dedup``) are looked up first, and what they link is checked on the texts. Similar texts
+may be further apart in bits, so an exact join looks for the links that fingerprints miss, and no link is left to chance. Shingles have one order, rarest first; of two sets of that similarity the first n - ceil(0.8 n) + 1 of each
 share one (prefix filter). Lengths, places in the order and 512 parity bits bound what the sets can share: two sets differ in as many
 shingles at least as their parities differ in bits. What passes is verified on the texts. First every document meets one hub for each of its prefix
 shingles; only documents that this leaves in different components meet each other, so a group of copies costs its size and not its square.
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from foldloom.llm.batches import raw_texts, release_memory
 from foldloom.llm.components import components
-from foldloom.llm.simhash_dedup import LOWER, SEED, near_duplicate_classes
+from foldloom.llm.simhash_dedup import LOWER, SEED, fingerprints, near_duplicate_classes, near_pairs
 from foldloom.plans.stage import collect_garbage, drop_staged, stage
 
 SIZE = 5
@@ -108,6 +109,7 @@ def similar(close: DataFrame, df: DataFrame, text: str) -> DataFrame:
                 one, two = shingles(x), last[1]
                 kept.append(9 * len(np.intersect1d(one, two, assume_unique=True)) >= 4 * (len(one) + len(two)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(kept, pa.bool_()))
+        release_memory()
 
     found = stage(both.select("a", "b", "x", "y").mapInArrow(step, "a long, b long"))
     drop_staged(close, texts)
@@ -118,15 +120,37 @@ def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """Pairs whose ends are not in one component yet; a node without a root is alone."""
     end = lambda c: roots.select(F.col("node").alias(f"_{c}"), F.col("root").alias(f"_root_{c}"))
     met = pairs.join(end("a"), F.col("a") == F.col("_a"), "left").join(end("b"), F.col("b") == F.col("_b"), "left")
-    return stage(met.where(F.coalesce("_root_a", "a") != F.coalesce("_root_b", "b")).select("a", "b"))
+    return stage(met.where(F.coalesce("_root_a", "a") != F.coalesce("_root_b", "b")).select(*pairs.columns))
+
+
+def fingerprint_pairs(df: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
+    """Links of fingerprints as pairs (a, b) of nodes: of each node with the smallest of its fingerprint, and of these with those of near fingerprints.
+
+    The first table has one pair a node at most, among them one with a near fingerprint for each that has any: a group of copies is joined at the cost of its
+    size. The second has all pairs of near fingerprints.
+    """
+    prints = stage(fingerprints(df.select(node_of(text).alias("node"), text).where("node <> 0"), text, "print", keep=["node"], size=SIZE).distinct())
+    hubs = prints.groupBy("print").agg(F.min("node").alias("hub"))
+    end = lambda c: hubs.select(F.col("print").alias(f"_{c}"), F.col("hub").alias(c))
+    met = near_pairs(prints, "print").withColumnsRenamed({"a": "_a", "b": "_b"})
+    near = stage(met.join(end("a"), "_a").join(end("b"), "_b").select("a", "b"))
+    own = prints.join(hubs, "print").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    first = stage(own.unionByName(near.groupBy("a").agg(F.min("b").alias("b"))))
+    drop_staged(prints)
+    return first, near
 
 
 def similar_pairs(df: DataFrame, text: str = "text") -> DataFrame:
     """(a, b): links between nodes that join exactly those nodes which a chain of similar pairs joins.
 
-    Texts travel to be compared, so pairs are compared in three turns, each without the pairs that the turns before have joined: every document with the hub that it
-    shares most shingles with, then with its other hubs, then documents with each other.
+    Texts travel to be compared, so pairs are compared in turns, each without the pairs that the turns before have joined: those of equal and near fingerprints, then
+    every document with the hub that it shares most shingles with, then with its other hubs, then documents with each other.
     """
+    nearest, near = fingerprint_pairs(df, text)
+    copies = similar(nearest, df, text)
+    roots = components(copies)
+    met = apart(near, roots)
+    drop_staged(near)
     made = stage(sketches(df, text))
     tokens = made.select("node", "n", "rare", F.posexplode("prefix").alias("at", "token"))
     room = lambda m, at: (5 * F.least("n", m) >= 4 * F.greatest("n", m)) & (9 * F.least(F.col("n") - F.col("at"), m - at) >= 4 * (F.col("n") + m))
@@ -138,12 +162,15 @@ def similar_pairs(df: DataFrame, text: str = "text") -> DataFrame:
     hub = F.col("hub")
     with_hubs = shared.drop("rare").join(hubs, "token").where((F.col("node") != hub["node"]) & room(hub["n"], hub["at"]))
     close = plausible(with_hubs.groupBy(F.col("node").alias("a"), hub["node"].alias("b")).agg(F.count(F.lit(1)).alias("shared")), made)
-    best = stage(close.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b")))
-    first = similar(best, df, text)
-    roots = components(first)
+    former, close = close, apart(close, roots)
+    drop_staged(former, roots)
+    best = stage(close.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b")).unionByName(met).distinct())
+    drop_staged(met)
+    linked = copies.unionByName(similar(best, df, text))
+    roots = components(linked)
     second = similar(apart(close.select("a", "b"), roots), df, text)
     drop_staged(repeated, hubs, close, roots)
-    linked = first.unionByName(second)
+    linked = linked.unionByName(second)
     roots = components(linked)
     placed = stage(shared.drop("rare").join(roots.withColumnRenamed("node", "v"), F.col("node") == F.col("v"), "left").select("token", "node", "n", "at", F.coalesce("root", "node").alias("root")))
     drop_staged(shared, roots)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foldloom.llm.batches import extended, raw_texts, with_columns
+from foldloom.llm.batches import extended, raw_texts, release_memory, with_columns
 from foldloom.llm.components import components
 from foldloom.plans.stage import stage
 
@@ -46,13 +46,14 @@ def fingerprint(raw: bytes, size: int = 3) -> int:
     return int(bits.view("<i8")[0])
 
 
-def fingerprints(df: DataFrame, text: str = "text", out: str = "simhash", keep: Iterable[str] | None = None) -> DataFrame:
-    """Adds the fingerprint of each whole text. Null and empty texts get 0; an existing column ``out`` is replaced."""
+def fingerprints(df: DataFrame, text: str = "text", out: str = "simhash", keep: Iterable[str] | None = None, size: int = 3) -> DataFrame:
+    """Adds the fingerprint of each whole text, over its shingles of ``size`` words. Null and empty texts get 0; an existing column ``out`` is replaced."""
     passed, schema = extended(df, keep, [T.StructField(out, T.LongType())])
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield with_columns(batch, passed, {out: pa.array([fingerprint(raw) for raw in raw_texts(batch, text)], pa.int64())})
+            yield with_columns(batch, passed, {out: pa.array([fingerprint(raw, size) for raw in raw_texts(batch, text)], pa.int64())})
+        release_memory()
 
     return df.select(*dict.fromkeys([*passed, text])).mapInArrow(step, schema)
 

@@ -42,3 +42,26 @@ def test_two_edited_words_in_a_hundred_are_a_copy(spark):
     assert brute.similar_kept(rows) == list(range(0, 40, 2))
     out = corpus_pipeline.remove_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
     assert sorted(r["doc_id"] for r in out.collect()) == list(range(0, 40, 2))
+
+
+def test_stage_takes_fingerprint_links_first(spark, monkeypatch):
+    """All links of fingerprints over five words are found, by equal and near fingerprints, and reach the check on the texts."""
+    from foldloom.llm.simhash_dedup import fingerprint
+
+    rng = random.Random(10)
+    texts = ["", " \n"]
+    for _ in range(4):
+        base = " ".join(f"{rng.choice('abcdef')}{rng.randrange(900)}" for _ in range(300))
+        texts += [base, base + " ", base.upper()] + [edited(rng, base, n) for n in (1, 1, 1, 2, 40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    node = {r["text"]: r["node"] for r in df.select("text", shingle_dedup.node_of("text").alias("node")).collect()}
+    prints = {node[t]: fingerprint(t.encode(), 5) for t in texts if t.strip()}
+    linked = {frozenset((a, b)) for a in prints for b in prints if a != b and ((prints[a] ^ prints[b]) & (1 << 64) - 1).bit_count() <= 3}
+    first, near = shingle_dedup.fingerprint_pairs(df, "text")
+    got = {frozenset((r["a"], r["b"])) for r in first.unionByName(near).collect()}
+    hubs = {min(n for n in prints if prints[n] == prints[m]) for m in prints}
+    assert got <= linked and {p for p in linked if p <= hubs or prints[min(p)] == prints[max(p)] and p & hubs} <= got and len(linked) > 16
+    checked, plain = [], shingle_dedup.similar
+    monkeypatch.setattr(shingle_dedup, "similar", lambda close, *rest: checked.append({frozenset((r["a"], r["b"])) for r in close.collect()}) or plain(close, *rest))
+    corpus_pipeline.remove_near_duplicates(spark, df, "").collect()
+    assert checked[0] <= linked and len(checked[0]) >= 8

@@ -53,8 +53,7 @@ def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, lang, source, n_tokens, token_ids, ids_sha256, decoded_sha256) of every document left."""
-    ids = bpe.encode(docs, VOCABULARY, public_tokenizers.PATTERN, keep=["doc_id", "lang", "source"])
-    return bpe.decode(ids, VOCABULARY).select(
+    return bpe.encode(docs, VOCABULARY, public_tokenizers.PATTERN, keep=["doc_id", "lang", "source"], decoded="decoded").select(
         "doc_id", "lang", "source", F.floor(F.length("token_ids") / 4).alias("n_tokens"), "token_ids",
         F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -223,22 +223,31 @@ def blocks(batches: Iterator[pa.RecordBatch], name: str, size: int = 4_000_000)
         yield from (batch.slice(a, b - a) for a, b in zip(edges, edges[1:]) if b > a)
 
 
+def _bytes_of(packed: list[bytes], path: str) -> list[bytes]:
+    piece: Callable[[int], bytes] = _token_bytes(path).__getitem__
+    return [b"".join(map(piece, np.frombuffer(raw, "<u4").tolist())) for raw in packed]
+
+
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "token_ids",
-           keep: Iterable[str] | None = None, library: bool = False) -> DataFrame:
+           keep: Iterable[str] | None = None, library: bool = False, decoded: str | None = None) -> DataFrame:
     """Adds ``ids``: the token ids of the whole text as packed little-endian unsigned 32-bit integers (binary).
 
     ``path``: rank file, readable on every machine. ``keep``: columns that pass through (default: all). ``library``: merge
-    with the tiktoken library instead of the replay; the ids are the same. A null or empty text has no
+    with the tiktoken library instead of the replay; the ids are the same. ``decoded``: adds a column of that name with the bytes that
+    ``decode`` makes of the ids, in the same Python worker. A null or empty text has no
     ids; bytes that are no UTF-8 are read as U+FFFD. Repeated rows are encoded alike; an existing column ``ids`` is replaced.
     """
-    passed, schema = extended(df, keep, [T.StructField(ids, T.BinaryType())])
+    passed, schema = extended(df, keep, [T.StructField(c, T.BinaryType()) for c in (ids, decoded) if c])
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(_replay(path), pattern, _library(path, pattern) if library else None)
         for batch in blocks(batches, text):
             packed = encoder(raw.decode("utf-8", "replace") for raw in raw_texts(batch, text))
-            yield with_columns(batch, passed, {ids: pa.array(packed, pa.binary())})
-            del packed
+            added = {ids: pa.array(packed, pa.binary())}
+            if decoded:
+                added[decoded] = pa.array(_bytes_of(packed, path), pa.binary())
+            yield with_columns(batch, passed, added)
+            del packed, added
             release_memory()
         del encoder
         release_memory()
@@ -251,10 +260,8 @@ def decode(df: DataFrame, path: str, ids: str = "token_ids", out: str = "decoded
     passed, schema = extended(df, keep, [T.StructField(out, T.BinaryType())])
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece: Callable[[int], bytes] = _token_bytes(path).__getitem__
         for batch in blocks(batches, ids):
-            texts = [b"".join(map(piece, np.frombuffer(raw, "<u4").tolist())) for raw in raw_texts(batch, ids)]
-            yield with_columns(batch, passed, {out: pa.array(texts, pa.binary())})
+            yield with_columns(batch, passed, {out: pa.array(_bytes_of(raw_texts(batch, ids), path), pa.binary())})
         release_memory()
 
     return df.select(*dict.fromkeys([*passed, ids])).mapInArrow(step, schema)

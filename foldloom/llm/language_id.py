@@ -17,14 +17,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foldloom.llm.batches import extended, raw_texts, with_columns
+from foldloom.llm.batches import extended, raw_texts, release_memory, with_columns
 
 UNKNOWN = "und"
 BITS = 21
 # Languages whose profiles may be sent to every task; more are refused, since the table grows with them.
 MAX_LANGUAGES = 2_000
 # Characters whose n-grams are sorted at once while learning.
-CHUNK = 1_000_000
+CHUNK = 200_000
+# N-grams held by a task before it passes their counts on.
+HELD = 1_000_000
 
 
 @cache
@@ -98,7 +100,7 @@ def learn_profiles(docs: DataFrame, text: str = "text", lang: str = "lang", size
 
         def fold(name: str) -> None:
             grams, counts = sums.get(name, (np.empty(0, np.int64), np.empty(0, np.int64)))
-            found, times = np.unique(np.concatenate([ngrams(x) for x in held.pop(name)]), return_counts=True)
+            found, times = np.unique(np.concatenate([ngrams(x.astype(np.int64)) for x in held.pop(name)]), return_counts=True)
             keys, where = np.unique(np.concatenate([grams, found]), return_inverse=True)
             total = np.bincount(where, weights=np.concatenate([counts, times]), minlength=len(keys)).astype(np.int64)
             sums[name], waiting[name] = (keys, total), 0
@@ -111,15 +113,16 @@ def learn_profiles(docs: DataFrame, text: str = "text", lang: str = "lang", size
 
         for batch in batches:
             for raw, name in zip(raw_texts(batch, "text"), batch.column(1).to_pylist()):
-                held.setdefault(name, []).append(own := letters(raw))
+                held.setdefault(name, []).append(own := letters(raw).astype(np.uint32))
                 waiting[name] = waiting.get(name, 0) + len(own)
                 if waiting[name] > CHUNK:
                     fold(name)
-            if sum(len(g) for g, _ in sums.values()) > CHUNK:
+            if sum(len(g) for g, _ in sums.values()) > HELD:
                 yield from out()
         for name in list(held):
             fold(name)
         yield from out()
+        release_memory()
 
     counts = (docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
               .mapInArrow(step, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
@@ -158,5 +161,6 @@ def identify(df: DataFrame, profiles: dict[str, list[int]], text: str = "text",
             found = [table.nearest(raw) for raw in raw_texts(batch, text)]
             yield with_columns(batch, passed, {"lang_pred": pa.array([name for name, _ in found], pa.string()),
                                                "score": pa.array([score for _, score in found], pa.float64())})
+        release_memory()
 
     return df.select(*dict.fromkeys([*passed, text])).mapInArrow(step, schema)

@@ -28,6 +28,8 @@ SIZE = 5
 SAMPLED, FREQUENT, MAX_FREQUENT = 32, 8, 200_000
 # 64-bit words of a parity signature.
 PARITY = 8
+# Pairs whose two texts are copied out of a batch at once.
+SLICE = 500
 
 
 def shingles(raw: bytes) -> np.ndarray:
@@ -104,10 +106,11 @@ def similar(close: DataFrame, df: DataFrame, text: str) -> DataFrame:
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept, last = [], (None, None)
-            for b, x, y in zip(batch.column(1).to_pylist(), raw_texts(batch, "x"), raw_texts(batch, "y"), strict=True):
-                last = last if last[0] == b else (b, shingles(y))  # the join leaves the pairs of a hub together
-                one, two = shingles(x), last[1]
-                kept.append(9 * len(np.intersect1d(one, two, assume_unique=True)) >= 4 * (len(one) + len(two)))
+            for part in (batch.slice(at, SLICE) for at in range(0, batch.num_rows, SLICE)):
+                for b, x, y in zip(part.column(1).to_pylist(), raw_texts(part, "x"), raw_texts(part, "y"), strict=True):
+                    last = last if last[0] == b else (b, shingles(y))  # the join leaves the pairs of a hub together
+                    one, two = shingles(x), last[1]
+                    kept.append(9 * len(np.intersect1d(one, two, assume_unique=True)) >= 4 * (len(one) + len(two)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(kept, pa.bool_()))
         release_memory()
 

@@ -66,8 +66,9 @@ def near_pairs(prints: DataFrame, out: str = "simhash") -> DataFrame:
     probes = table.select(F.col("f").alias("g"), "half", F.explode(F.concat(
         F.array("value"), F.filter(F.array(*[F.col("value").bitwiseOR(F.lit(1 << bit)) for bit in range(32)]), lambda v: v != F.col("value"))
     )).alias("value"), F.col("value").alias("from"))
+    # Spark does not see that the explode makes about 17 probes of a half, and would broadcast them.
     # Equal halves are met from both sides: one is enough.
-    met = table.join(probes, ["half", "value"]).where("f <> g and (value <> `from` or f < g)")
+    met = table.join(probes.hint("merge"), ["half", "value"]).where("f <> g and (value <> `from` or f < g)")
     first = F.bit_count(F.shiftrightunsigned(F.col("f").bitwiseXOR(F.col("g")), 32))
     return (met.where(F.bit_count(F.col("f").bitwiseXOR(F.col("g"))) <= 3)
             .where((F.col("half") == 0) | (first > 1))  # pairs close in both halves come from the first

@@ -34,6 +34,12 @@ def test_repeated_rows_keep_their_lines(spark):
     assert {(r["n_removed"], len(r["text"])) for r in line_dedup.remove_repeated_lines(df).collect()} == {(0, 5)}
 
 
+def test_probes_of_fingerprints_are_not_broadcast(spark):
+    """Each fingerprint asks for about 34 halves, which Spark's size of the exploded table does not show."""
+    plan = simhash_dedup.near_pairs(spark.range(1000).toDF("simhash"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def near_texts():
     rng = random.Random(2)
     base = [" ".join(rng.choice("abcdefghij") + str(rng.randint(0, 9)) for _ in range(120)) for _ in range(4)]

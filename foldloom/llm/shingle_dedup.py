@@ -143,6 +143,11 @@ def fingerprint_pairs(df: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
     return first, near
 
 
+def with_token(rows: DataFrame, tokens: DataFrame) -> DataFrame:
+    """The rows that have one of ``tokens``. Sorted, never broadcast: hashed in the driver, a token takes ten times the bytes it has in its file."""
+    return rows.join(tokens.hint("merge"), "token", "left_semi")
+
+
 def similar_pairs(df: DataFrame, text: str = "text") -> DataFrame:
     """(a, b): links between nodes that join exactly those nodes which a chain of similar pairs joins.
 
@@ -160,7 +165,7 @@ def similar_pairs(df: DataFrame, text: str = "text") -> DataFrame:
     # The hub of a shingle is the document with the fewest shingles of its own: of a group of copies rather the one they come from.
     # Most shingles occur once and link nothing, so they are counted on their own before anything is kept.
     repeated = stage(tokens.groupBy("token").count().where("count > 1").select("token"))
-    shared = stage(tokens.join(repeated, "token", "left_semi"))
+    shared = stage(with_token(tokens, repeated))
     hubs = stage(shared.groupBy("token").agg(F.min(F.struct("rare", "node", "n", "at")).alias("hub")))
     hub = F.col("hub")
     with_hubs = shared.drop("rare").join(hubs, "token").where((F.col("node") != hub["node"]) & room(hub["n"], hub["at"]))
@@ -178,7 +183,7 @@ def similar_pairs(df: DataFrame, text: str = "text") -> DataFrame:
     placed = stage(shared.drop("rare").join(roots.withColumnRenamed("node", "v"), F.col("node") == F.col("v"), "left").select("token", "node", "n", "at", F.coalesce("root", "node").alias("root")))
     drop_staged(shared, roots)
     open_tokens = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
-    left = stage(placed.join(open_tokens, "token", "left_semi"))
+    left = stage(with_token(placed, open_tokens))
     drop_staged(placed)
     other = left.select("token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("at").alias("bt"), F.col("root").alias("other"))
     rest = left.join(other, "token").where((F.col("node") < F.col("b")) & (F.col("root") != F.col("other")) & room(F.col("m"), F.col("bt")))

@@ -44,6 +44,13 @@ def test_two_edited_words_in_a_hundred_are_a_copy(spark):
     assert sorted(r["doc_id"] for r in out.collect()) == list(range(0, 40, 2))
 
 
+def test_no_join_on_exploded_or_repeated_tokens_is_broadcast(spark):
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    tokens = plan(shingle_dedup.with_token(spark.range(1000).toDF("token"), spark.range(100).toDF("token")))
+    probes = plan(shingle_dedup.near_pairs(spark.range(1000).toDF("print"), "print"))
+    assert all("SortMergeJoin" in p and "Broadcast" not in p for p in (tokens, probes))
+
+
 def test_stage_takes_fingerprint_links_first(spark, monkeypatch):
     """All links of fingerprints over five words are found, by equal and near fingerprints, and reach the check on the texts."""
     from foldloom.llm.simhash_dedup import fingerprint

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldloom.llm.components import components
@@ -36,6 +36,11 @@ TILE = 1_024
 MAX_VALUES = 2**21
 # Node pairs with so many pairs of points below them, or fewer, are compared point by point.
 LEAF_PAIRS = 65_536
+# So many pairs of points take about as long to compare as a comparison of its own costs besides.
+CALL_PAIRS = 16_384
+# Blocks of chunks meet as a whole, so that a chunk travels once a block and not once a chunk: so many chunks in one at most, and about so many
+# values of vectors; below so many blocks, smaller ones give work to more tasks.
+BLOCK_CHUNKS, BLOCK_VALUES, MIN_BLOCKS = 8, 2**22, 16
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -180,12 +185,27 @@ def traverse(a: CoverTree, b: CoverTree, threshold: float) -> Iterator[tuple[np.
                 cosine = a.single[own] @ b.single[other].T
                 ra, rb = a.radius[la][own].astype(np.float32), b.radius[lb][other].astype(np.float32)
                 spread = ra[:, None] + rb[None, :] if ra.any() or rb.any() else np.float32(0)
-                p, q = np.nonzero(cosine >= 1 - np.minimum(spread + np.float32(reach + MARGIN), 2) ** 2 / 2 - doubt)  # the others are too far apart
-                far = np.sqrt(np.maximum(2 - 2 * (cosine[p, q] - doubt), 0)) + ra[p] + rb[q]
-                whole = far <= reach - MARGIN
-                for k in np.flatnonzero(whole):
-                    yield a.below[la][own[p[k]]], b.below[lb][other[q[k]]], None
-                p, q = own[p[~whole]], other[q[~whole]]
+                near = cosine >= 1 - np.minimum(spread + np.float32(reach + MARGIN), 2) ** 2 / 2 - doubt  # the others are too far apart
+                alone = near.any(axis=1)
+                if not alone.any():
+                    continue
+                if ra.min() + rb.min() <= reach - MARGIN:  # wider nodes never link as a whole
+                    p, q = np.nonzero(near)
+                    far = np.sqrt(np.maximum(2 - 2 * (cosine[p, q] - doubt), 0)) + ra[p] + rb[q]
+                    p, q = p[far <= reach - MARGIN], q[far <= reach - MARGIN]
+                    for x, y in zip(own[p], other[q]):
+                        yield a.below[la][x], b.below[lb][y], None
+                    near[p, q], alone[p] = False, False
+                # Nodes without such a partner are compared with all of theirs at once, where that is less than a call for each costs.
+                if alone.any():
+                    pa, pb = a.under(la, own[alone]), b.under(lb, other[near[alone].any(axis=0)])
+                    if len(pa) * len(pb) <= CALL_PAIRS * alone.sum():
+                        hits = linked(a, pa, b, pb, threshold)
+                        if hits is not None:
+                            yield pa, pb, hits
+                        near[alone] = False
+                p, q = np.nonzero(near)
+                p, q = own[p], other[q]
                 # A node and all its near partners are compared at once, if these are few points.
                 for group in np.split(np.arange(len(p)), np.flatnonzero(np.diff(p)) + 1) if len(p) else ():
                     pa, pb = a.below[la][p[group[0]]], b.under(lb, q[group])
@@ -304,46 +324,47 @@ def _spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids[label[own]], ids[own]
 
 
-def _sides(table: pa.Table, names: list[int]) -> list[tuple[CoverTree, np.ndarray, np.ndarray]]:
-    """Tree, ids and weights of the named chunks of a unit, chunks without rows left out."""
+def _sides(table: pa.Table) -> tuple[dict[int, tuple[CoverTree, np.ndarray, np.ndarray]], list[tuple[int, int]]]:
+    """Tree, ids and weights of each chunk of a unit that has rows, and the pairs of these chunks that are to meet."""
     chunk, level, cid, weight = (table.column(c).to_numpy() for c in ("chunk", "level", "cid", "weight"))
     vectors = table.column("vector").combine_chunks()
-    out = []
-    for name in names:
+    out, pairs = {}, set()
+    for name in np.unique(chunk).tolist():
         own = np.flatnonzero(chunk == name)
         own = own[np.lexsort((cid[own], level[own]))]
-        if len(own):
-            (_, _, points), = _by_length(vectors.take(pa.array(own)))
-            out.append((CoverTree(points, level[own]), cid[own], weight[own]))
-    return out
+        (_, _, points), = _by_length(vectors.take(pa.array(own)))
+        out[name] = (CoverTree(points, level[own]), cid[own], weight[own])
+        pairs |= {(min(name, other), max(name, other)) for other in table.column("others")[int(own[0])].as_py()}
+    return out, sorted(pair for pair in pairs if pair[0] in out and pair[1] in out)
 
 
 def _links(table: pa.Table, threshold: float) -> pa.Table:
     """Links of one work unit: (a, b, n). Rows with b tell that a and b are connected, n is the weight linked to a."""
-    chunks = list(dict.fromkeys([table.column("low")[0].as_py(), table.column("high")[0].as_py()]))
-    sides = _sides(table, chunks)
-    if len(sides) < len(chunks):
-        return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
-    (tree, cid, weight), (other_tree, other_cid, other_weight) = sides[0], sides[-1]
-    same = len(sides) == 1
-    counts = [np.zeros(len(c), dtype=np.int64) for _, c, _ in sides]
+    sides, pairs = _sides(table)
+    counts = {name: np.zeros(len(cid), dtype=np.int64) for name, (_, cid, _) in sides.items()}
     a, b, ends, held = np.empty(0, np.int64), np.empty(0, np.int64), [], 0
-    for p, q, hits in traverse(tree, other_tree, threshold):
-        counts[0][p] += other_weight[q].sum() if hits is None else hits @ other_weight[q]
-        if not same:
-            counts[1][q] += weight[p].sum() if hits is None else weight[p] @ hits
-        x, y = cid[p], other_cid[q]
-        if hits is None:  # the first of each side connects all of them
-            ends.append((np.concatenate([x, np.full(len(y), x[0])]), np.concatenate([np.full(len(x), y[0]), y])))
-        else:
-            rows, columns = np.nonzero(hits)
-            ends.append((x[rows], y[columns]))
-        held += len(ends[-1][0])
-        if held > 2_000_000:
-            a, b = _spanning(np.concatenate([a, *(e for e, _ in ends)]), np.concatenate([b, *(e for _, e in ends)]))
-            ends, held = [], 0
+    for low, high in pairs:
+        (tree, cid, weight), (other_tree, other_cid, other_weight) = sides[low], sides[high]
+        for p, q, hits in traverse(tree, other_tree, threshold):
+            if hits is None:  # the first of each side connects all of them
+                counts[low][p] += other_weight[q].sum()
+                if low != high:
+                    counts[high][q] += weight[p].sum()
+                x, y = cid[p], other_cid[q]
+                ends.append((np.concatenate([x, np.full(len(y), x[0])]), np.concatenate([np.full(len(x), y[0]), y])))
+            else:
+                rows, columns = np.nonzero(hits)
+                x, y = p[rows], q[columns]
+                np.add.at(counts[low], x, other_weight[y])
+                if low != high:
+                    np.add.at(counts[high], y, weight[x])
+                ends.append((cid[x], other_cid[y]))
+            held += len(ends[-1][0])
+            if held > 2_000_000:
+                a, b = _spanning(np.concatenate([a, *(e for e, _ in ends)]), np.concatenate([b, *(e for _, e in ends)]))
+                ends, held = [], 0
     a, b = _spanning(np.concatenate([a, *(e for e, _ in ends)]), np.concatenate([b, *(e for _, e in ends)]))
-    linked_to = [(c[n > 0], n[n > 0]) for (_, c, _), n in zip(sides, counts, strict=True)]
+    linked_to = [(cid[n > 0], n[n > 0]) for (_, cid, _), n in zip(sides.values(), counts.values(), strict=True)]
     own = np.concatenate([a, *(c for c, _ in linked_to)])
     other = pa.array(np.concatenate([b, np.zeros(len(own) - len(b), np.int64)]), mask=np.arange(len(own)) >= len(b))
     return pa.table({"a": own, "b": other, "n": np.concatenate([np.zeros(len(a), np.int64), *(n for _, n in linked_to)])})
@@ -387,17 +408,23 @@ def link_classes(classes: DataFrame, threshold: float) -> DataFrame:
         pairs += [(tops[i], tops[j]) for i, j in zip(x.tolist(), y.tolist(), strict=True)]
     known = spark.createDataFrame([(i, origin[i], c.tolist()) for i, c in centres.items()], "cell long, top long, centre array<double>")
     lone = F.array().cast("array<double>")
-    table = stage(sizes.join(known, "cell", "left").select("d", "cell", "r", F.coalesce("top", "cell").alias("top"), F.coalesce("centre", lone).alias("centre"), F.explode(
+    table = (sizes.join(known, "cell", "left").select("d", "cell", "r", F.coalesce("top", "cell").alias("top"), F.coalesce("centre", lone).alias("centre"), F.explode(
         F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.xxhash64("d", "cell", k.cast("bigint")))).alias("chunk")))
+    # Blocks of neighbouring chunks: cells of a top cell stand together.
+    by_place = Window.partitionBy("d")
+    fitting = F.greatest(F.lit(1), F.least(F.lit(BLOCK_CHUNKS), F.floor(F.count(F.lit(1)).over(by_place) / MIN_BLOCKS), F.floor(F.lit(BLOCK_VALUES // CHUNK_ROWS) / F.col("d"))))
+    table = stage(table.withColumn("block", F.floor((F.row_number().over(by_place.orderBy("top", "cell", "chunk")) - 1) / fitting)))
     near_tops = spark.createDataFrame(pairs, "top long, near long").unionByName(table.where("top < 0").select("top", F.col("top").alias("near")).distinct())
-    other = table.select(F.col("d").alias("e"), F.col("cell").alias("cell2"), F.col("r").alias("r2"), F.col("top").alias("near"), F.col("centre").alias("centre2"), F.col("chunk").alias("other"))
+    other = table.select(F.col("d").alias("e"), F.col("cell").alias("cell2"), F.col("r").alias("r2"), F.col("top").alias("near"), F.col("centre").alias("centre2"), F.col("chunk").alias("other"),
+                         F.col("block").alias("block2"))
     gap = F.sqrt(F.aggregate(F.zip_with("centre", "centre2", lambda u, v: (u - v) * (u - v)), F.lit(0.0), lambda t, u: t + u))
     met = table.join(near_tops, "top").join(other, "near").where(F.col("d") == F.col("e")).where(
         (F.col("cell") == F.col("cell2")) | (gap <= F.col("r") + F.col("r2") + reach))
-    units = stage(met.select("chunk", "other").distinct())
-    copies = trees.join(units, "chunk").select(
-        "cid", "weight", "vector", "chunk", "level", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"))
-    return copies.groupBy("low", "high").applyInArrow(lambda rows: _links(rows, threshold), "a long, b long, n long")
+    # A pair of chunks is met from both sides, in one unit.
+    units = stage(met.select("d", "chunk", "other", F.least("block", "block2").alias("low"), F.greatest("block", "block2").alias("high")).distinct()
+                  .groupBy("d", "chunk", "low", "high").agg(F.collect_list("other").alias("others")))
+    copies = trees.join(units, "chunk").select("cid", "weight", "vector", "chunk", "level", "others", "d", "low", "high")
+    return copies.groupBy("d", "low", "high").applyInArrow(lambda rows: _links(rows, threshold), "a long, b long, n long")
 
 
 def near_duplicates(df: DataFrame, threshold: float = 0.9, key: str = "vec_id", vector: str = "embedding") -> DataFrame:

@@ -173,3 +173,39 @@ def test_cover_tree_levels_nest_and_cover(monkeypatch):
         for p, q, hits in embedding_dedup.traverse(tree, tree, 0.9):
             pairs[np.ix_(p, q)] += 1 if hits is None else hits
         assert (pairs == (points @ points.T >= 0.9)).all()
+
+
+@pytest.mark.parametrize("call", [0, 16_384])
+def test_nodes_of_a_tile_are_compared_together(monkeypatch, call):
+    """Every linked pair comes once, by calls for single nodes and by calls for whole tiles; the latter are far fewer than the nodes."""
+    rng = np.random.default_rng(11)
+    points = rng.normal(size=(400, 12))
+    points = embedding_dedup.unit(np.concatenate([points, points[:60] + 0.03 * rng.normal(size=(60, 12)), points[:60] + 0.12 * rng.normal(size=(60, 12))]))
+    level = embedding_dedup.entry_levels(points)
+    order = np.argsort(level, kind="stable")
+    tree = embedding_dedup.CoverTree(points[order], level[order])
+    calls, plain = [], embedding_dedup.linked
+    monkeypatch.setattr(embedding_dedup, "linked", lambda *args: calls.append(1) or plain(*args))
+    monkeypatch.setattr(embedding_dedup, "LEAF_PAIRS", 2_000)
+    monkeypatch.setattr(embedding_dedup, "CALL_PAIRS", call)
+    pairs = np.zeros((len(points), len(points)), int)
+    for p, q, hits in embedding_dedup.traverse(tree, tree, 0.9):
+        pairs[np.ix_(p, q)] += 1 if hits is None else hits
+    assert (pairs == (points[order] @ points[order].T >= 0.9)).all()
+    assert not call or len(calls) < tree.sizes[1] / 2
+
+
+def test_chunks_meet_in_blocks(spark, monkeypatch):
+    """Units of several chunks give the links of all pairs, from fewer copies of each chunk than it meets chunks."""
+    monkeypatch.setattr(embedding_dedup, "CHUNK_ROWS", 16)
+    monkeypatch.setattr(embedding_dedup, "MIN_BLOCKS", 2)
+    staged, plain = [], embedding_dedup.stage
+    monkeypatch.setattr(embedding_dedup, "stage", lambda df: staged.append(plain(df)) or staged[-1])
+    rng = np.random.default_rng(12)
+    base = rng.normal(size=(150, 6))
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([base, base[:40] + 0.05 * rng.normal(size=(40, 6)), base[:9]]))]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted(tuple(r[:3]) for r in got) == sorted(links(rows))
+    units = [df for df in staged if "others" in df.columns][0].collect()
+    assert {len(r["others"]) for r in units} != {1} and all(r["low"] <= r["high"] for r in units)
+    assert len(units) < sum(len(r["others"]) for r in units) / 2

@@ -2,8 +2,8 @@
 
 Equal vectors become one class with a weight. The upper levels of the tree are a table: classes are divided into cells around spread-out centres, crowded
 cells around centres of their own, and so on until a chunk fits a task. Every chunk gets a cover tree: nested levels with halving radii over unit vectors,
-each node with the exact radius that covers what is below it. Pairs of chunks, unless their radii keep them apart, are work units of their own: a dual
-traversal goes down both trees and drops node pairs that are too far apart. Node pairs that are close as a whole link without being taken apart, so a dense
+each node with the exact radius that covers what is below it. Pairs of chunks, unless their radii keep them apart, meet in work units, those of two blocks of
+neighbouring chunks in one: a dual traversal goes down both trees and drops node pairs that are too far apart. Node pairs that are close as a whole link without being taken apart, so a dense
 group costs no pair per link. Only between are cosines computed: in single precision first, and in double precision wherever that could decide otherwise.
 """
 
